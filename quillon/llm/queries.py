@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup
-from quillon.llm.common import documents
+from quillon.llm import encoders, exact_dedup, orc_tokens, packing
+from quillon.llm.common import documents, scratch
+
+
+def op4_orc_tokens(spark, sf_dir):
+    path = scratch(spark, "orc_tokens")
+    orc_tokens.write_tokens(documents(spark, sf_dir), path, encoders.path_of(encoders.WORD_BPE))
+    return orc_tokens.summary(spark, path)
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), encoders.path_of(encoders.BYTE_BPE))
+
+
 QUERIES = {
+    "op4_orc_tokens": op4_orc_tokens,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii
 from quillon.llm.common import documents, scratch
 
 
@@ -10,6 +10,10 @@ def op1_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), encoders.path_of(encoders.BYTE_BPE))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
+
+
 def op4_orc_tokens(spark, sf_dir):
     path = scratch(spark, "orc_tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path, encoders.path_of(encoders.WORD_BPE))
@@ -26,6 +30,7 @@ def op7_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_pii": op3_pii,
     "op4_orc_tokens": op4_orc_tokens,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, substring_dedup
 from quillon.llm.common import documents, scratch
 
 
@@ -10,6 +10,10 @@ def op1_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), encoders.path_of(encoders.BYTE_BPE))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op3_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
@@ -30,6 +34,7 @@ def op7_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op4_orc_tokens": op4_orc_tokens,
     "op6_exact_dedup": op6_exact_dedup,

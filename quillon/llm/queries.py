@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, substring_dedup
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, simhash, substring_dedup
 from quillon.llm.common import documents, scratch
 
 
@@ -32,6 +32,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), encoders.path_of(encoders.BYTE_BPE))
 
 
+def op8_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_orc_tokens": op4_orc_tokens,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLES = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, simhash, substring_dedup
-from quillon.llm.common import documents, scratch
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, simhash, substring_dedup, toxicity
+from quillon.llm.common import documents, labels, scratch
 
 
 def op1_bpe_round_trip(spark, sf_dir):
@@ -36,6 +36,16 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op10_quality_cnn(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.trained(docs, labels(spark, sf_dir)))
+
+
+def op9_toxicity_kernel(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.trained(docs, labels(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
@@ -44,6 +54,8 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_toxicity_kernel": op9_toxicity_kernel,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
 ORACLES = {

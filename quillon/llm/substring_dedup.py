@@ -8,9 +8,9 @@ partition of *its own* document into blocks of `block` = (window + 1) // 2 words
    blocks of the partition. The distinct fingerprints go, sorted and packed, to fingerprint buckets.
 2. A bucket merges what groups sent it. A fingerprint is an *anchor* if it is a block in some document
    and a rolling window in another; each group gets back those it has.
-3. Each group extends its anchors: windows of `window` words that hold an anchor go, as 128-bit digests
-   of their words with the smallest and largest doc_id of the group, to digest buckets, and the smallest
-   doc_id of each comes back where it matters. Runs of such windows are the maximal exact repeats;
+3. Each group extends its anchors: windows of `window` words that hold an anchor go, as 111-bit digests
+   of their words with the smallest doc_id of the group, to digest buckets, and the smallest doc_id of
+   each comes back where it matters. Runs of such windows are the maximal exact repeats;
    the words they cover in documents with a larger doc_id are removed.
 
 Groups are dealt by a hash of doc_id, so their size follows from spark.sql.shuffle.partitions. Documents
@@ -144,9 +144,10 @@ class Group:
     def fingerprints(self, k: int) -> np.ndarray:
         return window_hashes(word_hashes(self.data, self.starts, self.ends, BYTE_POWERS[0]), k, WORD_POWERS[0]) >> U(64 - FINGERPRINT_BITS)
 
-    def digests(self, k: int) -> np.ndarray:
-        """Of each k words, 128 bits in two columns."""
-        return np.stack([window_hashes(word_hashes(self.data, self.starts, self.ends, b), k, w) for b, w in zip(BYTE_POWERS, WORD_POWERS, strict=True)], 1)
+    def digests(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each k words, 64 bits and 47 bits of independent hashes; the lowest bit of the second is 0."""
+        a, b = (window_hashes(word_hashes(self.data, self.starts, self.ends, b), k, w) for b, w in zip(BYTE_POWERS, WORD_POWERS, strict=True))
+        return a, b >> U(16) & ~U(1)
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -228,8 +229,33 @@ def _payload(table: pa.Table, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("payload").to_pylist()), kind)
 
 
-ITEM = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("most", "<i8")])
-FOUND = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8")])
+def _packed_items(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> bytes:
+    """Digests (64 bits of a, 48 of b) and doc_ids, these in as many bytes as their range needs."""
+    low = int(ids.min())
+    width = max(1, (int(ids.max()) - low).bit_length() + 7 >> 3)
+    head = np.array([len(a), low, width], "<i8").tobytes()
+    narrow = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+    return head + a.astype("<u8").tobytes() + narrow(b, 6) + narrow(ids.astype(U) - U(low % 2**64), width)
+
+
+def _unpacked_items(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, doc_ids, number of the blob) of the items of all blobs."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+
+    def wide(x: bytes, n: int) -> np.ndarray:
+        full = np.zeros((len(x) // n, 8), np.uint8)
+        full[:, :n] = np.frombuffer(x, np.uint8).reshape(-1, n)
+        return full.view("<u8")[:, 0]
+
+    for k, blob in enumerate(blobs):
+        n, low, width = np.frombuffer(blob, "<i8", 3).tolist()
+        out[0].append(np.frombuffer(blob, "<u8", n, 24))
+        out[1].append(wide(blob[24 + 8 * n : 24 + 14 * n], 6))
+        out[2].append((wide(blob[24 + 14 * n :], width) + U(low % 2**64)).view(np.int64))
+        out[3].append(np.full(n, k))
+    return tuple(map(np.concatenate, out))
+
+
 EXT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("payload", pa.binary())])
 EXT_DDL = "bucket int, g int, payload binary"
 
@@ -251,15 +277,15 @@ def _extend(window: int, block: int, bucket_bits: int):
         g = Group(docs)
         rows = []
         if back.num_rows and len(places := _candidates(g, _payload(back, "<u8"), window, block)):
-            d, ids = g.digests(window)[places], g.ids[g.doc[places]]
-            order = np.lexsort((ids, d[:, 1], d[:, 0]))
-            d, ids = d[order], ids[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(1)]))
-            items = np.empty(len(new), ITEM)
-            items["a"], items["b"], items["least"] = d[new, 0], d[new, 1], ids[new]
-            items["most"] = ids[np.concatenate([new[1:], [len(ids)]]) - 1]
-            bucket = (items["a"] >> U(64 - bucket_bits)).astype(np.int64)
-            rows = [(b, key[0].as_py(), items[i:j].tobytes()) for b, i, j in _split(bucket)]
+            a, b = (x[places] for x in g.digests(window))
+            ids = g.ids[g.doc[places]]
+            order = np.lexsort((ids, b, a))
+            a, b, ids = a[order], b[order], ids[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            several = ids[new] < ids[np.concatenate([new[1:], [len(ids)]]) - 1]
+            a, b, ids = a[new], b[new] | several.astype(U), ids[new]
+            bucket = (a >> U(64 - bucket_bits)).astype(np.int64)
+            rows = [(k, key[0].as_py(), _packed_items(a[i:j], b[i:j], ids[i:j])) for k, i, j in _split(bucket)]
         return _table(rows, EXT)
 
     return f
@@ -268,36 +294,33 @@ def _extend(window: int, block: int, bucket_bits: int):
 def _least(key: tuple, table: pa.Table) -> pa.Table:
     """The smallest doc_id of each digest goes to the groups that have it in a document with a larger one."""
     groups = table.column("g").to_numpy()
-    blobs = table.column("payload").to_pylist()
-    items = np.frombuffer(b"".join(blobs), ITEM)
-    of = np.repeat(np.arange(len(blobs)), [len(b) // ITEM.itemsize for b in blobs])
-    order = np.lexsort((items["least"], items["b"], items["a"]))
-    items, of = items[order], of[order]
-    new = np.flatnonzero(np.concatenate([[True], (items["a"][1:] != items["a"][:-1]) | (items["b"][1:] != items["b"][:-1])]))
-    least = np.repeat(items["least"][new], np.diff(np.concatenate([new, [len(items)]])))
-    good = least < items["most"]
-    found = np.empty(int(good.sum()), FOUND)
-    found["a"], found["b"], found["least"] = items["a"][good], items["b"][good], least[good]
-    order = np.argsort(of[good], kind="stable")
-    rows = [(int(groups[k]), found[order][i:j].tobytes()) for k, i, j in _split(of[good][order])]
-    return _table(rows, BACK)
-
-
-
-
-def _lookup(found: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The smallest doc_id that found (by digest) has for each row of d, NO_ID where it has none."""
-    found = np.sort(found, order=("a", "b"))
-    out = np.full(len(d), NO_ID)
-    at = np.searchsorted(found["a"], d[:, 0])
-    rows = np.flatnonzero(at < len(found))
-    while len(rows):  # once more only for equal first halves
-        rows = rows[found["a"][at[rows]] == d[rows, 0]]
-        same = found["b"][at[rows]] == d[rows, 1]
-        out[rows[same]] = found["least"][at[rows[same]]]
+    a, b, ids, of = _unpacked_items(table.column("payload").to_pylist())
+    several, b = (b & U(1)).astype(bool), b & ~U(1)
+    order = np.lexsort((ids, b, a))
+    a, b, ids, of, several = a[order], b[order], ids[order], of[order], several[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    least = np.repeat(ids[new], np.diff(np.concatenate([new, [len(a)]])))
+    good = (least < ids) | several
+    a, b, least, of = a[good], b[good], least[good], of[good]
+    order = np.argsort(of, kind="stable")
+    a, b, least, of = a[order], b[order], least[order], of[order]
+    return _table([(int(groups[k]), _packed_items(a[i:j], b[i:j], least[i:j])) for k, i, j in _split(of)], BACK)
+
+
+def _lookup(found: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest doc_id that found (digests and doc_ids) has for each digest, NO_ID where it has none."""
+    order = np.lexsort(found[1::-1])
+    fa, fb, least = (x[order] for x in found)
+    out = np.full(len(a), NO_ID)
+    at = np.searchsorted(fa, a)
+    rows = np.flatnonzero(at < len(fa))
+    while len(rows):  # once more only for equal first parts
+        rows = rows[fa[at[rows]] == a[rows]]
+        same = fb[at[rows]] == b[rows]
+        out[rows[same]] = least[at[rows[same]]]
         rows = rows[~same]
         at[rows] += 1
-        rows = rows[at[rows] < len(found)]
+        rows = rows[at[rows] < len(fa)]
     return out
 
 
@@ -307,7 +330,7 @@ def _remove(window: int, digest: bool):
         edge = np.zeros(len(g.doc) + 1, np.int64)
         if back.num_rows:
             inside = g.inside(window)
-            hit = np.flatnonzero((_lookup(_payload(back, FOUND), g.digests(window)) < g.ids[g.doc[: len(inside)]]) & inside)
+            hit = np.flatnonzero((_lookup(_unpacked_items(back.column("payload").to_pylist())[:3], *g.digests(window)) < g.ids[g.doc[: len(inside)]]) & inside)
             edge[hit] += 1
             edge[hit + window] -= 1
         gone = np.cumsum(edge)[:-1] > 0

@@ -40,6 +40,6 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """docs, all columns, without the rows whose text a row with a smaller doc_id has."""
-    key = F.sha2(normalised(F.col(text)), 256)
-    kept = exact_groups(docs, doc_id, text, salts).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_sha")), "left_semi")
+    kept = exact_groups(docs, doc_id, text, salts).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    same = docs[doc_id].eqNullSafe(kept["kept_id"]) & (F.sha2(normalised(docs[text]), 256) == kept["kept_sha"])
+    return docs.join(kept, same, "left_semi")

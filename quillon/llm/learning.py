@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     if not chosen:
         return [], []
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "_chosen long")
-    found = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("_chosen")).select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text")).collect()
+    found = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_chosen"]).select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text")).collect()
     by_id = {r.doc_id: r.text for r in sorted(found, key=lambda r: (r.doc_id, r.text), reverse=True)}
     ids_in_order = sorted(by_id)
     return [by_id[k] for k in ids_in_order], [chosen[k] for k in ids_in_order]

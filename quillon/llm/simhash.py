@@ -202,5 +202,5 @@ def near_groups(docs: DataFrame, words: int = 4, most: int = 4, chunk: int = 20_
 def drop_near_copies(docs: DataFrame, words: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns: of each component the rows with its smallest doc_id, and rows without any."""
     groups = near_groups(docs, words, most, doc_id=doc_id, text=text)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, simhash, substring_dedup, toxicity
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, simhash, substring_dedup, tiff, toxicity
 from quillon.llm.common import documents, labels, scratch
 
 
@@ -24,6 +24,10 @@ def op4_orc_tokens(spark, sf_dir):
     return orc_tokens.summary(spark, path)
 
 
+def op5_tiff_media(spark, sf_dir):
+    return tiff.store_texts(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op4_orc_tokens": op4_orc_tokens,
+    "op5_tiff_media": op5_tiff_media,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import audit, evaluation, patterns, sampling, search, sft
+from quillon.operators import audit, evaluation, generation, patterns, sampling, search, sft
 from quillon.plans import query as Q
 from quillon.sources import catalog as C
 from quillon.sources.testdata import CATALOG_SQL, catalog, table
@@ -579,3 +579,21 @@ def udf1_parser_answers(spark, sf_dir):
     """An injected parser over a column of texts."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     return sft.answers(rows, "text", lambda texts: [json.dumps({"n": len(t)}) for t in texts]).select("conv_id", "turn", "raw_output")
+
+
+BINDING_RULES = Q.Rules(genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year, groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1"), "HIGH": (("Brand#24", "Brand#25"), ("any_of", "none_of"), "HIGH_V1")})
+POOLS = generation.Pools(dict.fromkeys(RULES.genres, 1.0), {t: 1.0 for t in RULES.tags}, [1990, 2000, 2010, 2020], [1, 12, 24, 50], ["Order#1", "Order#2"])
+
+
+@registered(f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS clauses FROM el GROUP BY ALL")
+def smp16_bound_patterns(spark, sf_dir):
+    """SMP-16, SMP-19, VAL-5..8: every eligible pattern bound by its own seed; each keeps its pattern's clauses."""
+    rows = generation.records(patterns.eligible(patterns.space(spark)), "pos", BINDING_RULES, POOLS)
+    return rows.where("r.error IS NULL AND r.clauses = n").groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("clauses"))
+
+
+@registered()
+def smp18_dataset(spark, sf_dir):
+    """Records with new texts only; texts of the benchmark count as used."""
+    made = patterns.eligible(patterns.space(spark)).where("bucket = '2'")
+    return generation.dataset(made, "pos", BINDING_RULES, POOLS, table(spark, sf_dir, "benchmark").select("text")).select("sample_id", "family", "pos", "text", "gold", "signature", "clauses")

@@ -149,3 +149,21 @@ def test_choose_covers_the_unit_interval(spark):
     table = spark.createDataFrame([("c", 0, "a", 1.0), ("c", 1, "b", 3.0)], "ctx string, ord int, o string, w double")
     draws = spark.createDataFrame([("c", 0.0), ("c", 0.2499), ("c", 0.25), ("c", 0.999999)], "ctx string, u double")
     assert [r.o for r in sampling.choose(draws, table, "ctx", "o", "w", "ord").orderBy("u").collect()] == ["a", "a", "b", "b"]
+
+
+def test_generated_dataset(spark):
+    from quillon.operators import generation as G
+    from quillon.queries import BINDING_RULES, POOLS
+
+    space = patterns.eligible(patterns.space(spark)).where("bucket = '2'")
+    used = spark.createDataFrame([("nothing",)], "text string")
+    a = G.dataset(space, "pos", BINDING_RULES, POOLS, used)
+    rows = a.collect()
+    assert rows and len({r.text for r in rows}) == len(rows) == len({r.sample_id for r in rows})
+    assert G.check_records(a, BINDING_RULES).count() == 0
+    assert G.check_records(a.withColumn("signature", F.lit("x")), BINDING_RULES).count() == len(rows)
+    again = G.dataset(space, "pos", BINDING_RULES, POOLS, a.select("text").limit(5))
+    assert again.count() <= len(rows) and {r.sample_id for r in again.collect()} - {r.sample_id for r in rows} <= {r.sample_id for r in again.collect()}
+    impossible = {s: None for s in patterns.SLOTS} | {"tag_group_any": "used", "n": 1}
+    with pytest.raises(Q.QueryError):
+        G.bind(impossible, 1, RULES, POOLS)

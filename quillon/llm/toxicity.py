@@ -82,6 +82,10 @@ class Words:
         shown = "".join(chr(96 + x) for x in self.c.tolist())
         return [shown[a + 1 : a + n] for a, n in zip(self.first.tolist(), self.size.tolist(), strict=True)]
 
+    def string(self, k: int) -> str:
+        a = self.first[k]
+        return "".join(chr(96 + x) for x in self.c[a + 1 : a + self.size[k]].tolist())
+
     def occurrences(self):
         """(places, features, weight) of each way."""
         c = np.concatenate([self.c, np.zeros(SPAN, np.int32)])
@@ -192,7 +196,8 @@ def train(texts: list[bytes], labels: list[int], landmarks: int = 240, rounds: i
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
-    bags = [sorted({w for w in Words(t).strings() if len(w) >= LENGTH - 1}) for t in texts]
+    one: dict[str, str] = {}  # one object for each word, however many documents have it
+    bags = [sorted({one.setdefault(w, w) for w in Words(t).strings() if len(w) >= LENGTH - 1}) for t in texts]
     seen = [Counter(w for b, k in zip(bags, y, strict=True) if k == c for w in b) for c in (0, 1)]
     n = [int((y == 0).sum()), int((y == 1).sum())]
     telling = {w: np.log((k + 0.1) / n[1]) - np.log((seen[0][w] + 0.1) / n[0]) for w, k in seen[1].items()}
@@ -223,7 +228,7 @@ def train(texts: list[bytes], labels: list[int], landmarks: int = 240, rounds: i
     positive = Counter(w for w in witness if w and w in bad_words) | sure
     negative = Counter(dict.fromkeys(background[:: max(1, len(background) // most_words)], 1))
     table, bias = np.zeros(CODES**LENGTH), -1.0
-    clean = b" ".join(t for t, k in zip(texts, y, strict=True) if not k)
+    clean = [t for t, k in zip(texts, y, strict=True) if not k]
     for _ in range(rounds):
         for w in list(positive):
             for v in _disguises(w):
@@ -232,7 +237,7 @@ def train(texts: list[bytes], labels: list[int], landmarks: int = 240, rounds: i
         x = np.hstack([kernel(words) @ whiten, np.ones((len(words), 1))])
         target = np.array([1] * len(positive) + [-1] * len(negative))
         weight = np.array([*positive.values(), *negative.values()], float)
-        weight[: len(positive)] *= len(negative) / max(1, weight[: len(positive)].sum()) * 0.3
+        weight[: len(positive)] *= len(negative) / max(1, weight[: len(positive)].sum())
         w = _newton(x, target, weight / len(negative) * 100)
         alpha, bias = whiten @ w[:-1], float(w[-1])
         table = np.zeros(CODES**LENGTH)
@@ -240,17 +245,19 @@ def train(texts: list[bytes], labels: list[int], landmarks: int = 240, rounds: i
             for f, v in g.items():
                 table[f] += a * v
         # hard words of clean documents, and each toxic document's best word
-        all_clean = Words(clean)
-        s = all_clean.scores(table) + bias
-        strings = all_clean.strings()
-        for k in np.argsort(-s)[:2000]:
-            negative[strings[k]] = 1
+        hard: Counter[str] = Counter()
+        for t in clean:
+            own = Words(t)
+            s = np.where(own.size >= LENGTH, own.scores(table) + bias, NOTHING)
+            for k in np.argsort(-s)[:3]:
+                hard[own.string(k)] = s[k]
+        negative |= Counter(w for w, _ in hard.most_common(2000))
         positive = Counter(sure)
         for t, k in zip(texts, y, strict=True):
             if k and len(own := Words(t)):
                 s = np.where(own.size >= LENGTH, own.scores(table) + bias, NOTHING)
                 if s.max() > -0.5:
-                    best = own.strings()[int(s.argmax())]
+                    best = own.string(int(s.argmax()))
                     if best not in seen[0]:
                         positive[best] += 1
         if not positive:

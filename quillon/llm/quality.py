@@ -109,7 +109,11 @@ def train(texts: list[bytes], labels: list[int], steps: int = 1100, most_chunks:
             ids = order[at : at + 16]
             rows = [c if len(c) <= most_chunks else np.sort(rng.choice(c, most_chunks, False)) for c in (of_doc[i] for i in ids)]
             n = np.array([len(r) for r in rows])
-            g = _gradients(p, data[np.concatenate(rows)], valid[np.concatenate(rows)], n, y[ids], weight[ids], epoch == 0)
+            taken, whole = data[np.concatenate(rows)], valid[np.concatenate(rows)]
+            short = np.flatnonzero((y[ids] > 0) & (rng.random(len(ids)) < 0.25))
+            if len(short):  # some good documents as if they were short: else brevity looks like repetition
+                taken, whole, n = _cropped(taken, whole, n, short, rng)
+            g = _gradients(p, taken, whole, n, y[ids], weight[ids], epoch == 0)
             t += 1
             rate = 0.004 * (1 - epoch / epochs) + 0.0004
             for k in learned:
@@ -119,6 +123,24 @@ def train(texts: list[bytes], labels: list[int], steps: int = 1100, most_chunks:
     return Network(p)
 
 
+def _cropped(data: np.ndarray, valid: np.ndarray, n: np.ndarray, short: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The batch with each document of `short` reduced to 15 to 120 bytes of its first chunk here."""
+    first = np.cumsum(n) - n
+    keep = np.ones(len(data), bool)
+    data, valid, n = data.copy(), valid.copy(), n.copy()
+    for i in short:
+        size = int(rng.integers(15, 121))
+        at = int(rng.integers(0, CHUNK - size))
+        row = np.zeros(CHUNK, np.uint8)
+        row[:size] = data[first[i], at : at + size]
+        if not row.any():
+            continue
+        data[first[i]], valid[first[i]] = row, max(1, (int(np.flatnonzero(row)[-1]) + 1 - WIDTH) // STRIDE + 1)
+        keep[first[i] + 1 : first[i] + n[i]] = False
+        n[i] = 1
+    return data[keep], valid[keep], n
+
+
 def _gradients(p: dict, data: np.ndarray, valid: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray, adapt: bool) -> dict:
     c = len(data)
     taps = np.stack(_taps(data), 2)

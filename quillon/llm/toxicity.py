@@ -3,7 +3,7 @@
 Kernel: a word's features are its subsequences of four characters within `SPAN` places, each occurrence
 weighted by DECAY ** (places spanned), and divided by the norm that a word of this length has if no
 subsequence comes twice. A gap or an inserted character thus only dampens a match. Letters are lower-cased,
-letters outside a-z share a few codes, the blank before a word is its first character, digits and "@" stand for the letters they imitate, and other marks
+letters outside a-z share a few codes, the blanks around a word are its first and last character, digits and "@" stand for the letters they imitate, and other marks
 inside a word ("i.d-i*o.t") are left out.
 
 Landmarks: words of a bounded sample of labelled training documents, the more telling first, and others
@@ -38,7 +38,7 @@ from quillon.llm.learning import labelled_sample
 
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 CODES = 32
-#: The white space before a word counts as its first character.
+#: The white space before and after a word counts as its first and last character.
 START = 31
 #: (offsets of the second to the fourth character, weight) of each way to choose them.
 WAYS = [(c, DECAY ** (c[-1] + 1)) for c in combinations(range(1, SPAN), LENGTH - 1)]
@@ -73,7 +73,7 @@ class Words:
         self.first = np.flatnonzero(self.c == START)
         self.at = solid[self.first]  # the byte before the word
         self.size = np.diff(np.concatenate([self.first, [len(self.c)]]))
-        self.left = np.repeat(self.first + self.size, self.size) - np.arange(len(self.c))  # characters from here to the word's end
+        self.left = np.repeat(self.first + self.size, self.size) - np.arange(len(self.c)) + 1  # characters from here to the word's end and the blank after it
 
     def __len__(self) -> int:
         return len(self.first)
@@ -88,7 +88,7 @@ class Words:
 
     def occurrences(self):
         """(places, features, weight) of each way."""
-        c = np.concatenate([self.c, np.zeros(SPAN, np.int32)])
+        c = np.concatenate([self.c, np.full(SPAN, START, np.int32)])
         n = len(self.c)
         for offsets, weight in WAYS:
             at = np.flatnonzero(self.left > offsets[-1])
@@ -101,7 +101,7 @@ class Words:
         """The norm of a word of each length whose subsequences are all different."""
         square = np.zeros(len(self))
         for offsets, weight in WAYS:
-            square += np.maximum(self.size - offsets[-1], 0) * weight**2
+            square += np.maximum(self.size + 1 - offsets[-1], 0) * weight**2
         return np.sqrt(np.maximum(square, 1e-12))
 
     def scores(self, table: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def features(words: list[str]) -> list[dict[int, float]]:
     """The normalised subsequence features of each word."""
     out = []
     for w in words:
-        c = [START, *(ord(x) - 96 for x in w)]
+        c = [START, *(ord(x) - 96 for x in w), START]
         got: dict[int, float] = {}
         square = 0.0
         for offsets, weight in WAYS:

@@ -56,11 +56,6 @@ def frequencies(rows: DataFrame, columns: list[str]) -> DataFrame:
     return made.groupBy("_f.column", "_f.value").agg(F.count("*").alias("n"))
 
 
-def nearest_rank(value: Column, p: float, kind: str = "long") -> Column:
-    """sorted[ceil(p * n) - 1]. Exact; for very many distinct values prefer a histogram (lengths have few)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value._jc.toString()})").cast(kind)
-
-
 def length_summary(rows: DataFrame, by: list[str], length: str) -> DataFrame:
     """count, least, median, p95 (nearest rank) and most of a length."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(length).alias("least"), F.median(length).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {length})").cast("long").alias("p95"), F.max(length).alias("most"))

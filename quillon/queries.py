@@ -121,7 +121,9 @@ def snk1_canonical_lines(spark, sf_dir):
     return C.canonical_lines(catalog(spark, sf_dir).select("id", "year", "genres"))
 
 
-@registered(cat("SELECT CAST(count(*) AS BIGINT) AS n, sha256(string_agg(sha256('{\"id\":' || id || ',\"status\":\"' || status || '\"}'), '' ORDER BY id)) AS sha256 FROM cat"))
+@registered(cat("""q_a AS (SELECT id // 4096 AS k, sha256(string_agg(sha256('{"id":' || id || ',"status":"' || status || '"}'), '' ORDER BY id)) AS h FROM cat GROUP BY 1),
+q_b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM q_a GROUP BY 1)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM cat) AS n, sha256(string_agg(h, '' ORDER BY k)) AS sha256 FROM q_b"""))
 def src1_catalog_hash(spark, sf_dir):
     rows = catalog(spark, sf_dir).select("id", "status")
     return C.table_sha256(rows, "id").crossJoin(rows.agg(F.count("*").alias("n")))

@@ -89,10 +89,17 @@ def write_lines(catalog: DataFrame, path: str) -> None:
     canonical_lines(catalog).orderBy("id").select("value").write.mode("errorifexists").text(path)
 
 
-def table_sha256(df: DataFrame, key: str) -> Column | DataFrame:
-    """One row: SHA-256 of the rows' own digests in order of key. Order and content both count."""
-    lines = df.select(F.col(key).alias("k"), sha256(to_canonical_json(_alphabetical(df))).alias("h"))
-    return lines.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("sha256"))
+def table_sha256(df: DataFrame, key: str, fan: int = 4096) -> DataFrame:
+    """One row: a SHA-256 in which order (of a unique whole-number key) and content both count.
+
+    A tree of digests: rows, then blocks of `fan` keys, blocks of blocks, and their row, so a task holds `fan` digests at most
+    (keys below fan ** 3).
+    """
+    level = df.select(F.col(key).cast("long").alias("k"), sha256(to_canonical_json(_alphabetical(df))).alias("h"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+    for _ in range(2):
+        level = level.groupBy(F.floor(F.col("k") / fan).alias("k")).agg(F.sha2(listed.cast("binary"), 256).alias("h"))
+    return level.agg(F.sha2(listed.cast("binary"), 256).alias("sha256"))
 
 
 def split_bad(media: DataFrame) -> tuple[DataFrame, DataFrame]:

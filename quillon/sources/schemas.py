@@ -11,6 +11,12 @@ QUERY = (
     f"hard_constraints struct<genres:{SET},tags:{SET},year:{RANGE},episodes:{RANGE},formats:array<string>,status:array<string>>, "
     "reference_titles array<string>, soft_preferences array<string>, unresolved_preferences array<string>"
 )
+
+
+def nested(ddl: str) -> str:
+    """Columns as the fields of a struct."""
+    return ddl.replace(", ", ",").replace(" ", ":")
+
+
 #: A page as a media service gives it.
-PAGE = f"schedule int, page int, data struct<Page:struct<pageInfo:struct<hasNextPage:boolean>,media:array<struct<{CATALOG.replace(' struct', ':struct').replace(' array', ':array').replace(' long', ':long').replace(' int', ':int').replace(' string', ':string').replace(' boolean', ':boolean').replace(', ', ',')}>>>>"
-EVALUATION_INPUT = f"sample_id string, challenge_id string, split string, user_text string, gold_query struct<{QUERY.replace(' struct', ':struct').replace(' array', ':array').replace(', ', ',')}>, semantic_family string, constraint_count int, constraint_signature string, normalization_rule_ids array<string>"
+PAGE = f"schedule int, page int, data struct<Page:struct<pageInfo:struct<hasNextPage:boolean>,media:array<struct<{nested(CATALOG)}>>>>"

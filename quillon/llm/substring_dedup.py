@@ -8,7 +8,7 @@ partition of *its own* document into blocks of `block` = (window + 1) // 2 words
    blocks of the partition. The distinct fingerprints go, sorted and packed, to fingerprint buckets.
 2. A bucket merges what groups sent it. A fingerprint is an *anchor* if it is a block in some document
    and a rolling window in another; each group gets back those it has.
-3. Each group extends its anchors: windows of `window` words that hold an anchor go, as 111-bit digests
+3. Each group extends its anchors: windows of `window` words that hold an anchor go, as 103-bit digests
    of their words with the smallest doc_id of the group, to digest buckets, and the smallest doc_id of
    each comes back where it matters. Runs of such windows are the maximal exact repeats;
    the words they cover in documents with a larger doc_id are removed.
@@ -145,9 +145,9 @@ class Group:
         return window_hashes(word_hashes(self.data, self.starts, self.ends, BYTE_POWERS[0]), k, WORD_POWERS[0]) >> U(64 - FINGERPRINT_BITS)
 
     def digests(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each k words, 64 bits and 47 bits of independent hashes; the lowest bit of the second is 0."""
+        """Of each k words, 64 bits and 39 bits of independent hashes; the lowest bit of the second is 0."""
         a, b = (window_hashes(word_hashes(self.data, self.starts, self.ends, b), k, w) for b, w in zip(BYTE_POWERS, WORD_POWERS, strict=True))
-        return a, b >> U(16) & ~U(1)
+        return a, b >> U(64 - 8 * SECOND) & ~U(1)
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -229,29 +229,38 @@ def _payload(table: pa.Table, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("payload").to_pylist()), kind)
 
 
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each number, all lowest ones first: of sorted numbers the upper planes compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    full = np.zeros((len(data) // n, 8), np.uint8)
+    full[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return full.view("<u8")[:, 0]
+
+
+#: Bytes of the second part of a digest.
+SECOND = 5
+
+
 def _packed_items(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> bytes:
-    """Digests (64 bits of a, 48 of b) and doc_ids, these in as many bytes as their range needs."""
+    """Digests (64 bits of a, 40 of b) in order of a, and doc_ids, these in as many bytes as their range needs."""
     low = int(ids.min())
     width = max(1, (int(ids.max()) - low).bit_length() + 7 >> 3)
     head = np.array([len(a), low, width], "<i8").tobytes()
-    narrow = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-    return head + a.astype("<u8").tobytes() + narrow(b, 6) + narrow(ids.astype(U) - U(low % 2**64), width)
+    return head + _planes(a, 8) + _planes(b, SECOND) + _planes(ids.astype(U) - U(low % 2**64), width)
 
 
 def _unpacked_items(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, doc_ids, number of the blob) of the items of all blobs."""
     out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-
-    def wide(x: bytes, n: int) -> np.ndarray:
-        full = np.zeros((len(x) // n, 8), np.uint8)
-        full[:, :n] = np.frombuffer(x, np.uint8).reshape(-1, n)
-        return full.view("<u8")[:, 0]
-
     for k, blob in enumerate(blobs):
         n, low, width = np.frombuffer(blob, "<i8", 3).tolist()
-        out[0].append(np.frombuffer(blob, "<u8", n, 24))
-        out[1].append(wide(blob[24 + 8 * n : 24 + 14 * n], 6))
-        out[2].append((wide(blob[24 + 14 * n :], width) + U(low % 2**64)).view(np.int64))
+        end_a, end_b = 24 + 8 * n, 24 + (8 + SECOND) * n
+        out[0].append(_from_planes(blob[24:end_a], 8))
+        out[1].append(_from_planes(blob[end_a:end_b], SECOND))
+        out[2].append((_from_planes(blob[end_b:], width) + U(low % 2**64)).view(np.int64))
         out[3].append(np.full(n, k))
     return tuple(map(np.concatenate, out))
 

@@ -551,6 +551,13 @@ def prj8_messages(spark, sf_dir):
     return rows.select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"))).alias("messages"))
 
 
+@registered()
+def prj8_every_message(spark, sf_dir):
+    """PRJ-7, PRJ-8 for every user turn, those with control characters (newlines) as well; prj8_messages has only what its SQL can compare."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"))).alias("messages"))
+
+
 MASK_SQL = "f AS (SELECT conv_id, turn, length(role) AS p, length(role) + length(text) % 7 + 1 AS n FROM conversations)"
 
 

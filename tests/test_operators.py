@@ -167,3 +167,14 @@ def test_generated_dataset(spark):
     impossible = {s: None for s in patterns.SLOTS} | {"tag_group_any": "used", "n": 1}
     with pytest.raises(Q.QueryError):
         G.bind(impossible, 1, RULES, POOLS)
+
+
+def test_every_user_turn_has_messages(spark):
+    from quillon.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect()
+    want = {(t.conv_id, t.turn): [{"role": "system", "content": "S"}, {"role": "user", "content": t.text}] for t in turns}
+    got = QUERIES["prj8_every_message"](spark, sf).collect()
+    assert any("\n" in t.text for t in turns) and len(got) == len(turns)
+    assert {(r.conv_id, r.turn): json.loads(r.messages) for r in got} == want

@@ -6,12 +6,11 @@ import json
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.text import sha256, to_canonical_json
-from quillon.operators.audit import first_unused
 from quillon.operators.patterns import SLOTS
 from quillon.operators.sampling import draw, draw_without, realised
 from quillon.plans import query as Q
@@ -24,6 +23,16 @@ TEMPLATES = {
     "formats": "as {values}", "status": "with status {values}", "reference_titles": "like {values}",
 }
 
+#: How the texts of a dataset begin, part their clauses and end.
+STYLES = (
+    ("想看", "，", "。"), ("请找动画：", "；", "。"), ("给我推荐动画，", "，", "。"), ("有没有这样的动画：", "；", "？"), ("帮我筛选作品，", "，", "。"), ("我想找一部动画，", "，", "。"),
+    ("推荐一些满足这些条件的作品：", "；", "。"), ("这次想看动画，要求", "，", "。"), ("找动画，条件是", "，", "。"), ("能推荐动画吗？要求", "；", "。"), ("我的观看条件是：", "；", "。"), ("请按下面的偏好推荐动画：", "；", "。"),
+    ("想找新作品，", "，", "。"), ("选几部动画给我，", "，", "。"), ("动画推荐：", "；", "。"), ("帮忙找番，", "，", "。"), ("筛一下动画吧，", "，", "。"), ("我在找动画：", "；", "。"),
+)
+TWO_VALUES, CHINESE_NAMES = 0.2, 0.75
+#: Attempts for each record that is wanted.
+TRIES = 20
+
 
 class Pools:
     """What values may be drawn from: weights of genres and tags, pools of numbers, titles."""
@@ -32,13 +41,13 @@ class Pools:
         self.genres, self.tags, self.years, self.episodes, self.titles = genres, tags, sorted(years), sorted(episodes), titles
 
 
-def bind(pattern: dict, seed: int, rules: Q.Rules, pools: Pools) -> dict:
-    """A spec of the pattern with values drawn by random.Random(seed).
+def bind(pattern: dict, seed: int | random.Random, rules: Q.Rules, pools: Pools) -> dict:
+    """A spec of the pattern with values drawn by random.Random(seed), or by the generator given.
 
     Groups come first and their tags are then out of reach of direct tags; genres, tags, numbers, lists and the reference follow. An upper
     bound is drawn among the numbers from the lower one on. The clauses of the spec are those of the pattern.
     """
-    rng, spec = random.Random(seed), Q.empty()
+    rng, spec = seed if isinstance(seed, random.Random) else random.Random(seed), Q.empty()
     hard = spec["hard_constraints"]
     groups = {o: [] for o in Q.OPERATORS}
     for slot, o in (("tag_group_any", "any_of"), ("tag_group_none", "none_of")):
@@ -73,13 +82,47 @@ def bind(pattern: dict, seed: int, rules: Q.Rules, pools: Pools) -> dict:
     return spec
 
 
-RECORD = T.StructType().add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add("rule_ids", T.ArrayType(T.StringType())).add("error", "string")
-
-
-def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools) -> DataFrame:
-    """patterns (slots, n, a seed) with the struct `r`: gold query, text, signature, clauses, rule ids, or the error of a pattern that can't be bound.
-
-    Each row's draws come from its own seed, so rows are made in parallel and in any order.
+def widen(spec: dict, rng: random.Random, rules: Q.Rules) -> None:
+    """Formats and status, where used, become two values with a chance of TWO_VALUES each; the clause count stays."""
+    hard = spec["hard_constraints"]
+    for field, values in (("formats", sorted(rules.formats)), ("status", sorted(rules.statuses))):
+        if hard[field] and rng.random() < TWO_VALUES and len(values) > 1:
+            hard[field] = sorted(rng.sample(values, 2))
+
+
+def styled(spec: dict, style: int, names: dict[str, dict[str, str]]) -> str:
+    """The text of a spec in one of STYLES; names (by field) has other names of values, and values without one stand for themselves."""
+    hard, out = spec["hard_constraints"], []
+    named = lambda field, values: [names.get(field, {}).get(v, v) for v in values]
+    for field, noun in (("genres", "题材"), ("tags", "标签")):
+        every, some, none = (named(field, hard[field][o]) for o in ("all_of", "any_of", "none_of"))
+        out += ["同时包含" + "和".join(every) + noun] * bool(every) + [noun + "为" + "或".join(some) + "中的任一种"] * bool(some) + ["排除" + "和".join(none) + noun] * bool(none)
+    groups = hard.get("tag_groups", {})
+    out += [f"想要{g}类型" for g in named("groups", groups.get("any_of", []))] + [f"不要{g}" for g in named("groups", groups.get("none_of", []))]
+    for field, noun, unit in (("year", "年份", "年"), ("episodes", "集数", "集")):
+        low, high = hard[field]["min"], hard[field]["max"]
+        if low is not None and high is not None:
+            out.append(f"{noun}在{low}到{high}{unit}之间（含端点）")
+        elif low is not None:
+            out.append(f"{low}年及以后" if field == "year" else f"至少{low}集")
+        elif high is not None:
+            out.append(f"{high}年及以前" if field == "year" else f"最多{high}集")
+    for field, noun in (("formats", "格式"), ("status", "状态")):
+        out += [noun + "为" + "或".join(named(field, hard[field]))] * bool(hard[field])
+    if spec["reference_titles"]:
+        out.append("找类似" + "或".join(f"《{t}》" for t in spec["reference_titles"]) + "的作品")
+    prefix, separator, suffix = STYLES[style]
+    return prefix + separator.join(out) + suffix
+
+
+RECORD = T.StructType().add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add("rule_ids", T.ArrayType(T.StringType())).add("style", "integer").add("error", "string")
+
+
+def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, names: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """patterns (slots, n, a seed) with the struct `r`: gold query, text, signature, clauses, rule ids, style, or the error of a pattern that can't be bound.
+
+    Texts follow TEMPLATES; with names they are those of a dataset: lists of two values, one of STYLES, names with a chance of
+    CHINESE_NAMES. Each row's draws come from its own seed, so rows are made in parallel and in any order.
     """
 
     @F.pandas_udf(RECORD)
@@ -88,12 +131,17 @@ def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools) -> Dat
         for p in rows.to_dict("records"):
             p = {k: None if v != v else v for k, v in p.items()}
             try:
-                spec = bind(p, int(p["seed"]), rules, pools)
+                rng, style = random.Random(int(p["seed"])), None
+                spec = bind(p, rng, rules, pools)
+                if names is not None:
+                    widen(spec, rng, rules)
+                    style = rng.randrange(len(STYLES))
                 gold = Q.build(spec, rules)
-                out.append((Q.dumps(gold), realised(gold, TEMPLATES), Q.signature(gold), Q.count_clauses(spec), Q.rule_ids(spec, rules), None))
+                text = realised(gold, TEMPLATES) if names is None else styled(spec, style, names if rng.random() < CHINESE_NAMES else {})
+                out.append((Q.dumps(gold), text, Q.signature(gold), Q.count_clauses(spec), Q.rule_ids(spec, rules), style, None))
             except Q.QueryError as e:
-                out.append((None, None, None, None, None, str(e)))
-        return pd.DataFrame(out, columns=RECORD.names)
+                out.append((None, None, None, None, None, None, str(e)))
+        return pd.DataFrame(out, columns=RECORD.names).astype({"style": "Int32"})
 
     return patterns.withColumn("r", run(F.struct(*SLOTS, "n", F.col(seed).alias("seed"))))
 
@@ -103,10 +151,37 @@ def identified(rows: DataFrame, identity: list[str]) -> DataFrame:
     return rows.withColumn("sample_id", F.concat(F.lit("sample_"), sha256(to_canonical_json(F.struct(*sorted(identity))))))
 
 
-def dataset(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, used: DataFrame) -> DataFrame:
-    """Records whose text neither `used` (text) nor an earlier attempt (by seed) has."""
-    made = records(patterns, seed, rules, pools).where("r.error IS NULL").select("*", "r.*").drop("r", "error")
-    return identified(first_unused(made, used, "text", seed), ["gold", "text", seed])
+def attempts(patterns: DataFrame, seed: str, rounds: int) -> DataFrame:
+    """patterns in turn, by seed and family, `rounds` times over: place, the number of the attempt, and draw_seed, 32 bits of its own."""
+    turn = F.row_number().over(Window.orderBy(seed, "family")) - 1  # patterns are a bounded table
+    size = F.count("*").over(Window.partitionBy(F.lit(0)))
+    rows = patterns.withColumn("_turn", turn.cast("long")).withColumn("_size", size).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    rows = rows.withColumn("place", F.col("_round") * F.col("_size") + F.col("_turn")).drop("_turn", "_size", "_round")
+    return rows.withColumn("draw_seed", F.pmod(F.xxhash64(F.lit("dataset"), "place"), F.lit(1 << 32))).repartition(F.col("place"))
+
+
+def dataset(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, used: DataFrame, n: int | None = None, names: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """n records (as many as patterns by default) whose text neither `used` (text) nor an earlier attempt has.
+
+    Patterns take turns, each attempt with a seed of its own, until n texts are fresh; TRIES * n attempts without that are an error.
+    Attempts are made in parallel, of equal texts the earliest stays, and the first n of these are the dataset: what one attempt
+    after the other would give. Only the place of the last record comes to the driver.
+    """
+    size = patterns.count()
+    n = size if n is None else n
+    taken = used.select(F.col("text").alias("_used")).distinct()
+    rounds, most = max(1, -(-n // max(1, size))), TRIES * n
+    while True:
+        tried = attempts(patterns, seed, rounds).where(F.col("place") < most)
+        made = records(tried, "draw_seed", rules, pools, names or {}).where("r.error IS NULL").select("*", "r.*").drop("r", "error")
+        fresh = made.join(taken, F.col("text") == F.col("_used"), "left_anti")
+        first = fresh.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("_d")).agg(F.min_by(F.struct(*fresh.columns), "place").alias("_r")).select("_r.*")
+        found = first.select("place").orderBy("place").limit(n).agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
+        if found.n == n:
+            return identified(first.where(F.col("place") <= F.lit(found.last)), ["gold", "text", "draw_seed"])
+        if rounds * size >= most:
+            raise ValueError(f"{found.n} of {n} texts are fresh after {most} attempts")
+        rounds *= 2
 
 
 def check_records(rows: DataFrame, rules: Q.Rules) -> DataFrame:

@@ -601,8 +601,12 @@ def smp16_bound_patterns(spark, sf_dir):
     return rows.where("r.error IS NULL AND r.clauses = n").groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("clauses"))
 
 
+#: Other names of values, as texts may have them.
+NAMES = {"genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"}, "status": {"F": "已完结", "O": "正在连载"}, "groups": {"LOW": "低号", "HIGH": "高号"}}
+
+
 @registered()
 def smp18_dataset(spark, sf_dir):
     """Records with new texts only; texts of the benchmark count as used."""
     made = patterns.eligible(patterns.space(spark)).where("bucket = '2'")
-    return generation.dataset(made, "pos", BINDING_RULES, POOLS, table(spark, sf_dir, "benchmark").select("text")).select("sample_id", "family", "pos", "text", "gold", "signature", "clauses")
+    return generation.dataset(made, "pos", BINDING_RULES, POOLS, table(spark, sf_dir, "benchmark").select("text"), names=NAMES).select("sample_id", "family", "pos", "text", "gold", "signature", "clauses")

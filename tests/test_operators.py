@@ -178,3 +178,37 @@ def test_every_user_turn_has_messages(spark):
     got = QUERIES["prj8_every_message"](spark, sf).collect()
     assert any("\n" in t.text for t in turns) and len(got) == len(turns)
     assert {(r.conv_id, r.turn): json.loads(r.messages) for r in got} == want
+
+
+def test_dataset_is_what_one_attempt_after_the_other_gives(spark):
+    from quillon.operators import generation as G
+    from quillon.queries import BINDING_RULES, NAMES, POOLS
+
+    space = patterns.eligible(patterns.space(spark)).where("bucket IN ('0', '1')")
+    assert space.count() == 45  # eight of its patterns are of two families
+    tried = [r.asDict() for r in G.attempts(space, "pos", 20).orderBy("place").collect()]
+    assert len(tried) == 900 and len({r["draw_seed"] for r in tried}) > 890
+    turns = space.orderBy("pos", "family").collect()
+    assert [(r["pos"], r["family"], r["place"]) for r in tried] == [(p.pos, p.family, k * 45 + i) for k in range(20) for i, p in enumerate(turns)]
+    used = G.dataset(space, "pos", BINDING_RULES, POOLS, spark.createDataFrame([], "text string"), names=NAMES).select("text").limit(30).collect()
+    taken, want = {r.text for r in used}, []
+    for r in tried:
+        rng = random.Random(r["draw_seed"])
+        spec = G.bind(r, rng, BINDING_RULES, POOLS)
+        G.widen(spec, rng, BINDING_RULES)
+        style = rng.randrange(18)
+        text = G.styled(spec, style, NAMES if rng.random() < 0.75 else {})
+        if text not in taken and len(want) < 60:
+            taken.add(text)
+            want.append((r["place"], r["family"], text, Q.dumps(Q.build(spec, BINDING_RULES))))
+    got = G.dataset(space, "pos", BINDING_RULES, POOLS, spark.createDataFrame(used), 60, NAMES)
+    assert [(r.place, r.family, r.text, r.gold) for r in got.orderBy("place").collect()] == want and len(want) == 60
+    assert G.check_records(got, BINDING_RULES).count() == 0
+    wide = [Q.query(formats=["5-LOW"]) for _ in range(500)]
+    for k, spec in enumerate(wide):
+        G.widen(spec, random.Random(k), BINDING_RULES)
+    two = [len(w["hard_constraints"]["formats"]) for w in wide].count(2)
+    assert 60 < two < 140 and not any(w["hard_constraints"]["status"] for w in wide)
+    few = space.where("family = 'reference_only'")
+    with pytest.raises(ValueError, match="fresh"):
+        G.dataset(few, "pos", BINDING_RULES, POOLS, spark.createDataFrame([], "text string"), 100).count()

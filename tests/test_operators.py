@@ -212,3 +212,11 @@ def test_dataset_is_what_one_attempt_after_the_other_gives(spark):
     few = space.where("family = 'reference_only'")
     with pytest.raises(ValueError, match="fresh"):
         G.dataset(few, "pos", BINDING_RULES, POOLS, spark.createDataFrame([], "text string"), 100).count()
+
+
+def test_dataset_query_has_every_pattern_family(spark):
+    from quillon.queries import QUERIES
+
+    rows = QUERIES["smp18_dataset"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 32773 == len({r.text for r in rows}) == len({r.sample_id for r in rows})
+    assert {r.family for r in rows} == set(patterns.FAMILIES) and {min(r.clauses, 5) for r in rows} == set(range(6))

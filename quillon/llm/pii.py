@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in the whole text: at-signs, digits, plus signs before digits, URL
-schemes and identifier cues. A local parser for each kind expands its anchor to the run of
+schemes and identifier cues, these two in any case. A local parser for each kind expands its anchor to the run of
 characters that kind can consist of and reads matches from left to right in that run only; since no
 match can leave its run, this equals a leftmost, non-overlapping search of the whole text, at the cost of
 the runs. Validators then drop what fails (octets over 255, Luhn, counts of digits), without retries.
@@ -67,16 +67,17 @@ def iban_valid(text: str) -> bool:
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     anchors = [("@", "email"), *((str(d), "digits") for d in range(10)), *((f"+{d}", "phone") for d in range(10))]
-    for variant in {v for s in SCHEMES for v in (s, s.upper(), s.capitalize())}:
-        anchors.append((variant, "url"))
-    for variant in {v for s in CUES for v in (s, s.upper(), s.capitalize(), s.title())}:
-        anchors.append((variant, "account"))
+    anchors += [*((s, "url") for s in SCHEMES), *((s, "account") for s in CUES)]
     for word, kind in anchors:
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+#: Only A-Z, so that offsets hold.
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -85,7 +86,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each span, by kind as in KINDS, then by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     seen = dict.fromkeys(("email", "digits", "phone", "url", "account"), 0)  # up to where each kind's runs are read
-    for last, (kind, n) in automaton().iter(text):
+    for last, (kind, n) in automaton().iter(text.translate(LOWER)):
         start = last + 1 - n
         if start < seen[kind]:
             continue

@@ -428,3 +428,10 @@ def test_quality_chunks_cover_everything():
 def test_folds(spark):
     r = spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(x.f == zlib.crc32(str(x.id).encode()) % 5 for x in r)
+
+
+@pytest.mark.parametrize("cue", ["Tax ID", "tax ID", "TAX id", "Customer ID", "customer ID", "License no"])
+def test_pii_cues_in_any_case(cue):
+    text = f"İ {cue}: 12-3456789."
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == [("account", "12-3456789")]
+    assert pii.spans("see hTTps://a.b/c")[0] == ("url", 4, 17)

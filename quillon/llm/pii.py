@@ -4,10 +4,10 @@ An Aho-Corasick automaton finds anchors in the whole text: at-signs, digits, plu
 schemes and identifier cues, these two in any case. A local parser for each kind expands its anchor to the run of
 characters that kind can consist of and reads matches from left to right in that run only; since no
 match can leave its run, this equals a leftmost, non-overlapping search of the whole text, at the cost of
-the runs. Validators then drop what fails (octets over 255, Luhn, counts of digits), without retries.
+the runs. IBANs are looked for by their first characters. Validators then drop what fails (octets over 255, Luhn, counts of digits), without retries.
 
-Kinds: email, ip, card, phone (the base), and url (scheme, host, rest) and account (IBAN with its
-mod-97 check, or an identifier of 5 to 34 letters and digits, with a digit, after a cue such as "account no").
+Kinds: email, ip, card, phone (the base), and url (scheme, host, rest) and account (IBAN of its
+country's length with its mod-97 check, with or without a cue, or an identifier of 5 to 34 letters and digits, with a digit, after a cue such as "account no").
 Offsets are code points, ends exclusive.
 
 Defined results: a null text is the empty text and holds nothing. Rows repeated, or without doc_id, are
@@ -41,6 +41,13 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"]*)?|mailto:[A-Za-z0-9._%+@-]+", re.I)
 IBAN = re.compile(r"\b[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?\b")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2} ?[A-Za-z0-9]{4}")
+#: Characters of an IBAN by country code; of other codes only those after a cue are looked for.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|id|#|:|=|is))*\s*[:=#]?\s*([A-Za-z0-9-]{5,34})", re.I)
 
 #: What each kind can consist of, to the left of an anchor and to the right of it.
@@ -63,6 +70,20 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the IBAN that starts here ends: the longest end of a word with the country's length (if known) and the check digits."""
+    m = IBAN.match(text, start)
+    if not m:
+        return None
+    size = IBAN_LENGTHS.get(text[start : start + 2].upper())
+    for end in range(m.end(), start + 14, -1):
+        if text[end - 1] != " " and (end == len(text) or not text[end].isalnum()):
+            s = text[start:end]
+            if (size is None or len(s.replace(" ", "")) == size) and iban_valid(s):
+                return end
+    return None
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -116,13 +137,16 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 out["url"].append(m.span())
                 seen[kind] = m.end()
         elif start == 0 or not text[start - 1].isalnum():
-            m = IBAN.match(text, k) if (k := _skip(text, last + 1)) < len(text) else None
-            if m and iban_valid(m[0]):
-                out["account"].append(m.span())
-                seen[kind] = m.end()
+            if end := iban_end(text, k := _skip(text, last + 1)):
+                out["account"].append((k, end))
+                seen[kind] = end
             elif (m := ACCOUNT.match(text, last + 1)) and re.search("[0-9]", m[1]):
                 out["account"].append(m.span(1))
                 seen[kind] = m.end()
+    cued = out["account"]
+    for m in IBAN_HEAD.finditer(text):
+        if m[0][:2].upper() in IBAN_LENGTHS and (end := iban_end(text, m.start())) and all(end <= a or m.start() >= b for a, b in cued):
+            out["account"] = sorted([*out["account"], (m.start(), end)])
     return [(k, a, b) for k in KINDS for a, b in out[k]]
 
 

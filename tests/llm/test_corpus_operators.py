@@ -435,3 +435,12 @@ def test_pii_cues_in_any_case(cue):
     text = f"İ {cue}: 12-3456789."
     assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == [("account", "12-3456789")]
     assert pii.spans("see hTTps://a.b/c")[0] == ("url", 4, 17)
+
+
+@pytest.mark.parametrize("iban,after", [("BE68 5390 0754 7034", " for rent"), ("ES91 2100 0418 4502 0005 1332", " from me"), ("AT61 1904 3002 3457 3201", " please"), ("DE89370400440532013000", "."), ("NO93 8601 1117 947", " and more")])
+def test_pii_ibans_end_at_their_length(iban, after):
+    for before in ("IBAN: ", "account ", "pay to ", ""):
+        text = before + iban + after
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [iban]
+    wrong = "pay to " + iban[:2] + ("00" if iban[2:4] != "00" else "01") + iban[4:] + after
+    assert not [s for s in pii.spans(wrong) if s[0] == "account"]

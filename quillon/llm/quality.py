@@ -7,6 +7,8 @@ squared mean; the last tells a text that repeats itself from one that doesn't. A
 its units are pooled over the document's chunks by maximum and by mean, and a logistic unit combines
 them. Training is backpropagation with Adam on a bounded sample of labelled documents.
 
+The last place of a short text may reach into the padding of its chunk, so that no byte is left unread.
+
 Defined results: null and empty texts are one chunk of padding and get a score as any other. With no
 labelled documents every score is 1. Rows repeated, or without doc_id, are scored each for itself. An empty
 table gives no rows.
@@ -32,6 +34,11 @@ PLACES = (CHUNK - WIDTH) // STRIDE + 1
 AT_ONCE = 160
 
 
+def places(size: int) -> int:
+    """Places of the filters that it takes to read the first `size` bytes of a chunk, the last byte included."""
+    return max(1, -(-(size - WIDTH) // STRIDE) + 1)
+
+
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of each chunk, places of each chunk that lie in its text, document of each chunk)."""
     rows, valid, doc = [], [], []
@@ -40,7 +47,7 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for at in [*range(0, last, CHUNK - OVERLAP), last]:
             piece = t[at : at + CHUNK]
             rows.append(piece.ljust(CHUNK, b"\0"))
-            valid.append(max(1, (len(piece) - WIDTH) // STRIDE + 1))
+            valid.append(places(len(piece)))
             doc.append(i)
     return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, CHUNK), np.array(valid, np.int64), np.array(doc, np.int64)
 
@@ -135,7 +142,7 @@ def _cropped(data: np.ndarray, valid: np.ndarray, n: np.ndarray, short: np.ndarr
         row[:size] = data[first[i], at : at + size]
         if not row.any():
             continue
-        data[first[i]], valid[first[i]] = row, max(1, (int(np.flatnonzero(row)[-1]) + 1 - WIDTH) // STRIDE + 1)
+        data[first[i]], valid[first[i]] = row, places(int(np.flatnonzero(row)[-1]) + 1)
         keep[first[i] + 1 : first[i] + n[i]] = False
         n[i] = 1
     return data[keep], valid[keep], n

@@ -444,3 +444,73 @@ def test_pii_ibans_end_at_their_length(iban, after):
         assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [iban]
     wrong = "pay to " + iban[:2] + ("00" if iban[2:4] != "00" else "01") + iban[4:] + after
     assert not [s for s in pii.spans(wrong) if s[0] == "account"]
+
+
+# --- 10, against plain versions -----------------------------------------------------------------------------------
+
+
+def test_quality_reads_every_byte_of_short_texts():
+    """In texts of 0 to 400 bytes a change of any byte reaches some filter at a place that counts."""
+    for n in range(401):
+        marked = [b"a" * k + b"Z" + b"a" * (n - k - 1) for k in range(n)]
+        data, valid, doc = quality.chunks([b"a" * n, *marked])
+        counts = np.arange(quality.PLACES) < valid[:, None]
+        seen = np.zeros(len(data), bool)
+        for tap in quality._taps(data):
+            seen |= ((tap == ord("Z")) & counts).any(1)
+        assert set(doc[seen].tolist()) == set(range(1, n + 1)), n
+
+
+def small_network(seed=5):
+    rng = np.random.default_rng(seed)
+    E, F_, H, W_ = quality.EMBEDDED, quality.FILTERS, quality.HIDDEN, quality.WIDTH
+    shapes = {"embed": (256, E), "filter": (W_ * E, F_), "filter_b": (F_,), "dense": (3 * F_, H), "dense_b": (H,), "out": (2 * H,), "out_b": ()}
+    p = {k: rng.normal(0, 0.4, s) for k, s in shapes.items()}
+    return p | {"mu": rng.normal(0, 0.1, 3 * F_), "sd": np.full(3 * F_, 1.3)}
+
+
+def plain_score(p, text):
+    """The network one place at a time."""
+    last, hidden = max(0, len(text) - quality.CHUNK), []
+    for at in [*range(0, last, quality.CHUNK - quality.OVERLAP), last]:
+        piece = text[at : at + quality.CHUNK]
+        n = max(1, -(-(len(piece) - quality.WIDTH) // quality.STRIDE) + 1)
+        piece = piece.ljust(quality.STRIDE * n + quality.WIDTH, b"\0")
+        act = []
+        for k in range(n):
+            x = np.concatenate([p["embed"][b] for b in piece[quality.STRIDE * k : quality.STRIDE * k + quality.WIDTH]])
+            act.append(np.maximum(x @ p["filter"] + p["filter_b"], 0))
+        act = np.array(act)
+        mean = act.mean(0)
+        hidden.append(np.tanh((np.concatenate([act.max(0), mean, 4 * mean**2]) - p["mu"]) / p["sd"] @ p["dense"] + p["dense_b"]))
+    pooled = np.concatenate([np.max(hidden, 0), np.mean(hidden, 0)])
+    return 1 / (1 + np.exp(-(pooled @ p["out"] + p["out_b"])))
+
+
+def test_quality_equals_a_plain_forward_pass():
+    p, rng = small_network(), random.Random(3)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 6, 7, 8, 50, 191, 192, 193, 400, 1000)]
+    assert np.allclose(quality.Network(p).score(texts), [plain_score(p, t) for t in texts], atol=1e-4)
+
+
+def test_quality_gradients_are_the_slopes_of_the_loss():
+    p, rng = small_network(7), random.Random(4)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in (9, 250, 40)]
+    data, valid, doc = quality.chunks(texts)
+    n, y, weight = np.bincount(doc), np.array([1.0, 0.0, 1.0]), np.array([1.0, 1.5, 1.0])
+
+    def loss(q):
+        s = np.array([plain_score(q, t) for t in texts])
+        decay = sum(0.5e-4 * (q[k] ** 2).sum() for k in ("filter", "dense", "out"))
+        return float((-weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).mean() + decay)
+
+    got = quality._gradients(p, data, valid, n, y, weight, False)
+    for k in ("filter", "filter_b", "dense", "dense_b", "out", "out_b", "embed"):
+        flat = np.atleast_1d(got[k]).reshape(-1)
+        for i in np.argsort(-np.abs(flat))[:4]:
+            sides = []
+            for d in (1e-5, -1e-5):
+                moved = np.array(p[k], float)
+                moved.reshape(-1)[i] += d
+                sides.append(loss(p | {k: moved}))
+            assert np.isclose((sides[0] - sides[1]) / 2e-5, flat[i], rtol=2e-2, atol=1e-5), k

@@ -3,8 +3,10 @@
 An Aho-Corasick automaton finds anchors in the whole text: at-signs, digits, plus signs before digits, URL
 schemes and identifier cues, these two in any case. A local parser for each kind expands its anchor to the run of
 characters that kind can consist of and reads matches from left to right in that run only; since no
-match can leave its run, this equals a leftmost, non-overlapping search of the whole text, at the cost of
-the runs. IBANs are looked for by their first characters. Validators then drop what fails (octets over 255, Luhn, counts of digits), without retries.
+match can leave its run, this equals a leftmost, non-overlapping search of the whole text. Each parser goes
+through its run once and never gives characters back, so a text costs time in proportion to its length, also
+where it is one run of digits, blanks or letters. IBANs are looked for by their first characters. Validators then
+drop what fails (octets over 255, Luhn, counts of digits), without retries.
 
 Kinds: email, ip, card, phone (the base), and url (scheme, host, rest) and account (IBAN of its
 country's length with its mod-97 check, with or without a cue, or an identifier of 5 to 34 letters and digits, with a digit, after a cue such as "account no").
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -48,11 +50,15 @@ IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
     "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
     "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
 ).split()}
-ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|id|#|:|=|is))*\s*[:=#]?\s*([A-Za-z0-9-]{5,34})", re.I)
-
-#: What each kind can consist of, to the left of an anchor and to the right of it.
-MAIL_LEFT, MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*"), re.compile(r"[A-Za-z0-9._%+@-]+")
-DIGIT_RUN = re.compile(r"[0-9](?:[0-9.]|[\x20-](?=[0-9]))*")
+#: Words between a cue and its identifier; what follows them is no letter or digit, else they begin the identifier.
+ACCOUNT = re.compile(r"(?:\s*+(?:(?:no|number|id|is)(?![A-Za-z0-9])\.?+|[#:=]))*+\s*+([A-Za-z0-9-]{5,34})", re.I)
+
+#: What each kind can consist of to the right of its anchor; an address also to the left.
+MAIL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DIGIT_RUN = re.compile(r"[0-9](?:[0-9.]|[\x20-](?=[0-9]))*+")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 PHONE_RUN = re.compile(r"[+0-9\x20().-]+")
 
 
@@ -103,6 +109,38 @@ def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
 
+def _emails(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL in a run: what stands before an at-sign, as far back as no match has taken it, and the domain after it."""
+    while (sign := text.find("@", at, end)) >= 0:
+        m = DOMAIN.match(text, sign + 1, end) if sign > at else None
+        if m:
+            yield at, m.end()
+        at = m.end() if m else sign + 1
+
+
+def _addresses(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Matches of IP in a run: four by four of the numbers that single dots join."""
+    for m in DOTTED.finditer(text, at, end):
+        numbers, start = m[0].split("."), m.start()
+        for k in range(0, len(numbers) - 3, 4):
+            four = numbers[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p := x.lstrip("0")) < 3 or len(p) == 3 and p <= "255" for x in four):
+                yield start, start + size
+            start += size + 1
+
+
+def _merged(found: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """found and those of more that overlap none of them; both are sorted and without overlaps."""
+    out, k = list(found), 0
+    for a, b in more:
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        if k == len(found) or b <= found[k][0]:
+            out.append((a, b))
+    return sorted(out)
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each span, by kind as in KINDS, then by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -112,41 +150,37 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         if start < seen[kind]:
             continue
         if kind == "digits":
-            run = DIGIT_RUN.match(text, start)
-            seen[kind] = run.end()
-            if run.end() - start >= 7:  # the shortest address has 7 characters
-                for m in IP.finditer(text, start, run.end()):
-                    if all(len(p := x.lstrip("0")) < 3 or len(p) == 3 and p <= "255" for x in m[0].split(".")):
-                        out["ip"].append(m.span())
-                for m in CARD.finditer(text, start, run.end()):
-                    if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-                        out["card"].append(m.span())
+            end = seen[kind] = DIGIT_RUN.match(text, start).end()
+            if end - start >= 7:  # the shortest address has 7 characters
+                out["ip"] += _addresses(text, start, end)
+                out["card"] += [m.span() for m in CARD.finditer(text, start, end) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         elif kind == "email":
             left = start
-            while left > seen[kind] and MAIL_LEFT.fullmatch(text, left - 1, left):
+            while left > seen[kind] and text[left - 1] in MAIL_CHARACTERS:
                 left -= 1
-            run = MAIL_RUN.match(text, left)
-            seen[kind] = run.end()
-            out["email"] += [m.span() for m in EMAIL.finditer(text, left, run.end())]
+            end = seen[kind] = MAIL_RUN.match(text, left).end()
+            out["email"] += _emails(text, left, end)
         elif kind == "phone":
-            run = PHONE_RUN.match(text, start)
-            seen[kind] = run.end()
-            out["phone"] += [m.span() for m in PHONE.finditer(text, start, run.end()) if 9 <= len(_digits(m[0])) <= 15]
+            end = seen[kind] = PHONE_RUN.match(text, start).end()
+            out["phone"] += [m.span() for m in PHONE.finditer(text, start, end) if 9 <= len(_digits(m[0])) <= 15]
+        elif start and text[start - 1].isalnum():
+            continue
         elif kind == "url":
-            if (m := URL.match(text, start)) and (start == 0 or not text[start - 1].isalnum()):
+            if m := URL.match(text, start):
                 out["url"].append(m.span())
                 seen[kind] = m.end()
-        elif start == 0 or not text[start - 1].isalnum():
-            if end := iban_end(text, k := _skip(text, last + 1)):
-                out["account"].append((k, end))
-                seen[kind] = end
-            elif (m := ACCOUNT.match(text, last + 1)) and re.search("[0-9]", m[1]):
-                out["account"].append(m.span(1))
-                seen[kind] = m.end()
-    cued = out["account"]
+        elif end := iban_end(text, k := _skip(text, last + 1)):
+            out["account"].append((k, end))
+            seen[kind] = end
+        elif (m := ACCOUNT.match(text, last + 1)) and re.search("[0-9]", m[1]):
+            out["account"].append(m.span(1))
+            seen[kind] = m.end()
+    plain, at = [], 0
     for m in IBAN_HEAD.finditer(text):
-        if m[0][:2].upper() in IBAN_LENGTHS and (end := iban_end(text, m.start())) and all(end <= a or m.start() >= b for a, b in cued):
-            out["account"] = sorted([*out["account"], (m.start(), end)])
+        if m.start() >= at and m[0][:2].upper() in IBAN_LENGTHS and (end := iban_end(text, m.start())):
+            plain.append((m.start(), end))
+            at = end
+    out["account"] = _merged(out["account"], plain)
     return [(k, a, b) for k in KINDS for a, b in out[k]]
 
 

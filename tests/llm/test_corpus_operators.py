@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -514,3 +515,26 @@ def test_quality_gradients_are_the_slopes_of_the_loss():
                 moved.reshape(-1)[i] += d
                 sides.append(loss(p | {k: moved}))
             assert np.isclose((sides[0] - sides[1]) / 2e-5, flat[i], rtol=2e-2, atol=1e-5), k
+
+
+# --- 3, long runs -------------------------------------------------------------------------------------------------
+
+RUNS = [
+    lambda n: "7" * n, lambda n: "account" + " " * n + "!", lambda n: "a@" + "b" * n, lambda n: "a" * n + "@", lambda n: "1." * (n // 2), lambda n: "+1" + " " * n, lambda n: "1 " * (n // 2), lambda n: "@" * n,
+    lambda n: "xhttp://a/" * (n // 10), lambda n: "a@b" * (n // 3), lambda n: "account " * (n // 8), lambda n: "no:" * (n // 3), lambda n: "account" + " no:" * (n // 4), lambda n: "BE68 5390 0754 7034 " * (n // 20), lambda n: "+1-2" * (n // 4),
+]
+
+
+@pytest.mark.parametrize("k", range(len(RUNS)))
+def test_pii_of_long_runs(k):
+    text = RUNS[k](10_000)
+    assert [s for s in pii.spans(text) if s[0] in pii.BASE] == searched(text)
+    long = RUNS[k](1_000_000)
+    began = time.process_time()
+    pii.masked(long, pii.spans(long))
+    assert time.process_time() - began < 4
+
+
+def test_pii_identifier_after_words():
+    for text, want in (("account number12", "number12"), ("Account No. AB-12345", "AB-12345"), ("acct # : id is 998877", "998877"), ("account number: idea99", "idea99"), ("account no one here", None)):
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [want] * (want is not None)

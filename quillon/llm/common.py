@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,23 +21,44 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Paths that scratch() gave and drop_scratch() has not removed yet.
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir).
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Where the setting is absent, as in local tests, a folder of this process is used and set.
+    Where neither is set, a session with a local master (as in tests) gets a folder of this process; any other
+    is refused, since each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Removes these scratch tables, or all that this process has made.
+
+    Results of the operators are lazy and read such tables; so the caller removes them, once a result is written.
+    """
+    for path in paths or tuple(_given):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _given:
+            _given.remove(path)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,9 +111,3 @@ def id_lists(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal doc_id, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
-
-
-def sized(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batch of about `most` bytes of memory, at least one row each."""
-    rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
-    yield from pieces(batch, rows)

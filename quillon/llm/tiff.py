@@ -5,6 +5,10 @@ it with an error), collects strips or tiles, decodes each (none, PackBits, LZW,
 predictor, crops tiles, and joins separate planes. Samples have 8 or 16 bits.
 
 A malformed file, or a page that can't be decoded, is one row with `error` and no pixels; it doesn't end the job.
+A row of pixels has to fit a row of Spark and a worker's memory, so the samples of a page, and of its strips or tiles
+as decoded, are at most `most_samples` (parameter, 2**28); a page beyond that is a row with `error`. No more is
+decoded than a page's size asks for, directories may not overlap, and the strips of all pages together may not be
+more than `SHARED` times the file: so a hostile file costs time and memory in proportion to its size and this bound.
 
 Storing bytes: a payload of n bytes, padded with zeros to a positive multiple of 64, becomes gray rows of 64 samples.
 Pages hold `PAGE_ROWS` rows; codec and layout follow from the page's own bytes, so equal texts give equal files.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import by_batch, pieces
+from quillon.llm.common import by_batch, pieces, written
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 # Tags and the sizes of field types of the format.
@@ -35,7 +39,10 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 ROW = 64
 PAGE_ROWS = 4096
-MOST_PIXELS = 1 << 28
+MOST_SAMPLES = 1 << 28
+#: How often the bytes of a file may be used by strips or tiles on average.
+SHARED = 16
+USED = frozenset((WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES, STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS))
 
 
 class TiffError(ValueError):
@@ -210,14 +217,18 @@ class Page:
             raise TiffError(f"tag {tag} is missing")
         return default
 
-    def pixels(self) -> np.ndarray:
+    def stored(self) -> int:
+        """Bytes of the page's strips or tiles, as the directory has it."""
+        return sum(self.fields.get(TILE_COUNTS if TILE_OFFSETS in self.fields else STRIP_COUNTS, ()))
+
+    def pixels(self, most_samples: int = MOST_SAMPLES) -> np.ndarray:
         """Height x width x samples."""
         w, h, n = self.one(WIDTH), self.one(HEIGHT), self.one(SAMPLES, 1)
         bits = set(self.fields.get(BITS, (1,)))
         if len(bits) != 1 or not bits <= {8, 16}:
             raise TiffError(f"{sorted(bits)} bits a sample are not supported")
-        if not 0 < w * h * n <= MOST_PIXELS:
-            raise TiffError("no pixels, or too many")
+        if not 0 < w * h * n <= most_samples:
+            raise TiffError(f"no samples, or more than {most_samples}")
         deep = bits.pop() == 16
         kind, planes = self.one(COMPRESSION, NONE), self.one(PLANAR, 1) == 2
         each = 1 if planes else n
@@ -227,6 +238,8 @@ class Page:
             raise TiffError("empty strips or tiles")
         offsets, counts = (self.fields.get(t, ()) for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
         across, down = -(-w // tw), -(-h // th)
+        if across * down * tw * th * n > max(4 * w * h * n, 1 << 22) and tiled or across * down * tw * th * n > 2 * most_samples:
+            raise TiffError("tiles are too large for the page")
         if len(offsets) != len(counts) or len(offsets) != across * down * (n if planes else 1):
             raise TiffError("wrong number of strips or tiles")
         out = np.zeros((h, w, n), np.uint16 if deep else np.uint8)
@@ -253,6 +266,7 @@ def pages(data: bytes) -> Iterator[Page]:
     if order is None or len(data) < 8:
         raise TiffError("no TIFF header")
     at, seen = struct.unpack_from(f"{order}I", data, 4)[0], set()
+    entries = strips = 0
     while at:
         if at in seen or at + 2 > len(data):
             raise TiffError("the chain of directories loops or leaves the file")
@@ -260,16 +274,23 @@ def pages(data: bytes) -> Iterator[Page]:
         n = struct.unpack_from(f"{order}H", data, at)[0]
         if at + 6 + 12 * n > len(data):
             raise TiffError("a directory leaves the file")
-        fields = {}
+        entries += n
+        if 12 * entries > len(data):
+            raise TiffError("directories overlap")
+        fields: dict[int, tuple] = {}
         for k in range(n):
             tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
             size = TYPE_SIZES.get(kind, 0) * count
             where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * k)[0]
             if where + size > len(data):
                 raise TiffError(f"tag {tag} lies outside the file")
-            if kind in (1, 3, 4):
+            if kind in (1, 3, 4) and tag in USED and tag not in fields:
                 fields[tag] = struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", data, where)
-        yield Page(data, order, fields)
+        page = Page(data, order, fields)
+        strips += page.stored()
+        if strips > SHARED * len(data):
+            raise TiffError("strips or tiles overlap")
+        yield page
         at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
 
@@ -322,29 +343,33 @@ def write(images: list[tuple[np.ndarray, dict]], order: str = "<") -> bytes:
 PAGE_DDL = "page int, width int, height int, samples int, bits int, compression int, tiled boolean, pixels binary, error string"
 
 
-def page_rows(data: bytes | None) -> Iterator[tuple]:
+#: What reading bytes that aren't what they claim to be may end in.
+FAULTS = (ValueError, OverflowError, MemoryError, struct.error)
+
+
+def page_rows(data: bytes | None, most_samples: int = MOST_SAMPLES) -> Iterator[tuple]:
     """A row for each page, and one with the error where the file or a page is malformed."""
     number = 0
     try:
         for p in pages(data or b""):
             try:
-                a = p.pixels()
+                a = p.pixels(most_samples)
                 yield number, a.shape[1], a.shape[0], a.shape[2], 8 * a.dtype.itemsize, p.one(COMPRESSION, NONE), TILE_OFFSETS in p.fields, a.tobytes(), None
-            except (TiffError, struct.error) as e:
-                yield number, None, None, None, None, None, None, None, str(e)
+            except FAULTS as e:
+                yield number, None, None, None, None, None, None, None, str(e) or type(e).__name__
             number += 1
-    except (TiffError, struct.error) as e:
-        yield number, None, None, None, None, None, None, None, str(e)
+    except FAULTS as e:
+        yield number, None, None, None, None, None, None, None, str(e) or type(e).__name__
 
 
-def decode_pages(files: DataFrame, key: str, content: str) -> DataFrame:
+def decode_pages(files: DataFrame, key: str, content: str, most_samples: int = MOST_SAMPLES) -> DataFrame:
     """(key, page, width, height, samples, bits, compression, tiled, pixels, error): one row per page of each file in a binary column."""
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for rows in pieces(batch, 16):
-                found = [(k, *r) for k, d in zip(rows.column("key").to_pylist(), rows.column("content").to_pylist(), strict=True) for r in page_rows(d)]
+                found = [(k, *r) for k, d in zip(rows.column("key").to_pylist(), rows.column("content").to_pylist(), strict=True) for r in page_rows(d, most_samples)]
                 columns = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 10
                 kinds = [rows.schema.field("key").type, *[pa.int32()] * 6, pa.bool_(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"])
@@ -370,23 +395,44 @@ def features(pages_read: list[np.ndarray], codecs: list[int]) -> str:
     return f"pages={len(pages_read)};codecs={','.join(map(str, codecs))};mean={a.mean():.6f};sd={a.std():.6f};zeros={float((a == 0).mean()):.6f}"
 
 
-def _stored(rows: pa.RecordBatch) -> dict:
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+def payload_of(text: bytes) -> bytes:
+    """text and zeros up to a positive multiple of 64 bytes."""
+    return text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0")
+
+
+def _media(rows: pa.RecordBatch) -> dict:
+    texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+    return {"doc_id": rows.column("doc_id"), "n_bytes": [len(t) for t in texts], "media": [stored(payload_of(t)) for t in texts]}
+
+
+def media_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes and the media column with its file, as a table in the shared folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(by_batch(_media, schema, 64), "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
+
+
+def _read_back(rows: pa.RecordBatch) -> dict:
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     out: dict[str, list] = {n: [] for n in names}
-    for text in rows.column("text").cast(pa.binary()).to_pylist():
-        text = text or b""
-        media = stored(text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0"))
+    for media in rows.column("media").to_pylist():
         read = [(p.pixels(), p.one(COMPRESSION)) for p in pages(media)]
         payload = b"".join(a.tobytes() for a, _ in read)
-        values = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features([a for a, _ in read], [c for _, c in read]))
+        values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features([a for a, _ in read], [c for _, c in read]))
         for n, v in zip(names, values, strict=True):
             out[n].append(v)
-    return out | {"doc_id": rows.column("doc_id")}
+    return out | {"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes")}
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, sizes and digests of its payload and file as read back, and a feature."""
+    """One row per document: doc_id, sizes and digests of its payload and file as read back from the media table, and a feature."""
     longs, texts = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes"), ("payload_sha256", "media_sha256", "feature")
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in longs), *((n, pa.string()) for n in texts)])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(by_batch(_stored, schema, 64), "doc_id long, " + ", ".join([f"{n} long" for n in longs] + [f"{n} string" for n in texts]))
+    ddl = "doc_id long, " + ", ".join([f"{n} long" for n in longs] + [f"{n} string" for n in texts])
+    return media_of(docs, doc_id, text).mapInArrow(by_batch(_read_back, schema, 64), ddl)
+
+
+def text_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per page of each document's file: doc_id, page, width, height, samples, bits, compression, tiled, error and the pixels' sha256."""
+    read = decode_pages(media_of(docs, doc_id, text), "doc_id", "media")
+    return read.withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")

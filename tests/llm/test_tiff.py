@@ -77,3 +77,56 @@ def test_stored_texts(spark):
         assert len(same) == sum((x or "") == t for _, x in texts)
         assert {(r.payload_bytes, r.tail_crc32) for r in same} == {(len(payload), zlib.crc32(payload[-64:]))} and len({(r.media_sha256, r.media_bytes, r.feature) for r in same}) == 1
     assert T.store_texts(docs.where("false")).count() == 0
+
+
+def directory(fields, data=b"", order="<"):
+    """A file of one directory with these (tag, value) longs, and data before it."""
+    at = 8 + len(data)
+    entries = b"".join(struct.pack(f"{order}HHII", tag, 4, 1, v) for tag, v in fields)
+    return b"II*\0" + struct.pack(f"{order}I", at) + data + struct.pack(f"{order}H", len(fields)) + entries + b"\0\0\0\0"
+
+
+GRAY = [(T.BITS, 8), (T.SAMPLES, 1)]
+
+
+@pytest.mark.parametrize("fields", [
+    [(T.WIDTH, 1), (T.HEIGHT, 1), *GRAY, (T.COMPRESSION, T.DEFLATE), (T.TILE_WIDTH, 0xFFFFFFFF), (T.TILE_LENGTH, 0xFFFFFFFF), (T.TILE_OFFSETS, 8), (T.TILE_COUNTS, 4)],
+    [(T.WIDTH, 1), (T.HEIGHT, 1), *GRAY, (T.COMPRESSION, T.DEFLATE), (T.TILE_WIDTH, 1 << 14), (T.TILE_LENGTH, 1 << 14), (T.TILE_OFFSETS, 8), (T.TILE_COUNTS, 4)],
+    [(T.WIDTH, 0xFFFFFFFF), (T.HEIGHT, 0xFFFFFFFF), *GRAY, (T.COMPRESSION, T.DEFLATE), (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, 4)],
+    [(T.WIDTH, 0), (T.HEIGHT, 5), *GRAY, (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, 4)],
+    [(T.WIDTH, 1), (T.HEIGHT, 1 << 20), *GRAY, (T.ROWS_PER_STRIP, 1), (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, 4)],
+    [(T.WIDTH, 5), (T.HEIGHT, 5), *GRAY, (T.COMPRESSION, 99), (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, 4)],
+    [(T.WIDTH, 5), (T.HEIGHT, 5), *GRAY, (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, 0xFFFFFFFF)],
+])
+def test_hostile_pages_are_errors(fields):
+    (row,) = T.page_rows(directory(fields, b"\x78\x9c\x03\0"))
+    assert row[0] == 0 and row[-1] and row[-2] is None
+
+
+def test_bombs_and_loops_are_bounded():
+    bomb = zlib.compress(b"\0" * (1 << 24))
+    (row,) = T.page_rows(directory([(T.WIDTH, 8), (T.HEIGHT, 8), *GRAY, (T.COMPRESSION, T.DEFLATE), (T.STRIP_OFFSETS, 8), (T.STRIP_COUNTS, len(bomb))], bomb))
+    assert row[-1] is None and row[-2] == b"\0" * 64
+    over = T.write([(np.zeros((40, 40, 1), np.uint8), {})])
+    assert [r[-1] is None for r in T.page_rows(over, 1600)] == [True] and [r[-1] is None for r in T.page_rows(over, 1599)] == [False]
+    # directories that overlap, each a byte further on
+    n = 200
+    overlapping = b"II*\0\x08\0\0\0" + b"\x01\0" * 4000
+    assert sum(1 for _ in T.page_rows(overlapping)) <= n
+    rng = random.Random(1)
+    good = T.write([(np.arange(600, dtype=np.uint8).reshape(20, 30, 1), {"codec": c, "predictor": 2}) for c in CODECS])
+    for _ in range(3000):  # any bytes changed: rows or errors, no exception
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            bad[rng.randrange(len(bad))] = rng.choice([0, 255, rng.randrange(256)])
+        list(T.page_rows(bytes(bad), 1 << 20))
+
+
+def test_pages_of_texts(spark):
+    texts = [(1, "abc"), (2, None), (3, "word " * 120_000)]
+    rows = T.text_pages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    for i, t in texts:
+        payload = T.payload_of((t or "").encode())
+        pages = [payload[k : k + 64 * T.PAGE_ROWS] for k in range(0, len(payload), 64 * T.PAGE_ROWS)]
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.page)
+        assert [(r.page, r.width, r.height, r.bits, r.pixels_sha256, r.error) for r in mine] == [(k, 64, len(p) // 64, 8, hashlib.sha256(p).hexdigest(), None) for k, p in enumerate(pages)]

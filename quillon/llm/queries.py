@@ -18,6 +18,11 @@ def op3_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
+def pii_base_kinds(spark, sf_dir):
+    """What op3_pii gives for the base kinds, which SQL can express."""
+    return pii.find(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_orc_tokens(spark, sf_dir):
     path = scratch(spark, "orc_tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path, encoders.path_of(encoders.WORD_BPE))
@@ -28,6 +33,11 @@ def op5_tiff_media(spark, sf_dir):
     return tiff.store_texts(documents(spark, sf_dir))
 
 
+def tiff_pages(spark, sf_dir):
+    """One row per page of the documents' files."""
+    return tiff.text_pages(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -61,9 +71,50 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity_kernel": op9_toxicity_kernel,
     "op10_quality_cnn": op10_quality_cnn,
+    "pii_base_kinds": pii_base_kinds,
+    "tiff_pages": tiff_pages,
 }
 
+
+
+def _matches(kind: str, pattern: str) -> str:
+    """SQL for (doc_id, row, kind, start, m): the leftmost matches of a pattern, placed by the lengths of what stands between them."""
+    return rf"""
+        SELECT doc_id, r, '{kind}' AS kind, m,
+               CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+        FROM (SELECT doc_id, r, ms, gaps, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m
+              FROM (SELECT doc_id, r, regexp_extract_all(body, '{pattern}') AS ms, string_split_regex(body, '{pattern}') AS gaps FROM d))"""
+
+
+_LUHN = """list_sum(list_transform(list_reverse(string_split(regexp_replace(m, '[^0-9]', '', 'g'), '')),
+             lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0"""
+
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT r, doc_id, k, array_to_string(w[k:k + 12], ' ') AS words FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+        least AS (SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words),
+        gone AS (SELECT DISTINCT r, k + j AS k FROM windows JOIN least USING (words), range(13) AS t(j) WHERE first_id < doc_id),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS body, count(*) AS n
+                 FROM (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d) ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+    "pii_base_kinds": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+        found AS (
+            SELECT *, 0 AS o FROM ({_matches("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")})
+            UNION ALL SELECT *, 1 FROM ({_matches("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")})
+                WHERE list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+            UNION ALL SELECT *, 2 FROM ({_matches("card", r"[0-9](?:[\x20-]?[0-9])+")})
+                WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN}
+            UNION ALL SELECT *, 3 FROM ({_matches("phone", r"\+[0-9][\x20().0-9-]+[0-9]")})
+                WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15),
+        sums AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+                        count(*) FILTER (kind = 'phone') AS n_phone,
+                        string_agg(concat(kind, ':', start, ':', start + length(m)), ',' ORDER BY o, start) AS shown FROM found GROUP BY r)
+        SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(shown, '')) AS base_sha256
+        FROM d LEFT JOIN sums USING (r)""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

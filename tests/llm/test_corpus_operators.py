@@ -7,15 +7,17 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import bpe, components, encoders, exact_dedup, orc_tokens, packing, pii, quality, simhash, substring_dedup, toxicity
+from quillon.llm import bpe, components, encoders, exact_dedup, orc_tokens, packing, pii, quality, queries, simhash, substring_dedup, toxicity
 from quillon.llm.common import fold, id_lists, scratch
 
 BYTE, WORD = encoders.path_of(encoders.BYTE_BPE), encoders.path_of(encoders.WORD_BPE)
+SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000))
 SENTENCE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -538,3 +540,59 @@ def test_pii_of_long_runs(k):
 def test_pii_identifier_after_words():
     for text, want in (("account number12", "number12"), ("Account No. AB-12345", "AB-12345"), ("acct # : id is 998877", "998877"), ("account number: idea99", "idea99"), ("account no one here", None)):
         assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [want] * (want is not None)
+
+
+# --- 2, identities ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_substring_dedup_tells_thue_morse_words_apart(spark, size):
+    """Words that any polynomial hash modulo 2**64 with an odd base takes for one."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} {SENTENCE}"), (2, f"{other} {SENTENCE}"), (3, " ".join([word] * 13)), (4, " ".join([other] * 13)), (5, " ".join([word] * 12 + [other])), (6, " ".join([word] * 13))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(substring_dedup.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_text") == repeats(rows)
+
+
+def test_substring_identities_are_those_of_words():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "ab", "ba", "é"]) for _ in range(60)) for _ in range(20)]
+    table = pa.table({"doc_id": list(range(20)), "text": texts})
+    g = substring_dedup.Group(table, b"k" * 32)
+    places = np.flatnonzero(g.inside(5))
+    both = list(zip(g.identity(5, 0, places).tolist(), g.identity(5, 1, places).tolist(), strict=True))
+    data = g.data.tobytes()
+    shown = [tuple(data[g.starts[p + k] : g.ends[p + k]] for k in range(5)) for p in places]
+    assert len(set(both)) == len(set(shown)) == len(set(zip(both, shown, strict=True)))
+
+
+def test_substring_groups_follow_the_bytes(spark):
+    """Many small groups and buckets give what few give."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3)}" for _ in range(rng.randint(0, 80)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_row(substring_dedup.remove_repeats(df, 6, group_bytes=500), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == repeats(rows, 6)
+
+
+def test_substring_packing():
+    rng = np.random.default_rng(2)
+    for bits, n in ((12, 0), (12, 5), (30, 1), (30, 4000), (52, 3), (9, 300)):
+        v = np.sort(rng.integers(0, 1 << bits, n).astype(np.uint64))
+        assert (substring_dedup._unpacked(*substring_dedup._packed(v, bits), n) == v).all()
+        flags = rng.integers(0, 4, n).astype(np.uint8)
+        assert (substring_dedup._from_bits(substring_dedup._bits_of(flags), n) == flags).all()
+
+
+# --- queries with SQL ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, duck, name):
+    def plain(df):
+        return sorted((tuple(None if x is None or x != x else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None)), key=repr)
+
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
+    assert plain(got) == plain(want)

@@ -43,12 +43,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def given() -> tuple[str, ...]:
+    """The paths of the scratch tables that are there, in the order in which they were asked for."""
+    return tuple(_given)
+
+
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Removes these scratch tables, or all that this process has made.
+    """Removes these scratch tables; drop_scratch(spark, *given()) removes all that this process has made.
 
     Results of the operators are lazy and read such tables; so the caller removes them, once a result is written.
     """
-    for path in paths or tuple(_given):
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         if path in _given:
@@ -62,6 +67,27 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that has more than one in so many rows is hot; there are at most so many hot keys.
+HOT = 1 << 14
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the other columns of table, which has one row for each value of `key`, and in `size` how many rows have it.
+
+    Hot keys, at most HOT by their definition, are broadcast, and their rows go on by position, so that no task gets
+    all rows of one key; the rest is an ordinary join. `total` is the number of rows; keys are not null. table should be
+    a written one: it is read twice. `size` itself isn't returned.
+    """
+    names = [c for c in table.columns if c not in (key, size)]
+    is_hot = F.col(size) * HOT > total
+    hot = table.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*names).alias("_hot_found"))
+    cold = table.where(~is_hot).select(F.col(key).alias("_cold"), F.struct(*names).alias("_cold_found"))
+    anywhere = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(table.schema[key].dataType)
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(anywhere))
+    found = found.join(cold, F.col("_key") == F.col("_cold"), "left").withColumn("_found", F.when(F.col("_hot").isNotNull(), F.col("_hot_found")).otherwise(F.col("_cold_found")))
+    return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -1,9 +1,11 @@
 """Exact deduplication by skew-safe combining, with DataFrame functions only.
 
 Three stages, each of which compares the full normalised text, never only its digest: copies meet
-inside each task (Spark's partial aggregation), then inside a salted digest group, then the few
-salt winners of a digest meet. A hot text thus costs each task one row and each salt one row.
-The decision travels back the same way: winner -> its salts -> the rows of a salt.
+inside each task (Spark's partial aggregation; rows of a task have one salt), then inside a salted digest group, then the few
+salt winners of a digest meet. A hot text thus costs each task one row and each salt one row, whatever its doc_ids.
+That every digest has one text only follows from the last stage: the winners of a digest with several texts would be
+several, and then the query stops with an error. So the decision, a narrow table in the shared folder, may travel back to
+the rows by digest; of digests that many rows have it is broadcast (common.looked_up).
 
 Defined results: a null text is the empty text. A row with a null doc_id stays only if no row of
 its group has an id. Rows repeated under one doc_id are one document and share its decision.
@@ -12,10 +14,12 @@ No rows in, no rows out. Other columns, whatever their names, are not touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Salts of one digest, 64 at most: the largest share of a hot group that one task has to take is 1 / SALTS.
+from quillon.llm.common import looked_up, written
+
+#: Salts of one digest: the largest share of a hot group that one task has to take is 1 / SALTS.
 SALTS = 64
 
 
@@ -24,22 +28,40 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def salt_of(doc_id: Column, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per distinct text: digest, keep_id, group_size."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("body"))
+    rows = rows.select("doc_id", "body", _digest(F.col("body")).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    salted = rows.groupBy("digest", "salt", "body").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    combined = salted.groupBy("digest", "body").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
+    one = combined.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two different texts have one SHA-256"))).otherwise(F.col("group_size"))
+    return one.select("digest", "keep_id", sure.alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("body")).select("doc_id", "body", F.unhex(F.sha2("body", 256)).alias("digest"), salt_of(F.col("doc_id"), salts).alias("salt"))
-    salted = rows.groupBy("digest", "salt", "body").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    winners = salted.groupBy("digest", "body").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
-    # 256-bit digests stand for the texts compared above; at most `salts` rows for each
-    decided = winners.select("digest", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.getbit("salts", i) == 1)).alias("salt"), "keep_id", "group_size")
-    return rows.drop("body").join(decided, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    decided = written(winners(docs, doc_id, text, salts), "winners")
+    total = decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(normalised(F.col(text))).alias("digest"))
+    found = looked_up(rows, decided.select("digest", "keep_id", "group_size", F.col("group_size").alias("rows")), "digest", "rows", total)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
 
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS, repeats: bool = True) -> DataFrame:
+    """docs, all columns, without the rows whose text a row with a smaller doc_id has.
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """docs, all columns, without the rows whose text a row with a smaller doc_id has."""
-    kept = exact_groups(docs, doc_id, text, salts).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    same = docs[doc_id].eqNullSafe(kept["kept_id"]) & (F.sha2(normalised(docs[text]), 256) == kept["kept_sha"])
-    return docs.join(kept, same, "left_semi")
+    Rows that repeat the text under the same doc_id (or all without one) stay all with `repeats`, else one of them.
+    """
+    kept = exact_groups(docs, doc_id, text, salts).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_sha256").alias("_sha"), "_n")
+    at, none, sha = F.coalesce(docs[doc_id], F.lit(0)), docs[doc_id].isNull(), F.sha2(normalised(docs[text]), 256)
+    found = docs.join(kept, (at == kept["_id"]) & (none == kept["_none"]) & (sha == kept["_sha"]))
+    if not repeats:
+        first = Window.partitionBy(kept["_id"], kept["_none"], kept["_sha"]).orderBy(kept["_n"])
+        found = found.withColumn("__quillon_first", F.row_number().over(first)).where("__quillon_first = 1")
+    return found.select(*[docs[c] for c in docs.columns])

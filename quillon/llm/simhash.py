@@ -3,11 +3,12 @@
 Fingerprints: lower-cased A-Z, words between ASCII white space, shingles of `words` words with repeats, XXH64
 with seed 42 of each; a bit is set if more than half of the shingles have it set.
 
-Candidates: of two fingerprints with at most `most` differing bits, at least one of most + 1 parts
-of the 64 bits is equal. Every distinct fingerprint is dealt once for each part, by the part's
-value. Rows of one key number a share of the corpus; the counts of all keys, at most
-(most + 1) * 2**13, are known and bounded, and a key with more than `chunk` fingerprints is dealt as
-all pairs of its chunks, so that a task's memory is bounded and no pair is lost.
+Candidates: the 64 bits are cut into b blocks, b > most; two fingerprints with at most `most` differing bits agree
+in b - most of them at least. Every distinct fingerprint is dealt once for each choice of b - most blocks, by
+their bits. b is the least number whose keys are long enough for the number n of fingerprints: about
+n / 2**(bits of a key) <= `bucket` of unrelated fingerprints share a key, so the work grows with n and not with its square (five
+tables of 12 bits up to 8 * 10**6 fingerprints, 15 of 20 bits up to 2 * 10**9, 35 of 27 bits up to 2 * 10**11). A key that has more than
+`chunk` fingerprints is dealt as all pairs of its chunks, so that a task's memory is bounded and no pair is lost.
 
 Index: the fingerprints of a key, sorted by Gray rank, are the leaves of a tree. Runs of leaves form
 nodes, runs of nodes form the next level. A node has the bits that all its leaves share, as a mask and a
@@ -27,20 +28,24 @@ Repeated rows are in one component. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import by_batch, written
+from quillon.llm.common import by_batch, looked_up, written
 from quillon.llm.components import components
 
 U = np.uint64
 FAN = 8
 #: Pairs of query and leaf that may be looked at together.
 AT_ONCE = 1 << 20
+#: Keys, of 24 bytes, that may be broadcast.
+MOST_LARGE = 1 << 19
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -164,25 +169,43 @@ def _links(most: int):
     return f
 
 
+def block_bounds(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each of so many blocks of 64 bits."""
+    return [(64 * i // blocks, 64 * (i + 1) // blocks - 64 * i // blocks) for i in range(blocks)]
+
+
 def part_bounds(most: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each of most + 1 parts of 64 bits."""
-    n = most + 1
-    return [(64 * i // n, 64 * (i + 1) // n - 64 * i // n) for i in range(n)]
+    """The fewest blocks of which one is equal in fingerprints that differ in `most` bits."""
+    return block_bounds(most + 1)
+
+
+def blocks_for(n: int, most: int, bucket: int) -> int:
+    """The least number of blocks whose keys hold `bucket` of n random fingerprints at most."""
+    b = most + 1
+    while b < 4 * (most + 1) and n >> sum(sorted(bits for _, bits in block_bounds(b))[: b - most]) > bucket:
+        b += 1
+    return b
 
 
-def links(prints: DataFrame, most: int = 4, chunk: int = 20_000, shard_rows: int = 100_000) -> DataFrame:
+def links(prints: DataFrame, most: int = 4, chunk: int = 20_000, shard_rows: int = 100_000, bucket: int = 2048) -> DataFrame:
     """Distinct fingerprints `fp` -> edges (u, v) whose components are those of all pairs that differ in `most` bits at most."""
-    parts = part_bounds(most)
-    value = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in parts]
-    keyed = prints.select("fp", F.explode(F.array(*[F.lit(i << 32) + v for i, v in enumerate(value)])).alias("part"))
-    # one row for each value of each part: (most + 1) * 2**13 at most
-    counts = keyed.groupBy("part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    keyed = keyed.join(F.broadcast(counts), "part")
+    n = prints.count()
+    blocks = blocks_for(n, most, bucket)
+    parts, tables = block_bounds(blocks), []
+    for chosen in combinations(parts, blocks - most):
+        mask = sum(((1 << bits) - 1) << at for at, bits in chosen)
+        tables.append(F.struct(F.lit(len(tables)).alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")))
+    keyed = prints.select("fp", F.explode(F.array(*tables)).alias("part"))
+    counts = keyed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(F.col("part").alias("large"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    # keys of more than a chunk: len(tables) * n / chunk at most; where that is too many to broadcast, Spark joins them as it finds best
+    if len(tables) * n // chunk <= MOST_LARGE:
+        counts = F.broadcast(counts)
+    keyed = keyed.join(counts, F.col("part") == F.col("large"), "left").select("fp", "part", F.coalesce("chunks", F.lit(1)).alias("chunks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = keyed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("mine", "other").cast("long") * F.col("chunks") + F.greatest("mine", "other")
     dealt = dealt.select("fp", F.xxhash64("part", pair).alias("key"))
-    shards = max(1, -(-prints.count() * len(parts) // shard_rows))
+    shards = max(1, -(-n * len(tables) // shard_rows))
     return dealt.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_links(most), "u long, v long")
 
 
@@ -191,16 +214,29 @@ def near_groups(docs: DataFrame, words: int = 4, most: int = 4, chunk: int = 20_
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
     prints = written(rows.mapInArrow(by_batch(_fingerprints(words), schema), "doc_id long, fp long"), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    sums = distinct.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     stars = components(links(distinct.select("fp"), most, chunk))
-    rooted = distinct.join(stars, distinct.fp == stars.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(stars, distinct.fp == stars.u, "left").select("fp", "least", "n", F.coalesce("v", "fp").alias("root"))
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "roots")
+    found = written(looked_up(rooted.select("fp", "n", "root"), ids, "root", "size", sums.prints).select("fp", "n", "component_id"), "components")
+    return looked_up(prints, found, "fp", "n", sums.rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns: of each component the rows with its smallest doc_id, and rows without any."""
-    groups = near_groups(docs, words, most, doc_id=doc_id, text=text)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
+    """docs, all columns: of each component the rows with its smallest doc_id, or all rows if none has an id.
+
+    Where one doc_id has rows of several components, these are told apart by their fingerprints.
+    """
+    groups = written(near_groups(docs, words, most, doc_id=doc_id, text=text).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_groups")
+    kept = groups.where("stays").select(F.col("doc_id").alias("kept_id"), F.conv("fingerprint", 16, -10).cast("long").alias("kept_fp")).distinct()
+    same = docs[doc_id].cast("long").eqNullSafe(kept["kept_id"])
+    mixed = groups.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any")).where("any AND NOT all")
+    if not mixed.isEmpty():
+
+        @F.pandas_udf("long")
+        def print_of(texts):
+            return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in texts], U).view(np.int64))
+
+        same = same & (print_of(docs[text]) == kept["kept_fp"])
+    return docs.join(kept, same, "left_semi")

@@ -10,7 +10,8 @@ text is shuffled once and ids never. The offset of a document in the whole seque
 all files before its own, one number for each file, and `first`.
 
 Defined results: a null text is the empty text, of which only the end id is written. A null doc_id
-sorts first; rows of one doc_id are in the order of their texts. An empty table gives no rows.
+sorts first; rows of one doc_id are in the order of the first `HEAD` characters of their texts, and beyond that of their places in the input, so that
+many rows of one id, or without one, spread over files. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from quillon.llm import encoders
 from quillon.llm.common import by_batch, id_lists, pieces, texts_of
 
+#: Characters of a text by which rows of one doc_id are ordered.
+HEAD = 64
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 
 
@@ -46,7 +49,9 @@ def _tokens(path: str, end_id: int):
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 1000, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text, each followed by end_id, below the folder `to`, which must not exist."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tokens = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_tokens(tokenizer, end_id), SCHEMA)
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    order = ["doc_id", F.substring("text", 1, HEAD), "place"]
+    tokens = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("place").mapInArrow(_tokens(tokenizer, end_id), SCHEMA)
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_stride), "compression": "zstd"}
     tokens.write.options(**options).orc(to)
 

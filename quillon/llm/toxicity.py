@@ -1,23 +1,28 @@
 """Toxicity of whole documents: a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-Kernel: a word's features are its subsequences of four characters within `SPAN` places, each occurrence
-weighted by DECAY ** (places spanned), and divided by the norm that a word of this length has if no
+Kernel: the features of a piece of a sentence are its subsequences of four characters within `SPAN` places, each occurrence
+weighted by DECAY ** (places spanned), and divided by the norm that a piece of this length has if no
 subsequence comes twice. A gap or an inserted character thus only dampens a match. Letters are lower-cased,
-letters outside a-z share a few codes, the blanks around a word are its first and last character, digits and "@" stand for the letters they imitate, and other marks
+letters outside a-z share a few codes, the blanks around a piece are its first and last character, digits and "@" stand for the letters they imitate, and other marks
 inside a word ("i.d-i*o.t") are left out.
 
+Pieces of a sentence are its words, and what neighbouring words give if the blanks between them are taken for gaps too:
+runs of words of one letter ("i d i o t") or of one or two ("i di ot"), and two neighbours of which one has at most `SHORT` letters ("id iot").
+
 Landmarks: words of a bounded sample of labelled training documents, the more telling first, and others
 as background. The kernel of words with the landmarks, whitened by the inverse root of the landmarks'
 own kernel matrix, is the Nyström feature map; a linear machine (squared hinge loss, Newton steps) is
 trained on it. Sentences carry their document's label, but only one of them needs to be toxic, so the witness of
-a toxic document is its best word so far; the words of clean documents, the hardest added in each round, are the
+a toxic document is its best word so far; the pieces of clean documents, the hardest added in each round, are the
 other class.
 
 Scoring: the machine is linear in the kernel, so landmarks, whitening and weights fold into one weight for each
-subsequence. A sentence scores as its best word and a document as its best sentence; a logistic fit on
-the training documents makes that a probability. Every word of every text is scored.
+subsequence. A sentence scores as its best piece and a document as its best sentence; a logistic fit on
+the training documents makes that a probability. Every word of every text is scored, alone or as part of a piece. What no piece
+shows is not seen: an insult of several words each of which is harmless. Letters of other scripts than Latin are too
+few codes to tell words apart, so such texts score as "no evidence".
 
-Defined results: null and empty texts, as texts without words of four letters, have the score of "no
+Defined results: null and empty texts, as texts without pieces of three letters, have the score of "no
 evidence". With no labelled documents, or of one class only, that is 0 for all. Rows repeated, or without
 doc_id, are scored each for itself. An empty table gives no rows.
 """
@@ -40,10 +45,14 @@ LENGTH, SPAN, DECAY = 4, 6, 0.6
 CODES = 32
 #: The white space before and after a word counts as its first and last character.
 START = 31
+#: Letters of a word that its neighbour is joined to, and of a piece so joined.
+SHORT, JOINED = 4, 12
 #: (offsets of the second to the fourth character, weight) of each way to choose them.
 WAYS = [(c, DECAY ** (c[-1] + 1)) for c in combinations(range(1, SPAN), LENGTH - 1)]
 #: Bytes of text scored at a time.
 AT_ONCE = 1 << 18
+#: Bytes of a part of a long text that the next part has again.
+AGAIN = 256
 NOTHING = -4.0
 
 
@@ -64,16 +73,47 @@ ALPHABET = _alphabet()
 
 
 class Words:
-    """The characters of all words of a text, and of each way the subsequences that begin at each."""
+    """The characters of all words of a text and, with joined, of the pieces that neighbouring words make; and the subsequences that begin at each character.
+
+    starts: the bytes at which documents begin, if the text is several; words of two are not joined.
+    """
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, joined: bool = False, starts: np.ndarray | None = None):
         codes = ALPHABET[np.frombuffer(b" " + text, np.uint8)]
         solid = np.flatnonzero(codes < 255)
-        self.c = codes[solid].astype(np.int32)
-        self.first = np.flatnonzero(self.c == START)
-        self.at = solid[self.first]  # the byte before the word
-        self.size = np.diff(np.concatenate([self.first, [len(self.c)]]))
-        self.left = np.repeat(self.first + self.size, self.size) - np.arange(len(self.c)) + 1  # characters from here to the word's end and the blank after it
+        blank = codes[solid] == START
+        solid = solid[~(blank & np.concatenate([blank[1:], [True]]))]  # white space that no word follows
+        self._hold(codes[solid].astype(np.int32), solid)
+        if joined and len(self) > 1:
+            parts = [(self.c, self.at), *(self._joined(w) for w in self._seams(starts))]
+            at = np.concatenate([p[1] for p in parts])
+            self._hold(np.concatenate([p[0] for p in parts]), None)
+            self.at = at
+
+    def _hold(self, c: np.ndarray, solid: np.ndarray | None) -> None:
+        self.c = c
+        self.first = np.flatnonzero(c == START)
+        self.at = solid[self.first] if solid is not None else None  # the byte before the word
+        self.size = np.diff(np.concatenate([self.first, [len(c)]]))
+        self.left = np.repeat(self.first + self.size, self.size) - np.arange(len(c)) + 1  # characters from here to the word's end and the blank after it
+
+    def _seams(self, starts: np.ndarray | None) -> list[np.ndarray]:
+        """For each way of joining: is the blank before a word dropped? Runs of letters; runs of the shortest words; every second word with the one before; the others with the one before."""
+        letters = self.size - 1
+        doc = np.searchsorted(starts, self.at, "right") if starts is not None else np.zeros(len(self), np.int64)
+        same = np.concatenate([[False], doc[1:] == doc[:-1]])
+        before = np.concatenate([[0], letters[:-1]])
+        runs = same & (letters <= 2) & (before <= 2)
+        pairs = same & ~runs & (np.minimum(letters, before) <= SHORT) & (letters + before <= JOINED)
+        odd = np.arange(len(self)) % 2 == 1
+        return [runs & (letters == 1) & (before == 1), runs, pairs & odd, pairs & ~odd]
+
+    def _joined(self, seam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and places of the pieces that a way of joining makes."""
+        used = seam | np.concatenate([seam[1:], [False]])
+        keep = np.repeat(used, self.size)
+        keep[self.first[seam]] = False
+        return self.c[keep], self.at[used & ~seam]
 
     def __len__(self) -> int:
         return len(self.first)
@@ -140,16 +180,18 @@ class Machine:
         self.table, self.bias, self.slope, self.level = table.astype(np.float32), bias, slope, level
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """The margin of the best word of each text."""
+        """The margin of the best piece of each text."""
         out = np.full(len(texts), NOTHING)
         for k, text in enumerate(texts):
             at = 0
-            while at < len(text):  # cut at white space
+            while at < len(text):  # cut at white space; a part begins with the last words of the part before
                 end = text.find(b" ", at + AT_ONCE)
-                words = Words(text[at : end if end > 0 else len(text)])
+                words = Words(text[at : end if end > 0 else len(text)], joined=True)
                 if (words.size >= LENGTH).any():
                     out[k] = max(out[k], float(words.scores(self.table)[words.size >= LENGTH].max()) + self.bias)
-                at = end if end > 0 else len(text)
+                if end < 0:
+                    break
+                at = max(at + 1, text.rfind(b" ", at, end - AGAIN))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -171,8 +213,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.level, -30, 30)))
 
     def _together(self, texts: list[bytes]) -> np.ndarray:
-        words = Words(b" ".join(texts))
         starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        words = Words(b" ".join(texts), True, starts)
         s = np.where(words.size >= LENGTH, words.scores(self.table) + self.bias, NOTHING)
         out = np.full(len(texts), NOTHING)
         np.maximum.at(out, np.searchsorted(starts, words.at, "right") - 1, s)
@@ -247,7 +289,7 @@ def train(texts: list[bytes], labels: list[int], landmarks: int = 240, rounds: i
         # hard words of clean documents, and each toxic document's best word
         hard: Counter[str] = Counter()
         for t in clean:
-            own = Words(t)
+            own = Words(t, joined=True)
             s = np.where(own.size >= LENGTH, own.scores(table) + bias, NOTHING)
             for k in np.argsort(-s)[:3]:
                 hard[own.string(k)] = s[k]
@@ -301,5 +343,3 @@ def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.5, fold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInArrow(by_batch(f, schema), "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
-
-

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillon.llm import bpe, components, encoders, exact_dedup, orc_tokens, packing, pii, quality, queries, simhash, substring_dedup, toxicity
-from quillon.llm.common import fold, id_lists, scratch
+from quillon.llm.common import drop_scratch, fold, id_lists, looked_up, scratch
 
 BYTE, WORD = encoders.path_of(encoders.BYTE_BPE), encoders.path_of(encoders.WORD_BPE)
 SF = "/root/testdata/sf0.001"
@@ -596,3 +596,187 @@ def test_queries_against_sql(spark, duck, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got)
     assert plain(got) == plain(want)
+
+
+# --- 6 and 8, rows of one id, hot keys ----------------------------------------------------------------------------
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(docs):
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    left = exact_dedup.drop_copies(docs, repeats=False)
+    assert left.columns == docs.columns
+    got = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in left.collect()]
+    assert sorted(got, key=repr) == sorted(((min((i for i in ids if i is not None), default=None), body) for body, ids in groups.items()), key=repr)
+
+
+def test_exact_dedup_of_hot_groups(spark):
+    """A text that a third of all rows has, with ids, without and under one id."""
+    rows = [(i if i % 3 else None if i % 2 else 5, "hot  text" if i % 3 == 0 else f"t{i % 700}") for i in range(3000)]
+    want = {}
+    for i, t in rows:
+        want.setdefault(re.sub(" +", " ", t), []).append(i)
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()
+    assert len(got) == len(rows)
+    for body, ids in want.items():
+        sha, keep = hashlib.sha256(body.encode()).hexdigest(), min(i for i in ids if i is not None)
+        mine = [r for r in got if r.text_sha256 == sha]
+        assert sorted((r.doc_id for r in mine), key=repr) == sorted(ids, key=repr) and {(r.keep_id, r.group_size) for r in mine} == {(keep, len(ids))}
+        assert sum(r.kept for r in mine) == ids.count(keep)
+
+
+def test_looked_up(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.common.HOT", 4)
+    keys = [1] * 50 + [2] * 3 + [3] * 20 + [4, 5, 6]
+    rows = spark.createDataFrame([(k, f"r{i}") for i, k in enumerate(keys)], "k long, name string")
+    table = spark.createDataFrame([(k, keys.count(k), None if k == 3 else f"v{k}") for k in (1, 2, 3, 4, 9)], "k long, n long, value string")
+    got = sorted((r.k, r.name, r.value) for r in looked_up(rows, table, "k", "n", len(keys)).fillna("-").collect())
+    assert got == sorted((k, f"r{i}", f"v{k}" if k in (1, 2, 4) else "-") for i, k in enumerate(keys))
+
+
+def test_near_copies_under_one_id(spark):
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(3, one), (11, one), (11, other), (12, other), (None, one), (None, "z y x"), (20, "")]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(left, "doc_id", "text") == sorted([(3, one), (11, other), (None, "z y x"), (20, "")], key=repr)
+
+
+@pytest.mark.parametrize("n,blocks", [(10, 5), (8 * 10**6, 5), (10**8, 6), (10**9, 6), (10**10, 7), (10**12, 8)])
+def test_blocks_follow_the_count(n, blocks):
+    assert simhash.blocks_for(n, 4, 2048) == blocks
+    parts = simhash.block_bounds(blocks)
+    assert sum(b for _, b in parts) == 64 and [a for a, _ in parts] == np.cumsum([0, *[b for _, b in parts]])[:-1].tolist()
+
+
+@pytest.mark.parametrize("bucket,chunk", [(0, 20_000), (1, 3)])
+def test_links_lose_nothing_with_more_blocks(spark, bucket, chunk):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 7)).astype(np.uint64)) for _ in base]
+    fp = np.unique(np.concatenate([base, base ^ np.array(flips, np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    got = {r.u: r.v for r in components.components(simhash.links(df, 4, chunk, bucket=bucket)).collect()}
+    mine, want = [got.get(int(x), int(x)) for x in fp.view(np.int64)], linked(fp)
+    assert len(set(zip(mine, want.tolist(), strict=True))) == len(set(mine)) == len(set(want.tolist()))
+
+
+def test_scratch_is_dropped_and_needs_a_shared_folder(spark, monkeypatch):
+    path = scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    drop_scratch(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+# --- 9, gaps that are blanks --------------------------------------------------------------------------------------
+
+
+def plain_pieces(text):
+    """The words, and what joining neighbours gives."""
+    w = [x for x in ("".join(chr(96 + c) for c in toxicity.ALPHABET[list(x)].tolist() if c < 255) for x in re.split(rb"[ \t-\r]", text)) if x]
+    out = list(w)
+    for most in (1, 2):
+        run = []
+        for x in [*w, "---"]:
+            if len(x) <= most:
+                run.append(x)
+                continue
+            if len(run) > 1:
+                out.append("".join(run))
+            run = []
+    out += [a + b for a, b in zip(w, w[1:]) if min(len(a), len(b)) <= toxicity.SHORT and len(a) + len(b) <= toxicity.JOINED and not (len(a) <= 2 and len(b) <= 2)]
+    return out
+
+
+def test_pieces_of_sentences():
+    rng = random.Random(7)
+    for n in range(400):
+        text = " ".join("".join(rng.choice("abcde.-") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 9))).encode()
+        words = toxicity.Words(text, joined=True)
+        assert sorted(words.string(k) for k in range(len(words))) == sorted(plain_pieces(text)), text
+        table = np.random.default_rng(n).normal(size=toxicity.CODES**toxicity.LENGTH)
+        want = {s: sum(v * table[f] for f, v in g.items()) for s, g in ((s, toxicity.features([s])[0]) for s in set(plain_pieces(text)))}
+        assert np.allclose(words.scores(table), [want[words.string(k)] for k in range(len(words))], atol=1e-3)
+    texts = [b"i d", b"i o t", b"id", b"iot is"]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    words = toxicity.Words(b" ".join(texts), True, starts)
+    assert sorted(words.string(k) for k in range(len(words))) == sorted(x for t in texts for x in plain_pieces(t))
+
+
+@pytest.fixture(scope="module")
+def insults():
+    rows = labelled(240, 11)
+    return toxicity.train([t.encode() for _, t, _, _ in rows], [x for _, _, _, x in rows])
+
+
+def test_insults_with_blanks_and_letters_put_in(insults):
+    bad = [b"you i d i o t", b"an id iot indeed", b"you are an i d io t", b"what an i-d-i-o-t", b"so pathe tic", b"p a t h e t i c", b"an IDIOT"]
+    clean = [b"the an re in on", b"a b c d e f g h", b"in er st ti", b"1 2 3 4 5", b"st on er in th an"]
+    assert [s > 0.5 for s in insults.score(bad)] == [True] * len(bad) and [s < 0.5 for s in insults.score(clean)] == [True] * len(clean)
+    far = b"the re " * 60_000 + b"i d i o t" + b" the re" * 60_000
+    assert insults.score([far])[0] > 0.5
+
+
+def test_nystroem_map_and_machine_against_plain_versions():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcd"), rng.integers(3, 8))) for _ in range(40)]
+    dense = np.zeros((len(words), toxicity.CODES**toxicity.LENGTH), np.float32)
+    for i, g in enumerate(toxicity.features(words)):
+        for f, v in g.items():
+            dense[i, f] = v
+    k = dense @ dense.T
+    marks = list(range(12))
+    values, vectors = np.linalg.eigh(k[np.ix_(marks, marks)])
+    good = values > 1e-6 * values[-1]
+    mapped = k[:, marks] @ (vectors[:, good] / np.sqrt(values[good]))
+    assert np.allclose((mapped @ mapped.T)[np.ix_(marks, marks)], k[np.ix_(marks, marks)], atol=1e-3)  # exact on the landmarks
+    x, y, weight = np.hstack([mapped, np.ones((40, 1))]), np.where(rng.random(40) < 0.5, 1.0, -1.0), rng.random(40) + 0.5
+    w = toxicity._newton(x, y, weight, c=5.0, steps=60)
+    loss = lambda v: 0.5 * v @ v + 2.5 * (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    for _ in range(200):
+        assert loss(w + rng.normal(0, 0.05, len(w))) >= loss(w) - 1e-6
+
+
+def test_labelled_sample_is_bounded(spark):
+    from quillon.llm.learning import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 60)] + [(7, "w"), (7, "zz"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)] + [(7, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    texts, known = labelled_sample(docs, labels, "toxic", 5, 0, 1000)
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    want = {i: "w" if i == 7 else "" if i == 8 else "x" * i for i in ids}
+    assert texts == [want[i] for i in ids] and known == [0 if i == 7 else i % 2 for i in ids]
+    few, _ = labelled_sample(docs, labels, "toxic", 5, 0, 10)
+    assert len(few) <= 10
+    small, _ = labelled_sample(docs, labels, "toxic", 5, 0, 1000, most_bytes=100)
+    assert 0 < sum(map(len, small)) <= 100
+
+
+def test_orc_files_have_stripes_an_index_and_bloom_filters(spark):
+    """Many rows of one id and without one spread over files; the files have what skips need."""
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i} " * 40) for i in range(6000)]
+    path = scratch(spark, "orc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    orc_tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, WORD, stripe_bytes=1 << 14, row_stride=1000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = orc_tokens.read_tokens(spark, path)
+    sizes = [r["count"] for r in read.groupBy("part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * len(rows)
+    got = orc_tokens.summary(spark, path).orderBy("start").collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got)])[:-1])
+    conf, j = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    where = j.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in where.getFileSystem(conf).listStatus(where) if f.getPath().getName().endswith(".orc")]
+    kinds, stripes = set(), 0
+    for f in files:
+        reader = j.org.apache.orc.OrcFile.createReader(f, j.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        records = reader.rows()
+        for s in reader.getStripes():
+            footer = records.readStripeFooter(s)
+            kinds |= {str(x.getKind()) for x in footer.getStreamsList()}
+            assert {str(c.getKind()) for c in footer.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}
+        records.close()
+    assert stripes >= len(files) and "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds

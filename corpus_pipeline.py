@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import encoders, exact_dedup, packing, pii, quality, simhash
-from quillon.llm.common import labels, written
+from quillon.llm.common import drop_scratch, given, labels, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of equal texts stays."""
-    return exact_dedup.drop_copies(docs)
+    """The row with the smallest doc_id of each group of equal texts stays, one row where it is repeated."""
+    return exact_dedup.drop_copies(docs, repeats=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; each one's tables are removed once the next one's result is written, those of the last stay for the caller to drop."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(given())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, *given()[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)

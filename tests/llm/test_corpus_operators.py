@@ -780,3 +780,51 @@ def test_orc_files_have_stripes_an_index_and_bloom_filters(spark):
             assert {str(c.getKind()) for c in footer.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}
         records.close()
     assert stripes >= len(files) and "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds
+
+
+# --- 7, against a plain version -----------------------------------------------------------------------------------
+
+
+def plain_place(lengths, capacity):
+    """Every open gap that fits is tried, and a new bin; the least sum of squares wins, then the smaller gap, then an open bin."""
+    gaps, bins = [], []
+    for s in lengths:
+        options = []
+        for gap in sorted({g for g in gaps if g >= s}) + [None]:
+            after = list(gaps)
+            if gap is None:
+                after.append(capacity - s)
+            else:
+                after[max(i for i, g in enumerate(gaps) if g == gap)] = gap - s
+            counts = np.bincount(after, minlength=capacity + 1)[1:]  # full bins are not open
+            options.append(((counts**2).sum(), capacity if gap is None else gap, gap))
+        _, _, gap = min(options, key=lambda o: o[:2])
+        if gap is None:
+            gaps.append(capacity - s)
+        else:
+            gaps[max(i for i, g in enumerate(gaps) if g == gap)] = gap - s
+        bins.append(sorted(gaps))
+    return bins
+
+
+def test_sum_of_squares_against_every_choice():
+    rng = np.random.default_rng(6)
+    for capacity in (7, 12, 20):
+        for _ in range(60):
+            lengths = rng.integers(1, capacity + 1, 25)
+            want = plain_place(lengths.tolist(), capacity)
+            bins, offsets = packing.place(lengths, capacity)
+            for k in range(len(lengths)):
+                fill = np.bincount(bins[: k + 1], lengths[: k + 1], minlength=bins[: k + 1].max() + 1)
+                assert sorted((capacity - fill).astype(int).tolist()) == want[k]
+
+
+def test_packing_in_passes():
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 1024, 20_000), np.full(50, 1023), np.full(7, 512), np.array([1024]), rng.integers(1, 40, 3000)):
+        bins, offsets = packing.place_all(lengths, 1024)
+        fill = np.bincount(bins, lengths)
+        assert fill.max() <= 1024 and fill.min() > 0 and len(fill) <= packing.place(-np.sort(-lengths), 1024)[0].max() + 1
+        order = np.lexsort((offsets, bins))
+        ends, starts, same = (offsets + lengths)[order][:-1], offsets[order][1:], bins[order][1:] == bins[order][:-1]
+        assert (starts[same] == ends[same]).all() and (starts[~same] == 0).all() and offsets[order][0] == 0

@@ -2,7 +2,7 @@
 
 Kernel: the features of a piece of a sentence are its subsequences of four characters within `SPAN` places, each occurrence
 weighted by DECAY ** (places spanned), and divided by the norm that a piece of this length has if no
-subsequence comes twice. A gap or an inserted character thus only dampens a match. Letters are lower-cased,
+subsequence comes twice, or, beyond `LONG` characters, by its own norm. A gap or an inserted character thus only dampens a match. Letters are lower-cased,
 letters outside a-z share a few codes, the blanks around a piece are its first and last character, digits and "@" stand for the letters they imitate, and other marks
 inside a word ("i.d-i*o.t") are left out.
 
@@ -47,6 +47,8 @@ CODES = 32
 START = 31
 #: Letters of a word that its neighbour is joined to, and of a piece so joined.
 SHORT, JOINED = 4, 12
+#: Characters of a piece beyond which its norm counts repeated subsequences.
+LONG = 24
 #: (offsets of the second to the fourth character, weight) of each way to choose them.
 WAYS = [(c, DECAY ** (c[-1] + 1)) for c in combinations(range(1, SPAN), LENGTH - 1)]
 #: Bytes of text scored at a time.
@@ -151,7 +153,24 @@ class Words:
         total = np.zeros(len(self.c), np.float32)
         for at, f, weight in self.occurrences():
             total[at] += np.float32(weight) * table[f]
-        return np.add.reduceat(total, self.first) / self.norms()
+        raw, norms = np.add.reduceat(total, self.first), self.norms()
+        for k in np.flatnonzero((self.size > LONG) & (raw > 0)):
+            norms[k] = self._own_norm(k)
+        return raw / norms
+
+    def _own_norm(self, k: int) -> float:
+        """The norm of one piece with its repeated subsequences: long ones may repeat a few for ever ("ar ar ar ...")."""
+        c = np.append(self.c[self.first[k] : self.first[k] + self.size[k]].astype(np.int64), START)
+        found, weights = [], []
+        for offsets, weight in WAYS:
+            n = max(0, len(c) - offsets[-1])
+            f = c[:n]
+            for o in offsets:
+                f = f * CODES + c[o : o + n]
+            found.append(f)
+            weights.append(np.full(n, weight))
+        _, which = np.unique(np.concatenate(found), return_inverse=True)
+        return float(np.sqrt((np.bincount(which, np.concatenate(weights)) ** 2).sum()))
 
 
 def features(words: list[str]) -> list[dict[int, float]]:

@@ -828,3 +828,17 @@ def test_packing_in_passes():
         order = np.lexsort((offsets, bins))
         ends, starts, same = (offsets + lengths)[order][:-1], offsets[order][1:], bins[order][1:] == bins[order][:-1]
         assert (starts[same] == ends[same]).all() and (starts[~same] == 0).all() and offsets[order][0] == 0
+
+
+def test_stuttering_gathers_no_evidence(insults):
+    for bit in (b"ar ", b"io ", b"i d i o ", b"st ", b"a b c "):
+        few, many = insults.evidence([bit * 5, bit * 400])
+        assert many <= max(few, -0.5) + 0.3
+    c = toxicity.Words(b"ab" * 40)
+    got: dict[tuple, float] = {}
+    letters = [31, *[1, 2] * 40, 31]
+    for offsets, weight in toxicity.WAYS:
+        for i in range(len(letters) - offsets[-1]):
+            key = tuple(letters[i + o] for o in (0, *offsets))
+            got[key] = got.get(key, 0.0) + weight
+    assert np.isclose(c._own_norm(0), sum(v * v for v in got.values()) ** 0.5)

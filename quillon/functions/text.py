@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What a code fence is, and how the fault of a value that is no object is reported.
 FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL | re.IGNORECASE)
+NO_OBJECT = "top-level JSON value must be an object"
 
 
 def fold_title(title: str) -> str:
@@ -50,7 +52,7 @@ def joined(items: Column, separator: str, last: str) -> Column:
     """a, b<separator>... with <last> before the last item."""
     n = F.size(items)
     head = F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(1))), separator)
-    return F.when(n == 0, "").when(n == 1, items[0]).otherwise(F.concat(head, F.lit(last), F.element_at(items, -1)))
+    return F.when(n <= 0, "").when(n == 1, items[0]).otherwise(F.concat(head, F.lit(last), F.try_element_at(items, F.lit(-1))))
 
 
 def parse_strictly(raw: str) -> tuple[dict | None, str | None]:
@@ -59,7 +61,7 @@ def parse_strictly(raw: str) -> tuple[dict | None, str | None]:
         found = json.loads(raw)
     except (ValueError, RecursionError) as e:
         return None, f"{e.msg} at line {e.lineno} column {e.colno}" if isinstance(e, json.JSONDecodeError) else str(e)
-    return (found, None) if isinstance(found, dict) else (None, "top-level JSON value must be an object")
+    return (found, None) if isinstance(found, dict) else (None, NO_OBJECT)
 
 
 def recoverable(raw: str) -> bool:

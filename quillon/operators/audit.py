@@ -39,10 +39,35 @@ def by_owner(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
 
 
 def first_unused(rows: DataFrame, used: DataFrame, text: str, order: str) -> DataFrame:
-    """Rows whose text nobody used: not in `used`, and the first by `order` of those with equal texts."""
-    fresh = rows.join(used.select(F.col(text).alias("_used")).distinct(), F.col(text) == F.col("_used"), "left_anti")
-    least = fresh.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("_d")).agg(F.min(order).alias("_first"))
-    return fresh.withColumn("_d", F.sha2(F.col(text).cast("binary"), 256)).join(least, "_d").where(F.col(order) == F.col("_first")).drop("_d", "_first")
+    """Rows whose text nobody used: not in `used`, and of those with equal texts the first by `order`.
+
+    One row for each text: a null order comes last, and of equal orders any one stays. Rows without a text are left out.
+    """
+    fresh = rows.where(F.col(text).isNotNull()).join(used.select(F.col(text).alias("_used")).distinct(), F.col(text) == F.col("_used"), "left_anti")
+    digest = F.sha2(F.col(text).cast("binary"), 256).alias("_d")
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(order).isNull(), F.col(order)))
+    return fresh.groupBy(digest).agg(first.alias("_r")).select("_r.*")
+
+
+def outside(rows: DataFrame, value: str, vocabulary: DataFrame) -> DataFrame:
+    """Rows whose value is in no row of the first column of vocabulary; a null value is in none."""
+    allowed = vocabulary.select(F.col(vocabulary.columns[0]).alias("_v")).distinct()
+    return rows.join(allowed, F.col(value) == F.col("_v"), "left_anti")
+
+
+def dataset_audit(rows: DataFrame, by: str, values: str, listed: str) -> DataFrame:
+    """For each `by`: rows, distinct `values` and their list, and rows whose array `listed` has several."""
+    return rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_distinct(values).alias("distinct"), F.count_if(F.size(listed) > 1).alias("several"), F.array_sort(F.collect_set(values)).alias("all_values")
+    )
+
+
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each name the value at place ceil(share * n) of the sorted values."""
+    for name, p in shares.items():
+        if not 0 < p <= 1:
+            raise ValueError(f"{name} is no share above 0 and up to 1: {p}")
+    return rows.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").cast("long").alias(name) for name, p in shares.items()])
 
 
 def tag_frequency(catalog: DataFrame, least: int = 50) -> DataFrame:

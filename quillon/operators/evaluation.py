@@ -85,14 +85,17 @@ def evaluate(raw: str, gold_json: str, rules: Q.Rules, normalised: bool = False)
 def evaluated(predictions: DataFrame, rules: Q.Rules, raw: str = "raw_output", gold: str = "gold_query", normalised: str | None = None) -> DataFrame:
     """predictions with the struct `e` of evaluate(); gold is canonical JSON. Null outputs count as empty ones.
 
-    Python, because the key sets and types of untrusted JSON are lost once a schema is applied to it.
+    Python, because the key sets and types of untrusted JSON are lost once a schema is applied to it. Equal outputs to
+    equal gold queries are judged once a batch.
     """
     schema = _schema()
 
     @F.pandas_udf(schema)
     def run(raws: pd.Series, golds: pd.Series, flags: pd.Series) -> pd.DataFrame:
-        rows = [evaluate(r or "", g, rules, bool(n)) for r, g, n in zip(raws, golds, flags, strict=True)]
-        return pd.DataFrame(rows, columns=schema.names)
+        keys = [(r or "", g, bool(n)) for r, g, n in zip(raws, golds, flags, strict=True)]
+        place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        judged = pd.DataFrame([evaluate(r, g, rules, n) for r, g, n in place], columns=schema.names)
+        return judged.iloc[[place[k] for k in keys]].reset_index(drop=True)
 
     return predictions.withColumn("e", run(F.col(raw), F.col(gold), F.col(normalised) if normalised else F.lit(False)))
 
@@ -164,6 +167,31 @@ def folded_singletons(q: dict) -> dict:
     return q
 
 
+def fidelity(cases: DataFrame) -> DataFrame:
+    """cases (status, parsed and expected queries as canonical JSON, result_ids, allowed_ids) with exact, semantic and violations.
+
+    semantic takes a lone ANY value for ALL; violations are results that the expected query does not allow. A null parsed query equals none.
+    """
+
+    @F.pandas_udf("boolean")
+    def alike(parsed: pd.Series, expected: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and folded_singletons(json.loads(p)) == folded_singletons(json.loads(e)) for p, e in zip(parsed, expected, strict=True)], dtype=bool)
+
+    none = F.array().cast(cases.schema["result_ids"].dataType)
+    return cases.withColumns({
+        "exact": F.coalesce(F.col("parsed") == F.col("expected"), F.lit(False)), "semantic": alike("parsed", "expected"),
+        "violations": F.array_except(F.coalesce("result_ids", none), F.coalesce("allowed_ids", none)),
+    })
+
+
+def fidelity_counts(judged: DataFrame) -> DataFrame:
+    """One row: ok, exact, semantic and all cases, and results against what was meant."""
+    return judged.agg(
+        F.count_if(F.col("status") == "ok").alias("ok"), F.count_if("exact").alias("exact"), F.count_if("semantic").alias("semantic"), F.count("*").alias("cases"),
+        F.coalesce(F.sum(F.size("violations")), F.lit(0)).cast("long").alias("violating_results"),
+    )
+
+
 def authorised(split: str, frozen: bool) -> None:
     """Test and challenge splits only once the prompt is frozen."""
     if split in ("test", "challenge") and not frozen:

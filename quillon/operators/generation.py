@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import random
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import sha256, to_canonical_json
+from quillon.functions.text import canonical_json, sha256, to_canonical_json
 from quillon.operators.patterns import SLOTS
+from quillon.operators.samplers import Sampler
 from quillon.operators.sampling import draw, draw_without, realised
 from quillon.plans import query as Q
+from quillon.plans import sampler as S
 
 #: How each constraint reads, by field and operator.
 TEMPLATES = {
@@ -35,29 +38,55 @@ TRIES = 20
 
 
 class Pools:
-    """What values may be drawn from: weights of genres and tags, pools of numbers, titles."""
+    """What values may be drawn from: weights of genres and tags, numbers, titles.
 
-    def __init__(self, genres: dict[str, float], tags: dict[str, float], years: list[int], episodes: list[int], titles: list[str]):
-        self.genres, self.tags, self.years, self.episodes, self.titles = genres, tags, sorted(years), sorted(episodes), titles
+    Numbers are a list, each as likely as the others, or (weight, numbers) of several pools.
+    """
+
+    def __init__(self, genres: dict[str, float], tags: dict[str, float], years: list, episodes: list, titles: list[str]):
+        self.genres, self.tags, self.titles = genres, tags, titles
+        self.years, self.episodes = ([(w, sorted(v)) for w, v in (x if x and isinstance(x[0], tuple) else [(1.0, x)])] for x in (years, episodes))
+
+    @classmethod
+    def of(cls, config: dict, rules: Q.Rules, titles: list[str]) -> Pools:
+        """The pools of a sampling configuration over the rules' values."""
+        S.check_config_domain(config, rules)
+        return cls(S.value_weights(config, "genres", rules.genres), S.value_weights(config, "tags", rules.tags), S.number_pools(config, "year"), S.number_pools(config, "episodes"), titles)
+
+
+def group_pairs(pattern: dict, rules: Q.Rules) -> list[tuple[str | None, str | None]]:
+    """(ANY group, NONE group) that fit the pattern: each stands under its operator, they are two, share no tag, and leave enough direct tags."""
+    need = int(pattern["tag_set"].split(":")[1]) if pattern["tag_set"] else 0
+    options = [sorted(g for g, (_, ops, _) in rules.groups.items() if o in ops) if pattern[slot] else [None] for slot, o in (("tag_group_any", "any_of"), ("tag_group_none", "none_of"))]
+    tags = {g: frozenset(t) for g, (t, _, _) in rules.groups.items()} | {None: frozenset()}
+    return [(a, b) for a, b in product(*options) if (a is None or a != b) and not tags[a] & tags[b] and len(rules.tags - tags[a] - tags[b]) >= need]
+
+
+def _bounds(kind: str, pools: list[tuple[float, list[int]]], rng: random.Random) -> dict:
+    """A pool, then a number of it; an upper bound by the chances of all numbers from the lower one on."""
+    weight, numbers = draw(rng, pools, [w for w, _ in pools])
+    first = draw(rng, numbers, [1.0] * len(numbers))
+    if kind != "bounded_range":
+        return {"min": first if kind == "min_only" else None, "max": first if kind == "max_only" else None}
+    total = sum(w for w, _ in pools)
+    chances = sorted((v, w / total / len(vs)) for w, vs in pools for v in vs)
+    above = [(v, p) for v, p in chances if v >= first]
+    return {"min": first, "max": draw(rng, [v for v, _ in above], [p for _, p in above])}
 
 
 def bind(pattern: dict, seed: int | random.Random, rules: Q.Rules, pools: Pools) -> dict:
     """A spec of the pattern with values drawn by random.Random(seed), or by the generator given.
 
-    Groups come first and their tags are then out of reach of direct tags; genres, tags, numbers, lists and the reference follow. An upper
-    bound is drawn among the numbers from the lower one on. The clauses of the spec are those of the pattern.
+    A pair of groups that fits comes first, each as likely as the others; its tags are then out of reach of direct tags. Genres, tags,
+    numbers, lists and the reference follow. The clauses of the spec are those of the pattern.
     """
     rng, spec = seed if isinstance(seed, random.Random) else random.Random(seed), Q.empty()
     hard = spec["hard_constraints"]
-    groups = {o: [] for o in Q.OPERATORS}
-    for slot, o in (("tag_group_any", "any_of"), ("tag_group_none", "none_of")):
-        if pattern[slot]:
-            taken = {t for gs in groups.values() for g in gs for t in rules.groups[g][0]}
-            free = sorted(g for g, (tags, ops, _) in rules.groups.items() if o in ops and not taken & set(tags))
-            if not free:
-                raise Q.QueryError("no group is left for the pattern")
-            groups[o] = [draw(rng, free, [1.0] * len(free))]
-    reserved = {t for gs in groups.values() for g in gs for t in rules.groups[g][0]}
+    pairs = group_pairs(pattern, rules)
+    if not pairs:
+        raise Q.QueryError("no groups fit the pattern")
+    chosen = draw(rng, pairs, [1.0] * len(pairs))
+    reserved = {t for g in chosen if g for t in rules.groups[g][0]}
     for slot, field, table in (("genre_set", "genres", pools.genres), ("tag_set", "tags", {t: w for t, w in pools.tags.items() if t not in reserved})):
         if pattern[slot]:
             o, n = pattern[slot].split(":")
@@ -65,18 +94,15 @@ def bind(pattern: dict, seed: int | random.Random, rules: Q.Rules, pools: Pools)
             if len(values) < int(n):
                 raise Q.QueryError(f"too few {field} for the pattern")
             hard[field][o] = draw_without(rng, values, [table[v] for v in values], int(n))
-    for slot, field, values in (("year_range", "year", pools.years), ("episodes_range", "episodes", pools.episodes)):
-        kind = pattern[slot]
-        if kind:
-            low = draw(rng, values, [1.0] * len(values))
-            above = [v for v in values if v >= low]
-            hard[field] = {"min": low if kind != "max_only" else None, "max": low if kind == "max_only" else draw(rng, above, [1.0] * len(above)) if kind == "bounded_range" else None}
+    for slot, field, numbers in (("year_range", "year", pools.years), ("episodes_range", "episodes", pools.episodes)):
+        if pattern[slot]:
+            hard[field] = _bounds(pattern[slot], numbers, rng)
     for slot, field, values in (("format_any", "formats", sorted(rules.formats)), ("status_any", "status", sorted(rules.statuses))):
         if pattern[slot]:
             hard[field] = [draw(rng, values, [1.0] * len(values))]
     if pattern["reference"]:
         spec["reference_titles"] = [draw(rng, pools.titles, [1.0] * len(pools.titles))]
-    hard["tag_groups"] = groups
+    hard["tag_groups"] = {o: [g] if g else [] for o, g in zip(Q.OPERATORS, (None, *chosen), strict=True)}
     if Q.count_clauses(spec) != pattern["n"]:
         raise Q.QueryError("the bound spec has other clauses than its pattern")
     return spec
@@ -115,7 +141,7 @@ def styled(spec: dict, style: int, names: dict[str, dict[str, str]]) -> str:
     return prefix + separator.join(out) + suffix
 
 
-RECORD = T.StructType().add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add("rule_ids", T.ArrayType(T.StringType())).add("style", "integer").add("error", "string")
+RECORD = T.StructType().add("spec", "string").add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add("rule_ids", T.ArrayType(T.StringType())).add("style", "integer").add("error", "string")
 
 
 def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, names: dict[str, dict[str, str]] | None = None) -> DataFrame:
@@ -138,9 +164,9 @@ def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, names:
                     style = rng.randrange(len(STYLES))
                 gold = Q.build(spec, rules)
                 text = realised(gold, TEMPLATES) if names is None else styled(spec, style, names if rng.random() < CHINESE_NAMES else {})
-                out.append((Q.dumps(gold), text, Q.signature(gold), Q.count_clauses(spec), Q.rule_ids(spec, rules), style, None))
+                out.append((canonical_json(spec), Q.dumps(gold), text, Q.signature(gold), Q.count_clauses(spec), Q.rule_ids(spec, rules), style, None))
             except Q.QueryError as e:
-                out.append((None, None, None, None, None, None, str(e)))
+                out.append((None,) * (len(RECORD) - 1) + (str(e),))
         return pd.DataFrame(out, columns=RECORD.names).astype({"style": "Int32"})
 
     return patterns.withColumn("r", run(F.struct(*SLOTS, "n", F.col(seed).alias("seed"))))
@@ -184,19 +210,52 @@ def dataset(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, used:
         rounds *= 2
 
 
-def check_records(rows: DataFrame, rules: Q.Rules) -> DataFrame:
-    """Rows whose gold query, signature or clause count isn't what it says, with `fault`."""
+def check_records(rows: DataFrame, rules: Q.Rules, identity: list[str] | None = None) -> DataFrame:
+    """Rows that aren't what their spec makes them, with `fault`: gold query, signature, clause count, rule ids, sample id.
+
+    What a row has no column for is not looked at; without a spec the gold query is. identity has the columns of the sample id.
+    """
+    columns = [c for c in ("spec", "gold", "signature", "clauses", "rule_ids") if c in rows.columns]
 
     @F.pandas_udf(T.StringType())
-    def fault(gold: pd.Series, signature: pd.Series) -> pd.Series:
+    def fault(given: pd.DataFrame) -> pd.Series:
         out = []
-        for g, s in zip(gold, signature, strict=True):
+        for r in given.to_dict("records"):
             try:
-                q = json.loads(g)
+                q = json.loads(r["gold"])
                 Q.check_domain(q, rules)
-                out.append("gold isn't canonical" if Q.dumps(q) != g else "signature differs" if Q.signature(q) != s else None)
-            except (ValueError, TypeError) as e:
+                want = {"gold": Q.dumps(q), "signature": Q.signature(q)}
+                if r.get("spec") is not None:
+                    spec = json.loads(r["spec"])
+                    want |= {"gold": Q.dumps(Q.build(spec, rules)), "clauses": Q.count_clauses(spec), "rule_ids": Q.rule_ids(spec, rules)}
+                got = r | ({"rule_ids": list(r["rule_ids"])} if "rule_ids" in r else {})
+                out.append(next((f"{k} differs" for k, v in want.items() if k in got and got[k] != v), None))
+            except (ValueError, TypeError, KeyError) as e:
                 out.append(str(e))
         return pd.Series(out, dtype=object)
 
-    return rows.withColumn("fault", fault("gold", "signature")).where("fault IS NOT NULL")
+    checked = rows.withColumn("fault", fault(F.struct(*columns)))
+    if identity is not None:
+        own = F.concat(F.lit("sample_"), sha256(to_canonical_json(F.struct(*sorted(identity)))))
+        checked = checked.withColumn("fault", F.coalesce("fault", F.when(~F.col("sample_id").eqNullSafe(own), "sample_id differs")))
+    return checked.where("fault IS NOT NULL")
+
+
+def sampled_records(rows: DataFrame, seed: str, sampler: Sampler, rules: Q.Rules, pools: Pools) -> DataFrame:
+    """rows with the struct `r` of a record whose pattern and values one generator of each row's seed draws, in turn."""
+
+    @F.pandas_udf(T.StructType().add("family", "string").add("bucket", "string").add("pos", "integer").add("gold", "string").add("signature", "string").add("clauses", "long").add("error", "string"))
+    def run(seeds: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in seeds:
+            rng = random.Random(int(s))
+            p = sampler.pattern(rng)
+            try:
+                spec = bind(p, rng, rules, pools)
+                gold = Q.build(spec, rules)
+                out.append((p["family"], p["bucket"], p["pos"], Q.dumps(gold), Q.signature(gold), Q.count_clauses(spec), None))
+            except Q.QueryError as e:
+                out.append((p["family"], p["bucket"], p["pos"], None, None, None, str(e)))
+        return pd.DataFrame(out, columns=["family", "bucket", "pos", "gold", "signature", "clauses", "error"])
+
+    return rows.withColumn("r", run(F.col(seed)))

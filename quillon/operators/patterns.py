@@ -38,6 +38,43 @@ def options(slot: str) -> list[tuple[str | None, int]]:
     return [(None, 0), ("used", 0 if slot == "reference" else 1)]
 
 
+def clauses(slots: dict[str, str | None]) -> int:
+    """The clauses of one filling."""
+    n = sum(dict(options(s))[slots[s]] for s in SLOTS)
+    return n - bool((slots["tag_set"] or "").startswith("any_of") and slots["tag_group_any"])  # a direct and a group ANY of tags are one
+
+
+def bucket_of(n: int) -> str:
+    return "5_plus" if n >= 5 else str(n)
+
+
+def families(slots: dict[str, str | None]) -> list[str]:
+    """The families that one filling is eligible for, whatever its bucket."""
+    used, n = {s for s in SLOTS if slots[s]}, clauses(slots)
+    groups, direct = used & {"tag_group_any", "tag_group_none"}, used & set(DIRECT)
+    plain = not groups and "reference" not in used
+    tests = {
+        "single_constraint": plain and len(direct) == 1 and n == 1, "same_field_logic": len(used) == 1 and bool(used & set(SET_SLOTS)), "cross_field_composition": plain and len(direct) >= 2,
+        "normalization": bool(groups), "reference_only": used == {"reference"}, "reference_composition": "reference" in used and not groups and bool(direct),
+    }
+    return [f for f, fits in tests.items() if fits and bucket_of(n) in FAMILIES[f]]
+
+
+def plan_faults(plans: DataFrame) -> DataFrame:
+    """plans (family, bucket, signature, slots, n) with `fault`, where a slot has no such option, or count, bucket, signature or family are not those of the slots."""
+    wrong = reduce(Column.__or__, [~F.coalesce(F.col(s).isin(*[p for p, _ in options(s) if p]), F.lit(True)) for s in SLOTS])
+    worth = {s: F.create_map(*[F.lit(x) for p, c in options(s) if p for x in (p, c)]) for s in SLOTS}
+    merged = F.coalesce((F.col("tag_set").startswith("any_of") & F.col("tag_group_any").isNotNull()).cast("int"), F.lit(0))
+    n = reduce(Column.__add__, [F.coalesce(worth[s][F.col(s)], F.lit(0)) for s in SLOTS]) - merged
+    rules = family_rules()
+    fits = reduce(Column.__or__, [(F.col("family") == f) & rules[f] & F.col("bucket").isin(*FAMILIES[f]) for f in FAMILIES])
+    fault = (
+        F.when(wrong, "no such option").when(~n.eqNullSafe(F.col("n")), "another clause count").when(~F.col("bucket").eqNullSafe(bucket(F.col("n"))), "another bucket")
+        .when(~F.col("signature").eqNullSafe(F.array_join(signature(), "+")), "another signature").when(~F.coalesce(fits, F.lit(False)), "the family can't have it")
+    )
+    return plans.withColumn("fault", fault).where("fault IS NOT NULL")
+
+
 def space(spark: SparkSession) -> DataFrame:
     """All 32,768 fillings: a column for each slot, a place pos, and the clause count n."""
     made = None

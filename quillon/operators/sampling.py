@@ -44,6 +44,7 @@ def value_weights(vocabulary: DataFrame, default: float, tiers: dict[str, float]
 
 
 def share_violations(weighted: DataFrame, most: float) -> DataFrame:
+    """Values whose share p exceeds the greatest allowed one."""
     return weighted.where(F.col("p") > most)
 
 
@@ -61,15 +62,18 @@ def upper_probabilities(base: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("lower"))).select("lower", "upper", "p")
 
 
-def draw(rng: random.Random, options: list, weights: list[float]):
-    """The first option whose cumulative share exceeds the draw; no draw for one option."""
-    if len(options) == 1:
-        return options[0]
+def weighted(rng: random.Random, options: list, weights: list[float]):
+    """The first option whose cumulative share exceeds the draw, of which there is always one."""
     total = sum(weights)
     bounds = list(accumulate(w / total for w in weights))
     return options[min(bisect_right(bounds, rng.random()), len(options) - 1)]
 
 
+def draw(rng: random.Random, options: list, weights: list[float]):
+    """weighted(), but no draw for one option."""
+    return options[0] if len(options) == 1 else weighted(rng, options, weights)
+
+
 def draw_without(rng: random.Random, options: list, weights: list[float], k: int) -> list:
     """k options one after the other, what is left weighed anew each time; sorted."""
     left, out = list(zip(options, weights, strict=True)), []
@@ -90,19 +94,22 @@ def seeded_choices(rows: DataFrame, seed: str, options: list[str], weights: list
     return rows.withColumn(to, run(F.col(seed), F.lit(k) if isinstance(k, int) else k))
 
 
-def shuffled_split(rows: DataFrame, order: str, seed: int, shares: tuple[int, int, int] = (80, 10, 10)) -> DataFrame:
-    """rows with split: the first 80 % by a seeded hash of `order` train, 10 % validation, the rest test.
+def shuffled_split(rows: DataFrame, order: str, seed: int, shares: tuple[int, int, int] = (80, 10, 10), range_rows: int = 100_000) -> DataFrame:
+    """rows with split: the first 80 % by a seeded digest of `order` train, 10 % validation, the rest test.
 
-    Global places come from counts per hash range, so no task sees more than its range of rows.
+    Global places come from counts per range of digests; the number of ranges follows the number of rows (65,536 at
+    most), so no task sorts much more than `range_rows` rows.
     """
-    keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), order))
-    parts = keyed.withColumn("_b", F.shiftrightunsigned("_h", 54))  # 1,024 ranges
+    n = rows.count()
+    bits = min(16, max(4, (n // range_rows).bit_length()))
+    keyed = rows.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string")).cast("binary"), 256))
+    parts = keyed.withColumn("_b", F.shiftrightunsigned(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), 16 - bits))
     sizes = parts.groupBy("_b").agg(F.count("*").alias("_n"))
-    ordered = Window.orderBy("_b")
-    before = sizes.select("_b", (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
-    placed = parts.join(F.broadcast(before), "_b").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(F.shiftrightunsigned(F.shiftleft("_h", 10), 10), order)) - 1)
-    train, val = F.floor(F.col("_total") * shares[0] / 100), F.floor(F.col("_total") * shares[1] / 100)
-    return placed.withColumn("split", F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "validation").otherwise("test")).drop("_h", "_b", "_before", "_total", "_i")
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", order)) - 1
+    placed = parts.join(F.broadcast(before), "_b").withColumn("_i", place)  # 65,536 rows at most
+    train, val = n * shares[0] // 100, n * shares[1] // 100
+    return placed.withColumn("split", F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "validation").otherwise("test")).drop("_h", "_b", "_before", "_i")
 
 
 def realised(spec: dict, templates: dict[str, str], separator: str = ", ", last: str = " and ") -> str:

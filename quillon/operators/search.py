@@ -75,21 +75,42 @@ def without_adult(catalog: DataFrame) -> DataFrame:
     return catalog.where(~F.coalesce(F.col("isAdult"), F.lit(False)))
 
 
+def _keys(catalog: DataFrame) -> Column:
+    """The folded titles of a row, each once."""
+    return F.array_distinct(F.array(*[title_key(f"title.{n}") for n in ("romaji", "english", "native")]))
+
+
 def resolve(titles: list[str], catalog: DataFrame) -> DataFrame:
     """One row for each title: title, matches (rows with one of their titles equal under folding), id (of the only match, else null).
 
-    The wanted keys are as many as the query has titles; the catalog's titles are folded in one pass and
-    never shuffled: rows are counted for each key.
+    Rows count and not ids: a row that is there twice is no single match. The wanted keys are as many as the query has
+    titles; the catalog's titles are folded in one pass and never shuffled: rows are counted for each key.
     """
     spark = catalog.sparkSession
     wanted = spark.createDataFrame([(i, t, fold_title(t)) for i, t in enumerate(titles)], "pos int, title string, key string")
-    names = catalog.select("id", F.explode(F.array("title.romaji", "title.english", "title.native")).alias("name")).where("name IS NOT NULL AND name <> ''")
-    hits = names.select("id", title_key("name").alias("key")).join(F.broadcast(wanted.select("key").distinct()), "key")
-    # a row may have a title twice: count rows, not titles
-    counted = hits.distinct().groupBy("key").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    asked = _texts(sorted({fold_title(t) for t in titles} - {""}))
+    hits = catalog.select("id", _keys(catalog).alias("keys")).select("id", F.explode(F.array_intersect("keys", asked)).alias("key"))
+    counted = hits.groupBy("key").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
     return wanted.join(counted, "key", "left").select("pos", "title", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
+def corpus_facts(titles: list[str], catalog: DataFrame) -> DataFrame:
+    """One row, by one pass over catalog: _top, its largest popularity, and of the rows that titles resolve to
+    the number _refs, and the distinct _genres and relevant _tags."""
+    keys = sorted({fold_title(t) for t in titles} - {""})
+    top = F.coalesce(F.max("popularity"), F.lit(0)).alias("_top")
+    none = F.array().cast("array<string>")
+    if not keys:
+        return catalog.agg(top, F.lit(0).alias("_refs"), none.alias("_genres"), none.alias("_tags"))
+    facts = F.struct(F.coalesce("genres", none).alias("genres"), relevant_tags().alias("tags"))
+    rows = catalog.select("id", "popularity", facts.alias("facts"), _keys(catalog).alias("keys"))
+    hit = [F.array_contains("keys", k) for k in keys]
+    found = rows.agg(top, *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hit)], *[F.min_by("facts", F.when(h, F.col("id"))).alias(f"f{i}") for i, h in enumerate(hit)])
+    each = F.filter(F.array(*[F.when(F.col(f"n{i}") == 1, F.col(f"f{i}")) for i in range(len(keys))]), lambda x: x.isNotNull())
+    union = lambda name: F.array_distinct(F.flatten(F.transform("_each", lambda x: x[name])))
+    return found.withColumn("_each", each).select("_top", F.size("_each").alias("_refs"), union("genres").alias("_genres"), union("tags").alias("_tags"))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
@@ -97,22 +118,13 @@ def _jaccard(a: Column, b: Column) -> Column:
 def rank(q: dict, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """candidates with score and its components; sort by score descending, then id.
 
-    The largest popularity of the whole catalog and the facts of resolved references come as two one-row tables.
+    The largest popularity of the whole catalog and the facts of resolved references come as one row, by one pass.
     """
     hard = q["hard_constraints"]
     wish = {f: sorted({*hard[f]["all_of"], *hard[f]["any_of"]}) for f in Q.SETS}
-    top = catalog.agg(F.coalesce(F.max("popularity"), F.lit(0)).alias("_top"))
-    rows = candidates.crossJoin(F.broadcast(top))  # one row
+    rows = candidates.crossJoin(F.broadcast(corpus_facts(q["reference_titles"], catalog)))  # one row
     strong = relevant_tags()
-    if q["reference_titles"]:
-        ids = resolve(q["reference_titles"], catalog).where("id IS NOT NULL").select(F.col("id").alias("_id"))
-        facts = catalog.join(F.broadcast(ids), F.col("id") == F.col("_id")).agg(
-            F.array_distinct(F.flatten(F.collect_list("genres"))).alias("_genres"), F.array_distinct(F.flatten(F.collect_list(strong))).alias("_tags"), F.count("*").alias("_refs")
-        )
-        rows = rows.crossJoin(F.broadcast(facts))  # one row
-        similar = F.when(F.col("_refs") > 0, _jaccard(F.col("genres"), F.col("_genres")) + _jaccard(strong, F.col("_tags"))).otherwise(0.0)
-    else:
-        similar = F.lit(0.0)
+    similar = F.when(F.col("_refs") > 0, _jaccard(F.col("genres"), F.col("_genres")) + _jaccard(strong, F.col("_tags"))).otherwise(0.0)
     parts = {
         "genre_overlap": F.size(F.array_intersect("genres", _texts(wish["genres"]))) * 0.2,
         "tag_overlap": F.size(F.array_intersect(strong, _texts(wish["tags"]))) * 0.2,

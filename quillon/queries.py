@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import audit, evaluation, generation, patterns, sampling, search, sft
+from quillon.operators import audit, evaluation, generation, patterns, samplers, sampling, search, sft, tag_audit
 from quillon.plans import query as Q
+from quillon.plans import query_columns as QC
+from quillon.plans import sampler as S
 from quillon.sources import catalog as C
+from quillon.sources import records as R
+from quillon.sources import taxonomy
+from quillon.sources.schemas import QUERY, nested
 from quillon.sources.testdata import CATALOG_SQL, catalog, table
 
 QUERIES: dict = {}
@@ -84,9 +88,14 @@ def flt6_without_adult(spark, sf_dir):
 
 @registered("SELECT p_partkey AS tag_id, p_name AS tag_name FROM part WHERE p_size > 25 AND p_type NOT IN ('PROMO', 'SMALL')")
 def flt7_tag_admission(spark, sf_dir):
-    """Approved and neither adult nor spoiler (here: size, and two types)."""
-    tags = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_name").alias("tag_name"), (F.col("p_size") > 25).alias("approved"), (F.col("p_type") == "PROMO").alias("is_adult"), (F.col("p_type") == "SMALL").alias("is_general_spoiler"))
-    return tags.where("approved AND NOT is_adult AND NOT is_general_spoiler").select("tag_id", "tag_name")
+    """The approved of audited tags; here none of them is adult or a spoiler (two types), which would be an error."""
+    p = table(spark, sf_dir, "part")
+    adult, spoiler = F.col("p_type") == "PROMO", F.col("p_type") == "SMALL"
+    tags = p.select(
+        F.col("p_partkey").alias("tag_id"), F.col("p_name").alias("tag_name"), F.col("p_brand").alias("category"), F.array().cast("array<string>").alias("aliases"),
+        ((F.col("p_size") > 25) & ~adult & ~spoiler).alias("approved"), adult.alias("is_adult"), spoiler.alias("is_general_spoiler"),
+    )
+    return tag_audit.executable(tags).select("tag_id", "tag_name")
 
 
 @registered(cat("SELECT id, rt AS relevant, xt AS present FROM cat"))
@@ -102,9 +111,10 @@ def prj3_presentation(spark, sf_dir):
 @registered("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN CAST(month(o_orderdate) AS INT) ELSE CAST(year(o_orderdate) AS INT) END AS year FROM orders""")
 def prj1_normalised_year(spark, sf_dir):
     """A start year of 0 falls through to the season, as null does."""
-    o = table(spark, sf_dir, "orders")
     start = F.when(F.col("o_orderstatus") == "P", 0).otherwise(F.year("o_orderdate"))
-    return o.select(F.col("o_orderkey").alias("id"), X.or_else(start, F.month("o_orderdate")).alias("year"))
+    lists = {"genres": F.array().cast("array<string>"), "tags": F.array().cast("array<struct<name:string,rank:int>>")}
+    media = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(start.alias("year")).alias("startDate"), F.month("o_orderdate").alias("seasonYear"), *[c.alias(n) for n, c in lists.items()])
+    return C.normalise(media).select("id", "year")
 
 
 @registered("""WITH t AS (SELECT l_orderkey AS id, p_type, p_brand, CAST(l_quantity AS INT) AS rank FROM lineitem JOIN part ON p_partkey = l_partkey)
@@ -129,6 +139,25 @@ def src1_catalog_hash(spark, sf_dir):
     return C.table_sha256(rows, "id").crossJoin(rows.agg(F.count("*").alias("n")))
 
 
+#: A whole catalog row as canonical JSON.
+LINE_SQL = """q_tags AS (SELECT k, '[' || string_agg('{"name":"' || name || '","rank":' || rank || '}', ',' ORDER BY name) || ']' AS tags FROM brands GROUP BY k),
+q_line AS (SELECT id, '{"averageScore":' || coalesce(CAST(averageScore AS VARCHAR), 'null') || ',"episodes":' || coalesce(CAST(episodes AS VARCHAR), 'null') || ',"format":"' || format
+|| '","genres":[' || array_to_string(list_transform(genres, lambda g: '"' || g || '"'), ',') || '],"id":' || id || ',"isAdult":' || isAdult || ',"popularity":' || coalesce(CAST(popularity AS VARCHAR), 'null')
+|| ',"status":"' || status || '","tags":' || coalesce(tags, '[]') || ',"title":{"english":"' || english || '","native":null,"romaji":' || coalesce('"' || romaji || '"', 'null') || '},"year":' || coalesce(CAST(year AS VARCHAR), 'null') || '}' AS value
+FROM cat LEFT JOIN q_tags ON k = id)"""
+
+
+@registered(cat(f"{LINE_SQL} SELECT id, value FROM q_line"))
+def snk1_whole_lines(spark, sf_dir):
+    return C.canonical_lines(catalog(spark, sf_dir))
+
+
+@registered(cat(f"""{LINE_SQL}, q_a AS (SELECT id // 4096 AS k, sha256(string_agg(sha256(value), '' ORDER BY id)) AS h FROM q_line GROUP BY 1),
+q_b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM q_a GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS sha256 FROM q_b"""))
+def src1_whole_catalog_hash(spark, sf_dir):
+    return C.table_sha256(catalog(spark, sf_dir), "id")
+
+
 @registered("SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def set6_repeated_ids(spark, sf_dir):
     return audit.repeated(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
@@ -136,8 +165,7 @@ def set6_repeated_ids(spark, sf_dir):
 
 @registered("""SELECT user_id AS id, event_type AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def src2_last_write_wins(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("user_id").alias("id"), F.col("event_type").alias("last_type"))
+    return C.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("id"), F.col("event_type").alias("last_type"))
 
 
 TITLES = ["ORDER#5", " order#17 ", "Customer#000000001", "missing"]
@@ -185,21 +213,68 @@ def agg7_tag_frequency(spark, sf_dir):
 @registered("SELECT p_partkey AS id, p_brand AS value FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 40 AND p_type = 'PROMO')")
 def joi6_outside_vocabulary(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    vocabulary = p.where("p_size > 40 AND p_type = 'PROMO'").select(F.col("p_brand").alias("v")).distinct()
-    return p.join(vocabulary, F.col("p_brand") == F.col("v"), "left_anti").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
+    return audit.outside(p, "p_brand", p.where("p_size > 40 AND p_type = 'PROMO'").select("p_brand")).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
+
+
+@registered(cat("""SELECT id, list_sort(list_distinct(list_concat(list_filter(genres, lambda g: g NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')), list_filter(rt, lambda t: t = 'Brand#25'),
+CASE WHEN year < 1993 THEN ['year.min'] ELSE [] END, CASE WHEN format = '4-NOT SPECIFIED' THEN [format] ELSE [] END))) AS outside FROM cat"""))
+def joi6_queries_outside_rules(spark, sf_dir):
+    """A query of each catalog row's own values, against rules that lack some."""
+    rules = Q.Rules(genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO"]), tags=RULES.tags - {"Brand#25"}, formats=RULES.formats, statuses=RULES.statuses, year=(1993, 2100))
+    return catalog(spark, sf_dir).select("id", QC.outside(_row_query(F.col("genres"), search.relevant_tags()), rules).alias("outside"))
+
+
+def _row_query(genres_any, tags_any, **more):
+    """A column of queries that ask for a row's own values."""
+    none, text = F.array().cast("array<string>"), lambda *c: F.array(*c).cast("array<string>")
+    of = lambda name, **c: F.struct(*[c.get(o, none).alias(o) for o in Q.OPERATORS]).alias(name)
+    hard = F.struct(
+        of("genres", any_of=genres_any, **more.get("genres", {})), of("tags", any_of=tags_any), F.struct(F.col("year").alias("min"), F.lit(None).cast("int").alias("max")).alias("year"),
+        F.struct(more.get("episodes", F.lit(None)).cast("int").alias("min"), F.lit(None).cast("int").alias("max")).alias("episodes"), text(F.col("format")).alias("formats"), text(F.col("status")).alias("status"),
+    )
+    return F.struct(hard.alias("hard_constraints"), *[none.alias(f) for f in Q.TOP[1:]]).cast(f"struct<{nested(QUERY)}>")
 
 
-@registered("""SELECT s.s_suppkey AS id, CASE WHEN n.n_nationkey IS NULL THEN 'unknown' WHEN n.n_regionkey <> 1 THEN 'differs' ELSE 'ok' END AS verdict FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey""")
-def joi4_audit_against_snapshot(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    rows = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return rows.select(F.col("s_suppkey").alias("id"), F.when(F.col("n_nationkey").isNull(), "unknown").when(F.col("n_regionkey") != 1, "differs").otherwise("ok").alias("verdict"))
+SNAPSHOT_HASH = "0" * 64
 
 
-@registered("""SELECT n_nationkey AS id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_nationkey IS NOT NULL)""")
-def joi5_inactive_targets(spark, sf_dir):
-    active = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey").distinct()
-    return table(spark, sf_dir, "nation").join(active, F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select(F.col("n_nationkey").alias("id"))
+@registered(f"""WITH s AS (SELECT p_partkey AS id, p_name || '#' || p_partkey AS name, p_type AS category, p_size > 45 AS spoiler, p_brand = 'Brand#7' AS adult FROM part),
+a AS (SELECT CASE WHEN id % 11 = 0 THEN id + 1000000 ELSE id END AS tag_id, CASE WHEN id % 13 = 0 THEN 'none' || id ELSE name END AS tag_name, CASE WHEN id % 7 = 0 THEN 'other' ELSE category END AS category,
+id % 3 <> 0 AS approved, 'alias' || (id // 2) AS alias, CASE WHEN id % 5 = 0 THEN NOT spoiler ELSE spoiler END AS spoiler, adult, CASE WHEN id % 17 = 0 THEN 'x' ELSE '{SNAPSHOT_HASH}' END AS hash FROM s)
+SELECT tag_id, fault FROM (
+SELECT tag_id, 'another snapshot' AS fault FROM a WHERE hash = 'x' UNION ALL SELECT tag_id, 'unknown id' FROM a WHERE tag_id NOT IN (SELECT id FROM s) UNION ALL SELECT tag_id, 'unknown name' FROM a WHERE tag_name NOT IN (SELECT name FROM s)
+UNION ALL SELECT tag_id, 'category differs' FROM a JOIN s ON s.id = tag_id WHERE a.category <> s.category UNION ALL SELECT tag_id, 'is_general_spoiler differs' FROM a JOIN s ON s.id = tag_id WHERE a.spoiler <> s.spoiler
+UNION ALL SELECT tag_id, 'an alias is shared' FROM a WHERE approved AND alias IN (SELECT alias FROM a WHERE approved GROUP BY alias HAVING count(*) > 1))""")
+def joi4_tag_audit(spark, sf_dir):
+    """Parts as a taxonomy, and an audit of it with faults of several kinds."""
+    p = table(spark, sf_dir, "part")
+    snapshot = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("category"), (F.col("p_size") > 45).alias("is_general_spoiler"), (F.col("p_brand") == "Brand#7").alias("is_adult"))
+    k = F.col("id")
+    audited = snapshot.select(
+        F.when(k % 11 == 0, k + 1000000).otherwise(k).alias("tag_id"), F.when(k % 13 == 0, F.concat(F.lit("none"), k.cast("string"))).otherwise(F.col("name")).alias("tag_name"),
+        F.when(k % 7 == 0, "other").otherwise(F.col("category")).alias("category"), (k % 3 != 0).alias("approved"), F.array(F.concat(F.lit("alias"), F.floor(k / 2).cast("string"))).alias("aliases"),
+        F.when(k % 5 == 0, ~F.col("is_general_spoiler")).otherwise(F.col("is_general_spoiler")).alias("is_general_spoiler"), "is_adult", F.when(k % 17 == 0, "x").otherwise(SNAPSHOT_HASH).alias("source_snapshot_hash"),
+    )
+    return tag_audit.audit_faults(audited, snapshot, SNAPSHOT_HASH).select("tag_id", "fault")
+
+
+@registered("""WITH g AS (SELECT DISTINCT p_type AS "group", p_brand AS tag FROM part WHERE p_size < 10), act AS (SELECT DISTINCT p_brand AS tag FROM part WHERE p_brand < 'Brand#2'), app AS (SELECT DISTINCT p_brand AS tag FROM part WHERE p_brand <> 'Brand#13')
+SELECT "group", tag, 'not active' AS fault FROM g WHERE tag NOT IN (SELECT tag FROM act) UNION ALL SELECT NULL, tag, 'not approved' FROM act WHERE tag NOT IN (SELECT tag FROM app)""")
+def joi5_tag_targets(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("tag", F.col("p_brand"))
+    groups = p.where("p_size < 10").select(F.col("p_type").alias("group"), "tag").distinct()
+    return tag_audit.target_faults(groups, p.where("tag < 'Brand#2'").select("tag"), p.where("tag <> 'Brand#13'").select("tag"))
+
+
+@registered("SELECT p_partkey AS id, p_name || '#' || p_partkey AS name, p_type AS description, p_brand AS category, p_size > 45 AS is_general_spoiler, false AS is_adult FROM part")
+def prj4_taxonomy(spark, sf_dir):
+    """Parts as raw tags with more fields than a snapshot has."""
+    p = table(spark, sf_dir, "part")
+    raw = p.select(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
+        (F.col("p_size") > 45).alias("isGeneralSpoiler"), F.lit(False).alias("isAdult"), F.lit(7).alias("rank"),
+    )
+    return taxonomy.projected(raw)
 
 
 @registered("""SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents WHERE text NOT IN (SELECT text FROM benchmark) GROUP BY text""")
@@ -345,6 +420,12 @@ def set4_shuffled_split(spark, sf_dir):
     return sampling.shuffled_split(rows, "o_orderkey", 17).groupBy("split").agg(F.count("*").alias("n"))
 
 
+@registered("""SELECT o_orderkey, CASE WHEN i < floor(0.8 * n) THEN 'train' WHEN i < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('17:' || o_orderkey), o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)""")
+def set4_assignment(spark, sf_dir):
+    return sampling.shuffled_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 17)
+
+
 @registered("""SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2""")
 def agg4_frequencies(spark, sf_dir):
     return audit.frequencies(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
@@ -353,7 +434,8 @@ def agg4_frequencies(spark, sf_dir):
 @registered(cat("""SELECT status AS family, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT format) AS BIGINT) AS formats, CAST(count(*) FILTER (len(genres) > 1) AS BIGINT) AS multi,
 list_sort(list(DISTINCT format)) AS all_formats FROM cat GROUP BY 1"""))
 def agg6_dataset_audit(spark, sf_dir):
-    return catalog(spark, sf_dir).groupBy(F.col("status").alias("family")).agg(F.count("*").alias("n"), F.count_distinct("format").alias("formats"), F.count_if(F.size("genres") > 1).alias("multi"), F.array_sort(F.collect_set("format")).alias("all_formats"))
+    found = audit.dataset_audit(catalog(spark, sf_dir), "status", "format", "genres")
+    return found.select(F.col("status").alias("family"), "n", F.col("distinct").alias("formats"), F.col("several").alias("multi"), F.col("all_values").alias("all_formats"))
 
 
 @registered("SELECT lang, CAST(count(*) AS BIGINT) AS n, min(n_chars) AS least, CAST(median(n_chars) AS DOUBLE) AS median, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS most FROM documents GROUP BY 1")
@@ -363,8 +445,7 @@ def agg8_length_summary(spark, sf_dir):
 
 @registered("SELECT CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n_chars, 1.0) AS BIGINT) AS p100 FROM documents")
 def agg9_nearest_rank(spark, sf_dir):
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY n_chars)").cast("long")
-    return table(spark, sf_dir, "documents").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(1.0).alias("p100"))
+    return audit.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
 
 
 @registered("SELECT o_custkey AS owner, CAST(count(*) AS BIGINT) AS n, sha256('[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) || ']') AS sha256 FROM orders GROUP BY 1")
@@ -375,16 +456,25 @@ def agg10_ids_hash(spark, sf_dir):
 
 @registered("""SELECT l_orderkey AS id, CAST(count(DISTINCT p_type) + (count(DISTINCT p_brand) > 1)::INT + 1 AS BIGINT) AS clauses FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def agg11_clause_count(spark, sf_dir):
-    """ALL values one each, an ANY list one, a bound one: array arithmetic."""
+    """Queries that ask for an order's types (ALL), brands (ANY, if several) and a year."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sets = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("p_type").alias("all_of"), F.collect_set("p_brand").alias("any_of"))
-    return sets.select("id", (F.size("all_of") + (F.size("any_of") > 1).cast("int") + 1).cast("long").alias("clauses"))
+    sets = sets.withColumns({"year": F.lit(1990), "format": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
+    none = F.array().cast("array<string>")
+    q = _row_query(none, F.when(F.size("any_of") > 1, F.col("any_of")).otherwise(none), genres={"all_of": F.col("all_of")})
+    hard = q["hard_constraints"].withField("formats", none).withField("status", none)
+    return sets.select("id", QC.clause_count(q.withField("hard_constraints", hard)).alias("clauses"))
 
 
-@registered(cat("SELECT concat_ws(' + ', CASE WHEN len(genres) > 3 THEN 'GENRE_ALL' END, CASE WHEN len(rt) > 0 THEN 'TAG_ANY' END, CASE WHEN episodes IS NOT NULL THEN 'EPISODE_MIN' END) AS signature, CAST(count(*) AS BIGINT) AS n FROM cat GROUP BY 1"))
-def val6_signatures(spark, sf_dir):
-    sig = F.concat_ws(" + ", F.when(F.size("genres") > 3, "GENRE_ALL"), F.when(F.size(search.relevant_tags()) > 0, "TAG_ANY"), F.when(F.col("episodes").isNotNull(), "EPISODE_MIN"))
-    return catalog(spark, sf_dir).groupBy(sig.alias("signature")).agg(F.count("*").alias("n"))
+@registered(cat("""SELECT coalesce(nullif(concat_ws(' + ', CASE WHEN len(genres) > 3 THEN 'GENRE_ANY' END, CASE WHEN len(rt) > 0 THEN 'TAG_ANY' END, CASE WHEN year > 1993 THEN 'YEAR_MIN' END, CASE WHEN episodes IS NOT NULL THEN 'EPISODE_MIN' END,
+CASE WHEN format < '2' THEN 'FORMAT' END, CASE WHEN status = 'P' THEN 'STATUS' END), ''), 'NO_HARD_CONSTRAINT') AS signature, CAST(count(*) AS BIGINT) AS n FROM cat GROUP BY 1"""))
+def val6_constraint_signatures(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    rows = catalog(spark, sf_dir).withColumn("year", F.when(F.col("year") > 1993, F.col("year")))
+    q = _row_query(F.when(F.size("genres") > 3, F.col("genres")).otherwise(none), search.relevant_tags(), episodes=F.col("episodes"))
+    hard = q["hard_constraints"]
+    hard = hard.withField("formats", F.when(F.col("format") < "2", hard["formats"]).otherwise(none)).withField("status", F.when(F.col("status") == "P", hard["status"]).otherwise(none))
+    return rows.groupBy(QC.signature(q.withField("hard_constraints", hard)).alias("signature")).agg(F.count("*").alias("n"))
 
 
 @registered("SELECT o_orderkey AS id, 'sample_' || sha256('{\"family\":\"' || o_orderpriority || '\",\"seed\":' || o_custkey || ',\"spec\":{\"min\":null,\"status\":\"' || o_orderstatus || '\"}}') AS sample_id FROM orders")
@@ -401,7 +491,7 @@ def prj6_query_json(spark, sf_dir):
 
 @registered(cat("SELECT id, CASE len(genres) WHEN 0 THEN '' WHEN 1 THEN genres[1] ELSE array_to_string(genres[1:len(genres) - 1], ', ') || ' or ' || genres[len(genres)] END AS phrase FROM cat"))
 def fn8_joined(spark, sf_dir):
-    return catalog(spark, sf_dir).select("id", F.when(F.size("genres") == 0, "").otherwise(F.concat(F.array_join(F.slice("genres", 1, F.greatest(F.size("genres") - 1, F.lit(1))), ", "), F.when(F.size("genres") > 1, F.concat(F.lit(" or "), F.try_element_at("genres", F.lit(-1)))).otherwise(""))).alias("phrase"))
+    return catalog(spark, sf_dir).select("id", X.joined(F.col("genres"), ", ", " or ").alias("phrase"))
 
 
 # --- patterns and probabilities -----------------------------------------------------------------------------------
@@ -492,6 +582,44 @@ def smp13_mechanics(spark, sf_dir):
     return m.where("signature = 'genre_set+year_range' AND family = 'cross_field_composition'").select("bucket", "genre_set", "year_range", F.round("p", 10).alias("p"))
 
 
+def _levels_sql() -> str:
+    """Common table expressions m0, m1, ...: at each level the distinct options of what was decided before are weighed."""
+    context, ctes, k = ["family", "bucket", "signature"], ["m0 AS (SELECT *, CAST(1.0 AS DOUBLE) AS p FROM el)"], 0
+    case = lambda column, weights: "CASE " + column + " " + " ".join(f"WHEN '{o}' THEN {float(w)}" for o, w in weights.items()) + " END"
+    steps = []
+    for slot in ("genre_set", "tag_set", "year_range", "episodes_range"):
+        if slot in patterns.SET_SLOTS:
+            steps.append((f"split_part({slot}, ':', 1)", case(f"split_part({slot}, ':', 1)", OPERATOR_W)))
+            steps.append((slot, case(slot, {f"{o}:{c}": w for o, t in CARDINALITY_W.items() for c, w in t.items()})))
+        else:
+            steps.append((slot, case(slot, RANGE_W[slot])))
+    for option, weight in steps:
+        on = ", ".join(context)
+        total = f"(SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(context))}, sum(w) AS t FROM (SELECT DISTINCT {on}, {option} AS o, {weight} AS w FROM m{k} WHERE {option.split('(')[-1].split(',')[0]} IS NOT NULL) GROUP BY ALL)"
+        match = " AND ".join(f"m{k}.{c} IS NOT DISTINCT FROM c{i}" if "(" not in c else f"{c.replace('(', f'(m{k}.')} IS NOT DISTINCT FROM c{i}" for i, c in enumerate(context))
+        ctes.append(f"m{k + 1} AS (SELECT m{k}.* REPLACE (CASE WHEN {option.split('(')[-1].split(',')[0]} IS NULL THEN p ELSE p * {weight} / t END AS p) FROM m{k} LEFT JOIN {total} ON {match})")
+        context.append(option)
+        k += 1
+    return ", ".join(ctes)
+
+
+@registered(f"WITH {SPACE_SQL}, {_levels_sql()} SELECT family, bucket, signature, " + ", ".join(patterns.SLOTS) + ", round(p, 10) AS p FROM m6")
+def smp13_every_mechanics(spark, sf_dir):
+    """The probability of every eligible pattern within its family, bucket and signature."""
+    m = patterns.mechanics(patterns.space(spark), OPERATOR_W, CARDINALITY_W, RANGE_W)
+    return m.select("family", "bucket", "signature", *patterns.SLOTS, F.round("p", 10).alias("p"))
+
+
+@registered(f"WITH {SPACE_SQL} SELECT family, bucket, fault, CAST(count(*) AS BIGINT) AS n FROM (SELECT family, bucket, CASE WHEN pos7 = 0 THEN 'another clause count' ELSE 'another bucket' END AS fault FROM (SELECT family, bucket, n, (n + atoms) % 2 AS pos7 FROM el) WHERE pos7 = 0 OR n < 5) GROUP BY ALL")
+def val16_plan_faults(spark, sf_dir):
+    """Plans with a wrong clause count (n and slots of one parity) or bucket; right ones give no row."""
+    made = patterns.eligible(patterns.space(spark)).withColumn("signature", F.array_join(patterns.signature(), "+")).withColumnRenamed("bucket", "own")
+    even = (F.col("n") + F.size(F.split("signature", r"\+"))) % 2 == 0
+    moved = F.when(~even & (F.col("n") < 5), "5_plus").otherwise(F.col("own"))
+    plans = made.withColumn("bucket", moved).withColumn("n", F.when(even, F.col("n") + 20).otherwise(F.col("n")))
+    return patterns.plan_faults(plans).groupBy("family", F.col("own").alias("bucket"), "fault").agg(F.count("*").alias("n"))
+
+
 @registered(f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS patterns FROM el WHERE (genre_set IS NULL OR CAST(split_part(genre_set, ':', 2) AS INT) <= 2) AND (tag_set IS NULL OR CAST(split_part(tag_set, ':', 2) AS INT) <= 1) AND tag_group_none IS NULL GROUP BY ALL")
 def smp15_bindable(spark, sf_dir):
     capacity = dict.fromkeys(patterns.SLOTS, 9) | {"genre_set": 2, "tag_set": 1, "tag_group_none": 0}
@@ -544,37 +672,43 @@ def smp7_seeded_sets(spark, sf_dir):
 # --- training features --------------------------------------------------------------------------------------------
 
 
-@registered("""SELECT conv_id, turn, '[{"role":"system","content":"S"},{"role":"user","content":' || to_json(text) || '}]' AS messages FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]')""")
-def prj8_messages(spark, sf_dir):
-    """PRJ-7, PRJ-8. (The comparison leaves out texts with control characters, which JSON writers escape differently.)"""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").where(~F.col("text").rlike(r"[\x00-\x1f\x7f]"))
-    return rows.select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"))).alias("messages"))
-
-
-@registered()
+@registered("""SELECT conv_id, turn, '[{"role":"system","content":"S"},{"role":"user","content":' || to_json(text) || '}]' AS messages FROM conversations WHERE role = 'user'""")
 def prj8_every_message(spark, sf_dir):
-    """PRJ-7, PRJ-8 for every user turn, those with control characters (newlines) as well; prj8_messages has only what its SQL can compare."""
+    """PRJ-7, PRJ-8 for every user turn."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"))).alias("messages"))
 
 
-MASK_SQL = "f AS (SELECT conv_id, turn, length(role) AS p, length(role) + length(text) % 7 + 1 AS n FROM conversations)"
+@registered("""SELECT u.conv_id, u.turn, '[{"role":"system","content":"S"},{"role":"user","content":' || to_json(u.text) || '},{"role":"assistant","content":' || to_json(a.text) || '}]' AS messages
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""")
+def prj8_training_messages(spark, sf_dir):
+    """Every user turn with the answer to it."""
+    c = table(spark, sf_dir, "conversations")
+    answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return c.where("role = 'user'").join(answers, ["conv_id", "turn"]).select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"), F.col("answer"))).alias("messages"))
+
+
+#: A turn's prompt and whole text, and the bytes of both as token ids.
+BYTES_SQL = """b AS (SELECT conv_id, turn, octet_length(encode(role || chr(10))) AS p, hex(encode(role || chr(10) || text)) AS h FROM conversations),
+f AS (SELECT conv_id, turn, p, len(h) // 2 AS n, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INT)) AS ids FROM b)"""
 
 
 def _features(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    prompt = F.sequence(F.lit(1), F.length("role"))
-    full = F.sequence(F.lit(1), F.length("role") + F.length("text") % 7 + 1)
-    return sft.features(c.select("conv_id", "turn", prompt.alias("prompt"), full.alias("full")), "prompt", "full", 4096)
+    """Features of every turn; token ids are the bytes of its text in UTF-8."""
+    prompt = F.concat("role", F.lit("\n"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("before"), F.concat(prompt, "text").alias("whole"))
+    for text, ids in (("before", "prompt"), ("whole", "full")):
+        rows = sft.tokenised(rows, text, ids, lambda t: list(t.encode()))
+    return sft.features(rows, "prompt", "full", 1 << 20)
 
 
-@registered(f"WITH {MASK_SQL} SELECT conv_id, turn, list_concat(list_transform(range(p), lambda x: -100), list_transform(range(p + 1, n + 1), lambda x: CAST(x AS INT))) AS labels, CAST(n AS INT) AS n FROM f")
-def udf3_completion_mask(spark, sf_dir):
+@registered(f"WITH {BYTES_SQL} SELECT conv_id, turn, list_concat(list_transform(range(p), lambda x: -100), ids[p + 1:]) AS labels, CAST(n AS INT) AS n FROM f")
+def udf3_token_labels(spark, sf_dir):
     return _features(spark, sf_dir).select("conv_id", "turn", "labels", F.size("attention_mask").alias("n"))
 
 
-@registered(f"WITH {MASK_SQL} SELECT conv_id, turn, array_to_string(list_concat(range(1, n + 1), list_transform(range(max(n) OVER (PARTITION BY conv_id) - n), lambda x: 0)), ' ') AS ids FROM f")
-def udf4_padded_batches(spark, sf_dir):
+@registered(f"WITH {BYTES_SQL} SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(max(n) OVER (PARTITION BY conv_id) - n), lambda x: 0)), ' ') AS ids FROM f")
+def udf4_token_batches(spark, sf_dir):
     return sft.padded(_features(spark, sf_dir), "conv_id", 0).select("conv_id", "turn", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -583,7 +717,7 @@ def fn6_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k int")["k"].alias("k"), X.is_canonical_text(F.col("event_type")).alias("canonical"))
 
 
-@registered()
+@registered("""SELECT conv_id, turn, '{"n": ' || length(text) || '}' AS raw_output FROM conversations WHERE role = 'user'""")
 def udf1_parser_answers(spark, sf_dir):
     """An injected parser over a column of texts."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
@@ -591,6 +725,33 @@ def udf1_parser_answers(spark, sf_dir):
 
 
 BINDING_RULES = Q.Rules(genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year, groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1"), "HIGH": (("Brand#24", "Brand#25"), ("any_of", "none_of"), "HIGH_V1")})
+#: Groups that share tags, so that not every pair of them fits.
+SHARING_RULES = Q.Rules(genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year, groups={
+    "A": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "A_V1"), "B": (("Brand#3",), ("none_of",), "B_V1"), "C": (("Brand#2", "Brand#3"), ("any_of", "none_of"), "C_V1"),
+})
+#: A configuration of sampling for the test tables.
+CONFIG = {
+    "sampler_version": "example-1", "seed": 17, "family_weights": FAMILY_W, "constraint_count_weights": BUCKET_W, "operator_weights": OPERATOR_W, "operator_cardinality": CARDINALITY_W,
+    "genre_sampling": {"minimum_coverage_per_value": 1, "maximum_value_share": 0.5, "default_weight": 1.0, "priority_weights": {"PROMO": 2.0}},
+    "tag_sampling": {"minimum_coverage_per_value": 1, "maximum_value_share": 0.5, "default_weight": 1.0, "priority_weights": {"Brand#1": 3.0}, "tier_weights": {"core": 5, "standard": 3, "edge": 1}, "value_tiers": {"Brand#2": "core"}},
+    "numeric_sampling": {
+        "year": {"pattern_weights": RANGE_W["year_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1}, "common_values": [2000, 2010, 2020], "catalog_region_values": [1990, 2005], "long_tail_values": [1917]},
+        "episodes": {"pattern_weights": RANGE_W["episodes_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1}, "common_values": [12, 24], "catalog_region_values": [1, 13], "long_tail_values": [110]},
+    },
+    "combination_policy_version": "example-1",
+    "audit_tolerances": {"family_max_absolute_error": 0.08, "constraint_count_max_absolute_error": 0.08, "operator_max_absolute_error": 0.1, "minimum_value_coverage_ratio": 0.9, "maximum_signature_share": 0.35},
+}
+
+
+def signature_policy(space):
+    """A policy that allows every signature that some eligible pattern has, each with the same weight."""
+    order = {f: i for i, f in enumerate(patterns.FAMILIES)}
+    rows = [(r.family, r.bucket, r.signature.split("+")) for r in patterns.signatures(space).collect()]  # some hundred rows
+    rows.sort(key=lambda r: (order[r[0]], patterns.BUCKETS.index(r[1]), [patterns.SLOTS.index(k) for k in r[2]]))
+    entries = [{"semantic_family": f, "complexity_bucket": 0 if b == "0" else b, "atom_kinds": k, "weight": 1} for f, b, k in rows]
+    return {"policy_version": "example-1", "sampler_version": CONFIG["sampler_version"], "signature_entries": entries}
+
+
 POOLS = generation.Pools(dict.fromkeys(RULES.genres, 1.0), {t: 1.0 for t in RULES.tags}, [1990, 2000, 2010, 2020], [1, 12, 24, 50], ["Order#1", "Order#2"])
 
 
@@ -601,6 +762,74 @@ def smp16_bound_patterns(spark, sf_dir):
     return rows.where("r.error IS NULL AND r.clauses = n").groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("clauses"))
 
 
+@registered(f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS clauses, CAST(0 AS BIGINT) AS errors FROM el GROUP BY ALL")
+def smp16_every_binding(spark, sf_dir):
+    """SMP-16 with groups that share tags: errors are counted too."""
+    rows = generation.records(patterns.eligible(patterns.space(spark)), "pos", SHARING_RULES, POOLS)
+    return rows.groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("r.clauses").alias("clauses"), F.count_if(F.col("r.error").isNotNull()).alias("errors"))
+
+
+@registered()
+def smp4_drawn_patterns(spark, sf_dir):
+    """SMP-4, SMP-12, SMP-14: a pattern for each order, drawn by the order's own seed."""
+    space = patterns.space(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return samplers.drawn_patterns(rows, "id", samplers.Sampler(CONFIG, signature_policy(space), space)).select("id", "pattern.*")
+
+
+@registered("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '3' WHEN o_orderkey % 3 = 1 THEN '1' ELSE '2' END AS bucket, true AS fits FROM orders")
+def smp5_drawn_pairs(spark, sf_dir):
+    """SMP-5: an operator and a cardinality for each order, whose clauses are its bucket."""
+    k = F.col("o_orderkey") % 3
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 0, "3").when(k == 1, "1").otherwise("2").alias("bucket"))
+    clauses = F.when(F.col("operator") == "any_of", 1).otherwise(F.col("cardinality"))
+    return samplers.drawn_pairs(rows, "id", "bucket", CONFIG).select("id", "bucket", (clauses.cast("string") == F.col("bucket")).alias("fits"))
+
+
+@registered()
+def smp16_sampled_records(spark, sf_dir):
+    """Pattern and values of a record for each order, by one generator of the order's seed."""
+    space = patterns.space(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    made = generation.sampled_records(rows, "id", samplers.Sampler(CONFIG, signature_policy(space), space), SHARING_RULES, generation.Pools.of(CONFIG, SHARING_RULES, ["Order#1", "Order#2"]))
+    return made.select("id", "r.*")
+
+
+@registered("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', CAST({w} AS DOUBLE), {i})" for t, k, w, i in S.weight_rows(CONFIG)) + ") v(\"table\", key, weight, ord)")
+def src11_weight_tables(spark, sf_dir):
+    return S.weight_table(spark, S.load_config(json.dumps(CONFIG)))
+
+
+@registered(f"WITH {SPACE_SQL}, c AS (SELECT DISTINCT family, bucket FROM el WHERE bucket <> '2') SELECT 'cross_field_composition' AS family, '1' AS bucket, 'genre_set' AS signature, 'not eligible' AS fault UNION ALL SELECT DISTINCT family, bucket, NULL, 'no signature' FROM el WHERE bucket = '2'")
+def val13_policy_faults(spark, sf_dir):
+    """A policy without the contexts of two clauses and with an entry that no pattern has."""
+    space = patterns.space(spark)
+    entries = S.policy_table(spark, signature_policy(space)).where("bucket <> '2'").drop("ord", "weight")
+    wrong = spark.createDataFrame([("cross_field_composition", "1", "genre_set")], "family string, bucket string, signature string")
+    return S.policy_faults(entries.unionByName(wrong), space)
+
+
+@registered(f"WITH {SPACE_SQL} SELECT family, bucket, signature, round(1.0 / count(*) OVER (PARTITION BY family, bucket), 10) AS p FROM (SELECT DISTINCT family, bucket, signature FROM el)")
+def smp12_signature_probabilities(spark, sf_dir):
+    t = S.signature_probabilities(S.policy_table(spark, signature_policy(patterns.space(spark))))
+    return t.select("family", "bucket", "signature", F.round("p", 10).alias("p"))
+
+
+@registered(cat("""SELECT CAST(count(*) FILTER (status <> 'P') AS BIGINT) AS ok, CAST(count(*) FILTER (status <> 'P' AND id % 3 = 0) AS BIGINT) AS exact, CAST(count(*) FILTER (status <> 'P' AND id % 3 <> 1) AS BIGINT) AS semantic,
+CAST(count(*) AS BIGINT) AS cases, CAST(sum(CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS violating_results FROM cat"""))
+def agg12_fidelity(spark, sf_dir):
+    """Cases whose parsed query is the expected one, one with ANY for ALL of a lone value, or another."""
+    wish, same, other = (Q.dumps(Q.query(genres=g)) for g in ({"all_of": ["A"]}, {"any_of": ["A"]}, {"all_of": ["B"]}))
+    k = F.col("id") % 3
+    parsed = F.when(F.col("status") != "P", F.when(k == 0, wish).when(k == 1, other).otherwise(same))
+    ids = F.array("id")
+    rows = catalog(spark, sf_dir).select(
+        F.when(F.col("status") == "P", "parse_failed").otherwise("ok").alias("status"), parsed.alias("parsed"), F.lit(wish).alias("expected"),
+        ids.alias("result_ids"), F.when(F.col("id") % 2 == 1, ids).otherwise(F.array().cast("array<bigint>")).alias("allowed_ids"),
+    )
+    return evaluation.fidelity_counts(evaluation.fidelity(rows))
+
+
 #: Other names of values, as texts may have them.
 NAMES = {"genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"}, "status": {"F": "已完结", "O": "正在连载"}, "groups": {"LOW": "低号", "HIGH": "高号"}}
 

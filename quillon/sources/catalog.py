@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +57,17 @@ def violations(media: DataFrame) -> DataFrame:
     return media.withColumn("violation", F.explode(found))
 
 
+def latest(rows: DataFrame, key: Column | str, order: list[Column | str]) -> DataFrame:
+    """Of the rows of each key the one with the greatest order: the last write wins."""
+    greatest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_n", F.row_number().over(greatest)).where("_n = 1").drop("_n")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Cached page files, one JSON object each: media that aren't adult, of each id the last by schedule, page and place."""
     media = spark.read.schema(PAGE).json(path).select("schedule", "page", F.posexplode("data.Page.media").alias("pos", "m"))
-    latest = Window.partitionBy("m.id").orderBy(F.desc("schedule"), F.desc("page"), F.desc("pos"))
-    rows = media.where(~F.coalesce("m.isAdult", F.lit(False))).withColumn("_n", F.row_number().over(latest)).where("_n = 1").select("m.*")
-    return normalise(rows)
+    rows = latest(media.where(~F.coalesce("m.isAdult", F.lit(False))), "m.id", ["schedule", "page", "pos"])
+    return normalise(rows.select("m.*"))
 
 
 def canonical_lines(catalog: DataFrame) -> DataFrame:
@@ -90,14 +93,17 @@ def write_lines(catalog: DataFrame, path: str) -> None:
 
 
 def table_sha256(df: DataFrame, key: str, fan: int = 4096) -> DataFrame:
-    """One row: a SHA-256 in which order (of a unique whole-number key) and content both count.
+    """One row: a SHA-256 in which order (of a unique whole-number key, 0 or more) and content both count.
 
-    A tree of digests: rows, then blocks of `fan` keys, blocks of blocks, and their row, so a task holds `fan` digests at most
-    (keys below fan ** 3).
+    A tree of digests: rows, then blocks of `fan` keys, blocks of blocks, and their row, so a task holds `fan` digests at
+    most. It has two levels of blocks below the root, and more where the largest key needs them.
     """
     level = df.select(F.col(key).cast("long").alias("k"), sha256(to_canonical_json(_alphabetical(df))).alias("h"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
-    for _ in range(2):
+    most, levels = df.agg(F.max(F.col(key).cast("long"))).first()[0] or 0, 2
+    while most >= fan ** (levels + 1):
+        levels += 1
+    for _ in range(levels):
         level = level.groupBy(F.floor(F.col("k") / fan).alias("k")).agg(F.sha2(listed.cast("binary"), 256).alias("h"))
     return level.agg(F.sha2(listed.cast("binary"), 256).alias("sha256"))
 
@@ -106,7 +112,3 @@ def split_bad(media: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): bad rows keep the reasons, for a quarantine table."""
     bad = violations(media)
     return media.join(bad.select("id").distinct(), "id", "left_anti").where("id IS NOT NULL"), bad
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

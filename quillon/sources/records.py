@@ -14,10 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import canonical_json, is_canonical_text, without_line_end
+from quillon.operators import patterns
 from quillon.plans import query as Q
 
 INPUT = "sample_id string, challenge_id string, split string, user_text string, gold_query string, semantic_family string, constraint_count int, constraint_signature string, normalization_rule_ids array<string>"
-PREDICTION = "sample_id string, split string, gold_query string, raw_model_output string, exact_match boolean, hard_constraint_tp long, hard_constraint_fp long, hard_constraint_fn long, error_labels array<string>"
+# The columns of a prediction. Queries and mappings stay JSON texts.
+PREDICTION = (
+    "sample_id string, split string, user_text string, gold_query string, raw_model_output string, parsed_prediction string, parse_error string, schema_error string, "
+    "domain_error string, canonical_prediction string, exact_match boolean, field_correctness map<string,boolean>, hard_constraint_tp long, hard_constraint_fp long, "
+    "hard_constraint_fn long, error_labels array<string>, recoverable_json boolean, semantic_family string, constraint_count int, constraint_signature string, "
+    "normalization_rule_ids array<string>, model_id string, tokenizer_id string, resolved_model_revision string, prompt_version string, serialization_identity string, "
+    "generation_config string"
+)
+#: Columns of a prediction that hold a JSON value as it is.
+NESTED = ("gold_query", "parsed_prediction", "canonical_prediction", "generation_config")
 
 
 class RecordError(ValueError):
@@ -105,6 +115,62 @@ def title_pool(text: str) -> list[str]:
     return titles
 
 
+MANIFEST = ("manifest_version", "dataset_version", "cases")
+CASE = ("case_id", "semantic_family", "complexity_bucket", "atoms", "generation_family", "template_id", "split", "seeds")
+# The splits and families of text of a pilot, and how many records it may have.
+PILOT_SPLITS, PILOT_TEXTS, PILOT_RECORDS = ("train", "validation", "test"), ("direct_explicit_v1", "direct_compact_v1", "natural_compact_v1"), (200, 300)
+
+
+def _atom(raw) -> tuple[str, str]:
+    """(slot, payload) of a slot as a manifest writes it."""
+    kind = raw.get("kind") if isinstance(raw, dict) else None
+    if kind not in patterns.SLOTS:
+        raise RecordError(f"no slot: {raw!r}")
+    keys = {"kind", "operator", "cardinality"} if kind in patterns.SET_SLOTS else {"kind", "range_pattern"} if kind in patterns.RANGE_SLOTS else {"kind"}
+    if set(raw) != keys:
+        raise RecordError(f"{kind} has wrong keys: {sorted(raw)}")
+    payload = f"{raw['operator']}:{raw['cardinality']}" if kind in patterns.SET_SLOTS else raw.get("range_pattern", "used")
+    if payload not in [p for p, _ in patterns.options(kind)]:
+        raise RecordError(f"{kind} has no option {payload!r}")
+    return kind, payload
+
+
+def load_pilot(text: str) -> dict:
+    """A pilot's manifest: cases in order of unique ids, each with a pattern that its family and bucket may have, a template of its own in one split, and ascending seeds."""
+    manifest = load_strict(text, MANIFEST)
+    cases, ids = manifest["cases"], []
+    if not isinstance(cases, list) or not cases:
+        raise RecordError("no cases")
+    for c in cases:
+        if not isinstance(c, dict) or set(c) != set(CASE):
+            raise RecordError("a case has other keys")
+        ids.append(c["case_id"])
+        made = [_atom(a) for a in c["atoms"]]
+        c["slots"] = dict.fromkeys(patterns.SLOTS) | dict(made)
+        if [k for k, _ in made] != [s for s in patterns.SLOTS if c["slots"][s]]:
+            raise RecordError(f"{c['case_id']}: slots are not in order, or come twice")
+        c["n"] = patterns.clauses(c["slots"])
+        if c["semantic_family"] not in patterns.families(c["slots"]) or str(c["complexity_bucket"]) != patterns.bucket_of(c["n"]):
+            raise RecordError(f"{c['case_id']}: the pattern is not of its family and bucket")
+        if c["generation_family"] not in PILOT_TEXTS or c["template_id"] != f"{c['case_id']}__{c['generation_family']}" or c["split"] not in PILOT_SPLITS:
+            raise RecordError(f"{c['case_id']}: wrong text family, template or split")
+        seeds = c["seeds"]
+        if not seeds or any(type(s) is not int for s in seeds) or any(a >= b for a, b in zip(seeds, seeds[1:], strict=False)):
+            raise RecordError(f"{c['case_id']}: seeds are none, or don't ascend")
+    if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+        raise RecordError("ids of cases are not in order, or come twice")
+    if not PILOT_RECORDS[0] <= sum(len(c["seeds"]) for c in cases) <= PILOT_RECORDS[1]:
+        raise RecordError("too few or too many records")
+    return manifest
+
+
+def pilot_cases(spark: SparkSession, manifest: dict) -> DataFrame:
+    """A row for each case and seed: case_id, family, template_id, generation_family, split, the slots, n, seed."""
+    rows = [(c["case_id"], c["semantic_family"], c["template_id"], c["generation_family"], c["split"], *[c["slots"][s] for s in patterns.SLOTS], c["n"], c["seeds"]) for c in manifest["cases"]]
+    ddl = "case_id string, family string, template_id string, generation_family string, split string, " + ", ".join(f"{s} string" for s in patterns.SLOTS) + ", n int, seeds array<long>"
+    return spark.createDataFrame(rows, ddl).withColumn("seed", F.explode("seeds")).drop("seeds")
+
+
 # --- tables -------------------------------------------------------------------------------------------------------
 
 
@@ -115,7 +181,40 @@ def read_inputs(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION).json(path)
+    """All columns of predictions; a line that is no object of these types, or has no sample id, is an error."""
+    rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
+    known = F.when(F.col("sample_id").isNotNull(), F.col("sample_id")).otherwise(F.raise_error(F.lit("a prediction has no sample id")).cast("string"))
+    return rows.withColumn("sample_id", known)
+
+
+def prediction_rows(evaluated: DataFrame, run: dict[str, str]) -> DataFrame:
+    """Evaluated rows (sample_id, split, user_text, gold_query, raw_output, slice columns, e) as predictions; run has the identity of model, prompt and generation."""
+    has = lambda c, t: F.col(c) if c in evaluated.columns else F.lit(None).cast(t)
+    error = lambda before, here: F.when(before & ~here, F.col("e.error"))
+    layers = [F.lit(True), F.col("e.parsed"), F.col("e.schema_ok"), F.col("e.domain_ok")]
+    fields = F.create_map(*[x for f in Q.FIELDS for x in (F.lit(f), F.col(f"e.{f}_ok"))])
+    made = {
+        "sample_id": F.col("sample_id"), "split": has("split", "string"), "user_text": has("user_text", "string"), "gold_query": F.col("gold_query"), "raw_model_output": F.col("raw_output"),
+        "parsed_prediction": F.when(F.col("e.parsed"), F.col("raw_output")), "parse_error": error(layers[0], layers[1]), "schema_error": error(layers[1], layers[2]), "domain_error": error(layers[2], layers[3]),
+        "canonical_prediction": F.col("e.canonical"), "exact_match": F.col("e.exact"), "field_correctness": fields, "hard_constraint_tp": F.col("e.tp"), "hard_constraint_fp": F.col("e.fp"), "hard_constraint_fn": F.col("e.fn"),
+        "error_labels": F.col("e.labels"), "recoverable_json": F.col("e.recoverable"), "semantic_family": has("semantic_family", "string"), "constraint_count": has("constraint_count", "int"),
+        "constraint_signature": has("constraint_signature", "string"), "normalization_rule_ids": F.coalesce(has("normalization_rule_ids", "array<string>"), F.array().cast("array<string>")),
+        **{k: F.lit(run.get(k)).cast("string") for k in ("model_id", "tokenizer_id", "resolved_model_revision", "prompt_version", "serialization_identity", "generation_config")},
+    }
+    return evaluated.select(*[c.alias(n) for n, c in made.items()])
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """Predictions as JSON Lines in order of sample_id, keys sorted, nulls kept; fails if path exists.
+
+    Columns that hold JSON are written as the values they are.
+    """
+    from quillon.functions.text import to_canonical_json
+
+    names = sorted(rows.columns)
+    parts = [F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null")) if n in NESTED else F.regexp_extract(to_canonical_json(F.struct(F.col(n).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)) for n in names]
+    lines = rows.select("sample_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+    lines.orderBy("sample_id").select("value").write.mode("errorifexists").text(path)
 
 
 def read_training(spark: SparkSession, path: str, split: str, rows: int, versions: dict[str, str]) -> DataFrame:
@@ -155,6 +254,7 @@ def markdown(title: str, tables: dict[str, list[tuple]]) -> str:
 
 # --- a paged service ----------------------------------------------------------------------------------------------
 
+# Answers after which a request is sent again, and how long it waits (in posted()).
 RETRIED = (429, 500, 502, 503, 504)
 
 

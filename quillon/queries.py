@@ -139,23 +139,28 @@ def src1_catalog_hash(spark, sf_dir):
     return C.table_sha256(rows, "id").crossJoin(rows.agg(F.count("*").alias("n")))
 
 
+def _whole(spark, sf_dir):
+    """Whole catalog rows; two numbers that are sums of floats, which differ by the order of rows, are others."""
+    return catalog(spark, sf_dir).withColumns({"popularity": (F.col("id") * 3).cast("long"), "averageScore": F.col("year") - 1900})
+
+
 #: A whole catalog row as canonical JSON.
 LINE_SQL = """q_tags AS (SELECT k, '[' || string_agg('{"name":"' || name || '","rank":' || rank || '}', ',' ORDER BY name) || ']' AS tags FROM brands GROUP BY k),
-q_line AS (SELECT id, '{"averageScore":' || coalesce(CAST(averageScore AS VARCHAR), 'null') || ',"episodes":' || coalesce(CAST(episodes AS VARCHAR), 'null') || ',"format":"' || format
-|| '","genres":[' || array_to_string(list_transform(genres, lambda g: '"' || g || '"'), ',') || '],"id":' || id || ',"isAdult":' || isAdult || ',"popularity":' || coalesce(CAST(popularity AS VARCHAR), 'null')
+q_line AS (SELECT id, '{"averageScore":' || (year - 1900) || ',"episodes":' || coalesce(CAST(episodes AS VARCHAR), 'null') || ',"format":"' || format
+|| '","genres":[' || array_to_string(list_transform(genres, lambda g: '"' || g || '"'), ',') || '],"id":' || id || ',"isAdult":' || isAdult || ',"popularity":' || (id * 3)
 || ',"status":"' || status || '","tags":' || coalesce(tags, '[]') || ',"title":{"english":"' || english || '","native":null,"romaji":' || coalesce('"' || romaji || '"', 'null') || '},"year":' || coalesce(CAST(year AS VARCHAR), 'null') || '}' AS value
 FROM cat LEFT JOIN q_tags ON k = id)"""
 
 
 @registered(cat(f"{LINE_SQL} SELECT id, value FROM q_line"))
 def snk1_whole_lines(spark, sf_dir):
-    return C.canonical_lines(catalog(spark, sf_dir))
+    return C.canonical_lines(_whole(spark, sf_dir))
 
 
 @registered(cat(f"""{LINE_SQL}, q_a AS (SELECT id // 4096 AS k, sha256(string_agg(sha256(value), '' ORDER BY id)) AS h FROM q_line GROUP BY 1),
 q_b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM q_a GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS sha256 FROM q_b"""))
 def src1_whole_catalog_hash(spark, sf_dir):
-    return C.table_sha256(catalog(spark, sf_dir), "id")
+    return C.table_sha256(_whole(spark, sf_dir), "id")
 
 
 @registered("SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -266,12 +271,12 @@ def joi5_tag_targets(spark, sf_dir):
     return tag_audit.target_faults(groups, p.where("tag < 'Brand#2'").select("tag"), p.where("tag <> 'Brand#13'").select("tag"))
 
 
-@registered("SELECT p_partkey AS id, p_name || '#' || p_partkey AS name, p_type AS description, p_brand AS category, p_size > 45 AS is_general_spoiler, false AS is_adult FROM part")
+@registered("SELECT p_partkey + 1 AS id, p_name || '#' || p_partkey AS name, p_type AS description, p_brand AS category, p_size > 45 AS is_general_spoiler, false AS is_adult FROM part")
 def prj4_taxonomy(spark, sf_dir):
     """Parts as raw tags with more fields than a snapshot has."""
     p = table(spark, sf_dir, "part")
     raw = p.select(
-        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
+        (F.col("p_partkey") + 1).alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
         (F.col("p_size") > 45).alias("isGeneralSpoiler"), F.lit(False).alias("isAdult"), F.lit(7).alias("rank"),
     )
     return taxonomy.projected(raw)
@@ -584,22 +589,20 @@ def smp13_mechanics(spark, sf_dir):
 
 def _levels_sql() -> str:
     """Common table expressions m0, m1, ...: at each level the distinct options of what was decided before are weighed."""
-    context, ctes, k = ["family", "bucket", "signature"], ["m0 AS (SELECT *, CAST(1.0 AS DOUBLE) AS p FROM el)"], 0
     case = lambda column, weights: "CASE " + column + " " + " ".join(f"WHEN '{o}' THEN {float(w)}" for o, w in weights.items()) + " END"
-    steps = []
-    for slot in ("genre_set", "tag_set", "year_range", "episodes_range"):
-        if slot in patterns.SET_SLOTS:
-            steps.append((f"split_part({slot}, ':', 1)", case(f"split_part({slot}, ':', 1)", OPERATOR_W)))
-            steps.append((slot, case(slot, {f"{o}:{c}": w for o, t in CARDINALITY_W.items() for c, w in t.items()})))
-        else:
-            steps.append((slot, case(slot, RANGE_W[slot])))
-    for option, weight in steps:
-        on = ", ".join(context)
-        total = f"(SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(context))}, sum(w) AS t FROM (SELECT DISTINCT {on}, {option} AS o, {weight} AS w FROM m{k} WHERE {option.split('(')[-1].split(',')[0]} IS NOT NULL) GROUP BY ALL)"
-        match = " AND ".join(f"m{k}.{c} IS NOT DISTINCT FROM c{i}" if "(" not in c else f"{c.replace('(', f'(m{k}.')} IS NOT DISTINCT FROM c{i}" for i, c in enumerate(context))
-        ctes.append(f"m{k + 1} AS (SELECT m{k}.* REPLACE (CASE WHEN {option.split('(')[-1].split(',')[0]} IS NULL THEN p ELSE p * {weight} / t END AS p) FROM m{k} LEFT JOIN {total} ON {match})")
+    steps = {}
+    for slot in patterns.SET_SLOTS:
+        steps |= {f"o_{slot}": OPERATOR_W, slot: {f"{o}:{c}": w for o, t in CARDINALITY_W.items() for c, w in t.items()}}
+    steps |= {slot: RANGE_W[slot] for slot in patterns.RANGE_SLOTS}
+    operators = ", ".join(f"split_part({slot}, ':', 1) AS o_{slot}" for slot in patterns.SET_SLOTS)
+    context, ctes = ["family", "bucket", "signature"], [f"m0 AS (SELECT *, {operators}, CAST(1.0 AS DOUBLE) AS p FROM el)"]
+    for k, (option, weights) in enumerate(steps.items()):
+        on, weight = ", ".join(context), case(option, weights)
+        ctes.append(f"t{k} AS (SELECT {on}, sum(w) AS t FROM (SELECT DISTINCT {on}, {option}, {weight} AS w FROM m{k} WHERE {option} IS NOT NULL) GROUP BY ALL)")
+        match = " AND ".join(f"m{k}.{c} IS NOT DISTINCT FROM t{k}.{c}" for c in context)
+        chance = f"CASE WHEN m{k}.{option} IS NULL THEN p ELSE p * {weight.replace('CASE ' + option, f'CASE m{k}.{option}')} / t END AS p"
+        ctes.append(f"m{k + 1} AS (SELECT m{k}.* REPLACE ({chance}) FROM m{k} LEFT JOIN t{k} ON {match})")
         context.append(option)
-        k += 1
     return ", ".join(ctes)
 
 

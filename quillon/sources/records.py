@@ -72,6 +72,18 @@ def load_rules(text: str) -> Q.Rules:
     return Q.Rules(**{n: frozenset(x.strip() for x in t[n]) for n in names}, groups=groups, **bounds)
 
 
+def load_frozen(text: str, kinds: dict[str, type | tuple[type, ...]], frozen: dict | None = None) -> dict:
+    """A configuration with just these keys, values of these types (a truth value is no number), and these values where a contract fixes them."""
+    found = load_strict(text, tuple(kinds))
+    for k, kind in kinds.items():
+        allowed = kind if isinstance(kind, tuple) else (kind,)
+        if not isinstance(found[k], allowed) or isinstance(found[k], bool) and bool not in allowed:
+            raise RecordError(f"{k} is no {'/'.join(t.__name__ for t in allowed)}: {found[k]!r}")
+    if wrong := {k: found.get(k) for k, v in (frozen or {}).items() if found.get(k) != v}:
+        raise RecordError(f"values differ from what is fixed: {wrong}")
+    return found
+
+
 def document_sha256(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
@@ -275,16 +287,32 @@ def posted(send: Callable[[dict], tuple[int, dict, dict]], body: dict, attempts:
     raise RuntimeError("no attempt")
 
 
-def crawl(send: Callable[[dict], tuple[int, dict, dict]], schedules: list[tuple[dict, int]], per_page: int = 50, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+def fetch_page(send: Callable[[dict], tuple[int, dict, dict]], variables: dict, page: int = 1, per_page: int = 50, timeout: float = 30.0, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """One page of media: {pageInfo, media}. What was asked for and what comes back are checked; every failure is a RuntimeError or ValueError."""
+    if type(page) is not int or page < 1:
+        raise ValueError("page must be 1 or more")
+    if type(per_page) is not int or not 1 <= per_page <= 50:
+        raise ValueError("per_page must be from 1 to 50")
+    if not timeout > 0:
+        raise ValueError("timeout must be above 0")
+    answer = posted(send, {"variables": {**variables, "page": page, "perPage": per_page}, "timeout": timeout}, attempts, sleep)
+    data = answer.get("data")
+    found = data.get("Page") if isinstance(data, dict) else None
+    info = found.get("pageInfo") if isinstance(found, dict) else None
+    if not isinstance(info, dict) or type(info.get("hasNextPage")) is not bool or not isinstance(found.get("media"), list):
+        raise RuntimeError("the answer is no page of media")
+    if not all(isinstance(m, dict) for m in found["media"]):
+        raise RuntimeError("a page has media that are no objects")
+    return found
+
+
+def crawl(send: Callable[[dict], tuple[int, dict, dict]], schedules: list[tuple[dict, int]], per_page: int = 50, sleep: Callable[[float], None] = time.sleep, timeout: float = 30.0) -> Iterator[dict]:
     """Page records as read_pages() takes them, schedule by schedule until a page is the last or the schedule's pages are read."""
     if not 1 <= per_page <= 50:
         raise ValueError("per_page must be from 1 to 50")
     for k, (variables, most) in enumerate(schedules):
         for page in range(1, most + 1):
-            answer = posted(send, {"variables": {**variables, "page": page, "perPage": per_page}}, sleep=sleep)
-            found = answer.get("data", {}).get("Page")
-            if not isinstance(found, dict) or not isinstance(found.get("media"), list) or not isinstance(found.get("pageInfo", {}).get("hasNextPage"), bool):
-                raise RuntimeError("the answer is no page of media")
+            found = fetch_page(send, variables, page, per_page, timeout, sleep=sleep)
             yield {"schedule": k, "page": page, "data": {"Page": found}}
             if not found["pageInfo"]["hasNextPage"]:
                 break

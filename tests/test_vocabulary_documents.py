@@ -226,3 +226,68 @@ def test_fidelity(spark):
     judged = evaluation.fidelity(rows)
     assert [(r.exact, r.semantic, r.violations) for r in judged.collect()] == [(True, True, [2]), (False, True, []), (False, False, []), (False, False, [])]
     assert tuple(evaluation.fidelity_counts(judged).first()) == (3, 1, 2, 4, 1)
+
+
+# --- domains, pages and frozen configurations ---------------------------------------------------------------------
+
+
+def test_real_domain(spark):
+    from quillon.operators import domain
+    from quillon.plans import sampler as S
+    from quillon.queries import CONFIG
+
+    rows = [{"id": i, "title": {"romaji": f"Title {i}"}, "genres": ["Drama"], "tags": [{"name": n, "rank": r} for n, r in t], "popularity": i} for i, t in ((1, [("School", 80), ("Twist", 90)]), (2, [("Loop", 20)]), (3, []))]
+    catalog = spark.read.schema(CATALOG).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    config = json.loads(json.dumps(CONFIG))
+    config["operator_cardinality"] = CONFIG["operator_cardinality"]
+    config["genre_sampling"]["priority_weights"], config["tag_sampling"]["priority_weights"], config["tag_sampling"]["value_tiers"] = {"Drama": 2}, {}, {"School": "core"}
+    groups = {"G": (("School",), ("any_of", "none_of"), "G1")}
+    made = domain.real_domain(spark, PAYLOAD, {"School": ["campus"], "Loop": []}, catalog, config, ["TV"], ["FINISHED"], groups, (1900, 2100), "v1")
+    assert made["rules"].tags == {"School"} and [t["tag_name"] for t in made["subset"]["tags"]] == ["School", "Loop"] and made["titles"] == ["Title 1", "Title 2", "Title 3"]
+    assert [r["approved"] for r in made["audit"]] == [True, True, False] and T.load_audit(json.dumps(made["audit"])) == made["audit"]
+    with pytest.raises(Exception, match="spoiler"):
+        domain.real_domain(spark, PAYLOAD, {"Twist": []}, catalog, config, ["TV"], ["FINISHED"], groups, (1900, 2100), "v1")
+    with pytest.raises(R.RecordError, match="lacks"):
+        domain.real_domain(spark, PAYLOAD, {"Nothing": []}, catalog, config, ["TV"], ["FINISHED"], groups, (1900, 2100), "v1")
+    with pytest.raises(S.SamplerError):
+        domain.real_domain(spark, PAYLOAD, {"School": []}, catalog, CONFIG, ["TV"], ["FINISHED"], groups, (1900, 2100), "v1")
+
+
+def test_authored_cases(spark):
+    from quillon.operators import domain
+
+    spec = Q.query(genres={"all_of": ["PROMO"]}, year={"min": 1995})
+    grouped = Q.empty()
+    grouped["hard_constraints"]["tag_groups"] = {"all_of": [], "any_of": ["LOW"], "none_of": []}
+    got = domain.authored_cases(spark, [("c1", "promo since 1995", spec), ("c2", "low", grouped)], BINDING_RULES).orderBy("challenge_id").collect()
+    assert [(r.signature, r.clauses) for r in got] == [("GENRE_ALL + YEAR_MIN", 2), ("TAG_ANY", 1)] and json.loads(got[1].gold_query)["hard_constraints"]["tags"]["any_of"] == ["Brand#1", "Brand#2"]
+    for bad in ([("c", "a", spec), ("c", "b", spec)], [("c", "a", spec), ("d", "a", spec)], [("c", " ", spec)]):
+        with pytest.raises(R.RecordError):
+            domain.authored_cases(spark, bad, BINDING_RULES)
+    with pytest.raises(Q.QueryError):
+        domain.authored_cases(spark, [("c", "a", Q.query(genres={"all_of": ["Z"]}))], BINDING_RULES)
+
+
+def test_pages_are_checked():
+    good = {"pageInfo": {"hasNextPage": False}, "media": [{"id": 1}]}
+    send = lambda page: lambda body: (200, {}, {"data": {"Page": page}})
+    assert R.fetch_page(send(good), {}) == good
+    for more in ({"page": 0}, {"page": True}, {"per_page": 51}, {"per_page": 0}, {"timeout": 0}):
+        with pytest.raises(ValueError):
+            R.fetch_page(send(good), {}, **more)
+    for bad in (None, [], {}, {"pageInfo": None, "media": []}, {"pageInfo": {"hasNextPage": 1}, "media": []}, {"pageInfo": {"hasNextPage": True}, "media": None}, {"pageInfo": {"hasNextPage": True}, "media": [None]}):
+        with pytest.raises(RuntimeError):
+            R.fetch_page(send(bad), {}, sleep=lambda s: None)
+    with pytest.raises(RuntimeError):
+        R.fetch_page(lambda body: (200, {}, {"data": None}), {})
+
+
+def test_frozen_configurations():
+    kinds = {"a": int, "b": (int, float), "c": bool, "d": str}
+    text = '{"a":1,"b":0.5,"c":true,"d":"x"}'
+    assert R.load_frozen(text, kinds, {"d": "x"})["b"] == 0.5
+    for bad in (text.replace("1,", "true,"), text.replace('"x"', "3"), text.replace("0.5", '"y"'), text.replace(',"d":"x"', "")):
+        with pytest.raises(R.RecordError):
+            R.load_frozen(bad, kinds)
+    with pytest.raises(R.RecordError, match="fixed"):
+        R.load_frozen(text, kinds, {"d": "y"})

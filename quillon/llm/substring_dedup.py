@@ -47,6 +47,8 @@ U = np.uint64
 STEP, PLACE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bits of a fingerprint beyond those that number all words.
 SPARE_BITS = 8
+#: Groups of a task at most, on average.
+TASK_GROUPS = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -363,10 +365,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, doc_
     block, key = (window + 1) // 2, secrets.token_bytes(32)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(parts, -(-size // group_bytes))
     bucket_bits = max(4, min(24, (groups - 1).bit_length()))
     bits = max(bucket_bits + 8, min(60, (size // 2).bit_length() + SPARE_BITS))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int")).repartition("g")
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
+    # a task goes through its groups one by one; beyond TASK_GROUPS of them there are more tasks than the setting has
+    dealt = dealt.repartition(groups // TASK_GROUPS, "g") if groups > TASK_GROUPS * parts else dealt.repartition("g")
     anchors = dealt.groupBy("g").applyInArrow(_send(block, bits, bucket_bits, key), SENT_DDL).groupBy("bucket").applyInArrow(_anchors(bits, bucket_bits), BACK_DDL)
     items = dealt.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(_extend(window, block, bits, bucket_bits, key), EXT_DDL)
     found = items.groupBy("bucket").applyInArrow(_least, BACK_DDL)

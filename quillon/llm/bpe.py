@@ -14,7 +14,8 @@ longest such chain in bytes plus `longest`; a pass over the merges from last to
 pending bytes are examined whenever they exceed twice that, so memory stays constant however
 long the input. In natural text pieces are short, so this bound is rarely met.
 
-Pieces (what the file's pre-tokenizer cuts) are remembered in a bounded memo.
+Pieces (what the file's pre-tokenizer cuts) are remembered in a bounded memo. Texts are cut into pieces block by block, at blanks
+that always begin one, so what is held beside the text is a block (a text of other scripts without such a blank is one block).
 
 Decoding. `Utf8` takes the bytes of tokens as they come and gives text as soon as a character is whole;
 it holds three bytes at most. Bytes that are no UTF-8 become U+FFFD as in the tokenizers library.
@@ -44,6 +45,7 @@ NEVER = 1 << 30
 SHORT = 32
 #: Characters of text that are encoded, hashed and decoded at a time.
 BLOCK = 1 << 16
+LONE_BLANK = re.compile(r"(?<=[^\W_]) (?=[^\W_])").search
 
 
 class Merges:
@@ -235,15 +237,24 @@ class Codec:
         alphabet = encoders.byte_alphabet()
         return b"".join([self.pieces[bytes(map(alphabet.__getitem__, p)).decode()] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """text in parts of about BLOCK characters: a lone blank between two letters or digits always begins a piece."""
+        at = 0
+        while at < len(text):
+            m = LONE_BLANK(text, at + BLOCK)
+            end = m.start() if m else len(text)
+            yield text[at:end]
+            at = end
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Blocks of little-endian uint32 ids."""
         for k, part in enumerate(self.split_specials(text)):
             if k % 2:
                 yield array("I", [self.m.specials[part]]).tobytes()
             elif not encoders.PLAIN_TEXT(part):
-                yield self._odd(part)
+                yield from map(self._odd, self._parts(part))
             elif not part or part[0] == " " or part[-1] == " " or encoders.UNEVEN(part):
-                yield self._cut(part)
+                yield from map(self._cut, self._parts(part)) if part else ()
             else:
                 at = 0
                 while at < len(part):  # blocks begin at a lone blank

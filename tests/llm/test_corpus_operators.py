@@ -842,3 +842,25 @@ def test_stuttering_gathers_no_evidence(insults):
             key = tuple(letters[i + o] for o in (0, *offsets))
             got[key] = got.get(key, 0.0) + weight
     assert np.isclose(c._own_norm(0), sum(v * v for v in got.values()) ** 0.5)
+
+
+# --- 1, block by block --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_bpe_blocks_change_nothing(monkeypatch, block):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    tok, c, rng = Tokenizer.from_file(BYTE), bpe.codec(BYTE), random.Random(block)
+    alphabets = ["ab é日本 \n", "a1 _-'s  \t", "日本語　 x\x1c\x85 ", "wörter ünd  zahlen 12 34 ", "İß  \n\n a", "½² ¼a٣ 4 "]
+    for n in range(600):
+        t = "".join(rng.choice(alphabets[n % len(alphabets)]) for _ in range(rng.randint(0, 120)))
+        assert bpe.digests(c, t) == library_digests(t, tok), repr(t)
+
+
+def test_bpe_holds_a_block(monkeypatch):
+    c, seen = bpe.codec(BYTE), []
+    monkeypatch.setattr(bpe, "BLOCK", 1000)
+    odd = c._odd
+    monkeypatch.setattr(c, "_odd", lambda t: seen.append(len(t)) or odd(t))
+    ids = b"".join(c.encode("日本 text ünd so weiter " * 4000))
+    assert max(seen) < 1100 and len(seen) > 50 and np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(BYTE).encode("日本 text ünd so weiter " * 4000, add_special_tokens=False).ids

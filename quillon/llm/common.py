@@ -84,7 +84,9 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, size: str, total: int
     cold = table.where(~is_hot).select(F.col(key).alias("_cold"), F.struct(*names).alias("_cold_found"))
     anywhere = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(table.schema[key].dataType)
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(anywhere))
-    found = found.join(cold, F.col("_key") == F.col("_cold"), "left").withColumn("_found", F.when(F.col("_hot").isNotNull(), F.col("_hot_found")).otherwise(F.col("_cold_found")))
+    found = found.join(cold, F.col("_key") == F.col("_cold"), "left").withColumn(
+        "_found", F.when(F.col("_hot").isNotNull(), F.col("_hot_found")).otherwise(F.col("_cold_found"))
+    )
     return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
 
 
@@ -105,7 +107,10 @@ def by_batch(f: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int =
         for batch in batches:
             for part in pieces(batch, rows):
                 got = f(part)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((got[n], schema.field(n).type) for n in schema.names)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((got[n], schema.field(n).type) for n in schema.names)],
+                    schema=schema
+                )
 
     return run
 

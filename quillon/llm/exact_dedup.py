@@ -49,7 +49,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     total = decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(normalised(F.col(text))).alias("digest"))
     found = looked_up(rows, decided.select("digest", "keep_id", "group_size", F.col("group_size").alias("rows")), "digest", "rows", total)
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS, repeats: bool = True) -> DataFrame:

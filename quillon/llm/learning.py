@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from quillon.llm.common import fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, most_bytes: int = 64 << 20) -> tuple[list[str], list[int]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, most_bytes: int = 64 << 20
+) -> tuple[list[str], list[int]]:
     """(texts, labels) of labelled documents outside the held-out fold: `rows` at most, of `most_bytes` of text together at most.
 
     They are chosen in order of a hash of doc_id, on the narrow label table; a document that would exceed most_bytes is passed
     over. One scan gives their sizes, a second the texts of those taken.
     Null labels and null ids are left out; a null text is the empty text; of repeated ids the least label and the least text count.
     """
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold(F.col("doc_id"), folds) != held_out)
+    known = labels.select(
+        F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")
+    ).where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold(F.col("doc_id"), folds) != held_out)
     chosen = {}
     for r in known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
         chosen[r.doc_id] = r.label

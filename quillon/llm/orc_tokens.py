@@ -41,18 +41,27 @@ def _tokens(path: str, end_id: int):
                 ids, n = id_lists([encode(t) + end for t in texts_of(rows)])
                 before = first + np.cumsum(n) - n
                 first += int(n.sum())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), ids], names=["doc_id", "part", "first", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), ids],
+                    names=["doc_id", "part", "first", "n_tokens", "ids"]
+                )
 
     return run
 
 
-def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 1000, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(
+    docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 1000, doc_id: str = "doc_id",
+    text: str = "text"
+) -> None:
     """Writes the ids of every whole text, each followed by end_id, below the folder `to`, which must not exist."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("place", F.monotonically_increasing_id())
     order = ["doc_id", F.substring("text", 1, HEAD), "place"]
     tokens = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("place").mapInArrow(_tokens(tokenizer, end_id), SCHEMA)
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_stride), "compression": "zstd"}
+    options = {
+        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes),
+        "orc.row.index.stride": str(row_stride), "compression": "zstd"
+    }
     tokens.write.options(**options).orc(to)
 
 
@@ -72,12 +81,17 @@ def _sums(rows: pa.RecordBatch) -> dict:
     ids = rows.column("ids")
     at, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
     crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return {"doc_id": rows.column("doc_id"), "part": rows.column("part"), "first": rows.column("first"), "n_tokens": np.diff(at).astype(np.int64), "ids_crc32": crc}
+    return {
+        "doc_id": rows.column("doc_id"), "part": rows.column("part"), "first": rows.column("first"), "n_tokens": np.diff(at).astype(np.int64),
+        "ids_crc32": crc
+    }
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32."""
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    read = read_tokens(spark, path).select("doc_id", "part", "first", "ids").mapInArrow(by_batch(_sums, schema, 4096), "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
+    read = read_tokens(spark, path).select("doc_id", "part", "first", "ids").mapInArrow(
+        by_batch(_sums, schema, 4096), "doc_id long, part int, first long, n_tokens long, ids_crc32 long"
+    )
     # one row a file
     return read.join(F.broadcast(file_starts(spark, path)), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

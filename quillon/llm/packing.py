@@ -118,9 +118,14 @@ def _pack(capacity: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return f
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, shard_pieces: int = 50_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, shard_pieces: int = 50_000, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = written(rows.mapInArrow(by_batch(_cut(tokenizer, end_id, capacity), PIECES, 64), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    cut = written(
+        rows.mapInArrow(by_batch(_cut(tokenizer, end_id, capacity), PIECES, 64), "doc_id long, piece int, start long, length long, ids_crc32 long"),
+        "pieces"
+    )
     shards = max(1, -(-cut.count() // shard_pieces))
     return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInArrow(_pack(capacity), PACKED)

@@ -216,7 +216,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     names = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(by_batch(_found, pa.schema(names)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(
+        by_batch(_found, pa.schema(names)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    )
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:

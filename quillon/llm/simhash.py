@@ -196,7 +196,9 @@ def links(prints: DataFrame, most: int = 4, chunk: int = 20_000, shard_rows: int
         mask = sum(((1 << bits) - 1) << at for at, bits in chosen)
         tables.append(F.struct(F.lit(len(tables)).alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")))
     keyed = prints.select("fp", F.explode(F.array(*tables)).alias("part"))
-    counts = keyed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(F.col("part").alias("large"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    counts = keyed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(
+        F.col("part").alias("large"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")
+    )
     # keys of more than a chunk: len(tables) * n / chunk at most; where that is too many to broadcast, Spark joins them as it finds best
     if len(tables) * n // chunk <= MOST_LARGE:
         counts = F.broadcast(counts)
@@ -228,7 +230,9 @@ def drop_near_copies(docs: DataFrame, words: int = 4, most: int = 4, doc_id: str
 
     Where one doc_id has rows of several components, these are told apart by their fingerprints.
     """
-    groups = written(near_groups(docs, words, most, doc_id=doc_id, text=text).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_groups")
+    groups = written(
+        near_groups(docs, words, most, doc_id=doc_id, text=text).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_groups"
+    )
     kept = groups.where("stays").select(F.col("doc_id").alias("kept_id"), F.conv("fingerprint", 16, -10).cast("long").alias("kept_fp")).distinct()
     same = docs[doc_id].cast("long").eqNullSafe(kept["kept_id"])
     mixed = groups.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any")).where("any AND NOT all")

@@ -354,13 +354,17 @@ def _remove(window: int, digest: bool, key: bytes):
             a, b = g.first[k], g.first[k + 1]
             stay = np.flatnonzero(~gone[a:b]) + a
             kept = b" ".join([data[s:e] for s, e in zip(g.starts[stay].tolist(), g.ends[stay].tolist(), strict=True)])
-            out.append((None if g.null[k] else int(g.ids[k]), int(b - a), int(b - a - len(stay)), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+            out.append(
+                (None if g.null[k] else int(g.ids[k]), int(b - a), int(b - a - len(stay)), hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+            )
         return _table(out, pa.schema([*OUT, ("kept_sha256" if digest else "kept_text", pa.string())]))
 
     return f
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 10 << 20) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 13, digest: bool = False, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 10 << 20
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, and kept_text or, with digest, kept_sha256."""
     block, key = (window + 1) // 2, secrets.token_bytes(32)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -372,7 +376,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False, doc_
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
     # a task goes through its groups one by one; beyond TASK_GROUPS of them there are more tasks than the setting has
     dealt = dealt.repartition(groups // TASK_GROUPS, "g") if groups > TASK_GROUPS * parts else dealt.repartition("g")
-    anchors = dealt.groupBy("g").applyInArrow(_send(block, bits, bucket_bits, key), SENT_DDL).groupBy("bucket").applyInArrow(_anchors(bits, bucket_bits), BACK_DDL)
+    anchors = dealt.groupBy("g").applyInArrow(
+        _send(block, bits, bucket_bits, key), SENT_DDL
+    ).groupBy("bucket").applyInArrow(_anchors(bits, bucket_bits), BACK_DDL)
     items = dealt.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(_extend(window, block, bits, bucket_bits, key), EXT_DDL)
     found = items.groupBy("bucket").applyInArrow(_least, BACK_DDL)
-    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(window, digest, key), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
+    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(
+        _remove(window, digest, key), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string"
+    )

@@ -42,7 +42,12 @@ PAGE_ROWS = 4096
 MOST_SAMPLES = 1 << 28
 #: How often the bytes of a file may be used by strips or tiles on average.
 SHARED = 16
-USED = frozenset((WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES, STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS))
+USED = frozenset(
+    (
+        WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES, STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH,
+        TILE_OFFSETS, TILE_COUNTS
+    )
+)
 
 
 class TiffError(ValueError):
@@ -317,8 +322,13 @@ def write(images: list[tuple[np.ndarray, dict]], order: str = "<") -> bytes:
                     offsets.append(len(out))
                     counts.append(len(coded))
                     out += coded
-        fields = {WIDTH: [w], HEIGHT: [h], BITS: [8 * image.dtype.itemsize] * n, COMPRESSION: [codec], PHOTOMETRIC: [1], SAMPLES: [n], PLANAR: [planar], PREDICTOR: [predictor]}
-        fields |= {TILE_WIDTH: [tw], TILE_LENGTH: [th], TILE_OFFSETS: offsets, TILE_COUNTS: counts} if tile else {ROWS_PER_STRIP: [th], STRIP_OFFSETS: offsets, STRIP_COUNTS: counts}
+        fields = {
+            WIDTH: [w], HEIGHT: [h], BITS: [8 * image.dtype.itemsize] * n, COMPRESSION: [codec], PHOTOMETRIC: [1], SAMPLES: [n], PLANAR: [planar],
+            PREDICTOR: [predictor]
+        }
+        fields |= {
+            TILE_WIDTH: [tw], TILE_LENGTH: [th], TILE_OFFSETS: offsets, TILE_COUNTS: counts
+        } if tile else {ROWS_PER_STRIP: [th], STRIP_OFFSETS: offsets, STRIP_COUNTS: counts}
         entries = []
         for tag, values in sorted(fields.items()):
             wide = tag in (STRIP_OFFSETS, STRIP_COUNTS, TILE_OFFSETS, TILE_COUNTS, WIDTH, HEIGHT, ROWS_PER_STRIP)
@@ -369,10 +379,16 @@ def decode_pages(files: DataFrame, key: str, content: str, most_samples: int = M
     def run(batches):
         for batch in batches:
             for rows in pieces(batch, 16):
-                found = [(k, *r) for k, d in zip(rows.column("key").to_pylist(), rows.column("content").to_pylist(), strict=True) for r in page_rows(d, most_samples)]
+                found = [
+                    (k, *r) for k,
+                    d in zip(rows.column("key").to_pylist(), rows.column("content").to_pylist(), strict=True) for r in page_rows(d, most_samples)
+                ]
                 columns = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 10
                 kinds = [rows.schema.field("key").type, *[pa.int32()] * 6, pa.bool_(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                    names=["key", "page", "width", "height", "samples", "bits", "compression", "tiled", "pixels", "error"]
+                )
 
     made = files.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInArrow(run, f"key {kind}, {PAGE_DDL}")
     return made.withColumnRenamed("key", key)
@@ -385,7 +401,15 @@ def stored(payload: bytes) -> bytes:
     for at in range(0, len(samples), PAGE_ROWS):
         page = samples[at : at + PAGE_ROWS]
         kind = zlib.crc32(page.tobytes()) % 4
-        images.append((page, [{"codec": DEFLATE, "predictor": 2, "rows": 256}, {"codec": PACKBITS, "rows": 128}, {"codec": DEFLATE, "tile": (32, 64)}, {"codec": LZW, "rows": 512}][kind]))
+        images.append(
+            (
+                page,
+                [
+                    {"codec": DEFLATE, "predictor": 2, "rows": 256}, {"codec": PACKBITS, "rows": 128}, {"codec": DEFLATE, "tile": (32, 64)},
+                    {"codec": LZW, "rows": 512}
+                ][kind]
+            )
+        )
     return write(images)
 
 
@@ -418,7 +442,10 @@ def _read_back(rows: pa.RecordBatch) -> dict:
     for media in rows.column("media").to_pylist():
         read = [(p.pixels(), p.one(COMPRESSION)) for p in pages(media)]
         payload = b"".join(a.tobytes() for a, _ in read)
-        values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features([a for a, _ in read], [c for _, c in read]))
+        values = (
+            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(),
+            features([a for a, _ in read], [c for _, c in read])
+        )
         for n, v in zip(names, values, strict=True):
             out[n].append(v)
     return out | {"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes")}

@@ -13,14 +13,24 @@ def excess(key: Column) -> Column:
 
 def duplicate_excess(rows: DataFrame, split: str, keys: dict[str, Column]) -> DataFrame:
     """split, key, excess: keys are made short digests first, so that long texts are shuffled once as 32 bytes."""
-    made = rows.select(split, F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.sha2(F.coalesce(c.cast("string"), F.lit("\0")).cast("binary"), 256).alias("d")) for n, c in keys.items()])).alias("_k"))
+    made = rows.select(
+        split,
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(n).alias("key"), F.sha2(F.coalesce(c.cast("string"), F.lit("\0")).cast("binary"), 256).alias("d")) for n, c in keys.items()]
+            )
+        ).alias("_k")
+    )
     each = made.groupBy(split, "_k.key", "_k.d").agg(F.count("*").alias("n"))
     return each.groupBy(split, "key").agg(F.sum(F.col("n") - 1).alias("excess"))
 
 
 def split_overlap(rows: DataFrame, split: str, keys: dict[str, Column]) -> DataFrame:
     """split_a < split_b, key, shared: distinct keys that both splits have. One aggregation by key, no self-join."""
-    made = rows.select(split, F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.sha2(c.cast("string").cast("binary"), 256).alias("d")) for n, c in keys.items()])).alias("_k")).where("_k.d IS NOT NULL")
+    made = rows.select(
+        split,
+        F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.sha2(c.cast("string").cast("binary"), 256).alias("d")) for n, c in keys.items()])).alias("_k")
+    ).where("_k.d IS NOT NULL")
     sets = made.groupBy("_k.key", "_k.d").agg(F.array_sort(F.collect_set(split)).alias("s")).where("size(s) > 1")
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("split_a"), b.alias("split_b")))))
     return sets.select("key", F.explode(pairs).alias("p")).groupBy("p.split_a", "p.split_b", "key").agg(F.count("*").alias("shared"))
@@ -28,8 +38,12 @@ def split_overlap(rows: DataFrame, split: str, keys: dict[str, Column]) -> DataF
 
 def hygiene_errors(overlap: DataFrame, excesses: DataFrame, strict: tuple[str, ...] = ("text", "text_gold"), split: str = "split") -> DataFrame:
     """What is not allowed: shared strict keys between splits; repeated strict keys inside validation or test."""
-    shared = overlap.where(F.col("key").isin(*strict) & (F.col("shared") > 0)).select(F.concat_ws("/", "split_a", "split_b").alias("where"), "key", F.col("shared").alias("n"))
-    inside = excesses.where(F.col("key").isin(*strict) & F.col(split).isin("validation", "test") & (F.col("excess") > 0)).select(F.col(split).alias("where"), "key", F.col("excess").alias("n"))
+    shared = overlap.where(F.col("key").isin(*strict) & (F.col("shared") > 0)).select(
+        F.concat_ws("/", "split_a", "split_b").alias("where"), "key", F.col("shared").alias("n")
+    )
+    inside = excesses.where(
+        F.col("key").isin(*strict) & F.col(split).isin("validation", "test") & (F.col("excess") > 0)
+    ).select(F.col(split).alias("where"), "key", F.col("excess").alias("n"))
     return shared.union(inside)
 
 
@@ -83,7 +97,10 @@ def frequencies(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def length_summary(rows: DataFrame, by: list[str], length: str) -> DataFrame:
     """count, least, median, p95 (nearest rank) and most of a length."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(length).alias("least"), F.median(length).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {length})").cast("long").alias("p95"), F.max(length).alias("most"))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min(length).alias("least"), F.median(length).alias("median"),
+        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {length})").cast("long").alias("p95"), F.max(length).alias("most")
+    )
 
 
 def ids_sha256(rows: DataFrame, by: list[str], pos: str, sample_id: str) -> DataFrame:

@@ -28,7 +28,10 @@ def audit_of(snapshot: dict, allowed: dict[str, list[str]], reason: str = "on th
     ]
 
 
-def real_domain(spark: SparkSession, payload: dict, allowed: dict[str, list[str]], catalog: DataFrame, config: dict, formats: list[str], statuses: list[str], groups: dict, year: tuple[int, int], version: str, titles: int = 200) -> dict:
+def real_domain(
+    spark: SparkSession, payload: dict, allowed: dict[str, list[str]], catalog: DataFrame, config: dict, formats: list[str], statuses: list[str],
+    groups: dict, year: tuple[int, int], version: str, titles: int = 200
+) -> dict:
     """snapshot, audit, subset, rules, titles and configuration of a domain, each checked against the others.
 
     Tags are active if they are approved and some row of the catalog has them with a relevant rank. Only vocabularies and `titles` titles come to the driver.
@@ -42,7 +45,10 @@ def real_domain(spark: SparkSession, payload: dict, allowed: dict[str, list[str]
     subset = T.subset_document(executable, version, T.sha256(T.dumps_snapshot(snapshot)))
     used = audit.tag_frequency(catalog).join(F.broadcast(executable.select(F.col("tag_name").alias("tag"))), "tag", "left_semi")  # a vocabulary
     active = {r.tag for r in used.collect()} | {t for tags, _, _ in groups.values() for t in tags}
-    rules = Q.Rules(genres=frozenset(snapshot["genres"]), tags=frozenset(active), formats=frozenset(formats), statuses=frozenset(statuses), groups=groups, year=year)
+    rules = Q.Rules(
+        genres=frozenset(snapshot["genres"]), tags=frozenset(active), formats=frozenset(formats), statuses=frozenset(statuses), groups=groups,
+        year=year
+    )
     tag_audit.check_targets(rules, executable)
     S.check_config_domain(config, rules)
     pool = sorted({r.title for r in search.popular_pool(catalog, titles).collect() if r.title})

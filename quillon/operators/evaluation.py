@@ -14,7 +14,10 @@ from quillon.functions.text import parse_strictly, recoverable
 from quillon.plans import query as Q
 
 # Error labels, in the order in which they are reported.
-ERRORS = ("JSON_PARSE_ERROR", "SCHEMA_ERROR", "DOMAIN_ERROR", "MISSING_CONSTRAINT", "HALLUCINATED_CONSTRAINT", "WRONG_OPERATOR", "WRONG_VALUE", "WRONG_NUMERIC_BOUND", "REFERENCE_ERROR", "NORMALIZATION_ERROR")
+ERRORS = (
+    "JSON_PARSE_ERROR", "SCHEMA_ERROR", "DOMAIN_ERROR", "MISSING_CONSTRAINT", "HALLUCINATED_CONSTRAINT", "WRONG_OPERATOR", "WRONG_VALUE",
+    "WRONG_NUMERIC_BOUND", "REFERENCE_ERROR", "NORMALIZATION_ERROR"
+)
 
 FLAGS = ("parsed", "recoverable", "schema_ok", "domain_ok", "exact", *(f"{f}_ok" for f in Q.FIELDS))
 
@@ -103,7 +106,10 @@ def evaluated(predictions: DataFrame, rules: Q.Rules, raw: str = "raw_output", g
 def clause_counts(gold: Column, predicted: Column) -> list[Column]:
     """tp, fp, fn of two arrays of clauses taken as sets; null counts as none."""
     g, p = (F.coalesce(c, F.array().cast("array<string>")) for c in (gold, predicted))
-    return [F.size(F.array_intersect(g, p)).cast("long").alias("tp"), F.size(F.array_except(p, g)).cast("long").alias("fp"), F.size(F.array_except(g, p)).cast("long").alias("fn")]
+    return [
+        F.size(F.array_intersect(g, p)).cast("long").alias("tp"), F.size(F.array_except(p, g)).cast("long").alias("fp"),
+        F.size(F.array_except(g, p)).cast("long").alias("fn")
+    ]
 
 
 def ratio(a: Column, b: Column, empty: float) -> Column:
@@ -116,7 +122,10 @@ def measures(flags: tuple[str, ...] = ()) -> list[Column]:
     tp, fp, fn = (F.sum(n) for n in ("tp", "fp", "fn"))
     p, r = ratio(tp, tp + fp, 1.0), ratio(tp, tp + fn, 1.0)
     rates = [F.avg(F.col(f).cast("int")).alias(f"{f.replace('.', '_')}_rate") for f in flags]
-    return [F.count("*").alias("total"), *rates, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r, 0.0).alias("f1")]
+    return [
+        F.count("*").alias("total"), *rates, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"),
+        ratio(2 * p * r, p + r, 0.0).alias("f1")
+    ]
 
 
 def metrics(rows: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +137,12 @@ def slices(rows: DataFrame, by: list[str], flags: tuple[str, ...] = ()) -> DataF
 
     Null values make no slice. Grouping sets expand a row len(by) + 1 times before the partial aggregation.
     """
-    keyed = rows.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(n).alias("slice"), v.alias("value")) for n, v in [("overall", F.lit("all")), *[(b, F.col(b).cast("string")) for b in by]]])))
+    keyed = rows.withColumn(
+        "_s",
+        F.explode(
+            F.array(*[F.struct(F.lit(n).alias("slice"), v.alias("value")) for n, v in [("overall", F.lit("all")), *[(b, F.col(b).cast("string")) for b in by]]])
+        )
+    )
     return keyed.where("_s.value IS NOT NULL").groupBy("_s.slice", "_s.value").agg(*measures(flags))
 
 
@@ -175,7 +189,10 @@ def fidelity(cases: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def alike(parsed: pd.Series, expected: pd.Series) -> pd.Series:
-        return pd.Series([p is not None and folded_singletons(json.loads(p)) == folded_singletons(json.loads(e)) for p, e in zip(parsed, expected, strict=True)], dtype=bool)
+        return pd.Series(
+            [p is not None and folded_singletons(json.loads(p)) == folded_singletons(json.loads(e)) for p, e in zip(parsed, expected, strict=True)],
+            dtype=bool
+        )
 
     none = F.array().cast(cases.schema["result_ids"].dataType)
     return cases.withColumns({

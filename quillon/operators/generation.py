@@ -51,13 +51,19 @@ class Pools:
     def of(cls, config: dict, rules: Q.Rules, titles: list[str]) -> Pools:
         """The pools of a sampling configuration over the rules' values."""
         S.check_config_domain(config, rules)
-        return cls(S.value_weights(config, "genres", rules.genres), S.value_weights(config, "tags", rules.tags), S.number_pools(config, "year"), S.number_pools(config, "episodes"), titles)
+        return cls(
+            S.value_weights(config, "genres", rules.genres), S.value_weights(config, "tags", rules.tags), S.number_pools(config, "year"),
+            S.number_pools(config, "episodes"), titles
+        )
 
 
 def group_pairs(pattern: dict, rules: Q.Rules) -> list[tuple[str | None, str | None]]:
     """(ANY group, NONE group) that fit the pattern: each stands under its operator, they are two, share no tag, and leave enough direct tags."""
     need = int(pattern["tag_set"].split(":")[1]) if pattern["tag_set"] else 0
-    options = [sorted(g for g, (_, ops, _) in rules.groups.items() if o in ops) if pattern[slot] else [None] for slot, o in (("tag_group_any", "any_of"), ("tag_group_none", "none_of"))]
+    options = [
+        sorted(g for g, (_, ops, _) in rules.groups.items() if o in ops) if pattern[slot] else [None] for slot,
+        o in (("tag_group_any", "any_of"), ("tag_group_none", "none_of"))
+    ]
     tags = {g: frozenset(t) for g, (t, _, _) in rules.groups.items()} | {None: frozenset()}
     return [(a, b) for a, b in product(*options) if (a is None or a != b) and not tags[a] & tags[b] and len(rules.tags - tags[a] - tags[b]) >= need]
 
@@ -141,7 +147,9 @@ def styled(spec: dict, style: int, names: dict[str, dict[str, str]]) -> str:
     return prefix + separator.join(out) + suffix
 
 
-RECORD = T.StructType().add("spec", "string").add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add("rule_ids", T.ArrayType(T.StringType())).add("style", "integer").add("error", "string")
+RECORD = T.StructType().add("spec", "string").add("gold", "string").add("text", "string").add("signature", "string").add("clauses", "long").add(
+    "rule_ids", T.ArrayType(T.StringType())
+).add("style", "integer").add("error", "string")
 
 
 def records(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, names: dict[str, dict[str, str]] | None = None) -> DataFrame:
@@ -186,7 +194,10 @@ def attempts(patterns: DataFrame, seed: str, rounds: int) -> DataFrame:
     return rows.withColumn("draw_seed", F.pmod(F.xxhash64(F.lit("dataset"), "place"), F.lit(1 << 32))).repartition(F.col("place"))
 
 
-def dataset(patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, used: DataFrame, n: int | None = None, names: dict[str, dict[str, str]] | None = None) -> DataFrame:
+def dataset(
+    patterns: DataFrame, seed: str, rules: Q.Rules, pools: Pools, used: DataFrame, n: int | None = None,
+    names: dict[str, dict[str, str]] | None = None
+) -> DataFrame:
     """n records (as many as patterns by default) whose text neither `used` (text) nor an earlier attempt has.
 
     Patterns take turns, each attempt with a seed of its own, until n texts are fresh; TRIES * n attempts without that are an error.
@@ -244,7 +255,9 @@ def check_records(rows: DataFrame, rules: Q.Rules, identity: list[str] | None =
 def sampled_records(rows: DataFrame, seed: str, sampler: Sampler, rules: Q.Rules, pools: Pools) -> DataFrame:
     """rows with the struct `r` of a record whose pattern and values one generator of each row's seed draws, in turn."""
 
-    @F.pandas_udf(T.StructType().add("family", "string").add("bucket", "string").add("pos", "integer").add("gold", "string").add("signature", "string").add("clauses", "long").add("error", "string"))
+    @F.pandas_udf(
+        T.StructType().add("family", "string").add("bucket", "string").add("pos", "integer").add("gold", "string").add("signature", "string").add("clauses", "long").add("error", "string")
+    )
     def run(seeds: pd.Series) -> pd.DataFrame:
         out = []
         for s in seeds:

@@ -69,8 +69,12 @@ def plan_faults(plans: DataFrame) -> DataFrame:
     rules = family_rules()
     fits = reduce(Column.__or__, [(F.col("family") == f) & rules[f] & F.col("bucket").isin(*FAMILIES[f]) for f in FAMILIES])
     fault = (
-        F.when(wrong, "no such option").when(~n.eqNullSafe(F.col("n")), "another clause count").when(~F.col("bucket").eqNullSafe(bucket(F.col("n"))), "another bucket")
-        .when(~F.col("signature").eqNullSafe(F.array_join(signature(), "+")), "another signature").when(~F.coalesce(fits, F.lit(False)), "the family can't have it")
+        F.when(wrong, "no such option").when(~n.eqNullSafe(F.col("n")), "another clause count").when(
+            ~F.col("bucket").eqNullSafe(bucket(F.col("n"))), "another bucket"
+        )
+        .when(
+            ~F.col("signature").eqNullSafe(F.array_join(signature(), "+")), "another signature"
+        ).when(~F.coalesce(fits, F.lit(False)), "the family can't have it")
     )
     return plans.withColumn("fault", fault).where("fault IS NOT NULL")
 
@@ -136,8 +140,12 @@ def family_bucket_probabilities(spark: SparkSession, families: dict, buckets: di
     """P(family), P(bucket | family) over compatible buckets, and joint. A family without clauses has bucket 0 for sure."""
     pairs = spark.createDataFrame([(f, b) for f, bs in FAMILIES.items() for b in bs], "family string, bucket string")
     f = weights(spark, "family", families).withColumn("p_family", F.col("w_family") / F.sum("w_family").over(Window.partitionBy(F.lit(0))))
-    rows = pairs.join(F.broadcast(f), "family").join(F.broadcast(weights(spark, "bucket", buckets)), "bucket", "left").withColumn("w", F.coalesce("w_bucket", F.lit(1.0)))
-    return rows.withColumn("p_bucket", normalised(F.col("w"), "family")).select("family", "bucket", "p_family", "p_bucket", (F.col("p_family") * F.col("p_bucket")).alias("joint"))
+    rows = pairs.join(F.broadcast(f), "family").join(
+        F.broadcast(weights(spark, "bucket", buckets)), "bucket", "left"
+    ).withColumn("w", F.coalesce("w_bucket", F.lit(1.0)))
+    return rows.withColumn("p_bucket", normalised(F.col("w"), "family")).select(
+        "family", "bucket", "p_family", "p_bucket", (F.col("p_family") * F.col("p_bucket")).alias("joint")
+    )
 
 
 def marginal(joint: DataFrame, key: str) -> DataFrame:
@@ -146,10 +154,15 @@ def marginal(joint: DataFrame, key: str) -> DataFrame:
 
 def operator_probabilities(spark: SparkSession, operators: dict, cardinalities: dict[str, dict], at: str) -> DataFrame:
     """Operators and cardinalities whose clauses are just the bucket, by conditional weights: operator, cardinality, p_operator, p_cardinality, joint."""
-    pairs = spark.createDataFrame([(o, int(c), float(w), 1 if o == "any_of" else int(c)) for o, t in cardinalities.items() for c, w in t.items()], "operator string, cardinality int, w double, clauses int")
+    pairs = spark.createDataFrame(
+        [(o, int(c), float(w), 1 if o == "any_of" else int(c)) for o, t in cardinalities.items() for c, w in t.items()],
+        "operator string, cardinality int, w double, clauses int"
+    )
     rows = pairs.where(bucket(F.col("clauses")) == at).join(F.broadcast(weights(spark, "operator", operators)), "operator")
     share = F.col("w_operator") / F.count("*").over(Window.partitionBy("operator"))
-    rows = rows.withColumn("p_operator", F.col("w_operator") / F.sum(share).over(Window.partitionBy(F.lit(0)))).withColumn("p_cardinality", normalised(F.col("w"), "operator"))
+    rows = rows.withColumn(
+        "p_operator", F.col("w_operator") / F.sum(share).over(Window.partitionBy(F.lit(0)))
+    ).withColumn("p_cardinality", normalised(F.col("w"), "operator"))
     return rows.select("operator", "cardinality", "p_operator", "p_cardinality", (F.col("p_operator") * F.col("p_cardinality")).alias("joint"))
 
 
@@ -184,7 +197,9 @@ def mechanics(patterns: DataFrame, operators: dict, cardinalities: dict[str, dic
 
 def bindable(patterns: DataFrame, capacity: dict[str, int]) -> DataFrame:
     """Patterns whose set slots ask for no more values than there are, and whose other slots have any (capacity by slot)."""
-    need = {s: F.coalesce(F.split_part(F.col(s), F.lit(":"), F.lit(2)).cast("int"), F.lit(0)) if s in SET_SLOTS else F.col(s).isNotNull().cast("int") for s in SLOTS}
+    need = {
+        s: F.coalesce(F.split_part(F.col(s), F.lit(":"), F.lit(2)).cast("int"), F.lit(0)) if s in SET_SLOTS else F.col(s).isNotNull().cast("int") for s in SLOTS
+    }
     return patterns.where(reduce(Column.__and__, [need[s] <= capacity.get(s, 0) for s in SLOTS]))
 
 
@@ -196,4 +211,6 @@ def group_bindings(groups: DataFrame, vocabulary: int, reserve: int) -> DataFram
     a = groups.where(F.array_contains("operators", "any_of")).select(F.col("name").alias("any_group"), F.col("tags").alias("_a"))
     b = groups.where(F.array_contains("operators", "none_of")).select(F.col("name").alias("none_group"), F.col("tags").alias("_b"))
     free = vocabulary - F.size(F.array_union("_a", "_b"))
-    return a.join(F.broadcast(b), (F.col("any_group") != F.col("none_group")) & ~F.arrays_overlap("_a", "_b") & (free >= reserve)).select("any_group", "none_group", free.alias("free_tags"))
+    return a.join(
+        F.broadcast(b), (F.col("any_group") != F.col("none_group")) & ~F.arrays_overlap("_a", "_b") & (free >= reserve)
+    ).select("any_group", "none_group", free.alias("free_tags"))

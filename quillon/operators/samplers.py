@@ -103,6 +103,8 @@ def drawn_pairs(rows: DataFrame, seed: str, bucket: str, config: dict) -> DataFr
 
     @F.pandas_udf(T.StructType().add("operator", "string").add("cardinality", "integer"))
     def run(seeds: pd.Series, buckets: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([operator_cardinality(random.Random(int(s)), config, b) for s, b in zip(seeds, buckets, strict=True)], columns=["operator", "cardinality"])
+        return pd.DataFrame(
+            [operator_cardinality(random.Random(int(s)), config, b) for s, b in zip(seeds, buckets, strict=True)], columns=["operator", "cardinality"]
+        )
 
     return rows.withColumn("_d", run(F.col(seed), F.col(bucket))).select("*", "_d.*").drop("_d")

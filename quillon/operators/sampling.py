@@ -26,12 +26,19 @@ def choose(draws: DataFrame, table: DataFrame, context: str, option: str, weight
     whole = F.sum(weight).over(Window.partitionBy(context))
     upto = F.sum(weight).over(w) / whole
     last = F.row_number().over(w) == F.count("*").over(Window.partitionBy(context))
-    bounds = table.select(F.col(context).alias("_c"), F.col(option), F.when(last, F.lit(2.0)).otherwise(upto).alias("_high"), F.row_number().over(w).alias("_n"))
+    bounds = table.select(
+        F.col(context).alias("_c"), F.col(option), F.when(last, F.lit(2.0)).otherwise(upto).alias("_high"), F.row_number().over(w).alias("_n")
+    )
     bounds = bounds.withColumn("_low", F.coalesce(F.lag("_high").over(Window.partitionBy("_c").orderBy("_n")), F.lit(0.0))).drop("_n")
-    return draws.join(F.broadcast(bounds), (F.col(context) == F.col("_c")) & (F.col(u) >= F.col("_low")) & (F.col(u) < F.col("_high"))).drop("_c", "_low", "_high")
+    return draws.join(
+        F.broadcast(bounds), (F.col(context) == F.col("_c")) & (F.col(u) >= F.col("_low")) & (F.col(u) < F.col("_high"))
+    ).drop("_c", "_low", "_high")
 
 
-def value_weights(vocabulary: DataFrame, default: float, tiers: dict[str, float] | None = None, value_tiers: dict[str, str] | None = None, priority: dict[str, float] | None = None) -> DataFrame:
+def value_weights(
+    vocabulary: DataFrame, default: float, tiers: dict[str, float] | None = None, value_tiers: dict[str, str] | None = None,
+    priority: dict[str, float] | None = None
+) -> DataFrame:
     """vocabulary (value) with weight, a priority before a tier's weight before the default, and p, its share."""
     def lookup(table: dict | None) -> Column:
         items = [F.lit(x) for k, v in (table or {}).items() for x in (k, float(v))]
@@ -109,7 +116,9 @@ def shuffled_split(rows: DataFrame, order: str, seed: int, shares: tuple[int, in
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", order)) - 1
     placed = parts.join(F.broadcast(before), "_b").withColumn("_i", place)  # 65,536 rows at most
     train, val = n * shares[0] // 100, n * shares[1] // 100
-    return placed.withColumn("split", F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "validation").otherwise("test")).drop("_h", "_b", "_before", "_i")
+    return placed.withColumn(
+        "split", F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "validation").otherwise("test")
+    ).drop("_h", "_b", "_before", "_i")
 
 
 def realised(spec: dict, templates: dict[str, str], separator: str = ", ", last: str = " and ") -> str:

@@ -91,7 +91,9 @@ def resolve(titles: list[str], catalog: DataFrame) -> DataFrame:
     asked = _texts(sorted({fold_title(t) for t in titles} - {""}))
     hits = catalog.select("id", _keys(catalog).alias("keys")).select("id", F.explode(F.array_intersect("keys", asked)).alias("key"))
     counted = hits.groupBy("key").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
-    return wanted.join(counted, "key", "left").select("pos", "title", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"))
+    return wanted.join(counted, "key", "left").select(
+        "pos", "title", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id")
+    )
 
 
 def corpus_facts(titles: list[str], catalog: DataFrame) -> DataFrame:
@@ -105,7 +107,10 @@ def corpus_facts(titles: list[str], catalog: DataFrame) -> DataFrame:
     facts = F.struct(F.coalesce("genres", none).alias("genres"), relevant_tags().alias("tags"))
     rows = catalog.select("id", "popularity", facts.alias("facts"), _keys(catalog).alias("keys"))
     hit = [F.array_contains("keys", k) for k in keys]
-    found = rows.agg(top, *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hit)], *[F.min_by("facts", F.when(h, F.col("id"))).alias(f"f{i}") for i, h in enumerate(hit)])
+    found = rows.agg(
+        top, *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hit)],
+        *[F.min_by("facts", F.when(h, F.col("id"))).alias(f"f{i}") for i, h in enumerate(hit)]
+    )
     each = F.filter(F.array(*[F.when(F.col(f"n{i}") == 1, F.col(f"f{i}")) for i in range(len(keys))]), lambda x: x.isNotNull())
     union = lambda name: F.array_distinct(F.flatten(F.transform("_each", lambda x: x[name])))
     return found.withColumn("_each", each).select("_top", F.size("_each").alias("_refs"), union("genres").alias("_genres"), union("tags").alias("_tags"))

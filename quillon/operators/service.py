@@ -26,7 +26,9 @@ def recommend(text: str, parse: Callable[[str], str], catalog: DataFrame, rules:
     except Q.QueryError as e:
         return {"status": "validation_failed", "error": str(e), "raw": raw}
     q = Q.canonical(found)
-    warnings = [f"reference not resolved: {r.title}" for r in search.resolve(q["reference_titles"], catalog).where("id IS NULL").orderBy("pos").collect()] if q["reference_titles"] else []
+    warnings = [
+        f"reference not resolved: {r.title}" for r in search.resolve(q["reference_titles"], catalog).where("id IS NULL").orderBy("pos").collect()
+    ] if q["reference_titles"] else []
     warnings += [f"no ranking effect: {p}" for p in q["soft_preferences"]] + [f"not understood: {p}" for p in q["unresolved_preferences"]]
     hits = search.execute(q, catalog)
     n = hits.count()

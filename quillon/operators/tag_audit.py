@@ -28,10 +28,16 @@ def audit_faults(audit: DataFrame, tags: DataFrame, snapshot_sha256: str) -> Dat
     }
     own = rows.select("tag_id", "tag_name", F.explode(F.filter(F.array(*[F.when(t, n) for n, t in tests.items()]), lambda x: x.isNotNull())).alias("fault"))
     aliases = audit.select("tag_id", "tag_name", "approved", F.explode(F.array_distinct("aliases")).alias("alias"))
-    named_so = aliases.join(tags.select(F.col("name").alias("alias")).distinct(), "alias", "left_semi").select("tag_id", "tag_name", F.lit("an alias is a tag's name").alias("fault"))
+    named_so = aliases.join(
+        tags.select(F.col("name").alias("alias")).distinct(), "alias", "left_semi"
+    ).select("tag_id", "tag_name", F.lit("an alias is a tag's name").alias("fault"))
     shared = aliases.where("approved").groupBy("alias").agg(F.collect_set(F.struct("tag_id", "tag_name")).alias("_of")).where("size(_of) > 1")
     shared = shared.select(F.explode("_of").alias("_t")).select("_t.tag_id", "_t.tag_name", F.lit("an alias is shared").alias("fault"))
-    twice = [audit.groupBy(k).agg(F.count("*").alias("_n")).where("_n > 1").join(audit, k).select("tag_id", "tag_name", F.lit(f"{k} comes twice").alias("fault")) for k in ("tag_id", "tag_name")]
+    twice = [
+        audit.groupBy(k).agg(F.count("*").alias("_n")).where("_n > 1").join(audit, k).select(
+            "tag_id", "tag_name", F.lit(f"{k} comes twice").alias("fault")
+        ) for k in ("tag_id", "tag_name")
+    ]
     found = own
     for more in (named_so, shared, *twice):
         found = found.unionByName(more)
@@ -44,7 +50,9 @@ def executable(audit: DataFrame) -> DataFrame:
     fault = F.concat(F.lit("the approved tag "), F.col("tag_name"), F.lit(" is "), wrong)
     sure = F.when(fault.isNull(), F.col("tag_id")).otherwise(F.raise_error(fault).cast("long"))
     approved = audit.where(F.coalesce("approved", F.lit(False)))
-    return approved.select(sure.alias("tag_id"), "tag_name", "category", F.array_sort("aliases").alias("aliases"), "is_general_spoiler", "is_adult").orderBy("tag_id", "tag_name")
+    return approved.select(
+        sure.alias("tag_id"), "tag_name", "category", F.array_sort("aliases").alias("aliases"), "is_general_spoiler", "is_adult"
+    ).orderBy("tag_id", "tag_name")
 
 
 def target_faults(groups: DataFrame, active: DataFrame, approved: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ TAG_POLICY = (*VALUE_POLICY, "tier_weights", "value_tiers")
 TIERS = ("core", "standard", "edge")
 POOLS = {"common": "common_values", "catalog_region": "catalog_region_values", "long_tail": "long_tail_values"}
 NUMERIC_POLICY = ("pattern_weights", "pool_weights", *POOLS.values())
-TOLERANCES = ("family_max_absolute_error", "constraint_count_max_absolute_error", "operator_max_absolute_error", "minimum_value_coverage_ratio", "maximum_signature_share")
+TOLERANCES = (
+    "family_max_absolute_error", "constraint_count_max_absolute_error", "operator_max_absolute_error", "minimum_value_coverage_ratio",
+    "maximum_signature_share"
+)
 POLICY = ("policy_version", "sampler_version", "signature_entries")
 ENTRY = ("semantic_family", "complexity_bucket", "atom_kinds", "weight")
 
@@ -148,7 +151,10 @@ def load_config(text: str) -> dict:
 def check_config_domain(config: dict, rules: Q.Rules) -> None:
     """check_config(), and what it names is in the rules: values with a priority or tier, numbers, a group for normalisation."""
     check_config(config)
-    named = [("genre_sampling", "priority_weights", rules.genres), ("tag_sampling", "priority_weights", rules.tags), ("tag_sampling", "value_tiers", rules.tags)]
+    named = [
+        ("genre_sampling", "priority_weights", rules.genres), ("tag_sampling", "priority_weights", rules.tags),
+        ("tag_sampling", "value_tiers", rules.tags)
+    ]
     for part, key, allowed in named:
         if unknown := sorted(set(config[part][key]) - allowed):
             raise SamplerError(f"{part}.{key} has values outside the rules: {unknown}")
@@ -162,7 +168,10 @@ def check_config_domain(config: dict, rules: Q.Rules) -> None:
 
 def weight_rows(config: dict) -> list[tuple[str, str, float, int]]:
     """(table, key, weight, ord) of the weight tables, in canonical order of each."""
-    tables = {"family": (P.FAMILIES, config["family_weights"]), "bucket": (P.BUCKETS[1:], config["constraint_count_weights"]), "operator": (Q.OPERATORS, config["operator_weights"])}
+    tables = {
+        "family": (P.FAMILIES, config["family_weights"]), "bucket": (P.BUCKETS[1:], config["constraint_count_weights"]),
+        "operator": (Q.OPERATORS, config["operator_weights"])
+    }
     tables |= {f"cardinality.{o}": (c, config["operator_cardinality"][o]) for o, c in CARDINALITIES.items()}
     for field, policy in config["numeric_sampling"].items():
         tables |= {f"{field}.pattern": (P.RANGE_OPTIONS, policy["pattern_weights"]), f"{field}.pool": (POOLS, policy["pool_weights"])}
@@ -260,7 +269,10 @@ def load_policy(text: str) -> dict:
 
 def policy_table(spark: SparkSession, policy: dict) -> DataFrame:
     """family, bucket, signature (slots joined by +), weight, ord of each entry."""
-    rows = [(e["semantic_family"], str(e["complexity_bucket"]), "+".join(e["atom_kinds"]), float(e["weight"]), i) for i, e in enumerate(policy["signature_entries"])]
+    rows = [
+        (e["semantic_family"], str(e["complexity_bucket"]), "+".join(e["atom_kinds"]), float(e["weight"]), i) for i,
+        e in enumerate(policy["signature_entries"])
+    ]
     return spark.createDataFrame(rows, "family string, bucket string, signature string, weight double, ord int")
 
 

@@ -36,8 +36,12 @@ def cat(sql: str) -> str:
 
 
 FLAGSHIP = Q.query(
-    genres={"all_of": ["PROMO"], "any_of": ["ECONOMY", "LARGE", "SMALL"]}, tags={"any_of": ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"], "none_of": ["Brand#7"]},
-    year={"min": 1994, "max": 2000}, episodes={"min": 3, "max": 9}, formats=["1-URGENT", "2-HIGH", "3-MEDIUM"], status=["F", "O"], reference_titles=["order#42", "Order#77", "no such title"],
+    genres={"all_of": ["PROMO"], "any_of": ["ECONOMY", "LARGE", "SMALL"]}, tags={
+        "any_of": ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"], "none_of": ["Brand#7"]
+    },
+    year={"min": 1994, "max": 2000}, episodes={"min": 3, "max": 9}, formats=["1-URGENT", "2-HIGH", "3-MEDIUM"], status=["F", "O"], reference_titles=[
+        "order#42", "Order#77", "no such title"
+    ],
 )
 WHERE = """list_has_all(genres, ['PROMO']) AND list_has_any(genres, ['ECONOMY', 'LARGE', 'SMALL'])
     AND list_has_any(rt, ['Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15']) AND NOT list_has_any(xt, ['Brand#7'])
@@ -103,17 +107,26 @@ def prj2_relevant_tags(spark, sf_dir):
     return catalog(spark, sf_dir).select("id", search.relevant_tags(50).alias("relevant"), search.relevant_tags(1).alias("present"))
 
 
-@registered(cat(f"{SCORED} SELECT id, title, list_sort(list_intersect(rt, ['Brand#11', 'Brand#12', 'Brand#3'])) AS shown_tags, score FROM q_scored ORDER BY score DESC, id LIMIT 50"))
+@registered(
+    cat(
+        f"{SCORED} SELECT id, title, list_sort(list_intersect(rt, ['Brand#11', 'Brand#12', 'Brand#3'])) AS shown_tags, score FROM q_scored ORDER BY score DESC, id LIMIT 50"
+    )
+)
 def prj3_presentation(spark, sf_dir):
     return search.presented(search.top(FLAGSHIP, catalog(spark, sf_dir), 50), ["Brand#11", "Brand#12", "Brand#3"])
 
 
-@registered("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN CAST(month(o_orderdate) AS INT) ELSE CAST(year(o_orderdate) AS INT) END AS year FROM orders""")
+@registered(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN CAST(month(o_orderdate) AS INT) ELSE CAST(year(o_orderdate) AS INT) END AS year FROM orders"""
+)
 def prj1_normalised_year(spark, sf_dir):
     """A start year of 0 falls through to the season, as null does."""
     start = F.when(F.col("o_orderstatus") == "P", 0).otherwise(F.year("o_orderdate"))
     lists = {"genres": F.array().cast("array<string>"), "tags": F.array().cast("array<struct<name:string,rank:int>>")}
-    media = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.struct(start.alias("year")).alias("startDate"), F.month("o_orderdate").alias("seasonYear"), *[c.alias(n) for n, c in lists.items()])
+    media = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.struct(start.alias("year")).alias("startDate"), F.month("o_orderdate").alias("seasonYear"),
+        *[c.alias(n) for n, c in lists.items()]
+    )
     return C.normalise(media).select("id", "year")
 
 
@@ -121,12 +134,21 @@ def prj1_normalised_year(spark, sf_dir):
 SELECT id, list_sort(list(DISTINCT p_type)) AS genres, array_to_string(list(p_brand || ':' || rank ORDER BY p_brand, rank), ',') AS tags FROM t GROUP BY id""")
 def prj1_normalised_lists(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    media = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("p_type").alias("genres"), F.collect_list(F.struct(F.col("p_brand").alias("name"), F.col("l_quantity").cast("int").alias("rank"))).alias("tags"))
+    media = rows.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.collect_list("p_type").alias("genres"),
+        F.collect_list(F.struct(F.col("p_brand").alias("name"), F.col("l_quantity").cast("int").alias("rank"))).alias("tags")
+    )
     media = media.withColumns({"startDate": F.lit(None).cast("struct<year:int>"), "seasonYear": F.lit(2000)})
-    return C.normalise(media).select("id", "genres", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["name"], t["rank"].cast("string"))), ",").alias("tags"))
+    return C.normalise(media).select(
+        "id", "genres", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["name"], t["rank"].cast("string"))), ",").alias("tags")
+    )
 
 
-@registered(cat("SELECT id, '{\"genres\":[' || array_to_string(list_transform(genres, lambda g: '\"' || g || '\"'), ',') || '],\"id\":' || id || ',\"year\":' || coalesce(CAST(year AS VARCHAR), 'null') || '}' AS value FROM cat"))
+@registered(
+    cat(
+        "SELECT id, '{\"genres\":[' || array_to_string(list_transform(genres, lambda g: '\"' || g || '\"'), ',') || '],\"id\":' || id || ',\"year\":' || coalesce(CAST(year AS VARCHAR), 'null') || '}' AS value FROM cat"
+    )
+)
 def snk1_canonical_lines(spark, sf_dir):
     return C.canonical_lines(catalog(spark, sf_dir).select("id", "year", "genres"))
 
@@ -168,7 +190,9 @@ def set6_repeated_ids(spark, sf_dir):
     return audit.repeated(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
 
 
-@registered("""SELECT user_id AS id, event_type AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+@registered(
+    """SELECT user_id AS id, event_type AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"""
+)
 def src2_last_write_wins(spark, sf_dir):
     return C.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("id"), F.col("event_type").alias("last_type"))
 
@@ -186,7 +210,9 @@ def joi1_resolve_references(spark, sf_dir):
 @registered(cat("q_top AS (SELECT max(popularity) AS mp FROM cat) SELECT id, round(coalesce(popularity, 0) / mp, 8) AS share FROM cat, q_top"))
 def joi2_corpus_maximum(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return c.crossJoin(F.broadcast(c.agg(F.max("popularity").alias("mp")))).select("id", F.round(F.coalesce("popularity", F.lit(0)) / F.col("mp"), 8).alias("share"))  # one row
+    return c.crossJoin(F.broadcast(c.agg(F.max("popularity").alias("mp")))).select(
+        "id", F.round(F.coalesce("popularity", F.lit(0)) / F.col("mp"), 8).alias("share")
+    )  # one row
 
 
 @registered(cat(f"{SCORED} SELECT id, score FROM q_scored"))
@@ -218,14 +244,19 @@ def agg7_tag_frequency(spark, sf_dir):
 @registered("SELECT p_partkey AS id, p_brand AS value FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 40 AND p_type = 'PROMO')")
 def joi6_outside_vocabulary(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return audit.outside(p, "p_brand", p.where("p_size > 40 AND p_type = 'PROMO'").select("p_brand")).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
+    return audit.outside(
+        p, "p_brand", p.where("p_size > 40 AND p_type = 'PROMO'").select("p_brand")
+    ).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
 
 
 @registered(cat("""SELECT id, list_sort(list_distinct(list_concat(list_filter(genres, lambda g: g NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')), list_filter(rt, lambda t: t = 'Brand#25'),
 CASE WHEN year < 1993 THEN ['year.min'] ELSE [] END, CASE WHEN format = '4-NOT SPECIFIED' THEN [format] ELSE [] END))) AS outside FROM cat"""))
 def joi6_queries_outside_rules(spark, sf_dir):
     """A query of each catalog row's own values, against rules that lack some."""
-    rules = Q.Rules(genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO"]), tags=RULES.tags - {"Brand#25"}, formats=RULES.formats, statuses=RULES.statuses, year=(1993, 2100))
+    rules = Q.Rules(
+        genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO"]), tags=RULES.tags - {"Brand#25"}, formats=RULES.formats, statuses=RULES.statuses,
+        year=(1993, 2100)
+    )
     return catalog(spark, sf_dir).select("id", QC.outside(_row_query(F.col("genres"), search.relevant_tags()), rules).alias("outside"))
 
 
@@ -234,8 +265,12 @@ def _row_query(genres_any, tags_any, **more):
     none, text = F.array().cast("array<string>"), lambda *c: F.array(*c).cast("array<string>")
     of = lambda name, **c: F.struct(*[c.get(o, none).alias(o) for o in Q.OPERATORS]).alias(name)
     hard = F.struct(
-        of("genres", any_of=genres_any, **more.get("genres", {})), of("tags", any_of=tags_any), F.struct(F.col("year").alias("min"), F.lit(None).cast("int").alias("max")).alias("year"),
-        F.struct(more.get("episodes", F.lit(None)).cast("int").alias("min"), F.lit(None).cast("int").alias("max")).alias("episodes"), text(F.col("format")).alias("formats"), text(F.col("status")).alias("status"),
+        of("genres", any_of=genres_any, **more.get("genres", {})), of("tags", any_of=tags_any), F.struct(
+            F.col("year").alias("min"), F.lit(None).cast("int").alias("max")
+        ).alias("year"),
+        F.struct(
+            more.get("episodes", F.lit(None)).cast("int").alias("min"), F.lit(None).cast("int").alias("max")
+        ).alias("episodes"), text(F.col("format")).alias("formats"), text(F.col("status")).alias("status"),
     )
     return F.struct(hard.alias("hard_constraints"), *[none.alias(f) for f in Q.TOP[1:]]).cast(f"struct<{nested(QUERY)}>")
 
@@ -253,12 +288,21 @@ UNION ALL SELECT tag_id, 'an alias is shared' FROM a WHERE approved AND alias IN
 def joi4_tag_audit(spark, sf_dir):
     """Parts as a taxonomy, and an audit of it with faults of several kinds."""
     p = table(spark, sf_dir, "part")
-    snapshot = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("category"), (F.col("p_size") > 45).alias("is_general_spoiler"), (F.col("p_brand") == "Brand#7").alias("is_adult"))
+    snapshot = p.select(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"),
+        F.col("p_type").alias("category"), (F.col("p_size") > 45).alias("is_general_spoiler"), (F.col("p_brand") == "Brand#7").alias("is_adult")
+    )
     k = F.col("id")
     audited = snapshot.select(
-        F.when(k % 11 == 0, k + 1000000).otherwise(k).alias("tag_id"), F.when(k % 13 == 0, F.concat(F.lit("none"), k.cast("string"))).otherwise(F.col("name")).alias("tag_name"),
-        F.when(k % 7 == 0, "other").otherwise(F.col("category")).alias("category"), (k % 3 != 0).alias("approved"), F.array(F.concat(F.lit("alias"), F.floor(k / 2).cast("string"))).alias("aliases"),
-        F.when(k % 5 == 0, ~F.col("is_general_spoiler")).otherwise(F.col("is_general_spoiler")).alias("is_general_spoiler"), "is_adult", F.when(k % 17 == 0, "x").otherwise(SNAPSHOT_HASH).alias("source_snapshot_hash"),
+        F.when(k % 11 == 0, k + 1000000).otherwise(k).alias("tag_id"), F.when(
+            k % 13 == 0, F.concat(F.lit("none"), k.cast("string"))
+        ).otherwise(F.col("name")).alias("tag_name"),
+        F.when(k % 7 == 0, "other").otherwise(F.col("category")).alias("category"), (k % 3 != 0).alias("approved"), F.array(
+            F.concat(F.lit("alias"), F.floor(k / 2).cast("string"))
+        ).alias("aliases"),
+        F.when(
+            k % 5 == 0, ~F.col("is_general_spoiler")
+        ).otherwise(F.col("is_general_spoiler")).alias("is_general_spoiler"), "is_adult", F.when(k % 17 == 0, "x").otherwise(SNAPSHOT_HASH).alias("source_snapshot_hash"),
     )
     return tag_audit.audit_faults(audited, snapshot, SNAPSHOT_HASH).select("tag_id", "fault")
 
@@ -271,12 +315,16 @@ def joi5_tag_targets(spark, sf_dir):
     return tag_audit.target_faults(groups, p.where("tag < 'Brand#2'").select("tag"), p.where("tag <> 'Brand#13'").select("tag"))
 
 
-@registered("SELECT p_partkey + 1 AS id, p_name || '#' || p_partkey AS name, p_type AS description, p_brand AS category, p_size > 45 AS is_general_spoiler, false AS is_adult FROM part")
+@registered(
+    "SELECT p_partkey + 1 AS id, p_name || '#' || p_partkey AS name, p_type AS description, p_brand AS category, p_size > 45 AS is_general_spoiler, false AS is_adult FROM part"
+)
 def prj4_taxonomy(spark, sf_dir):
     """Parts as raw tags with more fields than a snapshot has."""
     p = table(spark, sf_dir, "part")
     raw = p.select(
-        (F.col("p_partkey") + 1).alias("id"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
+        (F.col("p_partkey") + 1).alias("id"), F.concat(
+            "p_name", F.lit("#"), F.col("p_partkey").cast("string")
+        ).alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
         (F.col("p_size") > 45).alias("isGeneralSpoiler"), F.lit(False).alias("isAdult"), F.lit(7).alias("rank"),
     )
     return taxonomy.projected(raw)
@@ -298,8 +346,13 @@ len(list_filter(gold, lambda x: NOT list_contains(pred, x))) AS fn FROM e JOIN o
 
 def _paired(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sets = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("p_type"))).alias("gold"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("p_type"))).alias("pred"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), F.col("o_orderstatus").alias("signature"))
+    sets = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("p_type"))).alias("gold"),
+        F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("p_type"))).alias("pred")
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), F.col("o_orderstatus").alias("signature")
+    )
     rows = sets.join(orders, "id").select("id", "family", "signature", *evaluation.clause_counts(F.col("gold"), F.col("pred")))
     return rows.withColumn("exact", (F.col("fp") == 0) & (F.col("fn") == 0))
 
@@ -329,7 +382,9 @@ def agg2_slices(spark, sf_dir):
     return _rounded(evaluation.slices(_paired(spark, sf_dir), ["family", "signature"], ("exact",)))
 
 
-@registered(f"""WITH {PAIRED_SQL} SELECT signature AS split, CASE WHEN family < '3' THEN 'special' ELSE 'other' END AS part, {MEASURES_SQL} FROM c GROUP BY 1, 2""")
+@registered(
+    f"""WITH {PAIRED_SQL} SELECT signature AS split, CASE WHEN family < '3' THEN 'special' ELSE 'other' END AS part, {MEASURES_SQL} FROM c GROUP BY 1, 2"""
+)
 def agg3_bundle(spark, sf_dir):
     rows = _paired(spark, sf_dir).withColumn("part", F.when(F.col("family") < "3", "special").otherwise("other"))
     return _rounded(rows.groupBy(F.col("signature").alias("split"), "part").agg(*evaluation.measures(("exact",))))
@@ -342,26 +397,40 @@ def agg1_error_counts(spark, sf_dir):
     return evaluation.label_counts(_paired(spark, sf_dir).select(labels.alias("labels")))
 
 
-@registered("""SELECT CAST(quality AS INT) AS gold, CASE WHEN quality = 1 AND toxic = 1 THEN 'kept' WHEN quality = 0 AND toxic = 1 THEN 'fixed' WHEN quality = 1 THEN 'regressed' ELSE 'still_failed' END AS transition, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY ALL""")
+@registered(
+    """SELECT CAST(quality AS INT) AS gold, CASE WHEN quality = 1 AND toxic = 1 THEN 'kept' WHEN quality = 0 AND toxic = 1 THEN 'fixed' WHEN quality = 1 THEN 'regressed' ELSE 'still_failed' END AS transition, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY ALL"""
+)
 def agg13_transitions(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").withColumn("gold", F.col("quality"))
     return evaluation.transitions(rows, ["gold"], F.col("quality") == 1, F.col("toxic") == 1)
 
 
-@registered("""SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'not in tuned' WHEN d.doc_id IS NULL THEN 'not in base' END AS fault FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+@registered(
+    """SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'not in tuned' WHEN d.doc_id IS NULL THEN 'not in base' END AS fault FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"""
+)
 def joi7_pairing(spark, sf_dir):
     pairs = evaluation.paired(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], [])
     return pairs.select(F.coalesce("b_doc_id", "t_doc_id").alias("id"), "fault")
 
 
-RULES = Q.Rules(genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]), tags=frozenset(f"Brand#{i}" for i in range(1, 26)), formats=frozenset(["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]), statuses=frozenset("FOP"), year=(1900, 2100), groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1")})
+RULES = Q.Rules(
+    genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]), tags=frozenset(f"Brand#{i}" for i in range(1, 26)),
+    formats=frozenset(["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]), statuses=frozenset("FOP"), year=(1900, 2100),
+    groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1")}
+)
 GOLD = Q.dumps(Q.query(formats=["1-URGENT"], year={"min": 1995}))
 
 
 def _raw():
     """Outputs of a parser that fails in several ways, as a function of the order."""
-    q = F.concat(F.lit(GOLD.split('"year"')[0].replace("{", "{", 1)), F.lit('"year":{"min":'), F.year("o_orderdate").cast("string"), F.lit(',"max":null},"episodes":{"min":null,"max":null},"formats":["'), F.col("o_orderpriority"), F.lit('"],"status":[]},"reference_titles":[],"soft_preferences":[],"unresolved_preferences":[]}'))
-    return F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Here: "), q)).when(F.col("o_totalprice") > 300000, F.regexp_replace(q, '"status":\\[\\]', '"extra":[]')).otherwise(q)
+    q = F.concat(
+        F.lit(GOLD.split('"year"')[0].replace("{", "{", 1)), F.lit('"year":{"min":'), F.year("o_orderdate").cast("string"),
+        F.lit(',"max":null},"episodes":{"min":null,"max":null},"formats":["'), F.col("o_orderpriority"),
+        F.lit('"],"status":[]},"reference_titles":[],"soft_preferences":[],"unresolved_preferences":[]}')
+    )
+    return F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Here: "), q)).when(
+        F.col("o_totalprice") > 300000, F.regexp_replace(q, '"status":\\[\\]', '"extra":[]')
+    ).otherwise(q)
 
 
 RAW_SQL = """r AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS parsed, o_orderstatus <> 'P' AND NOT o_totalprice > 300000 AS schema_ok,
@@ -375,14 +444,19 @@ ELSE concat_ws(',', CASE WHEN NOT (f AND y) THEN 'MISSING_CONSTRAINT,HALLUCINATE
 def val14_evaluate_predictions(spark, sf_dir):
     """VAL-1, VAL-2, VAL-3, VAL-4, VAL-14: the layers of each raw output."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _raw().alias("raw_output"), F.lit(GOLD).alias("gold_query"))
-    return evaluation.evaluated(rows, RULES).select("id", "e.parsed", "e.recoverable", "e.schema_ok", "e.domain_ok", "e.exact", "e.tp", "e.fp", "e.fn", F.array_join("e.labels", ",").alias("labels"))
+    return evaluation.evaluated(rows, RULES).select(
+        "id", "e.parsed", "e.recoverable", "e.schema_ok", "e.domain_ok", "e.exact", "e.tp", "e.fp", "e.fn",
+        F.array_join("e.labels", ",").alias("labels")
+    )
 
 
 @registered("SELECT event_id AS id, true AS ok, event_type <> 'error' AS strict FROM events")
 def val3_strict_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     raw = F.when(F.col("event_type") == "error", F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
-    return e.select(F.col("event_id").alias("id"), X.strict_json(raw).alias("s")).select("id", F.col("s.recoverable").alias("ok"), F.col("s.ok").alias("strict"))
+    return e.select(F.col("event_id").alias("id"), X.strict_json(raw).alias("s")).select(
+        "id", F.col("s.recoverable").alias("ok"), F.col("s.ok").alias("strict")
+    )
 
 
 # --- audits -------------------------------------------------------------------------------------------------------
@@ -395,12 +469,16 @@ def _split(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("split", F.when(part < 8, "train").when(part == 8, "validation").otherwise("test"))
 
 
-@registered(f"WITH d AS (SELECT {SPLIT_SQL}, text, lang FROM documents), u AS (SELECT split, 'text' AS key, text AS k FROM d UNION ALL SELECT split, 'text_lang', text || lang FROM d) SELECT split, key, CAST(count(*) - count(DISTINCT k) AS BIGINT) AS excess FROM u GROUP BY ALL")
+@registered(
+    f"WITH d AS (SELECT {SPLIT_SQL}, text, lang FROM documents), u AS (SELECT split, 'text' AS key, text AS k FROM d UNION ALL SELECT split, 'text_lang', text || lang FROM d) SELECT split, key, CAST(count(*) - count(DISTINCT k) AS BIGINT) AS excess FROM u GROUP BY ALL"
+)
 def agg5_duplicate_excess(spark, sf_dir):
     return audit.duplicate_excess(_split(spark, sf_dir), "split", {"text": F.col("text"), "text_lang": F.concat("text", "lang")})
 
 
-@registered(f"WITH d AS (SELECT DISTINCT {SPLIT_SQL}, text FROM documents) SELECT a.split AS split_a, b.split AS split_b, 'text' AS key, CAST(count(*) AS BIGINT) AS shared FROM d a JOIN d b ON a.text = b.text AND a.split < b.split GROUP BY ALL")
+@registered(
+    f"WITH d AS (SELECT DISTINCT {SPLIT_SQL}, text FROM documents) SELECT a.split AS split_a, b.split AS split_b, 'text' AS key, CAST(count(*) AS BIGINT) AS shared FROM d a JOIN d b ON a.text = b.text AND a.split < b.split GROUP BY ALL"
+)
 def set1_split_overlap(spark, sf_dir):
     return audit.split_overlap(_split(spark, sf_dir), "split", {"text": F.col("text")})
 
@@ -413,13 +491,19 @@ def set2_hygiene(spark, sf_dir):
     return audit.hygiene_errors(audit.split_overlap(rows, "split", keys), audit.duplicate_excess(rows, "split", keys))
 
 
-@registered("SELECT o.o_orderkey AS id, CASE WHEN c.c_mktsegment < 'C' THEN 'train' ELSE 'test' END AS split FROM orders o JOIN customer c ON c_custkey = o_custkey")
+@registered(
+    "SELECT o.o_orderkey AS id, CASE WHEN c.c_mktsegment < 'C' THEN 'train' ELSE 'test' END AS split FROM orders o JOIN customer c ON c_custkey = o_custkey"
+)
 def set3_split_by_owner(spark, sf_dir):
-    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") < "C", "train").otherwise("test").alias("split"))
+    owners = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") < "C", "train").otherwise("test").alias("split")
+    )
     return audit.by_owner(table(spark, sf_dir, "orders"), owners, "o_custkey").select(F.col("o_orderkey").alias("id"), "split")
 
 
-@registered("""SELECT split, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN i < floor(0.8 * n) THEN 'train' WHEN i < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM orders)) GROUP BY 1""")
+@registered(
+    """SELECT split, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN i < floor(0.8 * n) THEN 'train' WHEN i < floor(0.8 * n) + floor(0.1 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM orders)) GROUP BY 1"""
+)
 def set4_shuffled_split(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey")
     return sampling.shuffled_split(rows, "o_orderkey", 17).groupBy("split").agg(F.count("*").alias("n"))
@@ -431,7 +515,9 @@ def set4_assignment(spark, sf_dir):
     return sampling.shuffled_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 17)
 
 
-@registered("""SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2""")
+@registered(
+    """SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2"""
+)
 def agg4_frequencies(spark, sf_dir):
     return audit.frequencies(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
@@ -440,26 +526,37 @@ def agg4_frequencies(spark, sf_dir):
 list_sort(list(DISTINCT format)) AS all_formats FROM cat GROUP BY 1"""))
 def agg6_dataset_audit(spark, sf_dir):
     found = audit.dataset_audit(catalog(spark, sf_dir), "status", "format", "genres")
-    return found.select(F.col("status").alias("family"), "n", F.col("distinct").alias("formats"), F.col("several").alias("multi"), F.col("all_values").alias("all_formats"))
+    return found.select(
+        F.col("status").alias("family"), "n", F.col("distinct").alias("formats"), F.col("several").alias("multi"),
+        F.col("all_values").alias("all_formats")
+    )
 
 
-@registered("SELECT lang, CAST(count(*) AS BIGINT) AS n, min(n_chars) AS least, CAST(median(n_chars) AS DOUBLE) AS median, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS most FROM documents GROUP BY 1")
+@registered(
+    "SELECT lang, CAST(count(*) AS BIGINT) AS n, min(n_chars) AS least, CAST(median(n_chars) AS DOUBLE) AS median, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS most FROM documents GROUP BY 1"
+)
 def agg8_length_summary(spark, sf_dir):
     return audit.length_summary(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
 
 
-@registered("SELECT CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n_chars, 1.0) AS BIGINT) AS p100 FROM documents")
+@registered(
+    "SELECT CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n_chars, 1.0) AS BIGINT) AS p100 FROM documents"
+)
 def agg9_nearest_rank(spark, sf_dir):
     return audit.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
 
 
-@registered("SELECT o_custkey AS owner, CAST(count(*) AS BIGINT) AS n, sha256('[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) || ']') AS sha256 FROM orders GROUP BY 1")
+@registered(
+    "SELECT o_custkey AS owner, CAST(count(*) AS BIGINT) AS n, sha256('[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) || ']') AS sha256 FROM orders GROUP BY 1"
+)
 def agg10_ids_hash(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.struct("o_orderdate", "o_orderkey").alias("pos"), "o_orderkey")
     return audit.ids_sha256(rows, ["owner"], "pos", "o_orderkey")
 
 
-@registered("""SELECT l_orderkey AS id, CAST(count(DISTINCT p_type) + (count(DISTINCT p_brand) > 1)::INT + 1 AS BIGINT) AS clauses FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+@registered(
+    """SELECT l_orderkey AS id, CAST(count(DISTINCT p_type) + (count(DISTINCT p_brand) > 1)::INT + 1 AS BIGINT) AS clauses FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"""
+)
 def agg11_clause_count(spark, sf_dir):
     """Queries that ask for an order's types (ALL), brands (ANY, if several) and a year."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -478,23 +575,40 @@ def val6_constraint_signatures(spark, sf_dir):
     rows = catalog(spark, sf_dir).withColumn("year", F.when(F.col("year") > 1993, F.col("year")))
     q = _row_query(F.when(F.size("genres") > 3, F.col("genres")).otherwise(none), search.relevant_tags(), episodes=F.col("episodes"))
     hard = q["hard_constraints"]
-    hard = hard.withField("formats", F.when(F.col("format") < "2", hard["formats"]).otherwise(none)).withField("status", F.when(F.col("status") == "P", hard["status"]).otherwise(none))
+    hard = hard.withField(
+        "formats", F.when(F.col("format") < "2", hard["formats"]).otherwise(none)
+    ).withField("status", F.when(F.col("status") == "P", hard["status"]).otherwise(none))
     return rows.groupBy(QC.signature(q.withField("hard_constraints", hard)).alias("signature")).agg(F.count("*").alias("n"))
 
 
-@registered("SELECT o_orderkey AS id, 'sample_' || sha256('{\"family\":\"' || o_orderpriority || '\",\"seed\":' || o_custkey || ',\"spec\":{\"min\":null,\"status\":\"' || o_orderstatus || '\"}}') AS sample_id FROM orders")
+@registered(
+    "SELECT o_orderkey AS id, 'sample_' || sha256('{\"family\":\"' || o_orderpriority || '\",\"seed\":' || o_custkey || ',\"spec\":{\"min\":null,\"status\":\"' || o_orderstatus || '\"}}') AS sample_id FROM orders"
+)
 def val9_sample_ids(spark, sf_dir):
-    identity = F.struct(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("seed"), F.struct(F.lit(None).cast("int").alias("min"), F.col("o_orderstatus").alias("status")).alias("spec"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("sample_"), X.sha256(X.to_canonical_json(identity))).alias("sample_id"))
+    identity = F.struct(
+        F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("seed"),
+        F.struct(F.lit(None).cast("int").alias("min"), F.col("o_orderstatus").alias("status")).alias("spec")
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("sample_"), X.sha256(X.to_canonical_json(identity))).alias("sample_id")
+    )
 
 
-@registered(cat("SELECT id, '{\"all_of\":[' || array_to_string(list_transform(genres, lambda g: '\"' || g || '\"'), ',') || '],\"any_of\":[],\"min\":' || coalesce(CAST(episodes AS VARCHAR), 'null') || '}' AS json FROM cat"))
+@registered(
+    cat(
+        "SELECT id, '{\"all_of\":[' || array_to_string(list_transform(genres, lambda g: '\"' || g || '\"'), ',') || '],\"any_of\":[],\"min\":' || coalesce(CAST(episodes AS VARCHAR), 'null') || '}' AS json FROM cat"
+    )
+)
 def prj6_query_json(spark, sf_dir):
     q = F.struct(F.array_sort("genres").alias("all_of"), F.array().cast("array<string>").alias("any_of"), F.col("episodes").alias("min"))
     return catalog(spark, sf_dir).select("id", X.to_canonical_json(q).alias("json"))
 
 
-@registered(cat("SELECT id, CASE len(genres) WHEN 0 THEN '' WHEN 1 THEN genres[1] ELSE array_to_string(genres[1:len(genres) - 1], ', ') || ' or ' || genres[len(genres)] END AS phrase FROM cat"))
+@registered(
+    cat(
+        "SELECT id, CASE len(genres) WHEN 0 THEN '' WHEN 1 THEN genres[1] ELSE array_to_string(genres[1:len(genres) - 1], ', ') || ' or ' || genres[len(genres)] END AS phrase FROM cat"
+    )
+)
 def fn8_joined(spark, sf_dir):
     return catalog(spark, sf_dir).select("id", X.joined(F.col("genres"), ", ", " or ").alias("phrase"))
 
@@ -539,22 +653,31 @@ def smp11_signatures(spark, sf_dir):
 
 
 # Parameters of an example configuration.
-FAMILY_W = {"single_constraint": 25, "same_field_logic": 20, "cross_field_composition": 20, "normalization": 15, "reference_only": 10, "reference_composition": 10}
+FAMILY_W = {
+    "single_constraint": 25, "same_field_logic": 20, "cross_field_composition": 20, "normalization": 15, "reference_only": 10,
+    "reference_composition": 10
+}
 BUCKET_W = {"1": 35, "2": 30, "3": 20, "4": 10, "5_plus": 5}
 OPERATOR_W = {"all_of": 45, "any_of": 30, "none_of": 25}
 CARDINALITY_W = {"all_of": {1: 65, 2: 30, 3: 5}, "any_of": {2: 80, 3: 20}, "none_of": {1: 75, 2: 25}}
 RANGE_W = {"year_range": {"min_only": 4, "max_only": 3, "bounded_range": 2}, "episodes_range": {"min_only": 3, "max_only": 5, "bounded_range": 2}}
-PAIR_SQL = "fb(family, bucket, w) AS (VALUES " + ", ".join(f"('{f}', '{b}', {BUCKET_W.get(b, 1)})" for f, bs in patterns.FAMILIES.items() for b in bs) + "), fw(family, wf) AS (VALUES " + ", ".join(f"('{f}', {w})" for f, w in FAMILY_W.items()) + ")"
+PAIR_SQL = "fb(family, bucket, w) AS (VALUES " + ", ".join(
+    f"('{f}', '{b}', {BUCKET_W.get(b, 1)})" for f, bs in patterns.FAMILIES.items() for b in bs
+) + "), fw(family, wf) AS (VALUES " + ", ".join(f"('{f}', {w})" for f, w in FAMILY_W.items()) + ")"
 
 
-@registered(f"WITH {PAIR_SQL} SELECT family, bucket, round(wf / {sum(FAMILY_W.values())}, 10) AS p_family, round(w / sum(w) OVER (PARTITION BY family), 10) AS p_bucket, round(wf / {sum(FAMILY_W.values())} * w / sum(w) OVER (PARTITION BY family), 10) AS joint FROM fb JOIN fw USING (family)")
+@registered(
+    f"WITH {PAIR_SQL} SELECT family, bucket, round(wf / {sum(FAMILY_W.values())}, 10) AS p_family, round(w / sum(w) OVER (PARTITION BY family), 10) AS p_bucket, round(wf / {sum(FAMILY_W.values())} * w / sum(w) OVER (PARTITION BY family), 10) AS joint FROM fb JOIN fw USING (family)"
+)
 def smp3_family_buckets(spark, sf_dir):
     """SMP-1, SMP-3."""
     t = patterns.family_bucket_probabilities(spark, FAMILY_W, BUCKET_W)
     return t.select("family", "bucket", *[F.round(c, 10).alias(c) for c in ("p_family", "p_bucket", "joint")])
 
 
-@registered(f"WITH {PAIR_SQL} SELECT bucket, round(sum(j), 10) AS p FROM (SELECT bucket, wf / {sum(FAMILY_W.values())} * w / sum(w) OVER (PARTITION BY family) AS j FROM fb JOIN fw USING (family)) GROUP BY 1")
+@registered(
+    f"WITH {PAIR_SQL} SELECT bucket, round(sum(j), 10) AS p FROM (SELECT bucket, wf / {sum(FAMILY_W.values())} * w / sum(w) OVER (PARTITION BY family) AS j FROM fb JOIN fw USING (family)) GROUP BY 1"
+)
 def smp3_bucket_marginal(spark, sf_dir):
     t = patterns.marginal(patterns.family_bucket_probabilities(spark, FAMILY_W, BUCKET_W), "bucket")
     return t.select("bucket", F.round("p", 10).alias("p"))
@@ -584,7 +707,9 @@ y AS (SELECT bucket, o, k, sum(wy) AS sy FROM (SELECT DISTINCT bucket, o, k, yea
 SELECT bucket, genre_set, year_range, round(wo / st * wc / sc * wy / sy, 10) AS p FROM w JOIN t USING (bucket) JOIN c USING (bucket, o) JOIN y USING (bucket, o, k)""")
 def smp13_mechanics(spark, sf_dir):
     m = patterns.mechanics(patterns.space(spark), OPERATOR_W, CARDINALITY_W, RANGE_W)
-    return m.where("signature = 'genre_set+year_range' AND family = 'cross_field_composition'").select("bucket", "genre_set", "year_range", F.round("p", 10).alias("p"))
+    return m.where(
+        "signature = 'genre_set+year_range' AND family = 'cross_field_composition'"
+    ).select("bucket", "genre_set", "year_range", F.round("p", 10).alias("p"))
 
 
 def _levels_sql() -> str:
@@ -598,7 +723,9 @@ def _levels_sql() -> str:
     context, ctes = ["family", "bucket", "signature"], [f"m0 AS (SELECT *, {operators}, CAST(1.0 AS DOUBLE) AS p FROM el)"]
     for k, (option, weights) in enumerate(steps.items()):
         on, weight = ", ".join(context), case(option, weights)
-        ctes.append(f"t{k} AS (SELECT {on}, sum(w) AS t FROM (SELECT DISTINCT {on}, {option}, {weight} AS w FROM m{k} WHERE {option} IS NOT NULL) GROUP BY ALL)")
+        ctes.append(
+            f"t{k} AS (SELECT {on}, sum(w) AS t FROM (SELECT DISTINCT {on}, {option}, {weight} AS w FROM m{k} WHERE {option} IS NOT NULL) GROUP BY ALL)"
+        )
         match = " AND ".join(f"m{k}.{c} IS NOT DISTINCT FROM t{k}.{c}" for c in context)
         chance = f"CASE WHEN m{k}.{option} IS NULL THEN p ELSE p * {weight.replace('CASE ' + option, f'CASE m{k}.{option}')} / t END AS p"
         ctes.append(f"m{k + 1} AS (SELECT m{k}.* REPLACE ({chance}) FROM m{k} LEFT JOIN t{k} ON {match})")
@@ -613,7 +740,9 @@ def smp13_every_mechanics(spark, sf_dir):
     return m.select("family", "bucket", "signature", *patterns.SLOTS, F.round("p", 10).alias("p"))
 
 
-@registered(f"WITH {SPACE_SQL} SELECT family, bucket, fault, CAST(count(*) AS BIGINT) AS n FROM (SELECT family, bucket, CASE WHEN pos7 = 0 THEN 'another clause count' ELSE 'another bucket' END AS fault FROM (SELECT family, bucket, n, (n + atoms) % 2 AS pos7 FROM el) WHERE pos7 = 0 OR n < 5) GROUP BY ALL")
+@registered(
+    f"WITH {SPACE_SQL} SELECT family, bucket, fault, CAST(count(*) AS BIGINT) AS n FROM (SELECT family, bucket, CASE WHEN pos7 = 0 THEN 'another clause count' ELSE 'another bucket' END AS fault FROM (SELECT family, bucket, n, (n + atoms) % 2 AS pos7 FROM el) WHERE pos7 = 0 OR n < 5) GROUP BY ALL"
+)
 def val16_plan_faults(spark, sf_dir):
     """Plans with a wrong clause count (n and slots of one parity) or bucket; right ones give no row."""
     made = patterns.eligible(patterns.space(spark)).withColumn("signature", F.array_join(patterns.signature(), "+")).withColumnRenamed("bucket", "own")
@@ -623,7 +752,9 @@ def val16_plan_faults(spark, sf_dir):
     return patterns.plan_faults(plans).groupBy("family", F.col("own").alias("bucket"), "fault").agg(F.count("*").alias("n"))
 
 
-@registered(f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS patterns FROM el WHERE (genre_set IS NULL OR CAST(split_part(genre_set, ':', 2) AS INT) <= 2) AND (tag_set IS NULL OR CAST(split_part(tag_set, ':', 2) AS INT) <= 1) AND tag_group_none IS NULL GROUP BY ALL")
+@registered(
+    f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS patterns FROM el WHERE (genre_set IS NULL OR CAST(split_part(genre_set, ':', 2) AS INT) <= 2) AND (tag_set IS NULL OR CAST(split_part(tag_set, ':', 2) AS INT) <= 1) AND tag_group_none IS NULL GROUP BY ALL"
+)
 def smp15_bindable(spark, sf_dir):
     capacity = dict.fromkeys(patterns.SLOTS, 9) | {"genre_set": 2, "tag_set": 1, "tag_group_none": 0}
     return patterns.eligible(patterns.bindable(patterns.space(spark), capacity)).groupBy("family", "bucket").agg(F.count("*").alias("patterns"))
@@ -632,11 +763,16 @@ def smp15_bindable(spark, sf_dir):
 @registered("""WITH g(name, ops, tags) AS (VALUES ('A', ['any_of', 'none_of'], ['x', 'y']), ('B', ['none_of'], ['z']), ('C', ['any_of', 'none_of'], ['y', 'z']))
 SELECT a.name AS any_group, b.name AS none_group, CAST(6 - len(list_distinct(list_concat(a.tags, b.tags))) AS INT) AS free_tags FROM g a, g b WHERE a.name <> b.name AND list_contains(a.ops, 'any_of') AND list_contains(b.ops, 'none_of') AND NOT list_has_any(a.tags, b.tags) AND 6 - len(list_distinct(list_concat(a.tags, b.tags))) >= 2""")
 def joi10_group_bindings(spark, sf_dir):
-    groups = spark.createDataFrame([("A", ["any_of", "none_of"], ["x", "y"]), ("B", ["none_of"], ["z"]), ("C", ["any_of", "none_of"], ["y", "z"])], "name string, operators array<string>, tags array<string>")
+    groups = spark.createDataFrame(
+        [("A", ["any_of", "none_of"], ["x", "y"]), ("B", ["none_of"], ["z"]), ("C", ["any_of", "none_of"], ["y", "z"])],
+        "name string, operators array<string>, tags array<string>"
+    )
     return patterns.group_bindings(groups, 6, 2)
 
 
-@registered("""WITH v AS (SELECT DISTINCT p_brand AS value FROM part), w AS (SELECT value, CASE value WHEN 'Brand#1' THEN 9.0 WHEN 'Brand#2' THEN 5.0 WHEN 'Brand#3' THEN 0.5 ELSE 1.0 END AS weight FROM v) SELECT value, weight, round(weight / sum(weight) OVER (), 10) AS p FROM w""")
+@registered(
+    """WITH v AS (SELECT DISTINCT p_brand AS value FROM part), w AS (SELECT value, CASE value WHEN 'Brand#1' THEN 9.0 WHEN 'Brand#2' THEN 5.0 WHEN 'Brand#3' THEN 0.5 ELSE 1.0 END AS weight FROM v) SELECT value, weight, round(weight / sum(weight) OVER (), 10) AS p FROM w"""
+)
 def smp6_value_weights(spark, sf_dir):
     v = table(spark, sf_dir, "part").select(F.col("p_brand").alias("value")).distinct()
     w = sampling.value_weights(v, 1.0, {"core": 5.0, "edge": 0.5}, {"Brand#1": "core", "Brand#2": "core", "Brand#3": "edge"}, {"Brand#1": 9.0})
@@ -651,13 +787,17 @@ def _pools(spark):
     return sampling.pool_probabilities(spark.createDataFrame(rows, "pool string, value int"), {"common": 6, "region": 3, "long": 1})
 
 
-@registered(f"WITH {POOLS_SQL} SELECT a.value AS lower, b.value AS upper, round(b.p / sum(b.p) OVER (PARTITION BY a.value), 10) AS p FROM b a JOIN b ON b.value >= a.value")
+@registered(
+    f"WITH {POOLS_SQL} SELECT a.value AS lower, b.value AS upper, round(b.p / sum(b.p) OVER (PARTITION BY a.value), 10) AS p FROM b a JOIN b ON b.value >= a.value"
+)
 def smp8_conditioned_upper(spark, sf_dir):
     t = sampling.upper_probabilities(_pools(spark).select("value", "p"))
     return t.select("lower", "upper", F.round("p", 10).alias("p"))
 
 
-@registered("""WITH t(option, low, high) AS (VALUES ('a', 0.0, 0.5), ('b', 0.5, 0.75), ('c', 0.75, 2.0)) SELECT event_id AS id, option FROM events JOIN t ON (event_id % 97) / 97.0 >= low AND (event_id % 97) / 97.0 < high""")
+@registered(
+    """WITH t(option, low, high) AS (VALUES ('a', 0.0, 0.5), ('b', 0.5, 0.75), ('c', 0.75, 2.0)) SELECT event_id AS id, option FROM events JOIN t ON (event_id % 97) / 97.0 >= low AND (event_id % 97) / 97.0 < high"""
+)
 def smp2_weighted_choice(spark, sf_dir):
     draws = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("all").alias("ctx"), ((F.col("event_id") % 97) / 97.0).alias("u"))
     options = spark.createDataFrame([("all", 0, "a", 2.0), ("all", 1, "b", 1.0), ("all", 2, "c", 1.0)], "ctx string, ord int, option string, w double")
@@ -675,7 +815,9 @@ def smp7_seeded_sets(spark, sf_dir):
 # --- training features --------------------------------------------------------------------------------------------
 
 
-@registered("""SELECT conv_id, turn, '[{"role":"system","content":"S"},{"role":"user","content":' || to_json(text) || '}]' AS messages FROM conversations WHERE role = 'user'""")
+@registered(
+    """SELECT conv_id, turn, '[{"role":"system","content":"S"},{"role":"user","content":' || to_json(text) || '}]' AS messages FROM conversations WHERE role = 'user'"""
+)
 def prj8_every_message(spark, sf_dir):
     """PRJ-7, PRJ-8 for every user turn."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -688,7 +830,9 @@ def prj8_training_messages(spark, sf_dir):
     """Every user turn with the answer to it."""
     c = table(spark, sf_dir, "conversations")
     answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return c.where("role = 'user'").join(answers, ["conv_id", "turn"]).select("conv_id", "turn", F.to_json(sft.messages("S", F.col("text"), F.col("answer"))).alias("messages"))
+    return c.where("role = 'user'").join(answers, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.to_json(sft.messages("S", F.col("text"), F.col("answer"))).alias("messages")
+    )
 
 
 #: A turn's prompt and whole text, and the bytes of both as token ids.
@@ -710,14 +854,20 @@ def udf3_token_labels(spark, sf_dir):
     return _features(spark, sf_dir).select("conv_id", "turn", "labels", F.size("attention_mask").alias("n"))
 
 
-@registered(f"WITH {BYTES_SQL} SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(max(n) OVER (PARTITION BY conv_id) - n), lambda x: 0)), ' ') AS ids FROM f")
+@registered(
+    f"WITH {BYTES_SQL} SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(max(n) OVER (PARTITION BY conv_id) - n), lambda x: 0)), ' ') AS ids FROM f"
+)
 def udf4_token_batches(spark, sf_dir):
-    return sft.padded(_features(spark, sf_dir), "conv_id", 0).select("conv_id", "turn", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
+    return sft.padded(_features(spark, sf_dir), "conv_id", 0).select(
+        "conv_id", "turn", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids")
+    )
 
 
 @registered("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INT) AS k, trim(event_type) <> '' AS canonical FROM events")
 def fn6_json_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k int")["k"].alias("k"), X.is_canonical_text(F.col("event_type")).alias("canonical"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.from_json("props", "k int")["k"].alias("k"), X.is_canonical_text(F.col("event_type")).alias("canonical")
+    )
 
 
 @registered("""SELECT conv_id, turn, '{"n": ' || length(text) || '}' AS raw_output FROM conversations WHERE role = 'user'""")
@@ -727,22 +877,39 @@ def udf1_parser_answers(spark, sf_dir):
     return sft.answers(rows, "text", lambda texts: [json.dumps({"n": len(t)}) for t in texts]).select("conv_id", "turn", "raw_output")
 
 
-BINDING_RULES = Q.Rules(genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year, groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1"), "HIGH": (("Brand#24", "Brand#25"), ("any_of", "none_of"), "HIGH_V1")})
+BINDING_RULES = Q.Rules(
+    genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year,
+    groups={"LOW": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "LOW_V1"), "HIGH": (("Brand#24", "Brand#25"), ("any_of", "none_of"), "HIGH_V1")}
+)
 #: Groups that share tags, so that not every pair of them fits.
 SHARING_RULES = Q.Rules(genres=RULES.genres, tags=RULES.tags, formats=RULES.formats, statuses=RULES.statuses, year=RULES.year, groups={
-    "A": (("Brand#1", "Brand#2"), ("any_of", "none_of"), "A_V1"), "B": (("Brand#3",), ("none_of",), "B_V1"), "C": (("Brand#2", "Brand#3"), ("any_of", "none_of"), "C_V1"),
+    "A": (
+        ("Brand#1", "Brand#2"), ("any_of", "none_of"), "A_V1"
+    ), "B": (("Brand#3",), ("none_of",), "B_V1"), "C": (("Brand#2", "Brand#3"), ("any_of", "none_of"), "C_V1"),
 })
 #: A configuration of sampling for the test tables.
 CONFIG = {
     "sampler_version": "example-1", "seed": 17, "family_weights": FAMILY_W, "constraint_count_weights": BUCKET_W, "operator_weights": OPERATOR_W, "operator_cardinality": CARDINALITY_W,
     "genre_sampling": {"minimum_coverage_per_value": 1, "maximum_value_share": 0.5, "default_weight": 1.0, "priority_weights": {"PROMO": 2.0}},
-    "tag_sampling": {"minimum_coverage_per_value": 1, "maximum_value_share": 0.5, "default_weight": 1.0, "priority_weights": {"Brand#1": 3.0}, "tier_weights": {"core": 5, "standard": 3, "edge": 1}, "value_tiers": {"Brand#2": "core"}},
+    "tag_sampling": {
+        "minimum_coverage_per_value": 1, "maximum_value_share": 0.5, "default_weight": 1.0, "priority_weights": {"Brand#1": 3.0},
+        "tier_weights": {"core": 5, "standard": 3, "edge": 1}, "value_tiers": {"Brand#2": "core"}
+    },
     "numeric_sampling": {
-        "year": {"pattern_weights": RANGE_W["year_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1}, "common_values": [2000, 2010, 2020], "catalog_region_values": [1990, 2005], "long_tail_values": [1917]},
-        "episodes": {"pattern_weights": RANGE_W["episodes_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1}, "common_values": [12, 24], "catalog_region_values": [1, 13], "long_tail_values": [110]},
+        "year": {
+            "pattern_weights": RANGE_W["year_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1},
+            "common_values": [2000, 2010, 2020], "catalog_region_values": [1990, 2005], "long_tail_values": [1917]
+        },
+        "episodes": {
+            "pattern_weights": RANGE_W["episodes_range"], "pool_weights": {"common": 6, "catalog_region": 3, "long_tail": 1},
+            "common_values": [12, 24], "catalog_region_values": [1, 13], "long_tail_values": [110]
+        },
     },
     "combination_policy_version": "example-1",
-    "audit_tolerances": {"family_max_absolute_error": 0.08, "constraint_count_max_absolute_error": 0.08, "operator_max_absolute_error": 0.1, "minimum_value_coverage_ratio": 0.9, "maximum_signature_share": 0.35},
+    "audit_tolerances": {
+        "family_max_absolute_error": 0.08, "constraint_count_max_absolute_error": 0.08, "operator_max_absolute_error": 0.1,
+        "minimum_value_coverage_ratio": 0.9, "maximum_signature_share": 0.35
+    },
 }
 
 
@@ -762,14 +929,20 @@ POOLS = generation.Pools(dict.fromkeys(RULES.genres, 1.0), {t: 1.0 for t in RULE
 def smp16_bound_patterns(spark, sf_dir):
     """SMP-16, SMP-19, VAL-5..8: every eligible pattern bound by its own seed; each keeps its pattern's clauses."""
     rows = generation.records(patterns.eligible(patterns.space(spark)), "pos", BINDING_RULES, POOLS)
-    return rows.where("r.error IS NULL AND r.clauses = n").groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("clauses"))
+    return rows.where("r.error IS NULL AND r.clauses = n").groupBy("family", "bucket").agg(
+        F.count("*").alias("records"), F.sum("n").cast("long").alias("clauses")
+    )
 
 
-@registered(f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS clauses, CAST(0 AS BIGINT) AS errors FROM el GROUP BY ALL")
+@registered(
+    f"WITH {SPACE_SQL} SELECT family, bucket, CAST(count(*) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS clauses, CAST(0 AS BIGINT) AS errors FROM el GROUP BY ALL"
+)
 def smp16_every_binding(spark, sf_dir):
     """SMP-16 with groups that share tags: errors are counted too."""
     rows = generation.records(patterns.eligible(patterns.space(spark)), "pos", SHARING_RULES, POOLS)
-    return rows.groupBy("family", "bucket").agg(F.count("*").alias("records"), F.sum("r.clauses").alias("clauses"), F.count_if(F.col("r.error").isNotNull()).alias("errors"))
+    return rows.groupBy("family", "bucket").agg(
+        F.count("*").alias("records"), F.sum("r.clauses").alias("clauses"), F.count_if(F.col("r.error").isNotNull()).alias("errors")
+    )
 
 
 @registered()
@@ -794,16 +967,25 @@ def smp16_sampled_records(spark, sf_dir):
     """Pattern and values of a record for each order, by one generator of the order's seed."""
     space = patterns.space(spark)
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    made = generation.sampled_records(rows, "id", samplers.Sampler(CONFIG, signature_policy(space), space), SHARING_RULES, generation.Pools.of(CONFIG, SHARING_RULES, ["Order#1", "Order#2"]))
+    made = generation.sampled_records(
+        rows, "id", samplers.Sampler(CONFIG, signature_policy(space), space), SHARING_RULES,
+        generation.Pools.of(CONFIG, SHARING_RULES, ["Order#1", "Order#2"])
+    )
     return made.select("id", "r.*")
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', CAST({w} AS DOUBLE), {i})" for t, k, w, i in S.weight_rows(CONFIG)) + ") v(\"table\", key, weight, ord)")
+@registered(
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"('{t}', '{k}', CAST({w} AS DOUBLE), {i})" for t, k, w, i in S.weight_rows(CONFIG)
+    ) + ") v(\"table\", key, weight, ord)"
+)
 def src11_weight_tables(spark, sf_dir):
     return S.weight_table(spark, S.load_config(json.dumps(CONFIG)))
 
 
-@registered(f"WITH {SPACE_SQL}, c AS (SELECT DISTINCT family, bucket FROM el WHERE bucket <> '2') SELECT 'cross_field_composition' AS family, '1' AS bucket, 'genre_set' AS signature, 'not eligible' AS fault UNION ALL SELECT DISTINCT family, bucket, NULL, 'no signature' FROM el WHERE bucket = '2'")
+@registered(
+    f"WITH {SPACE_SQL}, c AS (SELECT DISTINCT family, bucket FROM el WHERE bucket <> '2') SELECT 'cross_field_composition' AS family, '1' AS bucket, 'genre_set' AS signature, 'not eligible' AS fault UNION ALL SELECT DISTINCT family, bucket, NULL, 'no signature' FROM el WHERE bucket = '2'"
+)
 def val13_policy_faults(spark, sf_dir):
     """A policy without the contexts of two clauses and with an entry that no pattern has."""
     space = patterns.space(spark)
@@ -812,7 +994,9 @@ def val13_policy_faults(spark, sf_dir):
     return S.policy_faults(entries.unionByName(wrong), space)
 
 
-@registered(f"WITH {SPACE_SQL} SELECT family, bucket, signature, round(1.0 / count(*) OVER (PARTITION BY family, bucket), 10) AS p FROM (SELECT DISTINCT family, bucket, signature FROM el)")
+@registered(
+    f"WITH {SPACE_SQL} SELECT family, bucket, signature, round(1.0 / count(*) OVER (PARTITION BY family, bucket), 10) AS p FROM (SELECT DISTINCT family, bucket, signature FROM el)"
+)
 def smp12_signature_probabilities(spark, sf_dir):
     t = S.signature_probabilities(S.policy_table(spark, signature_policy(patterns.space(spark))))
     return t.select("family", "bucket", "signature", F.round("p", 10).alias("p"))
@@ -834,11 +1018,16 @@ def agg12_fidelity(spark, sf_dir):
 
 
 #: Other names of values, as texts may have them.
-NAMES = {"genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"}, "status": {"F": "已完结", "O": "正在连载"}, "groups": {"LOW": "低号", "HIGH": "高号"}}
+NAMES = {
+    "genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"},
+    "status": {"F": "已完结", "O": "正在连载"}, "groups": {"LOW": "低号", "HIGH": "高号"}
+}
 
 
 @registered()
 def smp18_dataset(spark, sf_dir):
     """A record for each eligible pattern, taken in turn, with new texts only; texts of the benchmark count as used."""
     made = patterns.eligible(patterns.space(spark))
-    return generation.dataset(made, "pos", BINDING_RULES, POOLS, table(spark, sf_dir, "benchmark").select("text"), names=NAMES).select("sample_id", "family", "pos", "text", "gold", "signature", "clauses")
+    return generation.dataset(
+        made, "pos", BINDING_RULES, POOLS, table(spark, sf_dir, "benchmark").select("text"), names=NAMES
+    ).select("sample_id", "family", "pos", "text", "gold", "signature", "clauses")

@@ -26,7 +26,9 @@ def read_catalog(spark: SparkSession, path: str, sha256_of_file: str | None = No
 
 def check(catalog: DataFrame, rows: int | None = None) -> None:
     """One aggregate over the catalog; raises CatalogError."""
-    ids = catalog.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("genres").isNull() | F.col("tags").isNull() | F.col("title").isNull()).alias("bad"))
+    ids = catalog.groupBy("id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("genres").isNull() | F.col("tags").isNull() | F.col("title").isNull()).alias("bad")
+    )
     s = ids.agg(F.sum("n").alias("n"), F.count_if((F.col("n") > 1) | F.col("id").isNull()).alias("twice"), F.sum("bad").alias("bad")).first()
     if not s.n or rows is not None and s.n != rows:
         raise CatalogError(f"{s.n or 0} rows" + f", {rows} expected" * (rows is not None))
@@ -41,7 +43,12 @@ def normalised_tags(tags: Column) -> Column:
 
 def normalise(media: DataFrame) -> DataFrame:
     """Raw media rows: year from the start date or else the season, genres sorted and distinct, tags ranked and sorted."""
-    return media.withColumns({"year": or_else(F.col("startDate.year"), F.col("seasonYear")), "genres": F.array_sort(F.array_distinct("genres")), "tags": normalised_tags(F.col("tags"))})
+    return media.withColumns(
+        {
+            "year": or_else(F.col("startDate.year"), F.col("seasonYear")), "genres": F.array_sort(F.array_distinct("genres")),
+            "tags": normalised_tags(F.col("tags"))
+        }
+    )
 
 
 def violations(media: DataFrame) -> DataFrame:

@@ -178,7 +178,12 @@ def load_pilot(text: str) -> dict:
 
 def pilot_cases(spark: SparkSession, manifest: dict) -> DataFrame:
     """A row for each case and seed: case_id, family, template_id, generation_family, split, the slots, n, seed."""
-    rows = [(c["case_id"], c["semantic_family"], c["template_id"], c["generation_family"], c["split"], *[c["slots"][s] for s in patterns.SLOTS], c["n"], c["seeds"]) for c in manifest["cases"]]
+    rows = [
+        (
+            c["case_id"], c["semantic_family"], c["template_id"], c["generation_family"], c["split"], *[c["slots"][s] for s in patterns.SLOTS],
+            c["n"], c["seeds"]
+        ) for c in manifest["cases"]
+    ]
     ddl = "case_id string, family string, template_id string, generation_family string, split string, " + ", ".join(f"{s} string" for s in patterns.SLOTS) + ", n int, seeds array<long>"
     return spark.createDataFrame(rows, ddl).withColumn("seed", F.explode("seeds")).drop("seeds")
 
@@ -210,8 +215,14 @@ def prediction_rows(evaluated: DataFrame, run: dict[str, str]) -> DataFrame:
         "parsed_prediction": F.when(F.col("e.parsed"), F.col("raw_output")), "parse_error": error(layers[0], layers[1]), "schema_error": error(layers[1], layers[2]), "domain_error": error(layers[2], layers[3]),
         "canonical_prediction": F.col("e.canonical"), "exact_match": F.col("e.exact"), "field_correctness": fields, "hard_constraint_tp": F.col("e.tp"), "hard_constraint_fp": F.col("e.fp"), "hard_constraint_fn": F.col("e.fn"),
         "error_labels": F.col("e.labels"), "recoverable_json": F.col("e.recoverable"), "semantic_family": has("semantic_family", "string"), "constraint_count": has("constraint_count", "int"),
-        "constraint_signature": has("constraint_signature", "string"), "normalization_rule_ids": F.coalesce(has("normalization_rule_ids", "array<string>"), F.array().cast("array<string>")),
-        **{k: F.lit(run.get(k)).cast("string") for k in ("model_id", "tokenizer_id", "resolved_model_revision", "prompt_version", "serialization_identity", "generation_config")},
+        "constraint_signature": has("constraint_signature", "string"), "normalization_rule_ids": F.coalesce(
+            has("normalization_rule_ids", "array<string>"), F.array().cast("array<string>")
+        ),
+        **{
+            k: F.lit(run.get(k)).cast("string") for k in (
+                "model_id", "tokenizer_id", "resolved_model_revision", "prompt_version", "serialization_identity", "generation_config"
+            )
+        },
     }
     return evaluated.select(*[c.alias(n) for n, c in made.items()])
 
@@ -224,7 +235,12 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     from quillon.functions.text import to_canonical_json
 
     names = sorted(rows.columns)
-    parts = [F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("null")) if n in NESTED else F.regexp_extract(to_canonical_json(F.struct(F.col(n).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)) for n in names]
+    parts = [
+        F.concat(
+            F.lit(f'"{n}":'),
+            F.coalesce(F.col(n), F.lit("null")) if n in NESTED else F.regexp_extract(to_canonical_json(F.struct(F.col(n).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+        ) for n in names
+    ]
     lines = rows.select("sample_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
     lines.orderBy("sample_id").select("value").write.mode("errorifexists").text(path)
 
@@ -237,7 +253,10 @@ def read_training(spark: SparkSession, path: str, split: str, rows: int, version
     bad = F.lit(False)
     for name, want in versions.items():
         bad |= ~F.col(name).eqNullSafe(F.lit(want))
-    s = found.agg(F.count("*").alias("n"), F.count_if(bad | ~F.coalesce(is_canonical_text(F.col("user_text")), F.lit(False))).alias("bad"), F.count_distinct("sample_id").alias("ids")).first()
+    s = found.agg(
+        F.count("*").alias("n"), F.count_if(bad | ~F.coalesce(is_canonical_text(F.col("user_text")), F.lit(False))).alias("bad"),
+        F.count_distinct("sample_id").alias("ids")
+    ).first()
     if s.n != rows or s.bad or s.ids != s.n:
         raise RecordError(f"{s.n} rows ({rows} expected), {s.bad} of other versions or with untrimmed texts, {s.ids} ids")
     return found
@@ -253,7 +272,9 @@ def write_records(rows: DataFrame, path: str, order: str) -> None:
     from quillon.sources.catalog import _alphabetical
     from quillon.functions.text import to_canonical_json
 
-    rows.select(F.col(order).alias("k"), to_canonical_json(_alphabetical(rows)).alias("value")).orderBy("k").select("value").write.mode("errorifexists").text(path)
+    rows.select(
+        F.col(order).alias("k"), to_canonical_json(_alphabetical(rows)).alias("value")
+    ).orderBy("k").select("value").write.mode("errorifexists").text(path)
 
 
 def markdown(title: str, tables: dict[str, list[tuple]]) -> str:
@@ -287,7 +308,10 @@ def posted(send: Callable[[dict], tuple[int, dict, dict]], body: dict, attempts:
     raise RuntimeError("no attempt")
 
 
-def fetch_page(send: Callable[[dict], tuple[int, dict, dict]], variables: dict, page: int = 1, per_page: int = 50, timeout: float = 30.0, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> dict:
+def fetch_page(
+    send: Callable[[dict], tuple[int, dict, dict]], variables: dict, page: int = 1, per_page: int = 50, timeout: float = 30.0, attempts: int = 4,
+    sleep: Callable[[float], None] = time.sleep
+) -> dict:
     """One page of media: {pageInfo, media}. What was asked for and what comes back are checked; every failure is a RuntimeError or ValueError."""
     if type(page) is not int or page < 1:
         raise ValueError("page must be 1 or more")
@@ -306,7 +330,10 @@ def fetch_page(send: Callable[[dict], tuple[int, dict, dict]], variables: dict,
     return found
 
 
-def crawl(send: Callable[[dict], tuple[int, dict, dict]], schedules: list[tuple[dict, int]], per_page: int = 50, sleep: Callable[[float], None] = time.sleep, timeout: float = 30.0) -> Iterator[dict]:
+def crawl(
+    send: Callable[[dict], tuple[int, dict, dict]], schedules: list[tuple[dict, int]], per_page: int = 50,
+    sleep: Callable[[float], None] = time.sleep, timeout: float = 30.0
+) -> Iterator[dict]:
     """Page records as read_pages() takes them, schedule by schedule until a page is the last or the schedule's pages are read."""
     if not 1 <= per_page <= 50:
         raise ValueError("per_page must be from 1 to 50")

@@ -134,10 +134,16 @@ def projected(tags: DataFrame) -> DataFrame:
     Repeats are found by two aggregations by key, not by a comparison of rows.
     """
     made = tags.select(*[F.col(source).alias(k) for k, source in TAG.items()])
-    none = F.col("id").isNull() | (F.col("id") < 1) | F.col("category").isNull() | (F.trim("category") != F.col("category")) | F.col("is_general_spoiler").isNull() | F.col("is_adult").isNull()
+    none = F.col("id").isNull() | (F.col("id") < 1) | F.col("category").isNull() | (
+        F.trim("category") != F.col("category")
+    ) | F.col("is_general_spoiler").isNull() | F.col("is_adult").isNull()
     twice = [made.groupBy(k).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias(f"_{k}")) for k in ("id", "name")]
-    faults = made.agg(F.count_if(none | F.col("name").isNull() | (F.trim("name") != F.col("name"))).alias("_bad")).crossJoin(twice[0]).crossJoin(twice[1])  # one row each
-    fault = F.when(F.col("_bad") > 0, "a tag has a wrong field").when(F.col("_id") > 1, "a tag id comes twice").when(F.col("_name") > 1, "a tag name comes twice")
+    faults = made.agg(
+        F.count_if(none | F.col("name").isNull() | (F.trim("name") != F.col("name"))).alias("_bad")
+    ).crossJoin(twice[0]).crossJoin(twice[1])  # one row each
+    fault = F.when(
+        F.col("_bad") > 0, "a tag has a wrong field"
+    ).when(F.col("_id") > 1, "a tag id comes twice").when(F.col("_name") > 1, "a tag name comes twice")
     checked = made.crossJoin(F.broadcast(faults)).withColumn("id", F.when(fault.isNull(), F.col("id")).otherwise(F.raise_error(fault).cast("long")))
     return checked.select(*TAG).orderBy("id", "name")
 
@@ -195,6 +201,9 @@ def load_subset(text: str) -> dict:
 def write_subset(subset: dict, folder: str) -> dict:
     """executable_tags.json and manifest.json below folder, or nothing if one exists; gives the manifest."""
     text = dumps_subset(subset)
-    manifest = {"subset_version": subset["subset_version"], "subset_hash": sha256(text), "derived_from_snapshot_hash": subset["derived_from_snapshot_hash"], "approved_tag_count": len(subset["tags"])}
+    manifest = {
+        "subset_version": subset["subset_version"], "subset_hash": sha256(text), "derived_from_snapshot_hash": subset["derived_from_snapshot_hash"],
+        "approved_tag_count": len(subset["tags"])
+    }
     write_bundle({f"{folder}/executable_tags.json": text, f"{folder}/manifest.json": json.dumps(manifest, ensure_ascii=False, indent=2) + "\n"})
     return manifest

@@ -30,11 +30,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with customers' names as (ambiguous) titles; unknown facts stay null, lists are empty."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("year"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    rows = orders.join(line_facts(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-    title = F.struct(F.col("c_name").alias("romaji"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("english"), F.lit(None).cast("string").alias("native"))
+    rows = orders.join(
+        line_facts(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    ).join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    title = F.struct(
+        F.col("c_name").alias("romaji"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("english"),
+        F.lit(None).cast("string").alias("native")
+    )
     return rows.select(
         F.col("o_orderkey").alias("id"), title.alias("title"), F.col("o_orderpriority").alias("format"), F.col("o_orderstatus").alias("status"), "year", "episodes",
-        F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), F.coalesce("tags", F.array().cast("array<struct<name:string,rank:int>>")).alias("tags"),
+        F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), F.coalesce(
+            "tags", F.array().cast("array<struct<name:string,rank:int>>")
+        ).alias("tags"),
         "popularity", "averageScore", (F.col("o_orderstatus") == "P").alias("isAdult"),
     )
 

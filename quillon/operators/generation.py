@@ -51,6 +51,8 @@ class Pools:
     def of(cls, config: dict, rules: Q.Rules, titles: list[str]) -> Pools:
         """The pools of a sampling configuration over the rules' values."""
         S.check_config_domain(config, rules)
+        for field in ("genres", "tags"):
+            S.check_shares(config, field, getattr(rules, field))
         return cls(
             S.value_weights(config, "genres", rules.genres), S.value_weights(config, "tags", rules.tags), S.number_pools(config, "year"),
             S.number_pools(config, "episodes"), titles

@@ -50,11 +50,6 @@ def value_weights(
     return weighted.crossJoin(F.broadcast(total)).select("value", "weight", (F.col("weight") / F.col("_total")).alias("p"))  # one row
 
 
-def share_violations(weighted: DataFrame, most: float) -> DataFrame:
-    """Values whose share p exceeds the greatest allowed one."""
-    return weighted.where(F.col("p") > most)
-
-
 def pool_probabilities(pools: DataFrame, pool_weights: dict[str, float]) -> DataFrame:
     """pools (pool, value): P(value) = P(pool) / values of the pool."""
     w = F.create_map(*[F.lit(x) for k, v in pool_weights.items() for x in (k, float(v))])[F.col("pool")]

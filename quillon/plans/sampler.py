@@ -195,6 +195,14 @@ def value_weights(config: dict, field: str, values: frozenset[str]) -> dict[str,
     return {v: float(policy["priority_weights"].get(v, tiers.get(of.get(v), policy["default_weight"]))) for v in sorted(values)}
 
 
+def check_shares(config: dict, field: str, values: frozenset[str]) -> None:
+    """Raises SamplerError where a value's share of all weights exceeds the greatest allowed one."""
+    weights = value_weights(config, field, values)
+    most, total = config["genre_sampling" if field == "genres" else "tag_sampling"]["maximum_value_share"], sum(weights.values())
+    if wrong := [v for v, w in weights.items() if w > most * total]:
+        raise SamplerError(f"{field} have values of too large a share: {wrong}")
+
+
 def number_pools(config: dict, field: str) -> list[tuple[float, list[int]]]:
     """(weight, numbers) of each pool."""
     policy = config["numeric_sampling"][field]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -13,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import canonical_json, is_canonical_text, without_line_end
+from quillon.functions.text import is_canonical_text, without_line_end
 from quillon.operators import patterns
 from quillon.plans import query as Q
 
@@ -84,10 +83,6 @@ def load_frozen(text: str, kinds: dict[str, type | tuple[type, ...]], frozen: di
     return found
 
 
-def document_sha256(value) -> str:
-    return hashlib.sha256(canonical_json(value).encode()).hexdigest()
-
-
 def utc_timestamp(text: str) -> str:
     """An ISO 8601 time in UTC with a trailing Z, unchanged."""
     if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z", text):

@@ -67,6 +67,14 @@ def test_weights_of_values_and_tables(spark):
     assert [(r.key, r.weight) for r in rows] == [("2", 80.0), ("3", 20.0)]
 
 
+def test_shares_are_bounded():
+    S.check_shares(CONFIG, "genres", SHARING_RULES.genres)
+    with pytest.raises(S.SamplerError, match="share"):
+        S.check_shares(CONFIG, "genres", frozenset(["PROMO", "SMALL"]))  # 2 of 3
+    with pytest.raises(S.SamplerError, match="share"):
+        G.Pools.of(json.loads(json.dumps(CONFIG)) | {"operator_cardinality": CONFIG["operator_cardinality"], "genre_sampling": CONFIG["genre_sampling"] | {"maximum_value_share": 0.1}}, SHARING_RULES, ["t"])
+
+
 def test_policy(space, policy):
     text = json.dumps(policy)
     assert S.load_policy(text) == policy

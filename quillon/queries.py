@@ -450,6 +450,16 @@ def val14_evaluate_predictions(spark, sf_dir):
     )
 
 
+@registered(f"""WITH {RAW_SQL} SELECT CAST(id AS VARCHAR) AS sample_id, domain_ok AND f AND y AS exact_match, CAST(CASE WHEN domain_ok THEN f::INT + y::INT ELSE 0 END AS BIGINT) AS hard_constraint_tp,
+NOT parsed AS parse_failed, parsed AND NOT schema_ok AS schema_failed, schema_ok AND NOT domain_ok AS domain_failed, 'm' AS model_id FROM r""")
+def snk5_prediction_rows(spark, sf_dir):
+    """SRC-15, SNK-5: evaluated outputs as predictions of 27 columns."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), _raw().alias("raw_output"), F.lit(GOLD).alias("gold_query"))
+    made = R.prediction_rows(evaluation.evaluated(rows, RULES), {"model_id": "m"})
+    failed = [F.col(f"{x}_error").isNotNull().alias(f"{x}_failed") for x in ("parse", "schema", "domain")]
+    return made.select("sample_id", "exact_match", "hard_constraint_tp", *failed, "model_id")
+
+
 @registered("SELECT event_id AS id, true AS ok, event_type <> 'error' AS strict FROM events")
 def val3_strict_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -1017,6 +1027,27 @@ def agg12_fidelity(spark, sf_dir):
     return evaluation.fidelity_counts(evaluation.fidelity(rows))
 
 
+def pilot_manifest() -> dict:
+    """Four cases of fifty seeds each."""
+    plans = [
+        ("single_constraint", "1", [{"kind": "genre_set", "operator": "all_of", "cardinality": 1}]), ("cross_field_composition", "3", [{"kind": "tag_set", "operator": "any_of", "cardinality": 2}, {"kind": "year_range", "range_pattern": "bounded_range"}]),
+        ("normalization", "2", [{"kind": "episodes_range", "range_pattern": "min_only"}, {"kind": "tag_group_any"}]), ("reference_only", 0, [{"kind": "reference"}]),
+    ]
+    cases = [
+        {"case_id": f"case_{i}", "semantic_family": f, "complexity_bucket": b, "atoms": atoms, "generation_family": "direct_explicit_v1", "template_id": f"case_{i}__direct_explicit_v1", "split": "train" if i else "test", "seeds": list(range(1000 * i, 1000 * i + 50))}
+        for i, (f, b, atoms) in enumerate(plans)
+    ]
+    return {"manifest_version": "example-1", "dataset_version": "example-1", "cases": cases}
+
+
+@registered("SELECT * FROM (VALUES ('case_0', 'test', 50::BIGINT, 50::BIGINT, 0::BIGINT), ('case_1', 'train', 50, 150, 0), ('case_2', 'train', 50, 100, 0), ('case_3', 'train', 50, 0, 0)) v(case_id, split, records, clauses, errors)")
+def smp17_pilot(spark, sf_dir):
+    """SRC-13, SMP-17: the records of a pilot's manifest, one for each case and seed."""
+    cases = R.pilot_cases(spark, R.load_pilot(json.dumps(pilot_manifest())))
+    made = generation.records(cases, "seed", BINDING_RULES, POOLS)
+    return made.groupBy("case_id", "split").agg(F.count("*").alias("records"), F.sum("r.clauses").alias("clauses"), F.count_if(F.col("r.error").isNotNull()).alias("errors"))
+
+
 #: Other names of values, as texts may have them.
 NAMES = {
     "genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"},

@@ -291,3 +291,16 @@ def test_frozen_configurations():
             R.load_frozen(bad, kinds)
     with pytest.raises(R.RecordError, match="fixed"):
         R.load_frozen(text, kinds, {"d": "y"})
+
+
+def test_a_catalog_of_other_bytes_is_refused(spark, tmp_path):
+    import hashlib
+
+    row = {"id": 1, "title": {"romaji": "a"}, "genres": [], "tags": []}
+    (tmp_path / "c.jsonl").write_text(json.dumps(row) + "\n")
+    path, sha = str(tmp_path / "c.jsonl"), hashlib.sha256((tmp_path / "c.jsonl").read_bytes()).hexdigest()
+    assert C.file_sha256(spark, path) == sha and C.file_sha256(spark, str(tmp_path)) is None and C.file_sha256(spark, path + "x") is None
+    assert C.read_catalog(spark, path, sha, 1).count() == 1
+    for wrong in ((path, "0" * 64, 1), (str(tmp_path), sha, 1), (path, sha, 2)):
+        with pytest.raises(C.CatalogError):
+            C.read_catalog(spark, *wrong)

@@ -14,7 +14,7 @@ from quillon.sources.records import RecordError, load_strict, utc_timestamp, wri
 # Keys of the documents in the order in which they are written, and a tag's fields as a service names them.
 SNAPSHOT = ("snapshot_schema_version", "genres", "tags")
 TAG = {"id": "id", "name": "name", "description": "description", "category": "category", "is_general_spoiler": "isGeneralSpoiler", "is_adult": "isAdult"}
-SNAPSHOT_VERSION = "anilist-taxonomy-snapshot-v0.1"
+SNAPSHOT_VERSION = "taxonomy-snapshot-1"
 SUBSET = ("subset_version", "derived_from_snapshot_hash", "tags")
 SUBSET_TAG = ("tag_id", "tag_name", "category", "aliases", "is_general_spoiler", "is_adult")
 AUDIT = ("tag_id", "tag_name", "category", "approved", "reason", "aliases", "is_general_spoiler", "is_adult", "source_snapshot_hash")
@@ -68,7 +68,7 @@ def check_snapshot(snapshot: dict) -> None:
 
 
 def snapshot_of(payload: dict, version: str = SNAPSHOT_VERSION) -> dict:
-    """The canonical snapshot of a service's answer; fields it doesn't need are left out, faults are errors."""
+    """The canonical snapshot of a service's answer, of the version given (its digest covers it); fields it doesn't need are left out, faults are errors."""
     data = payload.get("data") if isinstance(payload, dict) else None
     if not isinstance(data, dict) or not all(isinstance(data.get(c), list) for c in COLLECTIONS):
         raise RecordError("the answer has no collections of genres and tags")

@@ -108,9 +108,9 @@ def fetch_payload(send: Callable[[dict], tuple[int, dict, dict]], query: str) ->
     return answer
 
 
-def write_snapshot(payload: dict, folder: str, fetched_at: str, source: str) -> dict:
+def write_snapshot(payload: dict, folder: str, fetched_at: str, source: str, version: str = SNAPSHOT_VERSION) -> dict:
     """source.json, canonical.json and manifest.json below folder, or nothing if one exists; gives the manifest."""
-    snapshot = snapshot_of(payload)
+    snapshot = snapshot_of(payload, version)
     text = dumps_snapshot(snapshot)
     manifest = {
         "source": source, "resource": list(COLLECTIONS), "fetched_at_utc": utc_timestamp(fetched_at), "genre_count": len(snapshot["genres"]),

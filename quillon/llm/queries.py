@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, simhash, substring_dedup, tiff, toxicity
+from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, sentencepieces, simhash, substring_dedup, tiff, toxicity
 from quillon.llm.common import documents, labels, scratch
 
 
@@ -60,6 +60,10 @@ def op9_toxicity_kernel(spark, sf_dir):
     return toxicity.score(docs, toxicity.trained(docs, labels(spark, sf_dir)))
 
 
+def op12_sentencepiece(spark, sf_dir):
+    return sentencepieces.round_trip(documents(spark, sf_dir), encoders.path_of(sentencepieces.PIECE_BPE))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity_kernel": op9_toxicity_kernel,
     "op10_quality_cnn": op10_quality_cnn,
+    "op12_sentencepiece": op12_sentencepiece,
     "pii_base_kinds": pii_base_kinds,
     "tiff_pages": tiff_pages,
 }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, orc_tokens, packing, pii, quality, sentencepieces, simhash, substring_dedup, tiff, toxicity
-from quillon.llm.common import documents, labels, scratch
+from quillon.llm import bpe, encoders, exact_dedup, lexical_search, orc_tokens, packing, pii, quality, sentencepieces, simhash, substring_dedup, tiff, toxicity
+from quillon.llm.common import documents, labels, scratch, table
 
 
 def op1_bpe_round_trip(spark, sf_dir):
@@ -64,6 +64,10 @@ def op12_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip(documents(spark, sf_dir), encoders.path_of(sentencepieces.PIECE_BPE))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_toxicity_kernel": op9_toxicity_kernel,
     "op10_quality_cnn": op10_quality_cnn,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_lexical_search": op13_lexical_search,
     "pii_base_kinds": pii_base_kinds,
     "tiff_pages": tiff_pages,
 }
@@ -125,4 +130,18 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY body)""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                          lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t FROM documents),
+        q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                     lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM benchmark),
+        asked AS (SELECT i, item_id, unnest(t) AS term FROM q),
+        size AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+        tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(t) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, n_docs),
+        m AS (SELECT r, doc_id, 100 - 90 + ((90 * CAST(len(t) AS BIGINT) * n_docs) // n_terms) AS m FROM d, size),
+        scored AS (SELECT i, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r)
+        SELECT item_id, CAST(n AS INT) AS rank, doc_id, score
+        FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS n FROM scored JOIN d USING (r) WHERE score > 0) JOIN q USING (i)
+        WHERE n <= 10""",
 }

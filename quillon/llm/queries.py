@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, encoders, exact_dedup, lexical_search, orc_tokens, packing, pii, quality, sentencepieces, simhash, substring_dedup, tiff, toxicity
+from quillon.llm import bpe, encoders, exact_dedup, filter_audit, lexical_search, orc_tokens, packing, pii, quality, sentencepieces, simhash, substring_dedup, tiff, toxicity
 from quillon.llm.common import documents, labels, scratch, table
 
 
@@ -60,6 +60,10 @@ def op9_toxicity_kernel(spark, sf_dir):
     return toxicity.score(docs, toxicity.trained(docs, labels(spark, sf_dir)))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op12_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip(documents(spark, sf_dir), encoders.path_of(sentencepieces.PIECE_BPE))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity_kernel": op9_toxicity_kernel,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_filter_audit": op11_filter_audit,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_lexical_search": op13_lexical_search,
     "pii_base_kinds": pii_base_kinds,
@@ -144,4 +149,28 @@ ORACLES = {
         SELECT item_id, CAST(n AS INT) AS rank, doc_id, score
         FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS n FROM scored JOIN d USING (r) WHERE score > 0) JOIN q USING (i)
         WHERE n <= 10""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+                         WHEN 'C' THEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) WHEN 'D' THEN regexp_matches(body, '[#$%&*|]')
+                         ELSE coalesce(doc_id > least, false) END) AS failed
+              FROM (SELECT *, min(doc_id) OVER (PARTITION BY body) AS least FROM d) LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT o, k, o[k] AS filter, o[1:k - 1] AS before FROM o, range(1, 6) AS t(k)),
+        r AS (SELECT part, o, k, filter,
+                     sum(CASE WHEN NOT list_contains(failed, filter) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN list_contains(failed, filter) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN list_contains(failed, filter) AND list_has_any(failed, before) THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN failed = [filter] THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN list_contains(failed, filter) AND NOT list_has_any(failed, before) THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN list_contains(failed, filter) AND NOT list_has_any(failed, before) THEN toxic ELSE 0 END) AS toxic_lost
+              FROM c, s GROUP BY ALL)
+        SELECT part, array_to_string(o, '') AS filter_order, CAST(k AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+        FROM r""",
 }

@@ -1050,8 +1050,8 @@ def smp17_pilot(spark, sf_dir):
 
 #: Other names of values, as texts may have them.
 NAMES = {
-    "genres": {"ECONOMY": "经济", "LARGE": "大型", "PROMO": "促销", "SMALL": "小型"}, "formats": {"1-URGENT": "紧急", "2-HIGH": "优先"},
-    "status": {"F": "已完结", "O": "正在连载"}, "groups": {"LOW": "低号", "HIGH": "高号"}
+    "genres": {"ECONOMY": "low-cost", "LARGE": "big", "PROMO": "on offer", "SMALL": "little"}, "formats": {"1-URGENT": "at once", "2-HIGH": "soon"},
+    "status": {"F": "finished", "O": "running"}, "groups": {"LOW": "small numbers", "HIGH": "great numbers"}
 }
 
 

@@ -169,6 +169,17 @@ def test_generated_dataset(spark):
         G.bind(impossible, 1, RULES, POOLS)
 
 
+def test_texts_follow_the_slots():
+    from quillon.operators import generation as G
+
+    spec = Q.query(genres={"all_of": ["A", "B"]}, tags={"none_of": ["T"]}, year={"min": 1990, "max": 2000}, formats=["X", "Y"], reference_titles=["R"])
+    spec["hard_constraints"]["tag_groups"] = {"all_of": [], "any_of": ["LOW"], "none_of": []}
+    texts = [G.styled(spec, k, {"formats": {"X": "eks"}}) for k in range(len(G.STYLES))]
+    assert len(set(texts)) == len(texts)
+    en = next(t for t, s in zip(texts, G.STYLES, strict=True) if s[0] == "en" and s[2] == "; ")
+    assert en.split(" ", 4)[-1] == "genre A and B; no theme T; kind LOW; year 1990 or more; year 2000 or less; format eks or Y; likeness to R"
+
+
 def test_every_user_turn_has_messages(spark):
     from quillon.queries import QUERIES
 
@@ -196,7 +207,7 @@ def test_dataset_is_what_one_attempt_after_the_other_gives(spark):
         rng = random.Random(r["draw_seed"])
         spec = G.bind(r, rng, BINDING_RULES, POOLS)
         G.widen(spec, rng, BINDING_RULES)
-        style = rng.randrange(18)
+        style = rng.randrange(len(G.STYLES))
         text = G.styled(spec, style, NAMES if rng.random() < 0.75 else {})
         if text not in taken and len(want) < 60:
             taken.add(text)

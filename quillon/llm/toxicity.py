@@ -29,8 +29,10 @@ doc_id, are scored each for itself. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -56,6 +58,7 @@ AT_ONCE = 1 << 18
 #: Bytes of a part of a long text that the next part has again.
 AGAIN = 256
 NOTHING = -4.0
+BLANK = re.compile(rb"[\t-\r ]").finditer
 
 
 def _alphabet() -> np.ndarray:
@@ -192,6 +195,20 @@ def features(words: list[str]) -> list[dict[int, float]]:
     return out
 
 
+def parts(text: bytes) -> Iterator[bytes]:
+    """text in parts of at most AT_ONCE bytes, each of which begins with what the part before has last: AGAIN bytes or less.
+
+    Parts begin and end at white space where their last AGAIN bytes have some; runs of more bytes without any are cut
+    anywhere. Each part begins at least AT_ONCE - AGAIN bytes after the one before.
+    """
+    at = 0
+    while len(text) - at > AT_ONCE:
+        blanks = [m.start() for m in BLANK(text, at + AT_ONCE - AGAIN, at + AT_ONCE)]
+        yield text[at : blanks[-1] if blanks else at + AT_ONCE]
+        at = blanks[0] if blanks else at + AT_ONCE - AGAIN
+    yield text[at:]
+
+
 class Machine:
     """One weight for each subsequence (float32, 4 MB), the bias, and the logistic fit."""
 
@@ -202,15 +219,10 @@ class Machine:
         """The margin of the best piece of each text."""
         out = np.full(len(texts), NOTHING)
         for k, text in enumerate(texts):
-            at = 0
-            while at < len(text):  # cut at white space; a part begins with the last words of the part before
-                end = text.find(b" ", at + AT_ONCE)
-                words = Words(text[at : end if end > 0 else len(text)], joined=True)
+            for part in parts(text):
+                words = Words(part, joined=True)
                 if (words.size >= LENGTH).any():
                     out[k] = max(out[k], float(words.scores(self.table)[words.size >= LENGTH].max()) + self.bias)
-                if end < 0:
-                    break
-                at = max(at + 1, text.rfind(b" ", at, end - AGAIN))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:

@@ -395,6 +395,35 @@ def test_toxicity_scores_each_text_alone():
     assert np.allclose(machine.score(texts), 1 / (1 + np.exp(-np.clip(machine.slope * z + machine.level, -30, 30))))
 
 
+@pytest.mark.parametrize("run", [b"A", b"a\n", b"ab1/"])
+def test_toxicity_ends_on_texts_without_blanks(run):
+    """A long run, white space other than blanks, then an insult: linear time, and the insult is found."""
+    rows = labelled(80, 3)
+    machine = toxicity.train([t.encode() for _, t, _, _ in rows], [x for _, _, _, x in rows])
+    insult = next(t for _, t, _, x in rows if x).encode()
+    times = []
+    for n in (1_000_000, 2_000_000):
+        began = time.perf_counter()
+        z = machine.evidence([run * (n // len(run)) + b" " + insult, run * (n // len(run)) + b"\n" + insult])
+        times.append(time.perf_counter() - began)
+        assert (z >= machine.evidence([insult])[0] - 1e-6).all()
+    assert times[1] < 4 * times[0] + 1 and times[0] < 12
+
+
+def test_toxicity_parts_of_long_texts():
+    a, again = toxicity.AT_ONCE, toxicity.AGAIN
+    for blank in (b"", b" ", b"\n", b"\t"):
+        for n in [*range(a - 2, a + 3), 3 * a, 3 * a + again]:
+            text = b"".join(b"%07d" % i + blank for i in range(n // 7 + 1))[:n]
+            at, end = 0, 0
+            for k, p in enumerate(toxicity.parts(text)):
+                start = text.index(p[:600], max(0, end - again)) if k else 0
+                assert p == text[start : start + len(p)] and len(p) <= a and start <= end and (not k or start - at >= a - again)
+                at, end = start, start + len(p)
+                assert not blank or (start == 0 or text[start : start + 1] == blank) and (end == n or text[end : end + 1] == blank)
+            assert end == n
+
+
 def test_string_kernel_features_agree_with_the_table():
     words = ["idiot", "idixot", "nothing", "idiotic"]
     table = np.zeros(toxicity.CODES**toxicity.LENGTH)

@@ -6,8 +6,8 @@ neighbours are added; a pair one side of which has changed since is passed over.
 pieces of their bytes.
 
 Two characters that stand side by side in no piece are never merged across, so a text may be cut between them and each
-part has an agenda of its own; where no piece has a blank after another character, parts begin at runs of blanks
-(words), and are remembered in a bounded memo.
+part has an agenda of its own: words with the blanks before them where no piece has a blank after another character, and the marks after a
+word where no piece has them after a letter. Parts are remembered in a bounded memo.
 
 Decoding: pieces give their text with blanks for their marks, runs of byte pieces are read as UTF-8 (each byte that
 belongs to no character gives U+FFFD), control pieces give nothing, and the first piece that is shown loses
@@ -25,9 +25,9 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ from quillon.llm.common import Memo, by_batch, texts_of
 PIECE_BPE = "piece_bpe_32k.model"
 #: The mark that pieces have for a blank, and what a byte that is no part of a character gives.
 MARK, NO_CHARACTER = "▁", "�"
+#: Bits of a place in a text.
+PLACE = 40
+#: Characters of a part up to which its agenda is a plain list, and the rank of pairs that are no piece.
+SHORT, NEVER = 48, 1 << 80
 BYTES = re.compile("<0x([0-9A-F]{2})>").fullmatch
 
 
@@ -60,13 +64,14 @@ class Pieces:
         self.prefix = " " * norm.add_dummy_prefix
         normal = [(i, p) for i, p in enumerate(spec.pieces) if p.type == kind.NORMAL]
         self.id_of = {p.piece.replace(MARK, " "): i for i, p in normal}
-        self.cost = {p.piece.replace(MARK, " "): -p.score for _, p in normal}
+        order = {score: k for k, score in enumerate(sorted({-p.score for _, p in normal}))}
+        #: The place of a piece's score among all, above room for a place in a text.
+        self.rank = {p.piece.replace(MARK, " "): order[-p.score] << PLACE for _, p in normal}
         self.byte_ids = {int(m[1], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE and (m := BYTES(p.piece))}
         self.unknown = self.library.unk_id()
         self.pairs = {a + b for piece in self.id_of for a, b in zip(piece, piece[1:], strict=False)}
-        #: Do parts begin at blanks? Else a text is one part, which is cut by `pairs` alone.
-        self.words = re.compile(" +[^ ]*" if not any(a != " " and b == " " for a, b in self.pairs) else "(?s).+").findall
-        self.parts = Memo(self._part)
+        self.words = re.compile(self._cuts()).findall
+        self.parts = Memo(self._part, 800_000)
         #: Of each id: its bytes, and whether they are to be read as UTF-8 with those around it.
         self.shown = [b""] * len(spec.pieces)
         for i, p in normal:
@@ -83,45 +88,71 @@ class Pieces:
         body = b"".join(map(self.parts.__getitem__, self.words(self.prefix + text))) if text else b""
         return array("I", [self.begin]).tobytes() + body + array("I", [self.end]).tobytes()
 
+    def _cuts(self) -> str:
+        """A pattern that cuts a text where no two characters of `pairs` meet: at blanks, and between Latin letters and marks after them.
+
+        Where some piece has a blank after another character the text is one part, which is cut by `pairs` alone.
+        """
+        if any(a != " " and b == " " for a, b in self.pairs):
+            return "(?s).+"
+        ends = re.escape("".join(c for c in map(chr, range(128)) if not c.isalpha() and not any(a.isascii() and a.isalpha() and b == c for a, b in self.pairs)))
+        return f" +[A-Za-z]+(?=[{ends}]|$)| +[^ ]*|[^ ]+"
+
     def _part(self, part: str) -> bytes:
-        ids, start = array("I"), 0
-        for at in range(1, len(part) + 1):
-            if at == len(part) or part[at - 1 : at + 1] not in self.pairs:
-                ids.extend(self._ids(part[start:at]))
-                start = at
-        return ids.tobytes()
-
-    def _ids(self, part: str) -> Iterable[int]:
-        known, symbols = self.id_of, [part] if len(part) == 1 else self.merged(part)
-        for s in symbols:
-            i = known.get(s)
-            if i is not None:
-                yield i
-            elif self.byte_ids:
-                yield from (self.byte_ids[b] for b in s.encode())
-            else:
-                yield self.unknown
+        cuts = [k for k, pair in enumerate(map(add, part, part[1:]), 1) if pair not in self.pairs]
+        if not cuts:
+            return self._ids(part)
+        return b"".join([self.parts[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)])
+
+    def _ids(self, part: str) -> bytes:
+        symbols, known = self.merged(part), self.id_of
+        ids = list(map(known.get, symbols))
+        if None in ids:  # a character that is no piece
+            ids = [i for s in symbols for i in ([known[s]] if s in known else map(self.byte_ids.get, s.encode()) if self.byte_ids else [self.unknown])]
+        return array("I", ids).tobytes()
 
     def merged(self, part: str) -> list[str]:
-        """The symbols of a part once its agenda is empty."""
-        cost, symbols, n = self.cost, list(part), len(part)
+        """The symbols of a part once its agenda is empty: a list whose least is taken, or for long parts a heap."""
+        if len(part) > SHORT:
+            return self._heaped(part)
+        rank, symbols = self.rank.get, list(part)
+        agenda = [rank(p, NEVER) for p in map(add, part, part[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # of equal ones the first
+            whole = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(whole + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + whole, NEVER)
+        return symbols
+
+    def _heaped(self, part: str) -> list[str]:
+        rank, symbols, n = self.rank.get, list(part), len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the neighbours of each symbol
-        agenda = [(cost[p], i, i + 1, 2) for i in range(n - 1) if (p := part[i : i + 2]) in cost]
+        agenda = [r | i for i, r in enumerate(map(rank, map(add, part, part[1:]))) if r is not None]
         heapify(agenda)
         while agenda:
-            _, i, j, size = heappop(agenda)
-            if not symbols[i] or not symbols[j] or len(symbols[i]) + len(symbols[j]) != size:
+            best = heappop(agenda)
+            i = best & (1 << PLACE) - 1
+            j = after[i]
+            if j == n or not symbols[i] or rank(whole := symbols[i] + symbols[j]) != best - i:
                 continue
-            whole = symbols[i] = symbols[i] + symbols[j]
-            symbols[j] = ""
+            symbols[i], symbols[j] = whole, ""
             k, h = after[j], before[i]
             after[i] = k
             if k < n:
                 before[k] = i
-                if (p := whole + symbols[k]) in cost:
-                    heappush(agenda, (cost[p], i, k, len(p)))
-            if h >= 0 and (p := symbols[h] + whole) in cost:
-                heappush(agenda, (cost[p], h, i, len(p)))
+                r = rank(whole + symbols[k])
+                if r is not None:
+                    heappush(agenda, r | i)
+            if h >= 0:
+                r = rank(symbols[h] + whole)
+                if r is not None:
+                    heappush(agenda, r | h)
         return [s for s in symbols if s]
 
     def decode(self, ids: np.ndarray) -> bytes:

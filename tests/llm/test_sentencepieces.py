@@ -44,6 +44,13 @@ def test_random_texts(library):
     S.check(p, texts, ids, [p.decode(np.frombuffer(i, np.uint32)) for i in ids])
 
 
+def test_lists_and_heaps_agree():
+    p, rng = S.pieces_of(PATH), random.Random(8)
+    for k in range(3000):
+        t = "".join(rng.choice(ALPHABETS[k % len(ALPHABETS)] + "the and ing") for _ in range(rng.randint(2, S.SHORT)))
+        assert p.merged(t) == p._heaped(t)
+
+
 def test_random_ids(library):
     """Control, unknown and stray byte pieces too."""
     p, rng = S.pieces_of(PATH), random.Random(5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,11 +23,52 @@ def fold_title(title: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def title_key(titles: pd.Series) -> pd.Series:
-    """fold_title() of a column; null stays null."""
+def _folded(titles: pd.Series) -> pd.Series:
     return titles.map(fold_title, na_action="ignore")
 
 
+#: What str.strip() takes off, of plain characters.
+OUTER = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85]))
+
+
+@lru_cache(1)
+def plain_ranges(last: int = 0xFFFF, least: int = 64) -> tuple[tuple[int, int], ...]:
+    """Runs of at least `least` code points that folding leaves to lower-casing and trimming, whatever stands beside them.
+
+    Of such a character compatibility form and case folding are its lower case, in any place of a word (which final sigma isn't), and it
+    joins no character before it.
+    """
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(last + 1))
+    joining = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1160, 0x1200)}
+    joining |= {int(p[0], 16) for p in (unicodedata.decomposition(chr(c)).split() for c in joining) if len(p) == 1}
+
+    def plain(c: int) -> bool:
+        x = chr(c)
+        known = unicodedata.category(x) not in ("Cn", "Cs", "Co", "Mn", "Mc", "Me") and not unicodedata.combining(x)
+        known = known and (not x.isspace() or x in OUTER)
+        return known and c not in joining and c != 0x3A3 and unicodedata.normalize("NFKC", x) == x and x.casefold() == x.lower() and len(x.lower()) == 1
+
+    found, first = [], None
+    for c in range(last + 2):
+        if c <= last and plain(c):
+            first = c if first is None else first
+        elif first is not None:
+            found += [(first, c - 1)] * (c - first >= least)
+            first = None
+    return tuple(found)
+
+
+def is_plain(title: Column) -> Column:
+    """Do native functions fold this text?"""
+    return title.rlike("\\A[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in plain_ranges()) + "]*\\z")
+
+
+def title_key(title: Column) -> Column:
+    """fold_title() of a column; null stays null. Only texts with other than plain characters reach Python, which sees null for the others."""
+    plain = is_plain(title)
+    return F.when(plain, F.lower(F.btrim(title, F.lit(OUTER)))).otherwise(_folded(F.when(~plain, title)))
+
+
 def stripped(c: Column) -> Column:
     """Without outer white space of any Unicode kind (trim() knows blanks only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -77,7 +77,7 @@ def without_adult(catalog: DataFrame) -> DataFrame:
 
 def _keys(catalog: DataFrame) -> Column:
     """The folded titles of a row, each once."""
-    return F.array_distinct(F.array(*[title_key(f"title.{n}") for n in ("romaji", "english", "native")]))
+    return F.array_distinct(F.array(*[title_key(F.col(f"title.{n}")) for n in ("romaji", "english", "native")]))
 
 
 def resolve(titles: list[str], catalog: DataFrame) -> DataFrame:
@@ -116,10 +116,18 @@ def corpus_facts(titles: list[str], catalog: DataFrame) -> DataFrame:
     return found.withColumn("_each", each).select("_top", F.size("_each").alias("_refs"), union("genres").alias("_genres"), union("tags").alias("_tags"))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
+def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
+def popularity_part(top: Column) -> Column:
+    return F.when(top > 0, 0.3 * F.ln(1.0 + F.coalesce("popularity", F.lit(0))) / F.ln(1.0 + top)).otherwise(0.0)
+
+
+def average_part() -> Column:
+    return 0.3 * F.coalesce("averageScore", F.lit(0)) / 100
+
+
 def rank(q: dict, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """candidates with score and its components; sort by score descending, then id.
 
@@ -129,13 +137,13 @@ def rank(q: dict, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     wish = {f: sorted({*hard[f]["all_of"], *hard[f]["any_of"]}) for f in Q.SETS}
     rows = candidates.crossJoin(F.broadcast(corpus_facts(q["reference_titles"], catalog)))  # one row
     strong = relevant_tags()
-    similar = F.when(F.col("_refs") > 0, _jaccard(F.col("genres"), F.col("_genres")) + _jaccard(strong, F.col("_tags"))).otherwise(0.0)
+    similar = F.when(F.col("_refs") > 0, jaccard(F.col("genres"), F.col("_genres")) + jaccard(strong, F.col("_tags"))).otherwise(0.0)
     parts = {
         "genre_overlap": F.size(F.array_intersect("genres", _texts(wish["genres"]))) * 0.2,
         "tag_overlap": F.size(F.array_intersect(strong, _texts(wish["tags"]))) * 0.2,
         "reference_similarity": similar,
-        "popularity": F.when(F.col("_top") > 0, 0.3 * F.ln(1.0 + F.coalesce("popularity", F.lit(0))) / F.ln(1.0 + F.col("_top"))).otherwise(0.0),
-        "average_score": 0.3 * F.coalesce("averageScore", F.lit(0)) / 100,
+        "popularity": popularity_part(F.col("_top")),
+        "average_score": average_part(),
     }
     scored = rows.withColumn("components", F.struct(*[c.alias(n) for n, c in parts.items()]))
     total = reduce(Column.__add__, [F.col(f"components.{n}") for n in parts])

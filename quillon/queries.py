@@ -7,13 +7,13 @@ import json
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import audit, evaluation, generation, patterns, samplers, sampling, search, sft, tag_audit
+from quillon.operators import audit, batch_search, evaluation, generation, patterns, samplers, sampling, search, sft, tag_audit, titles
 from quillon.plans import query as Q
 from quillon.plans import query_columns as QC
 from quillon.plans import sampler as S
 from quillon.sources import catalog as C
 from quillon.sources import records as R
-from quillon.sources import taxonomy
+from quillon.sources import scratch, taxonomy
 from quillon.sources.schemas import QUERY, nested
 from quillon.sources.testdata import CATALOG_SQL, catalog, table
 
@@ -161,28 +161,23 @@ def src1_catalog_hash(spark, sf_dir):
     return C.table_sha256(rows, "id").crossJoin(rows.agg(F.count("*").alias("n")))
 
 
-def _whole(spark, sf_dir):
-    """Whole catalog rows; two numbers that are sums of floats, which differ by the order of rows, are others."""
-    return catalog(spark, sf_dir).withColumns({"popularity": (F.col("id") * 3).cast("long"), "averageScore": F.col("year") - 1900})
-
-
 #: A whole catalog row as canonical JSON.
 LINE_SQL = """q_tags AS (SELECT k, '[' || string_agg('{"name":"' || name || '","rank":' || rank || '}', ',' ORDER BY name) || ']' AS tags FROM brands GROUP BY k),
-q_line AS (SELECT id, '{"averageScore":' || (year - 1900) || ',"episodes":' || coalesce(CAST(episodes AS VARCHAR), 'null') || ',"format":"' || format
-|| '","genres":[' || array_to_string(list_transform(genres, lambda g: '"' || g || '"'), ',') || '],"id":' || id || ',"isAdult":' || isAdult || ',"popularity":' || (id * 3)
+q_line AS (SELECT id, '{"averageScore":' || coalesce(CAST(averageScore AS VARCHAR), 'null') || ',"episodes":' || coalesce(CAST(episodes AS VARCHAR), 'null') || ',"format":"' || format
+|| '","genres":[' || array_to_string(list_transform(genres, lambda g: '"' || g || '"'), ',') || '],"id":' || id || ',"isAdult":' || isAdult || ',"popularity":' || coalesce(CAST(popularity AS VARCHAR), 'null')
 || ',"status":"' || status || '","tags":' || coalesce(tags, '[]') || ',"title":{"english":"' || english || '","native":null,"romaji":' || coalesce('"' || romaji || '"', 'null') || '},"year":' || coalesce(CAST(year AS VARCHAR), 'null') || '}' AS value
 FROM cat LEFT JOIN q_tags ON k = id)"""
 
 
 @registered(cat(f"{LINE_SQL} SELECT id, value FROM q_line"))
 def snk1_whole_lines(spark, sf_dir):
-    return C.canonical_lines(_whole(spark, sf_dir))
+    return C.canonical_lines(catalog(spark, sf_dir))
 
 
 @registered(cat(f"""{LINE_SQL}, q_a AS (SELECT id // 4096 AS k, sha256(string_agg(sha256(value), '' ORDER BY id)) AS h FROM q_line GROUP BY 1),
 q_b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM q_a GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS sha256 FROM q_b"""))
 def src1_whole_catalog_hash(spark, sf_dir):
-    return C.table_sha256(_whole(spark, sf_dir), "id")
+    return C.table_sha256(catalog(spark, sf_dir), "id")
 
 
 @registered("SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -207,6 +202,22 @@ def joi1_resolve_references(spark, sf_dir):
     return search.resolve(TITLES, catalog(spark, sf_dir))
 
 
+@registered(cat("""q_ref AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ' ORDER#7' WHEN event_id % 3 = 1 THEN 'order#' || user_id ELSE upper(c_name) END AS title FROM events LEFT JOIN customer ON c_custkey = user_id),
+q_key AS (SELECT DISTINCT id, lower(unnest([romaji, english])) AS key FROM cat),
+q_hit AS (SELECT key, count(*) AS n, min(id) AS id FROM q_key GROUP BY key)
+SELECT event_id, title, CAST(least(coalesce(n, 0), 2) AS INT) AS matches, CASE WHEN n = 1 THEN id END AS id FROM q_ref LEFT JOIN q_hit ON key = lower(trim(title))"""))
+def joi1_table_of_references(spark, sf_dir):
+    """A reference for each event, a third of them the same title, resolved by a title index that was made of one half of the catalog and updated with the other."""
+    c, path, events = catalog(spark, sf_dir), scratch.new_path(spark, "titles"), table(spark, sf_dir, "events")
+    titles.write(c.where("id % 2 = 0"), path)
+    titles.update(spark, path, c.where("id % 2 = 1"), f"{path}-2")
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("event_id") % 3
+    title = F.when(k == 0, " ORDER#7").when(k == 1, F.concat(F.lit("order#"), F.col("user_id").cast("string"))).otherwise(F.upper("c_name"))
+    references = events.join(names, F.col("user_id") == F.col("c_custkey"), "left").select("event_id", title.alias("title"))
+    return titles.resolve(references, spark.read.parquet(f"{path}-2"))
+
+
 @registered(cat("q_top AS (SELECT max(popularity) AS mp FROM cat) SELECT id, round(coalesce(popularity, 0) / mp, 8) AS share FROM cat, q_top"))
 def joi2_corpus_maximum(spark, sf_dir):
     c = catalog(spark, sf_dir)
@@ -221,6 +232,44 @@ def rnk1_scores(spark, sf_dir):
     return search.rank(FLAGSHIP, search.execute(FLAGSHIP, c), c).select("id", "score")
 
 
+def _order_queries(catalog_rows):
+    """A query for each of some catalog rows, of several kinds, that asks for the like of the row."""
+    none, n = F.array().cast("array<string>"), F.col("id") / 100
+    kind, strong = n % 4, search.relevant_tags()
+    sets = lambda **c: F.struct(*[c.get(o, none).alias(o) for o in Q.OPERATORS])
+    genres = sets(all_of=F.when(kind == 1, F.slice("genres", 1, 1)).otherwise(none), any_of=F.when(kind == 1, F.slice("genres", 2, 9)).otherwise(F.col("genres")))
+    tags = sets(any_of=F.when(kind == 2, none).otherwise(strong), none_of=F.when((kind == 3) & ~F.array_contains(strong, "Brand#7"), F.array(F.lit("Brand#7"))).otherwise(none))
+    years = F.struct(F.when(kind != 2, F.col("year") - 1).alias("min"), F.when(kind == 3, F.col("year") + 1).cast("int").alias("max"))
+    episodes = F.struct(F.when(kind == 2, F.col("episodes")).alias("min"), F.lit(None).cast("int").alias("max"))
+    hard = F.struct(
+        genres.alias("genres"), tags.alias("tags"), years.alias("year"), episodes.alias("episodes"),
+        F.when(kind == 0, F.array("format")).otherwise(none).alias("formats"), F.when(kind == 1, F.array("status")).otherwise(none).alias("status"),
+    )
+    references = F.when(kind < 2, F.array(F.concat(F.lit("ORDER#"), F.col("id").cast("string")), F.col("title.romaji"))).otherwise(none)
+    q = F.struct(hard.alias("hard_constraints"), references.alias("reference_titles"), none.alias("soft_preferences"), none.alias("unresolved_preferences"))
+    return catalog_rows.select(F.col("id").alias("query_id"), q.cast(f"struct<{nested(QUERY)}>").alias("q"))
+
+
+BATCH_SQL = f"""q_ask AS (SELECT id AS query_id, (id // 100) % 4 AS kind, CASE WHEN kind = 1 THEN genres[1:1] ELSE [] END AS g_all, CASE WHEN kind = 1 THEN genres[2:10] ELSE genres END AS g_any,
+CASE WHEN kind = 2 THEN [] ELSE rt END AS t_any, CASE WHEN kind = 3 AND NOT list_contains(rt, 'Brand#7') THEN ['Brand#7'] ELSE [] END AS t_none, CASE WHEN kind <> 2 THEN year - 1 END AS y_min, CASE WHEN kind = 3 THEN year + 1 END AS y_max,
+CASE WHEN kind = 2 THEN episodes END AS e_min, CASE WHEN kind = 0 THEN format END AS f, CASE WHEN kind = 1 THEN status END AS s, romaji FROM cat WHERE id % 100 = 0),
+q_one AS (SELECT romaji AS name, min(id) AS id FROM cat GROUP BY romaji HAVING count(*) = 1),
+q_refs AS (SELECT query_id, list_distinct(flatten(list(genres))) AS rg, list_distinct(flatten(list(rt))) AS rr FROM (SELECT query_id, query_id AS id FROM q_ask WHERE kind < 2 UNION SELECT query_id, q_one.id FROM q_ask JOIN q_one ON name = romaji WHERE kind < 2) JOIN cat USING (id) GROUP BY query_id),
+q_top AS (SELECT max(popularity) AS mp FROM cat),
+q_hits AS (SELECT a.query_id, c.id, round(0.2 * len(list_intersect(c.genres, list_concat(g_all, g_any))) + 0.2 * len(list_intersect(c.rt, t_any))
+    + CASE WHEN r.query_id IS NULL THEN 0 ELSE {JACCARD.format(a="c.genres", b="rg")} + {JACCARD.format(a="c.rt", b="rr")} END + 0.3 * ln(1 + coalesce(c.popularity, 0)) / ln(1 + mp) + 0.3 * coalesce(c.averageScore, 0) / 100, 8) AS score
+  FROM q_ask a JOIN cat c ON (f IS NULL OR c.format = f) AND (s IS NULL OR c.status = s) AND (y_min IS NULL OR c.year >= y_min) AND (y_max IS NULL OR c.year <= y_max) AND (e_min IS NULL OR c.episodes >= e_min)
+    AND list_has_all(c.genres, g_all) AND (len(g_any) = 0 OR list_has_any(c.genres, g_any)) AND (len(t_any) = 0 OR list_has_any(c.rt, t_any)) AND NOT list_has_any(c.xt, t_none)
+  LEFT JOIN q_refs r ON r.query_id = a.query_id, q_top)"""
+
+
+@registered(cat(f"{BATCH_SQL} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM q_hits) WHERE rank <= 20"))
+def rnk3_batch_top(spark, sf_dir):
+    """The 20 best rows for a query of each catalog row whose id is divisible by 100, by an index of blocks with bounds."""
+    c = catalog(spark, sf_dir)
+    return batch_search.top(batch_search.index(c), _order_queries(c.where("id % 100 = 0")), scratch.written(titles.keys(c), "titles"))
+
+
 @registered(cat(f"""q_ref AS (SELECT list_distinct(flatten(list(genres))) AS rg, list_distinct(flatten(list(rt))) AS rr FROM cat WHERE english IN ('Order#42', 'Order#77'))
 SELECT id, round({JACCARD.format(a="genres", b="rg")} + {JACCARD.format(a="rt", b="rr")}, 8) AS similarity FROM cat, q_ref"""))
 def rnk2_reference_similarity(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hundredths(c: str) -> Column:
+    """A number of two places as a whole one: sums of these don't depend on the order of rows."""
+    return F.round(F.col(c) * 100).cast("long")
+
+
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order with lines; lines are shuffled once, by order, with the part's type and brand already attached."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
@@ -17,7 +22,7 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = F.struct(F.col("p_brand").alias("name"), F.least(F.lit(100), (2 * F.col("l_quantity")).cast("int")).alias("rank"))
     grouped = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
         F.count("*").cast("int").alias("episodes"), F.array_sort(F.collect_set("p_type")).alias("genres"), F.collect_list(ranked).alias("_lines"),
-        F.floor(F.sum("l_extendedprice")).cast("long").alias("popularity"), F.floor(F.avg("l_discount") * 1000).cast("int").alias("averageScore"),
+        F.floor(F.sum(_hundredths("l_extendedprice")) / 100).alias("popularity"), F.floor(10 * F.sum(_hundredths("l_discount")) / F.count("l_discount")).cast("int").alias("averageScore"),
     )
     best = F.transform(
         F.array_sort(F.array_distinct(F.transform("_lines", lambda t: t["name"]))),
@@ -49,7 +54,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same catalog in DuckDB, as common table expressions.
 CATALOG_SQL = """
 ll AS (SELECT l_orderkey AS k, p_type, p_brand, CAST(least(100, 2 * l_quantity) AS INT) AS rank, l_extendedprice AS price, l_discount AS disc FROM lineitem JOIN part ON l_partkey = p_partkey),
-facts AS (SELECT k, CAST(count(*) AS INT) AS episodes, list_sort(list(DISTINCT p_type)) AS genres, CAST(floor(sum(price)) AS BIGINT) AS popularity, CAST(floor(avg(disc) * 1000) AS INT) AS averageScore FROM ll GROUP BY k),
+facts AS (SELECT k, CAST(count(*) AS INT) AS episodes, list_sort(list(DISTINCT p_type)) AS genres, CAST(sum(CAST(round(price * 100) AS BIGINT)) // 100 AS BIGINT) AS popularity, CAST(10 * sum(CAST(round(disc * 100) AS BIGINT)) // count(disc) AS INT) AS averageScore FROM ll GROUP BY k),
 brands AS (SELECT k, p_brand AS name, max(rank) AS rank FROM ll GROUP BY k, p_brand),
 tagged AS (SELECT k, list(name ORDER BY name) FILTER (rank >= 50) AS rt, list(name ORDER BY name) FILTER (rank >= 1) AS xt FROM brands GROUP BY k),
 cat AS (SELECT o_orderkey AS id, c_name AS romaji, 'Order#' || o_orderkey AS english, o_orderpriority AS format, o_orderstatus AS status, CAST(year(o_orderdate) AS INT) AS year,

@@ -104,7 +104,7 @@ def test_features(spark):
 
 def test_text_functions(spark):
     rows = spark.createDataFrame([(" a\t", 0, ""), (None, None, None)], "s string, n int, e string")
-    r = rows.select(X.stripped(F.col("s")).alias("s"), X.or_else(F.col("n"), F.lit(7)).alias("n"), X.or_else(F.col("e"), F.lit("x")).alias("e"), X.title_key("s").alias("k")).collect()
+    r = rows.select(X.stripped(F.col("s")).alias("s"), X.or_else(F.col("n"), F.lit(7)).alias("n"), X.or_else(F.col("e"), F.lit("x")).alias("e"), X.title_key(F.col("s")).alias("k")).collect()
     assert r[0].asDict() == {"s": "a", "n": 7, "e": "x", "k": "a"} and r[1].s is None and r[1].n == 7
     assert X.fold_title(" Ｓtraße ") == "strasse"
     assert X.parse_strictly('{"a":1} x')[0] is None and X.recoverable('```json\n{"a":1}\n```')

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.operators import order_statistics
 
 
 def excess(key: Column) -> Column:
@@ -76,12 +83,9 @@ def dataset_audit(rows: DataFrame, by: str, values: str, listed: str) -> DataFra
     )
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: for each name the value at place ceil(share * n) of the sorted values."""
-    for name, p in shares.items():
-        if not 0 < p <= 1:
-            raise ValueError(f"{name} is no share above 0 and up to 1: {p}")
-    return rows.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").cast("long").alias(name) for name, p in shares.items()])
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """For all rows, or each group: for each name the value at place ceil(share * n) of the sorted values; exact, and no task holds a group's values."""
+    return order_statistics.at_places(rows, by or [], value, {name: order_statistics.share(p) for name, p in shares.items()})
 
 
 def tag_frequency(catalog: DataFrame, least: int = 50) -> DataFrame:
@@ -96,17 +100,63 @@ def frequencies(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def length_summary(rows: DataFrame, by: list[str], length: str) -> DataFrame:
-    """count, least, median, p95 (nearest rank) and most of a length."""
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(length).alias("least"), F.median(length).alias("median"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {length})").cast("long").alias("p95"), F.max(length).alias("most")
-    )
+    """count, least, median, p95 (nearest rank) and most of a length; rows without a length count, and are no values."""
+    places = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1, "p95": order_statistics.share(0.95)}
+    values = order_statistics.at_places(rows, by, length, places)
+    values = values.select(*[F.col(c).alias(f"_by_{c}") for c in by], ((F.col("_low") + F.col("_high")) / 2).alias("median"), F.col("p95").cast("long").alias("p95"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(length).alias("least"), F.max(length).alias("most"))
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
+    return counts.join(values, on, "left").select(*by, "n", "least", "median", "p95", "most")
 
 
 def ids_sha256(rows: DataFrame, by: list[str], pos: str, sample_id: str) -> DataFrame:
-    """For each group the SHA-256 of the JSON array of its ids in order of pos. A group's ids are brought together: for manifests of splits."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(pos, sample_id))), lambda x: x[sample_id])
-    return rows.groupBy(*by).agg(F.sha2(F.to_json(listed).cast("binary"), 256).alias("sha256"), F.count("*").alias("n"))
+    """For each group the SHA-256 of the JSON array of its ids in order of pos, and their number.
+
+    Rows are sorted in their task, and the digest goes on from batch to batch, so memory doesn't grow with a group. An id that a group has
+    twice is an error. Null ids are JSON nulls and may repeat.
+    """
+    twice = rows.where(F.col(sample_id).isNotNull()).groupBy(*by, sample_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"an id is there twice: {twice[0].asDict()}")
+    value = F.coalesce(F.to_json(F.array(sample_id), {"ignoreNullFields": "false"}), F.lit("[null]"))
+    keyed = rows.select(F.struct(*by).alias("g"), F.col(pos).alias("pos"), value.substr(F.lit(2), F.length(value) - 2).alias("id"))
+    ordered = keyed.repartition("g").sortWithinPartitions("g", "pos", "id").select("g", "id")
+
+    def fold(batches):
+        group, digest, n = None, None, 0
+        for batch in batches:
+            keys, first = batch.column(0), 0
+            codes = keys.to_pylist()
+            ids = batch.column(1).to_pylist()
+            done, sums, counts = [], [], []
+            while first < len(codes):
+                if digest is None or codes[first] != group:
+                    if digest is not None:
+                        done.append(group)
+                        sums.append(_closed(digest))
+                        counts.append(n)
+                    group, digest, n = codes[first], hashlib.sha256(b"["), 0
+                last = first
+                while last < len(codes) and codes[last] == group:
+                    last += 1
+                digest.update((b"," if n else b"") + ",".join(ids[first:last]).encode())
+                n, first = n + last - first, last
+            if done:
+                yield _groups(done, sums, counts, keys.type)
+        if digest is not None:
+            yield _groups([group], [_closed(digest)], [n], keys.type)
+
+    schema = T.StructType([T.StructField("g", ordered.schema["g"].dataType), T.StructField("sha256", T.StringType()), T.StructField("n", T.LongType())])
+    return ordered.mapInArrow(fold, schema).select("g.*", "sha256", "n")
+
+
+def _closed(digest) -> str:
+    digest.update(b"]")
+    return digest.hexdigest()
+
+
+def _groups(groups: list, sums: list[str], counts: list[int], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(groups, kind), pa.array(sums, pa.string()), pa.array(counts, pa.int64())], names=["g", "sha256", "n"])
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:

@@ -605,6 +605,18 @@ def agg9_nearest_rank(spark, sf_dir):
     return audit.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
 
 
+SHARES = {f"p{5 * k:02}": k / 20 for k in range(1, 20)}
+
+
+@registered(
+    "WITH v AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey AS supplier, "
+    + ", ".join(f"max(CASE WHEN k = ceil({p} * CAST(n AS DOUBLE)) THEN v END) AS {n}" for n, p in SHARES.items()) + " FROM v GROUP BY l_suppkey")
+def agg9_shares_of_groups(spark, sf_dir):
+    """Nineteen shares of the prices of each supplier's lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_extendedprice")
+    return audit.nearest_rank(lines, "l_extendedprice", SHARES, ["supplier"])
+
+
 @registered(
     "SELECT o_custkey AS owner, CAST(count(*) AS BIGINT) AS n, sha256('[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) || ']') AS sha256 FROM orders GROUP BY 1"
 )

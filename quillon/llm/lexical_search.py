@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import pieces, written
 
 #: Bytes of text of a shard, and of items that are searched at once.
-SHARD_BYTES, ITEM_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, ITEM_BYTES = 16 << 20, 8 << 20
 #: Fixed values of the score: percent of a length that counts, and the scale of a document's share.
 LENGTH_SHARE, UNIT, PER_COUNT, PER_LENGTH = 90, 1_000_000_000, 1000, 8
 #: Stands for a null doc_id, after all others.
@@ -98,11 +98,15 @@ class Inverter:
         order = np.argsort(ids, kind="stable")
         number = np.empty(len(ids), np.int64)
         number[order] = np.arange(len(ids))
-        both = (np.concatenate(self.found).astype(np.int64) << 32) | np.repeat(number, lengths)
+        both = np.concatenate(self.found, dtype=np.int64)
+        self.found = []
+        both <<= 32
+        both |= np.repeat(number, lengths)
         both.sort()
         new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
         count = np.diff(np.concatenate([new, [len(both)]]))
-        term, doc = both[new] >> 32, both[new] & 0xFFFFFFFF
+        both = both[new]
+        term, doc = both >> 32, both & 0xFFFFFFFF
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         gap = np.diff(doc, prepend=0)
         gap[first] = doc[first]
@@ -122,7 +126,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_byt
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = Inverter(), None
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             where = batch.column("where").to_pylist()
             for at, i, t in zip(where, batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 shard = at if shard is None else shard  # named by the first row: rows are numbered within their task

@@ -163,6 +163,26 @@ def paired(base: DataFrame, tuned: DataFrame, keys: list[str], identity: list[st
     return b.join(t, on, "full").withColumn("fault", fault)
 
 
+def zipped(base: DataFrame, tuned: DataFrame, identity: list[str], position: str = "row") -> DataFrame:
+    """Both runs' rows side by side by position, with `faults`: the identity columns that differ. Other numbers of rows, or a position twice, are an error.
+
+    Positions are numbers that sources.lines gives; each side is one shuffle by position, which no row shares.
+    """
+    def sides(df: DataFrame, letter: str) -> DataFrame:
+        return df.select(F.col(position).alias(f"{letter}_row"), *[F.col(c).alias(f"{letter}_{c}") for c in df.columns if c != position])
+
+    counts = [df.agg(F.count("*").alias("n"), F.coalesce(F.max(position), F.lit(0)).alias("last"), F.count_distinct(position).alias("places")).first() for df in (base, tuned)]
+    for n, last, places in counts:
+        if n != last or n != places:
+            raise ValueError(f"{n} rows have {places} positions, the last of which is {last}")
+    if counts[0].n != counts[1].n:
+        raise ValueError(f"{counts[0].n} rows of one run and {counts[1].n} of the other")
+    wrong = [F.when(~F.col(f"b_{c}").eqNullSafe(F.col(f"t_{c}")), c) for c in identity]
+    listed = F.filter(F.array(*wrong), lambda x: x.isNotNull()) if identity else F.array().cast("array<string>")
+    pairs = sides(base, "b").join(sides(tuned, "t"), F.col("b_row") == F.col("t_row"))
+    return pairs.withColumn("faults", listed).withColumnRenamed("b_row", position).drop("t_row")
+
+
 def transition(before: Column, after: Column) -> Column:
     return F.when(before & after, "kept").when(~before & after, "fixed").when(before & ~after, "regressed").otherwise("still_failed")
 

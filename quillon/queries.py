@@ -13,7 +13,7 @@ from quillon.plans import query_columns as QC
 from quillon.plans import sampler as S
 from quillon.sources import catalog as C
 from quillon.sources import records as R
-from quillon.sources import scratch, taxonomy
+from quillon.sources import lines, scratch, taxonomy
 from quillon.sources.schemas import QUERY, nested
 from quillon.sources.testdata import CATALOG_SQL, catalog, table
 
@@ -462,6 +462,44 @@ def joi7_pairing(spark, sf_dir):
     return pairs.select(F.coalesce("b_doc_id", "t_doc_id").alias("id"), "fault")
 
 
+#: What must be the same in both runs of a comparison.
+IDENTITY = ["sample_id", "split", "user_text", "gold_query", "model_id", "tokenizer_id", "resolved_model_revision", "prompt_version", "serialization_identity", "generation_config"]
+
+
+@registered("""WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row, o_orderkey AS k, * FROM orders),
+t AS (SELECT row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 ELSE o_orderkey END) AS row, o_orderkey AS k, * FROM orders)
+SELECT row, b.k AS base_id, t.k AS tuned_id, CAST(list_filter([CASE WHEN b.k <> t.k THEN 'sample_id' END, CASE WHEN b.o_orderstatus <> t.o_orderstatus THEN 'split' END, CASE WHEN b.k <> t.k THEN 'user_text' END, CASE WHEN b.o_custkey <> t.o_custkey THEN 'gold_query' END,
+CASE WHEN t.o_totalprice > 400000 THEN 'prompt_version' END], lambda x: x IS NOT NULL) AS VARCHAR[]) AS faults, b.o_orderpriority < '3' AS before, t.o_orderpriority < '4' AS after FROM b JOIN t USING (row)""")
+def joi7_by_position(spark, sf_dir):
+    """Two runs over the orders, paired by position: in one of them some neighbours are swapped and some rows have another prompt."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    text = lambda c: F.col(c).cast("string")
+    swapped = F.when(k % 50 == 0, k + 1).when(k % 50 == 1, k - 1).otherwise(k)
+    prompt = F.when(F.col("o_totalprice") > 400000, "v2").otherwise("v1")
+
+    def run(order, version, good):
+        identity = [text("o_orderkey"), F.col("o_orderstatus"), F.concat(F.lit("order "), text("o_orderkey")), text("o_custkey"), *[F.lit("m")] * 3, version, F.lit("s"), F.lit("{}")]
+        rows = o.select(order.alias("at"), k.alias("id"), good.alias("exact"), *[c.alias(n) for c, n in zip(identity, IDENTITY, strict=True)])
+        return lines.positions(rows, ["at"]).drop("at")
+
+    pairs = evaluation.zipped(run(k, F.lit("v1"), F.col("o_orderpriority") < "3"), run(swapped, prompt, F.col("o_orderpriority") < "4"), IDENTITY)
+    return pairs.select("row", F.col("b_id").alias("base_id"), F.col("t_id").alias("tuned_id"), "faults", F.col("b_exact").alias("before"), F.col("t_exact").alias("after"))
+
+
+@registered(cat("""q_bad AS (SELECT row_number() OVER (ORDER BY id) AS row, id, CASE id % 40 WHEN 7 THEN 'no JSON' WHEN 11 THEN 'no JSON object' WHEN 13 THEN 'id is no whole number' WHEN 17 THEN 'genres is no list' WHEN 19 THEN 'title is no object' END AS reason FROM cat),
+q_twice AS (SELECT a.row, 'the id of row ' || b.row AS reason FROM q_bad a JOIN q_bad b ON b.id = a.id - 1 WHERE a.id % 40 = 23)
+SELECT row, reason FROM q_bad WHERE reason IS NOT NULL UNION ALL SELECT row, reason FROM q_twice"""))
+def src1_faults_by_line(spark, sf_dir):
+    """The catalog as canonical lines, of which some are broken in several ways; each is found at its place."""
+    value, k = F.col("value"), F.col("id") % 40
+    broken = F.when(k == 7, F.concat(value, F.lit("}"))).when(k == 11, F.concat(F.lit("["), value, F.lit("]"))).when(k == 13, F.regexp_replace("value", r'"id":(\d+)', '"id":"$1"'))
+    broken = broken.when(k == 17, F.regexp_replace("value", r'"genres":\[[^\]]*\]', '"genres":{}')).when(k == 19, F.regexp_replace("value", r'"title":\{[^}]*\}', '"title":[]'))
+    broken = broken.when(k == 23, F.regexp_replace("value", r'"id":\d+', F.concat(F.lit('"id":'), (F.col("id") - 1).cast("string")))).otherwise(value)
+    path = scratch.new_path(spark, "lines")
+    C.canonical_lines(catalog(spark, sf_dir)).orderBy("id").select(broken.alias("value")).write.text(path)
+    return C.line_faults(spark, path).select("row", "reason")
+
+
 RULES = Q.Rules(
     genres=frozenset(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]), tags=frozenset(f"Brand#{i}" for i in range(1, 26)),
     formats=frozenset(["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]), statuses=frozenset("FOP"), year=(1900, 2100),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import or_else, sha256, to_canonical_json
+from quillon.sources.lines import faults, kind_of, numbered
 from quillon.sources.schemas import CATALOG, PAGE
 
 
@@ -28,14 +29,40 @@ def file_sha256(spark: SparkSession, path: str) -> str | None:
 
 
 def read_catalog(spark: SparkSession, path: str, sha256_of_file: str | None = None, rows: int | None = None) -> DataFrame:
-    """A catalog of one JSON object a line. Rejects malformed lines, repeated or missing ids, no rows at all, and other bytes or counts than a manifest says."""
+    """A catalog of one JSON object a line. Rejects malformed lines and repeated ids by their places (line_faults()), no rows at all, and other bytes or counts than a manifest says."""
     if sha256_of_file is not None and file_sha256(spark, path) != sha256_of_file:
         raise CatalogError("the file's bytes are not those of the manifest")
+    if wrong := first_faults(line_faults(spark, path)):
+        raise CatalogError(wrong)
     catalog = spark.read.schema(CATALOG).option("mode", "FAILFAST").json(path)
     check(catalog, rows)
     return catalog
 
 
+def line_faults(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, row, reason of the lines of a catalog that can't be its rows: no JSON object, fields of other types, an id that an earlier line has.
+
+    Types: id a whole number, genres and tags lists, title an object, title texts strings or null, year, episodes and ranks whole numbers or null.
+    """
+    lines = numbered(spark, path)
+    kind = kind_of
+    rules = {"id is no whole number": kind("id") != "BIGINT", "genres is no list": kind("genres") != "ARRAY", "tags is no list": kind("tags") != "ARRAY", "title is no object": kind("title") != "OBJECT"}
+    rules |= {f"title.{n} is no text": ~kind(f"title.{n}").isin("STRING", "VOID", "") for n in ("romaji", "english", "native")}
+    rules |= {f"{n} is no whole number": ~kind(n).isin("BIGINT", "VOID", "") for n in ("year", "episodes", "averageScore", "popularity")}
+    wrong = faults(lines, rules).select("file", "line", "row", "reason")
+    ids = lines.where(F.trim("value") != "").select("file", "line", "row", F.get_json_object("value", "$.id").alias("id"))
+    ids = ids.join(wrong.select("row"), "row", "left_anti")
+    first = ids.groupBy("id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = ids.join(first, "id").where(F.col("row") > F.col("first"))
+    return wrong.unionAll(again.select("file", "line", "row", F.concat(F.lit("the id of row "), F.col("first").cast("string")).alias("reason")))
+
+
+def first_faults(found: DataFrame, most: int = 20) -> str:
+    """The first of the faults as text, "" where there are none."""
+    rows = found.orderBy("row").limit(most).collect()
+    return "; ".join(f"{r.file.rsplit('/', 1)[-1]}:{r.line}: {r.reason}" for r in rows)
+
+
 def check(catalog: DataFrame, rows: int | None = None) -> None:
     """One aggregate over the catalog; raises CatalogError."""
     ids = catalog.groupBy("id").agg(

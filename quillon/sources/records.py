@@ -9,12 +9,16 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.text import is_canonical_text, without_line_end
 from quillon.operators import patterns
 from quillon.plans import query as Q
+from quillon.sources import lines
+from quillon.sources.catalog import first_faults
 
 INPUT = "sample_id string, challenge_id string, split string, user_text string, gold_query string, semantic_family string, constraint_count int, constraint_signature string, normalization_rule_ids array<string>"
 # The columns of a prediction. Queries and mappings stay JSON texts.
@@ -240,10 +244,37 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     lines.orderBy("sample_id").select("value").write.mode("errorifexists").text(path)
 
 
+@F.pandas_udf(T.StringType())
+def _structure_fault(gold: pd.Series) -> pd.Series:
+    def fault(text: str) -> str | None:
+        try:
+            Q.check_structure(json.loads(text))
+            return None
+        except (Q.QueryError, ValueError) as e:
+            return str(e)
+
+    return gold.map(fault, na_action="ignore")
+
+
+def training_faults(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, row, reason of the lines that can't be training records: no JSON object, sample_id or user_text no text or with outer white space, gold_query no query."""
+    canonical = lambda f: lines.kind_of(f).eqNullSafe("STRING") & F.coalesce(is_canonical_text(lines.text_of(f)), F.lit(False))
+    rules = {
+        "sample_id is no text without outer white space": ~canonical("sample_id"), "gold_query is no object": lines.kind_of("gold_query") != "OBJECT",
+        "user_text is no text without outer white space": ~canonical("user_text"),
+    }
+    every = lines.numbered(spark, path).where(F.trim("value") != "")
+    wrong = lines.faults(every, rules).select("file", "line", "row", "reason")
+    rest = every.join(wrong.select("row"), "row", "left_anti").withColumn("reason", _structure_fault(F.get_json_object("value", "$.gold_query")))
+    return wrong.unionAll(rest.where("reason IS NOT NULL").select("file", "line", "row", F.concat(F.lit("gold_query: "), "reason").alias("reason")))
+
+
 def read_training(spark: SparkSession, path: str, split: str, rows: int, versions: dict[str, str]) -> DataFrame:
     """Training records: the exact number of rows, of these versions; test and challenge splits are refused."""
     if split not in ("train", "validation"):
         raise PermissionError(f"the {split} split is not for training")
+    if wrong := first_faults(training_faults(spark, path)):
+        raise RecordError(wrong)
     found = spark.read.schema(f"{INPUT}, " + ", ".join(f"{v} string" for v in versions)).option("mode", "FAILFAST").json(path)
     bad = F.lit(False)
     for name, want in versions.items():

@@ -56,7 +56,7 @@ def test_tables(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text("\n".join([json.dumps({"challenge_id": "c1", "user_text": "x", "gold_query": json.loads(gold)}), json.dumps({"sample_id": "s1", "split": "test", "user_text": "y", "gold_query": json.loads(gold), "constraint_count": 2})]))
     rows = R.read_inputs(spark, str(tmp_path / "in.jsonl"), "challenge").orderBy("sample_id").collect()
     assert [(r.sample_id, r.split, r.constraint_count) for r in rows] == [("c1", "challenge", None), ("s1", "test", 2)] and Q.canonical(json.loads(rows[0].gold_query)) == json.loads(gold)
-    (tmp_path / "tr.jsonl").write_text("\n".join(json.dumps({"sample_id": f"s{i}", "user_text": "x", "dataset_version": "1"}) for i in range(3)))
+    (tmp_path / "tr.jsonl").write_text("\n".join(json.dumps({"sample_id": f"s{i}", "user_text": "x", "gold_query": json.loads(gold), "dataset_version": "1"}) for i in range(3)))
     assert R.read_training(spark, str(tmp_path / "tr.jsonl"), "train", 3, {"dataset_version": "1"}).count() == 3
     for rows, version in ((4, "1"), (3, "2")):
         with pytest.raises(R.RecordError):

@@ -14,7 +14,7 @@ No rows in, no rows out. Other columns, whatever their names, are not touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import looked_up, written
@@ -57,13 +57,23 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS, repeats: bool = True) -> DataFrame:
     """docs, all columns, without the rows whose text a row with a smaller doc_id has.
 
-    Rows that repeat the text under the same doc_id (or all without one) stay all with `repeats`, else one of them.
+    Rows that repeat the text under the same doc_id (or all without one) stay all with `repeats`, else one of them. Rows of hot texts
+    take their decision where they are, and repeated rows are combined inside each task first.
     """
-    kept = exact_groups(docs, doc_id, text, salts).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
-    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_sha256").alias("_sha"), "_n")
-    at, none, sha = F.coalesce(docs[doc_id], F.lit(0)), docs[doc_id].isNull(), F.sha2(normalised(docs[text]), 256)
-    found = docs.join(kept, (at == kept["_id"]) & (none == kept["_none"]) & (sha == kept["_sha"]))
+    decided = written(winners(docs, doc_id, text, salts), "winners")
+    total = decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    table = decided.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("group_size").alias("__rows"))
+    rows = docs.withColumn("__digest", _digest(normalised(docs[text])))
+    stay = looked_up(rows, table, "__digest", "__rows", total).where(F.col(doc_id).eqNullSafe(F.col("__keep_id")))
     if not repeats:
-        first = Window.partitionBy(kept["_id"], kept["_none"], kept["_sha"]).orderBy(kept["_n"])
-        found = found.withColumn("__quillon_first", F.row_number().over(first)).where("__quillon_first = 1")
-    return found.select(*[docs[c] for c in docs.columns])
+        names = docs.columns
+        own = F.concat_ws(":", F.hex("__digest"), F.col(doc_id).cast("string"))
+        narrow = exact_groups(docs, doc_id, text, salts).where("kept")
+        counts = narrow.groupBy(F.concat_ws(":", F.upper("text_sha256"), F.col("doc_id").cast("string")).alias("__own")).agg(F.count("*").alias("__rows")).where("__rows > 1")
+        again = written(counts.withColumn("__again", F.lit(True)), "repeats")
+        n = again.agg(F.sum("__rows")).first()[0]
+        if n:  # rows under one id with one text, those without an id included
+            marked = looked_up(stay.select(*names, own.alias("__own")), again, "__own", "__rows", total)
+            first = marked.where("__again").groupBy("__own").agg(F.first(F.struct(*[F.col(c) for c in names])).alias("__first")).select("__first.*")
+            return marked.where("__again IS NULL").select(*names).unionAll(first.select(*names))
+    return stay.select(*docs.columns)

@@ -123,9 +123,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = written(
-        rows.mapInArrow(by_batch(_cut(tokenizer, end_id, capacity), PIECES, 64), "doc_id long, piece int, start long, length long, ids_crc32 long"),
-        "pieces"
-    )
+    made = rows.mapInArrow(by_batch(_cut(tokenizer, end_id, capacity), PIECES, 64), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = written(made.withColumn("place", F.monotonically_increasing_id()), "pieces")  # equal pieces have places of their own
     shards = max(1, -(-cut.count() // shard_pieces))
-    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInArrow(_pack(capacity), PACKED)
+    return cut.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).groupBy("shard").applyInArrow(_pack(capacity), PACKED)

@@ -230,17 +230,23 @@ def drop_near_copies(docs: DataFrame, words: int = 4, most: int = 4, doc_id: str
 
     Where one doc_id has rows of several components, these are told apart by their fingerprints.
     """
-    groups = written(
-        near_groups(docs, words, most, doc_id=doc_id, text=text).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_groups"
-    )
-    kept = groups.where("stays").select(F.col("doc_id").alias("kept_id"), F.conv("fingerprint", 16, -10).cast("long").alias("kept_fp")).distinct()
-    same = docs[doc_id].cast("long").eqNullSafe(kept["kept_id"])
-    mixed = groups.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any")).where("any AND NOT all")
-    if not mixed.isEmpty():
-
-        @F.pandas_udf("long")
-        def print_of(texts):
-            return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in texts], U).view(np.int64))
-
-        same = same & (print_of(docs[text]) == kept["kept_fp"])
-    return docs.join(kept, same, "left_semi")
+    groups = near_groups(docs, words, most, doc_id=doc_id, text=text).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_print = groups.groupBy("doc_id", "fingerprint").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    by_print = written(by_print.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))), "near_groups")
+    ids = written(by_print.groupBy("__id").agg(F.min("stays").alias("__all"), F.max("stays").alias("__any"), F.sum("n").alias("__rows")), "near_ids")
+    total, mixed = ids.agg(F.coalesce(F.sum("__rows"), F.lit(0)), F.count_if(F.col("__any") & ~F.col("__all"))).first()
+    rows = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("none")))
+    marked = looked_up(rows, ids, "__id", "__rows", total)
+    if not mixed:
+        return marked.where("__all").select(*docs.columns)
+
+    @F.pandas_udf("long")
+    def print_of(texts):
+        return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in texts], U).view(np.int64))
+
+    # ids with rows in several components
+    some = marked.where("__any AND NOT __all").drop("__all", "__any")
+    some = some.withColumn("__own", F.concat_ws(":", "__id", F.lpad(F.lower(F.hex(print_of(F.col(text)))), 16, "0")))
+    known = by_print.where("stays").select(F.concat_ws(":", "__id", "fingerprint").alias("__own"), F.lit(True).alias("__stays"), F.col("n").alias("__rows"))
+    kept = looked_up(some, written(known, "near_prints"), "__own", "__rows", total).where("__stays")
+    return marked.where("__all").select(*docs.columns).unionAll(kept.select(*docs.columns))

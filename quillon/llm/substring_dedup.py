@@ -20,8 +20,9 @@ different windows and a word that stands in one at a place where the other has a
 words' bits, the sums agree for about one value in 2**128 of that word's bits. So, of n different windows, the chance that
 any two are taken for one is about n**2 / 2**129: 1e-14 for the 10**12 words of 6 TB. The words themselves do not travel.
 
-Size. Groups are dealt by a hash of doc_id; their number is the bytes of all texts over `group_bytes`, so what a task
-holds does not grow with the corpus. Buckets are about as many as groups. Fingerprints have so many bits that a block
+Size. Groups are dealt by a hash of doc_id, length and input partition, so rows that repeat are spread; their number is the bytes of all texts over the bytes of a
+group, which beyond 100 groups grow with the root of the corpus up to three times `group_bytes`: what a task
+holds is bounded, and what groups send is in proportion to the corpus up to 900 times `group_bytes`. Buckets are about as many as groups; beyond, a group still sends each bucket at most one row. Fingerprints have so many bits that a block
 meets a chance equal once in 2**8 windows at any size; these false anchors cost an identity each and are no error.
 Documents are shuffled once and that exchange is read three times. A passage or document that a third of all rows
 share costs each group one fingerprint, and no pair of documents is ever formed.
@@ -362,6 +363,11 @@ def _remove(window: int, digest: bool, key: bytes):
     return f
 
 
+def grown(size: int, group_bytes: int, alone: int = 100, most: int = 3) -> int:
+    """Bytes of a group: beyond `alone` groups they grow with the root of the corpus, up to `most` times, which memory has to hold."""
+    return int(group_bytes * min(most, max(1.0, (size / (alone * group_bytes)) ** 0.5)))
+
+
 def remove_repeats(
     docs: DataFrame, window: int = 13, digest: bool = False, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 10 << 20
 ) -> DataFrame:
@@ -370,10 +376,10 @@ def remove_repeats(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(parts, -(-size // group_bytes))
+    groups = max(parts, -(-size // grown(size, group_bytes)))
     bucket_bits = max(4, min(24, (groups - 1).bit_length()))
     bits = max(bucket_bits + 8, min(60, (size // 2).bit_length() + SPARE_BITS))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(groups)).cast("int"))
     # a task goes through its groups one by one; beyond TASK_GROUPS of them there are more tasks than the setting has
     dealt = dealt.repartition(groups // TASK_GROUPS, "g") if groups > TASK_GROUPS * parts else dealt.repartition("g")
     anchors = dealt.groupBy("g").applyInArrow(

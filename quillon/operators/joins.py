@@ -36,6 +36,12 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> Da
     return found.select(*rows.columns, *[got[c].alias(c) for c in names])
 
 
+def has_bit(bits: Column, place: Column) -> Column:
+    """Is this bit of a bitmap (bitmap_construct_agg's) set?"""
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
 def _bits(key: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BITS)) for seed in range(HASHES)]
 
@@ -50,8 +56,6 @@ def may_hold(rows: DataFrame, key: str, filters: DataFrame) -> DataFrame:
     """The rows whose key the filter may hold: none that it holds is lost."""
     found = rows
     for bit in _bits(F.col(key)):
-        place = F.bitmap_bit_position(bit)
-        byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         bits = F.broadcast(filters.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
-        found = found.join(bits, F.bitmap_bucket_number(bit) == F.col("_bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+        found = found.join(bits, F.bitmap_bucket_number(bit) == F.col("_bucket")).where(has_bit(F.col("_bits"), F.bitmap_bit_position(bit))).drop("_bucket", "_bits")
     return found

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import audit, batch_search, evaluation, generation, patterns, samplers, sampling, search, sft, tag_audit, titles
+from quillon.operators import audit, batch_search, evaluation, generation, ledger, patterns, samplers, sampling, search, sft, tag_audit, titles
 from quillon.plans import query as Q
 from quillon.plans import query_columns as QC
 from quillon.plans import sampler as S
 from quillon.sources import catalog as C
 from quillon.sources import records as R
-from quillon.sources import lines, scratch, taxonomy
+from quillon.sources import lines, scratch, skipping, taxonomy
 from quillon.sources.schemas import QUERY, nested
 from quillon.sources.testdata import CATALOG_SQL, catalog, table
 
@@ -65,6 +67,18 @@ def flt0_hard_filter(spark, sf_dir):
     return search.execute(FLAGSHIP, catalog(spark, sf_dir)).select("id")
 
 
+@registered(cat("SELECT id FROM cat WHERE list_has_all(genres, ['ECONOMY', 'PROMO']) AND NOT list_has_any(genres, ['SMALL', 'STANDARD']) AND list_has_any(rt, ['Brand#1', 'Brand#2', 'Brand#3']) AND NOT list_has_any(xt, ['Brand#9']) AND year >= 1996 AND format IN ('1-URGENT', '5-LOW')"))
+def flt3_skipped_files(spark, sf_dir):
+    """FLT-1 to FLT-5 over a written catalog of many files, most of which its manifest leaves out."""
+    path = scratch.new_path(spark, "skipping")
+    skipping.write(catalog(spark, sf_dir), path, files=64)
+    q = Q.query(
+        genres={"all_of": ["ECONOMY", "PROMO"], "none_of": ["SMALL", "STANDARD"]}, tags={"any_of": ["Brand#1", "Brand#2", "Brand#3"], "none_of": ["Brand#9"]},
+        year={"min": 1996}, formats=["1-URGENT", "5-LOW"]
+    )
+    return skipping.execute(spark, path, q).select("id")
+
+
 def _filter(name: str, where: str, **parts):
     def f(spark, sf_dir):
         return search.execute(Q.query(**parts), catalog(spark, sf_dir)).select("id")
@@ -385,6 +399,16 @@ def joi8_unused_texts(spark, sf_dir):
     return audit.first_unused(docs, table(spark, sf_dir, "benchmark").select("text"), "text", "doc_id").select("doc_id", X.sha256(F.col("text")).alias("sha"))
 
 
+@registered("""SELECT doc_id, batch, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY batch, doc_id) AS n FROM (SELECT doc_id, text, CAST(doc_id % 3 AS INT) AS batch FROM documents WHERE text IS NOT NULL))
+WHERE n = 1 AND text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)""")
+def joi8_ledger(spark, sf_dir):
+    """The documents in three batches, each of which brings texts that neither the benchmark nor a batch before it has."""
+    path, docs = scratch.new_path(spark, "ledger"), table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 3).cast("int").alias("batch"))
+    ledger.admit(table(spark, sf_dir, "benchmark").select("item_id", "text"), path, "text", "item_id")
+    brought = [ledger.admit(docs.where(F.col("batch") == b), path, "text", "doc_id") for b in range(3)]
+    return reduce(DataFrame.unionAll, brought).select("doc_id", "batch", X.sha256(F.col("text")).alias("sha"))
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
 PAIRED_SQL = """e AS (SELECT l_orderkey AS id, coalesce(list(DISTINCT p_type) FILTER (l_returnflag <> 'N'), []) AS gold, coalesce(list(DISTINCT p_type) FILTER (l_linestatus = 'F'), []) AS pred

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import encoders, exact_dedup, packing, pii, quality, simhash
-from quillon.llm.common import drop_scratch, given, labels, written
+from quillon.llm.common import collected, drop_scratch, labels, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's tables are removed once the next one's result is written, those of the last stay for the caller to drop."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(given())
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-        drop_scratch(spark, *given()[before:-1])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; each one's tables are removed once the next one's result is written, those of the last stay for the caller to drop.
+
+    The tables of other calls, in other threads as well, are not touched.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with collected() as made:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
+            drop_scratch(spark, *made[:-1])
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import new_path, remove
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,43 +26,45 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels")
 
 
-#: Paths that scratch() gave and drop_scratch() has not removed yet.
-_given: list[str] = []
+#: The scratch tables of the calls that are under way here, innermost last; the first list has those of no call. Threads have lists of their own.
+_lists: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_tables", default=())
+_outside: list[str] = []
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a session with a local master (as in tests) gets a folder of this process; any other
-    is refused, since each executor would write to its own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that the driver and all executors share")
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _given.append(path)
+    """A new path below the folder that driver and executors share (sources.scratch.shared_folder)."""
+    path = new_path(spark, what)
+    (_lists.get() or (_outside,))[-1].append(path)
     return path
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The list of the scratch tables that are made inside the block by this thread; another call's are not in it."""
+    mine: list[str] = []
+    token = _lists.set((*_lists.get(), mine))
+    try:
+        yield mine
+    finally:
+        _lists.reset(token)
+        (_lists.get() or (_outside,))[-1].extend(mine)
+
+
 def given() -> tuple[str, ...]:
-    """The paths of the scratch tables that are there, in the order in which they were asked for."""
-    return tuple(_given)
+    """The paths of the scratch tables that are there, of the call under way or else of no call, in the order in which they were asked for."""
+    return tuple((_lists.get() or (_outside,))[-1])
 
 
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Removes these scratch tables; drop_scratch(spark, *given()) removes all that this process has made.
+    """Removes these scratch tables; drop_scratch(spark, *given()) removes all that no other call has made.
 
     Results of the operators are lazy and read such tables; so the caller removes them, once a result is written.
     """
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _given:
-            _given.remove(path)
+        remove(spark, path)
+        for held in (_outside, *_lists.get()):
+            if path in held:
+                held.remove(path)
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:

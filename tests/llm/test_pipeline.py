@@ -49,3 +49,28 @@ def test_stages_keep_the_columns_and_survive_awkward_rows(spark, monkeypatch):
     assert last(spark, odd, SF).count() >= odd.count() and last(spark, odd.where("false"), SF).count() == 0
     masked = corpus_pipeline.personal_data(spark, odd, SF)
     assert isinstance(masked.toPandas(), pd.DataFrame) and masked.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+
+
+def test_two_calls_in_two_threads(spark):
+    """Neither takes the other's tables away."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(lambda _: corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect(), range(2)))
+    assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1])) and len(got[0]) > 50
+
+
+def test_scratch_tables_of_calls(spark):
+    from quillon.llm import common
+
+    outside = set(common.given())
+    with common.collected() as made:
+        common.written(spark.range(3), "a")
+        with common.collected() as inner:
+            kept = common.written(spark.range(4), "b")
+        assert len(made) == 2 and len(inner) == 1
+        common.drop_scratch(spark, made[0])
+        assert kept.count() == 4 and made == inner
+    assert set(common.given()) - outside == set(made)
+    common.drop_scratch(spark, *made)
+    assert set(common.given()) == outside

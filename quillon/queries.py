@@ -539,19 +539,23 @@ def _raw():
         F.lit(',"max":null},"episodes":{"min":null,"max":null},"formats":["'), F.col("o_orderpriority"),
         F.lit('"],"status":[]},"reference_titles":[],"soft_preferences":[],"unresolved_preferences":[]}')
     )
-    return F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Here: "), q)).when(
+    broken = F.substring(q, F.lit(1), F.length(q) - 1)  # not even what its outermost braces hold is an object
+    return F.when(F.col("o_orderkey") % 13 == 0, broken).when(F.col("o_orderstatus") == "P", F.concat(F.lit("Here: "), q)).when(
         F.col("o_totalprice") > 300000, F.regexp_replace(q, '"status":\\[\\]', '"extra":[]')
     ).otherwise(q)
 
 
-RAW_SQL = """r AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS parsed, o_orderstatus <> 'P' AND NOT o_totalprice > 300000 AS schema_ok,
-o_orderstatus <> 'P' AND NOT o_totalprice > 300000 AND o_orderpriority <> '4-NOT SPECIFIED' AS domain_ok, o_orderpriority = '1-URGENT' AS f, year(o_orderdate) = 1995 AS y FROM orders)"""
+RAW_SQL = f"""q_made AS (SELECT *, '{GOLD.split('"year"')[0]}"year":{{"min":' || year(o_orderdate) || ',"max":null}},"episodes":{{"min":null,"max":null}},"formats":["' || o_orderpriority
+|| '"],"status":[]}},"reference_titles":[],"soft_preferences":[],"unresolved_preferences":[]}}' AS q FROM orders),
+r AS (SELECT o_orderkey AS id, o_orderkey % 13 <> 0 AS recoverable, recoverable AND o_orderstatus <> 'P' AS parsed, parsed AND NOT o_totalprice > 300000 AS schema_ok,
+schema_ok AND o_orderpriority <> '4-NOT SPECIFIED' AS domain_ok, o_orderpriority = '1-URGENT' AS f, year(o_orderdate) = 1995 AS y,
+CASE WHEN NOT recoverable THEN q[:length(q) - 1] WHEN o_orderstatus = 'P' THEN 'Here: ' || q WHEN o_totalprice > 300000 THEN replace(q, '"status":[]', '"extra":[]') ELSE q END AS raw,
+CAST(CASE WHEN domain_ok THEN f::INT + y::INT ELSE 0 END AS BIGINT) AS tp, CAST(CASE WHEN domain_ok THEN 2 - f::INT - y::INT ELSE 0 END AS BIGINT) AS fp, CAST(CASE WHEN domain_ok THEN 2 - f::INT - y::INT ELSE 2 END AS BIGINT) AS fn,
+CASE WHEN NOT parsed THEN 'JSON_PARSE_ERROR' WHEN NOT schema_ok THEN 'SCHEMA_ERROR' WHEN NOT domain_ok THEN 'DOMAIN_ERROR'
+ELSE concat_ws(',', CASE WHEN NOT (f AND y) THEN 'MISSING_CONSTRAINT,HALLUCINATED_CONSTRAINT' END, CASE WHEN NOT f THEN 'WRONG_VALUE' END, CASE WHEN NOT y THEN 'WRONG_NUMERIC_BOUND' END) END AS labels FROM q_made)"""
 
 
-@registered(f"""WITH {RAW_SQL} SELECT id, parsed, true AS recoverable, schema_ok, domain_ok, domain_ok AND f AND y AS exact, CAST(CASE WHEN domain_ok THEN f::INT + y::INT ELSE 0 END AS BIGINT) AS tp,
-CAST(CASE WHEN domain_ok THEN 2 - f::INT - y::INT ELSE 0 END AS BIGINT) AS fp, CAST(CASE WHEN domain_ok THEN 2 - f::INT - y::INT ELSE 2 END AS BIGINT) AS fn,
-CASE WHEN NOT parsed THEN 'JSON_PARSE_ERROR' WHEN NOT schema_ok THEN 'SCHEMA_ERROR' WHEN NOT domain_ok THEN 'DOMAIN_ERROR'
-ELSE concat_ws(',', CASE WHEN NOT (f AND y) THEN 'MISSING_CONSTRAINT,HALLUCINATED_CONSTRAINT' END, CASE WHEN NOT f THEN 'WRONG_VALUE' END, CASE WHEN NOT y THEN 'WRONG_NUMERIC_BOUND' END) END AS labels FROM r""")
+@registered(f"WITH {RAW_SQL} SELECT id, parsed, recoverable, schema_ok, domain_ok, domain_ok AND f AND y AS exact, tp, fp, fn, labels FROM r")
 def val14_evaluate_predictions(spark, sf_dir):
     """VAL-1, VAL-2, VAL-3, VAL-4, VAL-14: the layers of each raw output."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _raw().alias("raw_output"), F.lit(GOLD).alias("gold_query"))
@@ -561,20 +565,34 @@ def val14_evaluate_predictions(spark, sf_dir):
     )
 
 
-@registered(f"""WITH {RAW_SQL} SELECT CAST(id AS VARCHAR) AS sample_id, domain_ok AND f AND y AS exact_match, CAST(CASE WHEN domain_ok THEN f::INT + y::INT ELSE 0 END AS BIGINT) AS hard_constraint_tp,
-NOT parsed AS parse_failed, parsed AND NOT schema_ok AS schema_failed, schema_ok AND NOT domain_ok AS domain_failed, 'm' AS model_id FROM r""")
+RUN = {"model_id": "m", "tokenizer_id": "t", "resolved_model_revision": "r", "prompt_version": "p", "serialization_identity": "s", "generation_config": '{"do_sample":false}'}
+FIELD_FLAGS = ", ".join(f"domain_ok AND {'f' if n == 'formats' else 'y' if n == 'year' else 'true'} AS {n}_ok" for n in Q.FIELDS)
+
+
+@registered(f"""WITH {RAW_SQL} SELECT CAST(id AS VARCHAR) AS sample_id, 'test' AS split, 'order ' || id AS user_text, '{GOLD}' AS gold_query, raw AS raw_model_output, CASE WHEN parsed THEN raw END AS parsed_prediction,
+NOT parsed AS parse_failed, parsed AND NOT schema_ok AS schema_failed, schema_ok AND NOT domain_ok AS domain_failed, CASE WHEN domain_ok THEN raw END AS canonical_prediction, domain_ok AND f AND y AS exact_match, {FIELD_FLAGS},
+tp AS hard_constraint_tp, fp AS hard_constraint_fp, fn AS hard_constraint_fn, labels AS error_labels, recoverable AS recoverable_json, CAST(NULL AS VARCHAR) AS semantic_family, CAST(NULL AS INT) AS constraint_count, CAST(NULL AS VARCHAR) AS constraint_signature, '' AS normalization_rule_ids,
+{", ".join(f"'{v}' AS {k}" for k, v in RUN.items())} FROM r""")
 def snk5_prediction_rows(spark, sf_dir):
-    """SRC-15, SNK-5: evaluated outputs as predictions of 27 columns."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), _raw().alias("raw_output"), F.lit(GOLD).alias("gold_query"))
-    made = R.prediction_rows(evaluation.evaluated(rows, RULES), {"model_id": "m"})
-    failed = [F.col(f"{x}_error").isNotNull().alias(f"{x}_failed") for x in ("parse", "schema", "domain")]
-    return made.select("sample_id", "exact_match", "hard_constraint_tp", *failed, "model_id")
+    """SRC-15, SNK-5: evaluated outputs as predictions of 27 columns; of the three errors that they are there, lists as texts, and the fields' flags one by one."""
+    k = F.col("o_orderkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("sample_id"), F.lit("test").alias("split"), F.concat(F.lit("order "), k).alias("user_text"), _raw().alias("raw_output"), F.lit(GOLD).alias("gold_query")
+    )
+    made = R.prediction_rows(evaluation.evaluated(rows, RULES), RUN)
+    errors = {f"{x}_failed": F.col(f"{x}_error").isNotNull() for x in ("parse", "schema", "domain")}
+    flags = {f"{f}_ok": F.coalesce(F.col("field_correctness")[f], F.lit(False)) for f in Q.FIELDS}
+    texts = {c: F.array_join(c, ",") for c in ("error_labels", "normalization_rule_ids")}
+    made = made.withColumns(errors | flags | texts)
+    return made.drop("parse_error", "schema_error", "domain_error", "field_correctness")
 
 
-@registered("SELECT event_id AS id, true AS ok, event_type <> 'error' AS strict FROM events")
+@registered("SELECT event_id AS id, event_id % 11 <> 0 AS ok, event_type <> 'error' AND event_id % 11 <> 0 AS strict FROM events")
 def val3_strict_json(spark, sf_dir):
+    """Objects as they are, in a code fence, and without their last brace."""
     e = table(spark, sf_dir, "events")
     raw = F.when(F.col("event_type") == "error", F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
+    raw = F.when(F.col("event_id") % 11 == 0, F.regexp_replace("props", r"\}\s*$", "")).otherwise(raw)
     return e.select(F.col("event_id").alias("id"), X.strict_json(raw).alias("s")).select(
         "id", F.col("s.recoverable").alias("ok"), F.col("s.ok").alias("strict")
     )

@@ -235,8 +235,8 @@ def joi1_table_of_references(spark, sf_dir):
 @registered(cat("q_top AS (SELECT max(popularity) AS mp FROM cat) SELECT id, round(coalesce(popularity, 0) / mp, 8) AS share FROM cat, q_top"))
 def joi2_corpus_maximum(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return c.crossJoin(F.broadcast(c.agg(F.max("popularity").alias("mp")))).select(
-        "id", F.round(F.coalesce("popularity", F.lit(0)) / F.col("mp"), 8).alias("share")
+    return c.crossJoin(F.broadcast(search.corpus_facts([], c))).select(
+        "id", F.round(F.coalesce("popularity", F.lit(0)) / F.col("_top"), 8).alias("share")
     )  # one row
 
 
@@ -736,13 +736,9 @@ def val6_constraint_signatures(spark, sf_dir):
     "SELECT o_orderkey AS id, 'sample_' || sha256('{\"family\":\"' || o_orderpriority || '\",\"seed\":' || o_custkey || ',\"spec\":{\"min\":null,\"status\":\"' || o_orderstatus || '\"}}') AS sample_id FROM orders"
 )
 def val9_sample_ids(spark, sf_dir):
-    identity = F.struct(
-        F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("seed"),
-        F.struct(F.lit(None).cast("int").alias("min"), F.col("o_orderstatus").alias("status")).alias("spec")
-    )
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.concat(F.lit("sample_"), X.sha256(X.to_canonical_json(identity))).alias("sample_id")
-    )
+    spec = F.struct(F.lit(None).cast("int").alias("min"), F.col("o_orderstatus").alias("status")).alias("spec")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("seed"), spec)
+    return generation.identified(rows, ["family", "seed", "spec"]).select("id", "sample_id")
 
 
 @registered(
@@ -1168,6 +1164,28 @@ def agg12_fidelity(spark, sf_dir):
     return evaluation.fidelity_counts(evaluation.fidelity(rows))
 
 
+WIDER_SQL = BATCH_SQL.replace("CASE WHEN kind = 2 THEN [] ELSE rt END AS t_any", "CASE WHEN kind = 2 THEN [] ELSE rt END AS t_meant, CASE WHEN kind = 2 OR query_id % 300 = 0 THEN [] ELSE rt END AS t_any").replace(
+    "SELECT a.query_id, c.id,", "SELECT a.query_id, c.id, len(t_meant) > 0 AND NOT list_has_any(c.rt, t_meant) AS wrong,"
+)
+
+
+@registered(cat(f"""{WIDER_SQL}, q_best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM q_hits)
+SELECT CAST(count(*) AS BIGINT) AS ok, CAST(count(*) FILTER (t_any = t_meant) AS BIGINT) AS exact, CAST(count(*) FILTER (t_any = t_meant) AS BIGINT) AS semantic, CAST(count(*) AS BIGINT) AS cases,
+(SELECT CAST(count(*) AS BIGINT) FROM q_best WHERE rank <= 20 AND wrong) AS violating_results FROM q_ask"""))
+def agg12_search_fidelity(spark, sf_dir):
+    """What the searches of parsed queries find against what was meant: every third query has lost the tags that it asks for."""
+    c = catalog(spark, sf_dir)
+    meant = scratch.written(_order_queries(c.where("id % 100 = 0")), "meant")
+    any_of = "hard_constraints.tags.any_of"
+    parsed = meant.withColumn("q", F.when(F.col("query_id") % 300 == 0, F.col("q").withField(any_of, F.array().cast("array<string>"))).otherwise(F.col("q")))
+    found, index = batch_search.index(c), scratch.written(titles.keys(c), "titles")
+    results = batch_search.top(found, parsed, index).groupBy("query_id").agg(F.collect_list("id").alias("result_ids"))
+    allowed = batch_search.matching(found, meant, index).groupBy("query_id").agg(F.collect_list("id").alias("allowed_ids"))
+    text = lambda rows, name: rows.select("query_id", X.to_canonical_json(F.col("q")).alias(name))
+    cases = text(parsed, "parsed").join(text(meant, "expected"), "query_id").join(results, "query_id", "left").join(allowed, "query_id", "left")
+    return evaluation.fidelity_counts(evaluation.fidelity(cases.withColumn("status", F.lit("ok"))))
+
+
 def pilot_manifest() -> dict:
     """Four cases of fifty seeds each."""
     plans = [

@@ -45,8 +45,16 @@ def winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, *_decided(docs, doc_id, text, salts), doc_id, text)
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, salts: int) -> tuple[DataFrame, int]:
+    """(winners() as a written table, number of rows)."""
     decided = written(winners(docs, doc_id, text, salts), "winners")
-    total = decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    return decided, decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+
+
+def _groups(docs: DataFrame, decided: DataFrame, total: int, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(normalised(F.col(text))).alias("digest"))
     found = looked_up(rows, decided.select("digest", "keep_id", "group_size", F.col("group_size").alias("rows")), "digest", "rows", total)
     return found.select(
@@ -60,15 +68,14 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     Rows that repeat the text under the same doc_id (or all without one) stay all with `repeats`, else one of them. Rows of hot texts
     take their decision where they are, and repeated rows are combined inside each task first.
     """
-    decided = written(winners(docs, doc_id, text, salts), "winners")
-    total = decided.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    decided, total = _decided(docs, doc_id, text, salts)
     table = decided.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("group_size").alias("__rows"))
     rows = docs.withColumn("__digest", _digest(normalised(docs[text])))
     stay = looked_up(rows, table, "__digest", "__rows", total).where(F.col(doc_id).eqNullSafe(F.col("__keep_id")))
     if not repeats:
         names = docs.columns
         own = F.concat_ws(":", F.hex("__digest"), F.col(doc_id).cast("string"))
-        narrow = exact_groups(docs, doc_id, text, salts).where("kept")
+        narrow = _groups(docs, decided, total, doc_id, text).where("kept")
         counts = narrow.groupBy(F.concat_ws(":", F.upper("text_sha256"), F.col("doc_id").cast("string")).alias("__own")).agg(F.count("*").alias("__rows")).where("__rows > 1")
         again = written(counts.withColumn("__again", F.lit(True)), "repeats")
         n = again.agg(F.sum("__rows")).first()[0]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quillon.functions.text import canonical_json, sha256, to_canonical_json
 from quillon.operators.patterns import SLOTS
 from quillon.operators.samplers import Sampler
-from quillon.operators.sampling import draw, draw_without, realised
+from quillon.operators.sampling import draw, draw_without, realised, spread
 from quillon.plans import query as Q
 from quillon.plans import sampler as S
 
@@ -271,10 +271,9 @@ def sampled_records(rows: DataFrame, seed: str, sampler: Sampler, rules: Q.Rules
             p = sampler.pattern(rng)
             try:
                 spec = bind(p, rng, rules, pools)
-                gold = Q.build(spec, rules)
-                out.append((p["family"], p["bucket"], p["pos"], Q.dumps(gold), Q.signature(gold), Q.count_clauses(spec), None))
+                out.append((p["family"], p["bucket"], p["pos"], *Q.finished(spec, rules), Q.count_clauses(spec), None))
             except Q.QueryError as e:
                 out.append((p["family"], p["bucket"], p["pos"], None, None, None, str(e)))
         return pd.DataFrame(out, columns=["family", "bucket", "pos", "gold", "signature", "clauses", "error"])
 
-    return rows.withColumn("r", run(F.col(seed)))
+    return spread(rows).withColumn("r", run(F.col(seed)))

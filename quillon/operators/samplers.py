@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators import patterns as P
-from quillon.operators.sampling import draw, weighted
+from quillon.operators.sampling import draw, spread, weighted
 from quillon.plans import query as Q
 from quillon.plans import sampler as S
 
@@ -95,7 +95,7 @@ def drawn_patterns(rows: DataFrame, seed: str, sampler: Sampler, to: str = "patt
     def run(seeds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sampler.pattern(random.Random(int(s))) for s in seeds], columns=DRAWN.names)
 
-    return rows.withColumn(to, run(F.col(seed)))
+    return spread(rows).withColumn(to, run(F.col(seed)))
 
 
 def drawn_pairs(rows: DataFrame, seed: str, bucket: str, config: dict) -> DataFrame:
@@ -107,4 +107,4 @@ def drawn_pairs(rows: DataFrame, seed: str, bucket: str, config: dict) -> DataFr
             [operator_cardinality(random.Random(int(s)), config, b) for s, b in zip(seeds, buckets, strict=True)], columns=["operator", "cardinality"]
         )
 
-    return rows.withColumn("_d", run(F.col(seed), F.col(bucket))).select("*", "_d.*").drop("_d")
+    return spread(rows).withColumn("_d", run(F.col(seed), F.col(bucket))).select("*", "_d.*").drop("_d")

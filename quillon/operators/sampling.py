@@ -64,6 +64,12 @@ def upper_probabilities(base: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("lower"))).select("lower", "upper", "p")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to several tasks for each core: small rows that cost much to draw come in few splits of a file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def weighted(rng: random.Random, options: list, weights: list[float]):
     """The first option whose cumulative share exceeds the draw, of which there is always one."""
     total = sum(weights)
@@ -93,7 +99,7 @@ def seeded_choices(rows: DataFrame, seed: str, options: list[str], weights: list
     def run(seeds: pd.Series, ks: pd.Series) -> pd.Series:
         return pd.Series([draw_without(random.Random(int(s)), options, weights, int(n)) for s, n in zip(seeds, ks, strict=True)])
 
-    return rows.withColumn(to, run(F.col(seed), F.lit(k) if isinstance(k, int) else k))
+    return spread(rows).withColumn(to, run(F.col(seed), F.lit(k) if isinstance(k, int) else k))
 
 
 def shuffled_split(rows: DataFrame, order: str, seed: int, shares: tuple[int, int, int] = (80, 10, 10), range_rows: int = 100_000) -> DataFrame:

@@ -69,3 +69,17 @@ def test_canonical_form(genres, tags, least):
     assert Q.clauses(q) == Q.clauses(again)
     assert len(Q.clauses(q)) == Q.count_clauses(q)
     assert Q.signature(q).startswith("GENRE_ALL + GENRE_ANY + GENRE_NONE") and Q.signature(Q.empty()) == Q.NO_CONSTRAINT
+
+
+def test_a_finished_spec_is_checked_once(monkeypatch):
+    """finished() gives dumps() and signature() of build(), which are what they were, by one check; the spec stays."""
+    rules = Q.Rules(genres=frozenset("AB"), tags=frozenset("xyz"), formats=frozenset(["TV"]), statuses=frozenset("F"), groups={"G": (("x", "y"), ("any_of",), "G_V1")})
+    spec = Q.query(genres={"all_of": ["B", "A"]}, year={"min": 1990}, formats=["TV"], reference_titles=["t"])
+    spec["hard_constraints"]["tag_groups"] = {"all_of": [], "any_of": ["G"], "none_of": []}
+    before = repr(spec)
+    gold = Q.build(spec, rules)
+    want = Q.dumps(gold), Q.signature(gold)
+    calls, check = [], Q.check_structure
+    monkeypatch.setattr(Q, "check_structure", lambda q: calls.append(1) or check(q))
+    assert Q.finished(spec, rules) == want and len(calls) == 1
+    assert repr(spec) == before and gold["hard_constraints"]["tags"]["any_of"] == ["x", "y"]

@@ -222,3 +222,13 @@ def test_sampled_records_are_right_and_whole_records_are_checked(spark, sampler,
     for column, value, fault in (("clauses", F.col("clauses") + 1, "clauses differs"), ("signature", F.lit("x"), "signature differs"), ("rule_ids", F.array(F.lit("x")), "rule_ids differs"), ("gold", F.lit(other), "gold differs"), ("sample_id", F.lit("x"), "sample_id differs")):
         bad = G.check_records(made.withColumn(column, value), SHARING_RULES, ["gold", "text", "pos"]).select("fault").collect()
         assert len(bad) >= n - 1 and {r.fault for r in bad} <= {fault, "signature differs" if column == "gold" else fault}
+
+
+def test_draws_are_spread_over_tasks(spark, sampler):
+    """Rows of one split are drawn in many tasks."""
+    from quillon.operators import samplers
+
+    pools = G.Pools.of(CONFIG, SHARING_RULES, ["t", "u"])
+    rows = spark.range(0, 64, 1, 1)
+    for made in (G.sampled_records(rows, "id", sampler, SHARING_RULES, pools), samplers.drawn_patterns(rows, "id", sampler)):
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IGNORED = -100
+#: Token ids that a Python worker holds at most, besides those of one row.
+PART = 1 << 18
 
 
 def message(role: str, content: Column) -> Column:
@@ -23,15 +28,27 @@ def messages(system: str, user: Column, answer: Column | None = None) -> Column:
 
 
 def tokenised(rows: DataFrame, text: str, to: str, encode: Callable[[str], list[int]]) -> DataFrame:
-    """rows with the ids of a text; encode is called once a row inside Arrow batches."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode(t or ""))
+    """rows with the ids of a text; encode is called once a row inside Arrow batches, whose ids leave in parts of `PART` ids and one row."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found, ends = array("i"), [0]
+            for t in batch:
+                found.extend(encode(t.as_py() or ""))
+                ends.append(len(found))
+                if len(found) >= PART:
+                    yield _lists(found, ends)
+                    found, ends = array("i"), [0]
+            yield _lists(found, ends)
 
     return rows.withColumn(to, ids(F.col(text)))
 
 
+def _lists(values: array, ends: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+
+
 def features(rows: DataFrame, prompt: str, full: str, most: int) -> DataFrame:
     """rows with input_ids, attention_mask and labels; raises where the prompt is no prefix or the row is too long: nothing is cut."""
     p, f = F.col(prompt), F.col(full)

@@ -2,7 +2,7 @@
 
 Values become whole numbers in the same order, counted once for each (group, value). Counts of their leading digits of `DIGIT` bits show
 which first digit a wanted place falls in and what place it is among its values, then the next digit, until the value is
-known: a task sorts the counts of one digit at a time, at most 2 ** DIGIT for each wanted place. A group of a third of all rows is thus spread by its values, and a value that
+known: a task sorts the counts of one digit at a time, at most 2 ** DIGIT, once for all places that fall in them. A group of a third of all rows is thus spread by its values, and a value that
 a third of all rows have is combined inside each task first.
 
 Defined results: nulls are no values; NaN comes after all others and -0.0 counts as 0.0. A group without values has nulls.
@@ -48,20 +48,23 @@ def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Call
     keyed = rows.where(F.col(value).isNotNull()).select(group.alias("g"), (_order_of(F.col(value).cast("double")) if real else F.col(value).cast("long")).alias("v"))
     counts = written(keyed.groupBy("g", "v").agg(F.count("*").alias("n")), "value_counts")
     sizes = counts.groupBy("g").agg(F.sum("n").alias("n"))
-    listed = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])
-    wanted = sizes.select("g", F.explode(listed).alias("w")).select("g", "w.name", "w.place", F.lit(None).cast("long").alias("high"))
+    # the places of a group travel as one list, so that its counts are joined and sorted once whatever the number of places
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), place(F.col("n")).cast("long").alias("place")) for k, place in enumerate(places.values())])
+    wanted = sizes.select("g", listed.alias("ws"), F.lit(None).cast("long").alias("high"))
     for shift in range(64 - DIGIT, -1, -DIGIT):
         digits = counts.groupBy("g", F.shiftright("v", shift).alias("low")).agg(F.sum("n").alias("n"))
         digits = digits.select(F.col("g").alias("_g"), "low", "n", (F.lit(None).cast("long") if shift == 64 - DIGIT else F.shiftright("low", DIGIT)).alias("_high"))
         within = wanted.join(digits, F.col("g").eqNullSafe(F.col("_g")) & F.col("high").eqNullSafe(F.col("_high")))
-        upto = F.sum("n").over(Window.partitionBy("g", "name").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        found = within.withColumn("upto", upto).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
-        wanted = found.select("g", "name", (F.col("place") - F.col("upto") + F.col("n")).alias("place"), F.col("low").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("g", "high").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        before = F.col("upto") - F.col("n")
+        found = within.withColumn("upto", upto).withColumn("ws", F.filter("ws", lambda w: (w["place"] <= F.col("upto")) & (w["place"] > before))).where(F.size("ws") > 0)
+        left = F.transform("ws", lambda w: F.struct(w["k"].alias("k"), (w["place"] - before).alias("place")))
+        wanted = found.select("g", left.alias("ws"), F.col("low").alias("high"))
         if shift:
             wanted = written(wanted, "places")
     got = (_value_of(F.col("high")) if real else F.col("high")).cast(kind)
     named = wanted.withColumn("value", got)
-    columns = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in places]
+    columns = [F.max(F.when(F.exists("ws", lambda w: w["k"] == k), F.col("value"))).alias(name) for k, name in enumerate(places)]
     return named.groupBy("g").agg(*columns).select("g.*", *places) if by else named.agg(*columns)
 
 

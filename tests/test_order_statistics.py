@@ -82,3 +82,14 @@ def test_a_million_ids_in_bounded_memory(spark):
     found = audit.ids_sha256(df, ["g"], "pos", "id")
     assert "collect_list" not in found._jdf.queryExecution().toString()
     assert tuple(found.first()) == ("all", digest(list(range(999_999, -1, -1))), 1_000_000)
+
+
+def test_places_of_a_group_travel_together(spark, monkeypatch):
+    """Between digits there is one row for each value that places fall in, not one for each place."""
+    tables, written = [], O.written
+    monkeypatch.setattr(O, "written", lambda df, what: tables.append((what, written(df, what))) or tables[-1][1])
+    df = spark.range(500).select((F.col("id") % 5).alias("g"), F.col("id").alias("v"))
+    got = {r.g: [r[n] for n in SHARES] for r in audit.nearest_rank(df, "v", SHARES, ["g"]).collect()}
+    assert got == {g: places(list(range(g, 500, 5))) for g in range(5)}
+    first = [t for what, t in tables if what == "places"][0]
+    assert first.count() == 5

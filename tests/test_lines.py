@@ -85,3 +85,11 @@ def test_runs_by_position(spark):
     for wrong in (make((1, "a", "x", True)), make((1, "a", "x", True), (2, "b", "x", True), (2, "c", "x", True)), make((1, "a", "x", True), (2, "b", "x", True), (4, "c", "x", True))):
         with pytest.raises(ValueError):
             evaluation.zipped(base, wrong, ["sample_id"])
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """A filter on faults doesn't bring the parse of a line back into the scan, once for each rule."""
+    (tmp_path / "a.txt").write_text('{"id": 1}\n{"id": "x"}\n\n[1]\n{"id": 2} 3\n')
+    found = lines.faults(lines.numbered(spark, str(tmp_path)), {"id is no whole number": lines.kind_of("id") != "BIGINT"})
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.line, r.reason) for r in found.orderBy("row").collect()] == [(2, "id is no whole number"), (4, "no JSON object"), (5, "no JSON")]

@@ -43,7 +43,9 @@ def _append(fresh: DataFrame, path: str) -> None:
 def admit(rows: DataFrame, path: str, text: str, order: str) -> DataFrame:
     """The rows that bring a text of which neither the ledger nor an earlier row of theirs has any; their texts are in the ledger from now on."""
     spark, names = rows.sparkSession, rows.columns
-    known = rows.where(F.col(text).isNotNull()).select(F.struct(*names).alias("row"), F.struct(F.col(order).isNull(), F.col(order)).alias("at"), F.col(text).alias("text"))
+    # the text is a key already, so the row that brings it travels without it
+    rest = F.struct(*[F.col(c) for c in names if c != text], F.lit(True).alias("_there"))
+    known = rows.where(F.col(text).isNotNull()).select(rest.alias("row"), F.struct(F.col(order).isNull(), F.col(order)).alias("at"), F.col(text).alias("text"))
     known = known.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     first = written(known.groupBy("digest", "text").agg(F.min_by("row", "at").alias("row")), "distinct_texts")
     bits = _read(spark, path, BITS, "bucket long, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -52,4 +54,4 @@ def admit(rows: DataFrame, path: str, text: str, order: str) -> DataFrame:
     hits = written(maybe.join(used, (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("_text")), "left_semi").select("digest", "text"), "used_texts")
     fresh = written(first.join(hits, ["digest", "text"], "left_anti"), "fresh_texts")
     _append(fresh, path)
-    return fresh.select("row.*")
+    return fresh.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names])

@@ -34,3 +34,13 @@ def test_only_hits_of_the_filter_meet_the_ledger(spark):
     more = spark.range(4000, 20_000).select("id", text).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     assert 1000 <= joins.may_hold(more, "digest", bits).count() < 1100
     assert ledger.admit(spark.range(4000, 20_000).select("id", text), path, "text", "id").count() == 15_000
+
+
+def test_a_text_is_written_once_in_each_table(spark, monkeypatch):
+    """The row that brings a text has it back, but doesn't carry it beside the key."""
+    tables, written = [], ledger.written
+    monkeypatch.setattr(ledger, "written", lambda df, what: tables.append(df.dtypes) or written(df, what))
+    got = ledger.admit(spark.createDataFrame([("a", 1), ("a", 0)], "text string, id long"), scratch.new_path(spark, "ledger"), "text", "id")
+    assert got.columns == ["text", "id"] and [tuple(r) for r in got.collect()] == [("a", 0)]
+    assert ledger.admit(spark.createDataFrame([("b",)], "text string"), scratch.new_path(spark, "ledger"), "text", "text").collect() == [("b",)]
+    assert all(str(t).count("text") <= 1 for t in tables)

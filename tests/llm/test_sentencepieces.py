@@ -51,6 +51,54 @@ def test_lists_and_heaps_agree():
         assert p.merged(t) == p._heaped(t)
 
 
+def test_parts_side_by_side_agree_with_one_by_one():
+    p, rng = S.pieces_of(PATH), random.Random(11)
+    parts = ["a", " ", "\n", "é", "🤔", "日本", "aaaaaaa", "\x00a\x00"]
+    parts += {"".join(rng.choice(ALPHABETS[k % len(ALPHABETS)] + "the and ing") for _ in range(rng.randint(1, S.SHORT))) for k in range(3000)}
+    got = {}
+    for names, symbols, size in p._side_by_side(parts):
+        got.update(zip(names, np.split(symbols, np.cumsum(size)[:-1]), strict=True))
+    assert got.keys() == set(parts)
+    for part, numbers in got.items():
+        symbols = p.merged(part)
+        assert len(numbers) == len(symbols)
+        assert all(n == p.id_of[s] if s in p.id_of else n == p.byte_ids[ord(s)] if s.isascii() else n >= p.ids for n, s in zip(numbers, symbols, strict=True)), part
+
+
+def test_new_words_take_less_than_half_the_time_of_one_agenda_each(library):
+    p, rng = S.Pieces(PATH), random.Random(12)
+    words = list({"".join(rng.choice("thersaniou") for _ in range(rng.randint(6, 14))) for _ in range(40_000)})
+    began = time.process_time()
+    for w in words:
+        p._part(" " + w)
+    alone = time.process_time() - began
+    texts = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    began = time.process_time()
+    ids = p.encode_all(texts)
+    assert time.process_time() - began < alone / 2
+    S.check(p, texts, ids, [t.encode() for t in texts])
+
+
+def test_the_memo_stays_bounded_and_texts_go_in_groups(library, monkeypatch):
+    monkeypatch.setattr(S, "AT_ONCE", 300)
+    monkeypatch.setattr(S, "MANY", 64)
+    p, rng = S.Pieces(PATH), random.Random(13)
+    p.parts.limit, most = 100, 0
+    for k in range(30):
+        texts = ["".join(rng.choice(ALPHABETS[k % len(ALPHABETS)] + " ") for _ in range(rng.choice([0, 5, 100, 1000]))) for _ in range(rng.randint(0, 9))]
+        ids = p.encode_all(texts)
+        most = max(most, len(p.parts))
+        S.check(p, texts, ids, [p.decode(np.frombuffer(i, np.uint32)) for i in ids])
+    assert 64 < most <= 100
+
+
+def test_ids_outside_the_vocabulary_are_errors():
+    p = S.pieces_of(PATH)
+    for ids in ([5, -1], [p.ids]):
+        with pytest.raises(IndexError):
+            p.decode(np.array(ids, np.int64))
+
+
 def test_random_ids(library):
     """Control, unknown and stray byte pieces too."""
     p, rng = S.pieces_of(PATH), random.Random(5)

@@ -16,19 +16,23 @@ def _hundredths(c: str) -> Column:
 
 
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order with lines; lines are shuffled once, by order, with the part's type and brand already attached."""
+    """One row for each order with lines; lines are shuffled once, by order, with the part's type and brand already attached.
+
+    They are dealt before they are grouped: lists of one order's lines made before that would be lists of one line, sorted and packed for nothing.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    ranked = F.struct(F.col("p_brand").alias("name"), F.least(F.lit(100), (2 * F.col("l_quantity")).cast("int")).alias("rank"))
-    grouped = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
-        F.count("*").cast("int").alias("episodes"), F.array_sort(F.collect_set("p_type")).alias("genres"), F.collect_list(ranked).alias("_lines"),
+    line = F.struct("p_type", F.col("p_brand").alias("name"), F.least(F.lit(100), (2 * F.col("l_quantity")).cast("int")).alias("rank"))
+    grouped = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).repartition("l_orderkey").groupBy("l_orderkey").agg(
+        F.count("*").cast("int").alias("episodes"), F.collect_list(line).alias("_lines"),
         F.floor(F.sum(_hundredths("l_extendedprice")) / 100).alias("popularity"), F.floor(10 * F.sum(_hundredths("l_discount")) / F.count("l_discount")).cast("int").alias("averageScore"),
     )
     best = F.transform(
         F.array_sort(F.array_distinct(F.transform("_lines", lambda t: t["name"]))),
         lambda n: F.struct(n.alias("name"), F.array_max(F.transform(F.filter("_lines", lambda t: t["name"] == n), lambda t: t["rank"])).alias("rank")),
     )
-    return grouped.withColumn("tags", best).drop("_lines")
+    types = F.array_sort(F.array_compact(F.array_distinct(F.transform("_lines", lambda t: t["p_type"]))))
+    return grouped.withColumns({"genres": types, "tags": best}).drop("_lines")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
